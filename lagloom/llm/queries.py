@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagloom.llm import bpe, minhash, packing, suffixdedup
+from lagloom.llm import bpe, egojoin, minhash, packing, suffixdedup, vafile
 from lagloom.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op3_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bpe, op5_packing, op7_suffix_dedup)}
+    return {f.__name__: f for f in (op1_minhash, op2_bpe, op3_ego_join, op4_va_file, op5_packing, op7_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
