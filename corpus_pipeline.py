@@ -1,18 +1,67 @@
-"""Corpus preparation from documents to packed sequences, stage by stage."""
+"""Corpus preparation from documents to packed sequences, stage by stage.
+
+Each stage works on all rows that the one before kept; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lagloom.llm import packing
+from lagloom.llm import minhash, packing, quality, suffixdedup, toxicity
 from lagloom.llm.common import stage, table
+from lagloom.llm.labelled import sample
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose quality score is 0.5 or more."""
+    docs = _documents(docs)
+    model = quality.Subwords()
+    model.train(sample(docs, table(spark, sf_dir, "labels"), "quality", 1500))
+    kept = quality.scores(docs, *model.parts(), model.bits, keep=COLUMNS)
+    return kept.filter("score >= 0.5").select(*COLUMNS)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose toxicity score is below 0.7."""
+    docs = _documents(docs)
+    model = toxicity.train(sample(docs, table(spark, sf_dir, "labels"), "toxic", 3000))
+    return toxicity.scores(docs, model, keep=COLUMNS).filter("score < 0.7").select(*COLUMNS)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group, the one of smallest doc_id; documents without doc_id stay."""
+    docs = _documents(docs)
+    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.filter("doc_id is not null").join(kept.hint("shuffle_merge"), "doc_id").dropDuplicates(["doc_id"])
+    return one.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut every repeated passage of 200 bytes and more out of the texts."""
+    cut = suffixdedup.remove_repeats(_documents(docs), with_text=True, keep=["lang", "source"])
+    return cut.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the ids of what is left into sequences of 1024."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("toxicity", toxicity_filter),
+    ("minhash near-dedup", minhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("packing", pack_sequences),
+]
 
 #: Training and token packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

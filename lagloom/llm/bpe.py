@@ -177,7 +177,7 @@ class Vocab:
     def learn(self, units: set[str], spaced: bool) -> None:
         """Encode units not seen yet; a unit is the text between two cuts, spaced if a space stands before it."""
         known, lead = (self.spaced, " ") if spaced else (self.first, "")
-        new = units - known.keys()
+        new = {u for u in units if u not in known}
         words = [u for u in new if u.isalpha()]
         known.update(zip(words, self.encode_words([(lead + u).encode() for u in words]), strict=True))
         mixed = {u: _PRE.findall(lead + u) for u in new - set(words)}

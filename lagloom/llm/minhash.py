@@ -47,7 +47,7 @@ def word_hashes(ws: list[str], known: dict[str, int]) -> np.ndarray:
     """32-bit hashes of words; ``known`` keeps those of frequent words."""
     if len(known) > 500_000:
         known.clear()
-    for w in set(ws) - known.keys():
+    for w in [w for w in set(ws) if w not in known]:
         known[w] = xxhash.xxh32_intdigest(w)
     return np.fromiter(map(known.__getitem__, ws), np.uint32, len(ws))
 

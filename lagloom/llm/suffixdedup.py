@@ -224,6 +224,8 @@ def _sorted_classes(length: int, gram: int, at_once: int):
         rows = 0
 
         def solve(t: pa.Table) -> pa.RecordBatch:
+            key, name = t.column("anchor").to_numpy(), t.column("context").to_numpy()
+            t = t.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])))
             key = t.column("anchor").to_numpy()
             group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
             raw, cut = t.column("bytes").to_pylist(), t.column("left").to_pylist()
@@ -257,17 +259,21 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for t, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             raw = t.encode()
-            rows += [(w["anchor"], w["context"], w["n"], w["left"], raw[w["pos"] - w["left"] : w["pos"] + w["right"]], w["crowded"]) for w in wanted]
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["anchor", "context", "n", "left", "bytes", "crowded"])
+            rows += [(w["anchor"], w["context"], w["n"], w["left"], raw[w["pos"] - w["left"] : w["pos"] + w["right"]]) for w in wanted]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["anchor", "context", "n", "left", "bytes"])
 
 
 def _window_hashes(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for a, c, n, left, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (a, c) == at:
+                    continue
+                at = (a, c)
                 ls = [l for l in range(length - gram + 1) if l <= left and left - l + length <= len(raw)]
                 out[0] += [a] * len(ls)
                 out[1] += [c] * len(ls)
@@ -296,25 +302,21 @@ def spans(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096)
     crowd = classes.groupBy("anchor").agg((F.count("*") > most).alias("crowded"))
     wanted = (
         classes.join(crowd.hint("shuffle_merge"), "anchor")
-        .groupBy("at.d", "at.h")
-        .agg(F.collect_list(F.struct("anchor", "context", "n", "at.left", "at.right", "at.pos", "crowded")).alias("wanted"))
-    )
-    # a document that occurs twice under one name gives its contexts twice: once is enough
-    cut = (
-        docs.join(wanted.hint("shuffle_merge"), ["d", "h"])
-        .select("doc_id", "text", "wanted")
-        .mapInArrow(_cut_contexts, "anchor long, context long, n long, left short, bytes binary, crowded boolean")
-    )
-    cut = stage(cut, "bytes")
-    calm = (
-        cut.filter("not crowded").select("anchor", "context", "n", "left", "bytes").dropDuplicates(["anchor", "context"])
-        .repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_sorted_classes(length, gram, 20_000), "anchor long, context long, lo short, hi short")
-    )
-    windows = (
-        cut.filter("crowded").select("anchor", "context", "n", "left", "bytes").dropDuplicates(["anchor", "context"])
-        .mapInArrow(_window_hashes(length, gram), "anchor long, context long, n long, l short, window binary")
+        .groupBy("at.d", "at.h", "crowded")
+        .agg(F.collect_list(F.struct("anchor", "context", "n", "at.left", "at.right", "at.pos")).alias("wanted"))
     )
+
+    def cut(crowded: bool) -> DataFrame:
+        some = wanted.filter(F.col("crowded") == crowded).drop("crowded")
+        found = docs.join(some.hint("shuffle_merge"), ["d", "h"]).select("doc_id", "text", "wanted")
+        # a document that occurs twice under one name gives its contexts twice; once is taken below
+        return (
+            found.mapInArrow(_cut_contexts, "anchor long, context long, n long, left short, bytes binary")
+            .repartition("anchor", *(["context"] if crowded else [])).sortWithinPartitions("anchor", "context")
+        )
+
+    calm = cut(False).mapInArrow(_sorted_classes(length, gram, 20_000), "anchor long, context long, lo short, hi short")
+    windows = cut(True).mapInArrow(_window_hashes(length, gram), "anchor long, context long, n long, l short, window binary")
     twice = windows.groupBy("anchor", "l", "window").agg(F.sum("n").alias("c")).filter("c > 1").drop("c")
     dense = windows.join(twice.hint("shuffle_merge"), ["anchor", "l", "window"]).groupBy("anchor", "context").agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
     solved = calm.unionByName(dense)
@@ -341,16 +343,18 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64(text).alias("h"), "doc_id", text.alias("text"), *more)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Remove every byte that a repeated string of ``length`` bytes covers.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
-    and on request the kept text (a character that a cut splits goes too). Null
+    and on request the kept text (a character that a cut splits goes too) and the columns ``keep``. Null
     text counts as empty; texts shorter than ``length`` stay whole; rows that
     repeat a whole text lose all of it; rows with a null doc_id are kept. Columns
     other than doc_id and text are not read.
     """
+    keep = keep or []
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "")
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,6 +369,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
             k = 6 if with_text else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols[:k], types[:k], strict=True)], names[:k])
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols[:k], types[:k], strict=True)] + batch.columns[3:], names[:k] + keep)
 
-    return spans(_named(docs), length, gram, most).select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return spans(_named(docs, *keep), length, gram, most).select("doc_id", "text", "spans", *keep).mapInArrow(run, schema)
