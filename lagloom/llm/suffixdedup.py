@@ -195,11 +195,11 @@ def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], c
 
 
 def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Anchors of all documents: anchor, context, d, h, pos, left, right."""
+    """Anchors of all documents: anchor, context, d, h, at (position, bytes to the left and to the right in one number, to keep rows short)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for d, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = t.encode()
                 pos, key = anchors(raw, length, gram)
@@ -207,14 +207,14 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     continue
                 lo, hi = np.maximum(pos - (length - gram), 0), np.minimum(pos + length, len(raw))
                 ctx = [xxhash.xxh3_64_intdigest(raw[a:b], p - a) for a, b, p in zip(lo.tolist(), hi.tolist(), pos.tolist(), strict=True)]
-                cols = (key, np.array(ctx, np.uint64).view(np.int64), np.full(len(pos), d), np.full(len(pos), h), pos.astype(np.int32), (pos - lo).astype(np.int16), (hi - pos).astype(np.int16))
+                cols = (key, np.array(ctx, np.uint64).view(np.int64), np.full(len(pos), d), np.full(len(pos), h), pos << 20 | (pos - lo) << 10 | (hi - pos))
                 for c, x in zip(out, cols, strict=True):
                     c.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["anchor", "context", "d", "h", "pos", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["anchor", "context", "d", "h", "at"])
 
     return docs.filter(F.octet_length("text") >= length).select("d", "h", "text").mapInArrow(
-        run, "anchor long, context long, d long, h long, pos int, left short, right short"
+        run, "anchor long, context long, d long, h long, at long"
     )
 
 
@@ -259,7 +259,9 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for t, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             raw = t.encode()
-            rows += [(w["anchor"], w["context"], w["n"], w["left"], raw[w["pos"] - w["left"] : w["pos"] + w["right"]]) for w in wanted]
+            for w in wanted:
+                pos, left, right = w["at"] >> 20, w["at"] >> 10 & 1023, w["at"] & 1023
+                rows.append((w["anchor"], w["context"], w["n"], left, raw[pos - left : pos + right]))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], ["anchor", "context", "n", "left", "bytes"])
@@ -267,21 +269,21 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _window_hashes(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary()]
         at = None
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for a, c, n, left, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (a, c) == at:
-                    continue
-                at = (a, c)
-                ls = [l for l in range(length - gram + 1) if l <= left and left - l + length <= len(raw)]
-                out[0] += [a] * len(ls)
-                out[1] += [c] * len(ls)
-                out[2] += [n] * len(ls)
-                out[3] += ls
-                out[4] += [xxhash.xxh3_128_digest(raw[left - l : left - l + length]) for l in ls]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["anchor", "context", "n", "l", "window"])
+            for begin in range(0, batch.num_rows, 256):
+                out: list[list] = [[] for _ in range(5)]
+                for a, c, n, left, raw in zip(*(batch.slice(begin, 256).column(i).to_pylist() for i in range(5)), strict=True):
+                    if (a, c) == at:
+                        continue
+                    at = (a, c)
+                    for l in range(min(left, length - gram) + 1):
+                        if left - l + length <= len(raw):
+                            key = xxhash.xxh3_128_digest(raw[left - l : left - l + length], l)
+                            for x, y in zip(out, (a, c, n, l, key), strict=True):
+                                x.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["anchor", "context", "n", "l", "window"])
 
     return run
 
@@ -295,15 +297,16 @@ def spans(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096)
     per_anchor = occ.groupBy("anchor").agg(F.count("*").alias("c"), F.min("context").alias("lo_c"), F.max("context").alias("hi_c")).filter("c > 1")
     hits = occ.join(per_anchor.hint("shuffle_merge"), "anchor").select(*occ.columns, (F.col("lo_c") != F.col("hi_c")).alias("mixed"))
     hits = stage(hits, "anchors")
-    whole = F.struct((F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b"))
+    pos, left, right = F.expr("at >> 20"), F.expr("(at >> 10) & 1023L"), F.expr("at & 1023L")
+    whole = F.struct((pos - left).alias("a"), (pos + right).alias("b"))
     classes = stage(
-        hits.filter("mixed").groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "pos", "left", "right")).alias("at")), "contexts"
+        hits.filter("mixed").groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("first")), "contexts"
     )
     crowd = classes.groupBy("anchor").agg((F.count("*") > most).alias("crowded"))
     wanted = (
         classes.join(crowd.hint("shuffle_merge"), "anchor")
-        .groupBy("at.d", "at.h", "crowded")
-        .agg(F.collect_list(F.struct("anchor", "context", "n", "at.left", "at.right", "at.pos")).alias("wanted"))
+        .groupBy("first.d", "first.h", "crowded")
+        .agg(F.collect_list(F.struct("anchor", "context", "n", "first.at")).alias("wanted"))
     )
 
     def cut(crowded: bool) -> DataFrame:
@@ -315,14 +318,14 @@ def spans(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096)
             .repartition("anchor", *(["context"] if crowded else [])).sortWithinPartitions("anchor", "context")
         )
 
-    calm = cut(False).mapInArrow(_sorted_classes(length, gram, 20_000), "anchor long, context long, lo short, hi short")
+    calm = cut(False).mapInArrow(_sorted_classes(length, gram, 8_000), "anchor long, context long, lo short, hi short")
     windows = cut(True).mapInArrow(_window_hashes(length, gram), "anchor long, context long, n long, l short, window binary")
-    twice = windows.groupBy("anchor", "l", "window").agg(F.sum("n").alias("c")).filter("c > 1").drop("c")
-    dense = windows.join(twice.hint("shuffle_merge"), ["anchor", "l", "window"]).groupBy("anchor", "context").agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
+    twice = windows.groupBy("window").agg(F.sum("n").alias("c")).filter("c > 1").drop("c")
+    dense = windows.join(twice.hint("shuffle_merge"), "window").groupBy("anchor", "context").agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
     solved = calm.unionByName(dense)
     part = hits.filter("mixed").join(solved.hint("shuffle_merge"), ["anchor", "context"])
     ranges = hits.filter("not mixed").select("d", "h", whole.alias("s")).unionByName(
-        part.select("d", "h", F.struct((F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + length).alias("b")).alias("s"))
+        part.select("d", "h", F.struct((pos - F.col("hi")).alias("a"), (pos - F.col("lo") + length).alias("b")).alias("s"))
     )
     per_doc = ranges.groupBy("d", "h").agg(F.collect_set("s").alias("spans"))
     return docs.join(per_doc.hint("shuffle_merge"), ["d", "h"], "left")
