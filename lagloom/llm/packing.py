@@ -111,7 +111,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
     ranked = keyed.withColumn("rank", rank).join(base.hint("shuffle_merge"), ["length", "salt"])
     slots = spark.sparkContext.broadcast(places(shortest_pack_first(histogram, size)))
 
-    @F.pandas_udf("struct<sequence_id long, offset long>")
+    @F.pandas_udf("struct<sequence_id long, offset long>", F.PandasUDFType.SCALAR)
     def place(length, rank):
         import pandas as pd
 
