@@ -111,3 +111,18 @@ def split_r_hat(spark, sf_dir):
     c = edges(spark, sf_dir).withColumn("half", F.row_number().over(w) <= 150)
     h = c.groupBy(F.col("lag").alias("metric"), "regime", "half").agg(F.avg("effect").alias("m"), F.var_samp("effect").alias("s"), F.count("*").alias("n"))
     return h.groupBy("metric").agg(F.round(F.sqrt(((F.first("n") - 1) / F.first("n") * F.avg("s") + F.var_samp("m")) / F.avg("s")), 8).alias("split_rhat"))
+
+
+@query()
+def rewired_null(spark, sf_dir):
+    """Chains and kept edges of rewired graphs, three replicates."""
+    from lagloom.operators import spatial
+    from lagloom.operators.rewire import rewire
+    from lagloom.sources.fixtures import cells
+
+    e = edges(spark, sf_dir).filter("regime = 'winter' and p_value < 0.2 and source_region <> target_region")
+    g = e.select(F.col("edge_type").alias("type"), F.col("source_region").alias("a"), F.col("target_region").alias("b")).distinct().withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    strata = spatial.pairs(cells(spark, sf_dir).filter("node < 10")).filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"), spatial.stratum(F.col("km")).alias("stratum"))
+    done = rewire(g, strata, 2)
+    kept = done.join(g, ["rep", "type", "a", "b"], "left_semi").groupBy("rep", "type").agg(F.count("*").alias("kept"))
+    return done.groupBy("rep", "type").agg(F.count("*").alias("edges"), F.count_distinct("a").alias("sources")).join(kept, ["rep", "type"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.operators import gram, reports, spatial
+from lagloom.operators.lineage import cut
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
 from lagloom.sources.fixtures import cells, ctes, edges, panel, panel_orders, panel_ship, table
@@ -88,7 +89,7 @@ def match_by_distance(e: DataFrame, pool: DataFrame, rounds: int = 4, seed: int
             luck = F.xxhash64("edge", "source", "target", F.lit(seed + k))
             want = offer.withColumn("r", F.row_number().over(Window.partitionBy("edge").orderBy(luck))).filter("r = 1")
             won = want.withColumn("r", F.row_number().over(Window.partitionBy("source", "target").orderBy(F.xxhash64("edge", F.lit(k))))).filter("r = 1").drop("r")
-            won = won.checkpoint()
+            won = cut(won)
             done = won if done is None else done.union(won)
     return e.join(done.select("edge", "source", "target", "km"), "edge", "left")
 

@@ -109,3 +109,21 @@ def test_segments_and_artifacts(spark):
 def test_standardise_constant_and_null(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 5.0), ("b", 1, None), ("b", 2, 1.0)], "k string, t long, value double")
     assert {(r.k, r.t): r.value for r in clean.standardise(df, ["k"]).collect()} == {("a", 1): 0, ("a", 2): 0, ("b", 1): 0, ("b", 2): 0}
+
+
+def test_rewiring_keeps_degrees_and_strata(spark):
+    from lagloom.operators.rewire import rewire
+
+    nodes = range(8)
+    strata = spark.createDataFrame([(a, b, (a * b) % 2) for a in nodes for b in nodes if a != b], "a long, b long, stratum long")
+    g = spark.createDataFrame([(rep, "x", a, b) for rep in (0, 1) for a in nodes for b in nodes if a != b and (a + 3 * b) % 4 < 2], "rep int, type string, a long, b long")
+    out = rewire(g, strata, 2)
+
+    def shape(df):
+        rows = df.select("rep", "a", "b").collect()
+        return [sorted(x) for x in ([(r.rep, r.a) for r in rows], [(r.rep, r.b) for r in rows])], len({tuple(r) for r in rows})
+
+    assert shape(out) == shape(g)
+    count = lambda df: sorted(tuple(r) for r in df.groupBy("rep", "stratum").count().collect())
+    assert count(out) == count(g.join(strata, ["a", "b"]))
+    assert {tuple(r) for r in out.select("rep", "a", "b").collect()} != {tuple(r) for r in g.select("rep", "a", "b").collect()}
