@@ -15,7 +15,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     d = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+        SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", d).config("spark.checkpoint.dir", d + "/shared").config("spark.sql.warehouse.dir", d + "/wh")
         .getOrCreate()
     )
