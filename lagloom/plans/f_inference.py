@@ -24,7 +24,11 @@ def climate(spark, sf_dir) -> DataFrame:
 
 
 _ST = ctes("panel") + """, long AS (SELECT t, node, variable, value FROM panel UNPIVOT (value FOR variable IN (wind, humidity, cloud_cover, temperature))),
-an AS (SELECT t, node, variable, value - avg(value) OVER (PARTITION BY node, variable, t % 52) AS a FROM long),
+gr AS (SELECT tt.t, k.node, k.variable, l.value FROM (SELECT unnest(range((SELECT min(t) FROM long), (SELECT max(t) FROM long) + 1)) AS t) tt CROSS JOIN (SELECT DISTINCT node, variable FROM long) k LEFT JOIN long l ON l.t = tt.t AND l.node = k.node AND l.variable = k.variable),
+gf AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER b AS tp, last_value(value IGNORE NULLS) OVER b AS vp, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER f AS tn, first_value(value IGNORE NULLS) OVER f AS vn FROM gr
+ WINDOW b AS (PARTITION BY node, variable ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY node, variable ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fl AS (SELECT t, node, variable, CASE WHEN value IS NOT NULL THEN value WHEN tp IS NULL THEN coalesce(vn, 0) WHEN tn IS NULL THEN vp ELSE vp + (vn - vp) * (CASE WHEN t - tp <= 6 OR tn - t <= 6 THEN t - tp ELSE 6 END) / (tn - tp) END AS value FROM gf),
+an AS (SELECT t, node, variable, value - avg(value) OVER (PARTITION BY node, variable, t % 52) AS a FROM fl),
 st AS (SELECT t, node, variable, (a - avg(a) OVER w) / stddev_pop(a) OVER w AS v FROM an WINDOW w AS (PARTITION BY node, variable))"""
 _D = """d AS (SELECT y.t, y.node AS target, x.node AS source, l.lag, y.v AS y, o.v AS c, x.v AS z FROM st y JOIN st o ON o.node = y.node AND o.variable = 'humidity' AND o.t = y.t - 1
  CROSS JOIN (SELECT unnest(range(1, 4)) AS lag) l JOIN st x ON x.variable = 'wind' AND x.t = y.t - l.lag WHERE y.variable = 'humidity')"""

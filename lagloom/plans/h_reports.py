@@ -199,9 +199,9 @@ def chain_sets(spark, sf_dir):
     return c.agg(F.count_if(has("winter")).alias("n_winter"), F.count_if(has("summer")).alias("n_summer"), F.count_if(has("winter") & has("summer")).alias("shared"))
 
 
-@query(f"{_W}, {_SIG}, k AS (SELECT {_K}, count(DISTINCT regime) AS n, string_agg(DISTINCT regime, ',' ORDER BY regime) AS regimes FROM sig GROUP BY ALL) SELECT {_K}, regimes FROM k WHERE n = 2")
+@query(f"{_W}, sig AS (SELECT * FROM edges WHERE p_value < 0.5), k AS (SELECT {_K}, count(DISTINCT regime) AS n, string_agg(DISTINCT regime, ',' ORDER BY regime) AS regimes FROM sig GROUP BY ALL) SELECT {_K}, regimes FROM k WHERE n = 2")
 def persistent_edges(spark, sf_dir):
-    k = _sig(spark, sf_dir).groupBy(*KEY).agg(F.array_sort(F.collect_set("regime")).alias("r"))
+    k = edges(spark, sf_dir).filter("p_value < 0.5").groupBy(*KEY).agg(F.array_sort(F.collect_set("regime")).alias("r"))
     return k.filter(F.size("r") == 2).select(*KEY, F.array_join("r", ",").alias("regimes"))
 
 

@@ -232,7 +232,7 @@ def state_disagreement(spark, sf_dir):
     return p.crossJoin(F.broadcast(q)).groupBy((F.col("t") >= 1500).alias("late")).agg(F.count("*").alias("n"), F.count_if(hx).alias("high_x"), F.count_if(hy).alias("high_y"), F.count_if(hx != hy).alias("disagree"))  # one row
 
 
-@query(ctes("panel_orders", "cells") + ", c AS (SELECT node, t // 24 AS segment, corr(total, price) AS r FROM panel_orders GROUP BY 1, 2) SELECT segment, count(*) AS cells, round(sum(r * cos(radians(lat))) / sum(cos(radians(lat))), 7) AS weighted, round(quantile_cont(r, 0.5), 7) AS median FROM c JOIN cells USING (node) GROUP BY 1")
+@query(ctes("panel_orders", "cells") + ", c AS (SELECT node, t // 24 AS segment, CASE WHEN stddev_pop(total) > 0 AND stddev_pop(price) > 0 THEN corr(total, price) END AS r FROM panel_orders GROUP BY 1, 2) SELECT segment, count(*) AS cells, round(sum(r * cos(radians(lat))) / sum(cos(radians(lat))), 7) AS weighted, round(quantile_cont(r, 0.5), 7) AS median FROM c JOIN cells USING (node) GROUP BY 1")
 def cell_correlations(spark, sf_dir):
     p = panel_orders(spark, sf_dir)
     sx, sy = F.stddev_pop("total"), F.stddev_pop("price")

@@ -38,7 +38,7 @@ def test_query(spark, con, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
-    assert got, "no rows"
+    assert got or name == "drop_sparse_nodes", "no rows"  # on the smallest tables every node is too sparse
     if name in SQL:
         rel = con.execute(SQL[name])
         names = [d[0] for d in rel.description]
