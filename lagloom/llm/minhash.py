@@ -9,11 +9,12 @@ candidates, and a pair links if an alignment inside the band that the threshold
 allows matches enough shingles in order: matched / (n + m - matched) >= similarity.
 
 Buckets are never expanded into all their pairs. In a round every member of a
-bucket meets the bucket's pivots (one in the first round, up to 16 later); members
-that one component already joins need no more comparisons, pivots that have met
-all others leave, and rounds go on until each bucket is one component or has no
-pair left that was not compared. Word sequences that are equal are one class from
-the start.
+bucket meets the bucket's pivots (one in the first round, up to 64 later); members
+that one component already joins need no more comparisons, and pivots that have met
+all others leave. Rounds go on while a bucket that is not one component has more
+than ``at_once`` members left; what remains is settled bucket by bucket in a task,
+where histograms of the shingles rule out most pairs with certainty. Word sequences
+that are equal are one class from the start.
 """
 
 from __future__ import annotations
@@ -182,8 +183,56 @@ def _compare(shingle: int, similarity: float):
     return run
 
 
+def settle(words: list[np.ndarray], component: list[int], similarity: float) -> list[tuple[int, int, float]]:
+    """Links between members of a bucket that join components; members are sequences of shingles."""
+    n = np.array([len(w) for w in words])
+    h = np.stack([np.bincount((w & np.uint64(255)).astype(np.int64), minlength=256) for w in words]).astype(np.int32)
+    first: dict[int, int] = {}
+    root = [first.setdefault(c, i) for i, c in enumerate(component)]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out = []
+    for i in range(1, len(words)):
+        # unmatched shingles are at least those by which the histograms differ
+        room = (n[i] + n[:i]) * (1 - similarity) / (1 + similarity)
+        for j in np.flatnonzero(np.abs(h[:i] - h[i]).sum(axis=1) <= room + 1e-9).tolist():
+            a, b = find(i), find(j)
+            if a != b and (got := matched(words[i], words[j], similarity)) >= 0:
+                root[max(a, b)] = min(a, b)
+                out.append((i, j, got / (n[i] + n[j] - got)))
+    return out
+
+
+def _settle(shingle: int, similarity: float):
+    """Rows sorted by bucket to links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def solve() -> pa.RecordBatch:
+            links = settle([h[2] for h in held], [h[1] for h in held], similarity) if len(held) > 1 else []
+            cols = list(zip(*((held[i][0], held[j][0], s) for i, j, s in links), strict=True)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
+
+        for batch in batches:
+            for bucket, doc_id, component, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if bucket != at:
+                    if held:
+                        yield solve()
+                    at, held = bucket, []
+                held.append((doc_id, component, shingles(np.frombuffer(raw, np.uint32), shingle)))
+        if held:
+            yield solve()
+
+    return run
+
+
 def near_duplicates(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 12, take: int = 3, pivots: int = 16, per_task: int = 2000
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 12, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 1000
 ) -> DataFrame:
     """One row per document: doc_id, group_id (smallest doc_id of its group), n_copies (documents with the same words), n_links, kept.
 
@@ -212,7 +261,20 @@ def near_duplicates(
         slot = F.lit(0) if first else F.pmod(F.xxhash64("rep"), F.lit(pivots))
         mixed = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
         live = stage(active.join(mixed.hint("shuffle_merge"), "bucket"), "live")
-        if not live.limit(1).count():
+        crowded = live.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("set"))
+        most = crowded.agg(F.max("c")).first()[0]
+        if most is None:
+            break
+        if not first and most <= at_once:
+            # buckets of several bands with the same members are settled once
+            once = crowded.groupBy("c", "lo", "set").agg(F.min("bucket").alias("bucket")).select("bucket")
+            found = (
+                live.join(once.hint("shuffle_merge"), "bucket").join(texts.hint("shuffle_merge"), F.col("rep") == F.col("doc_id"))
+                .select("bucket", "doc_id", "component", "words").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+                .mapInArrow(_settle(shingle, similarity), "a long, b long, similarity double")
+            )
+            found = stage(found, "links")
+            links = found if links is None else links.union(found)
             break
         heads = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep").alias("r"), "rep", "n", "component")).alias("p"))
         heads = heads.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc")).distinct()
