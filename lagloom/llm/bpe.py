@@ -49,6 +49,9 @@ def _byte_of_char() -> dict[str, int]:
 class Vocab:
     """Tokens, merges and the test whether two tokens stay apart when they stand side by side."""
 
+    #: Pieces remembered between batches.
+    keep = 800_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -64,22 +67,26 @@ class Vocab:
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
         self.decimal = [str(i) for i in range(size)]
+        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.spaced: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.prepare(vocab, spec["model"]["merges"])
+
+    def prepare(self, vocab: dict[str, int], merges: list) -> None:
+        """What the trie needs: merges by rank and parts, and which bytes begin or end tokens."""
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        for n, m in enumerate(spec["model"]["merges"]):
+        for n, m in enumerate(merges):
             left, right = m if isinstance(m, list) else m.split(" ")
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             self.rank[a, b] = n
             self.parts.setdefault(c, (n, a, b))
         self.begins = {b[:n] for b in self.id_of for n in range(len(b) + 1)}
         self.node_of, self.node_bytes, self.ends, self.steps = {b"": 0}, [b""], [()], {}
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.apart: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.raw = [i.to_bytes(4, "little") for i in range(size)]
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
         self.sizes = [len(b) for b in self.bytes_of]
-        self.spaced: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
         self.clear_trie()
 
     def plain(self, word: bytes) -> list[int]:
@@ -186,13 +193,13 @@ class Vocab:
         for u, ps in mixed.items():
             known[u] = b"".join([code[p] for p in ps])
 
-    def encode_batch(self, texts: list[str | None], keep: int = 800_000) -> Iterator[bytes]:
-        """Ids of each text as little-endian 32-bit bytes. keep: pieces remembered between batches."""
+    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit bytes."""
         for lo, hi in _chunks(texts):
             cut = [self._units(t or "") for t in texts[lo:hi]]
-            if len(self.spaced) > keep:
+            if len(self.spaced) > self.keep:
                 self.spaced.clear()
-            if len(self.first) > keep:
+            if len(self.first) > self.keep // 8:
                 self.first.clear()
             spaced, first = set(), set()
             for parts in cut:
@@ -225,12 +232,13 @@ class Vocab:
 
 
 class LibraryVocab(Vocab):
-    """The same pieces and ids, with each distinct pre-token encoded by tiktoken."""
+    """The same pieces and ids, with each distinct pre-token encoded by tiktoken; encoding is cheap, so fewer pieces are kept."""
 
-    def __init__(self, path: str):
+    keep = 200_000
+
+    def prepare(self, vocab: dict[str, int], merges: list) -> None:
         import tiktoken
 
-        super().__init__(path)
         self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=self.id_of, special_tokens={})._core_bpe
 
     def encode_words(self, words: Iterable[bytes], most_nodes: int = 0) -> list[bytes]:
