@@ -290,15 +290,20 @@ def renderings(blocks: list, rng: random.Random) -> tuple[list, np.ndarray]:
             s = rng.choice(pool)
             a = rng.randint(0, max(0, len(s) - 30))
             s = s[a : a + rng.randint(5, 400)].strip() or s
-            leaf = rng.choice((("p",), ("li",), ("div",), (), ("span",)))
+            leaf = rng.choice((("p",), ("li",), ("ul", "li"), ("div",), (), ("h2",), ("h3",), ("label",)))
             rows.append(((s, (*path, *leaf), len(s) if rng.random() < 0.5 else 0), 0))
         return rows
 
     rows = [r for _ in range(rng.randint(0, 3)) for r in side(False)]
     for (text, names, linked), label in zip(blocks, y, strict=True):
         if label:
-            leaf = tuple(n for n in names[-1:] if n in ("p", "h1", "h2", "h3", "li", "td", "blockquote", "pre"))
-            rows.append(((text, (*main, *(leaf or ("p",))), linked), 1))
+            leaf = names[-1:] if names and names[-1] in ("p", "h1") else ("p",)
+            if rng.random() < 0.3:  # lists, tables, quotes and short pieces belong to articles too
+                leaf = rng.choice((("ul", "li"), ("ol", "li"), ("h2",), ("h3",), ("blockquote",), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("div",), ("figure", "figcaption"), ("div", "p"), ()))
+                if rng.random() < 0.6:
+                    a = rng.randint(0, max(0, len(text) - 20))
+                    text = text[a : a + rng.randint(3, 60)].strip() or text
+            rows.append(((text, (*main, *leaf), linked if rng.random() < 0.8 else len(text) // 2), 1))
             if rng.random() < 0.03:
                 rows += side(True)
         else:
@@ -307,7 +312,7 @@ def renderings(blocks: list, rng: random.Random) -> tuple[list, np.ndarray]:
     return [r for r, _ in rows], np.array([l for _, l in rows], float)
 
 
-def train(pages: list[str], epochs: int = 3, copies: int = 3, batch: int = 32, seed: int = 0) -> BiLstm:
+def train(pages: list[str], steps: int = 250, copies: int = 4, batch: int = 32, seed: int = 0) -> BiLstm:
     """Learn from the pages as they are and in ``copies`` renderings."""
     model, rng, known = BiLstm(seed=seed), random.Random(seed), {}
     rows = []
@@ -318,14 +323,16 @@ def train(pages: list[str], epochs: int = 3, copies: int = 3, batch: int = 32, s
             rows += [renderings(b, rng) for _ in range(copies)]
     coded = [(encode(b, known, model.bits), y) for b, y in rows]
     state: dict = {}
-    for epoch in range(epochs):
+    done = 0
+    while coded and done < steps:
         rng.shuffle(coded)
         coded.sort(key=lambda r: len(r[1]) // 20)
         cuts = list(range(0, len(coded), batch))
         rng.shuffle(cuts)
         for at in cuts:
             part = coded[at : at + batch]
-            model.step([c for c, _ in part], [y for _, y in part], state, 0.02 / (1 + epoch))
+            model.step([c for c, _ in part], [y for _, y in part], state, 0.02 * max(0.1, 1 - done / steps))
+            done += 1
     return model
 
 
