@@ -232,7 +232,7 @@ def _settle(shingle: int, similarity: float):
 
 
 def near_duplicates(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 12, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 1000
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 12, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 4000
 ) -> DataFrame:
     """One row per document: doc_id, group_id (smallest doc_id of its group), n_copies (documents with the same words), n_links, kept.
 
