@@ -28,16 +28,20 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|select|title|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</\1\s*>|.*\Z)|\Z)"
+    r"|<(script|style|textarea|iframe|title|xmp|noembed|noframes)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</\1\s*>|.*\Z)|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|[^<]+|<",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 #: Inline elements, which do not end a block, and elements without content.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img "
+    "object canvas math mi mo mn ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle mpadded mphantom menclose semantics annotation "
+    "svg g text tspan textpath path circle ellipse rect line polyline polygon defs use symbol desc lineargradient radialgradient stop clippath mask pattern".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that an element of the same kind closes, and where the search for it ends.
@@ -50,22 +54,38 @@ _SIDE = frozenset(
 )
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, names on the path, characters inside links) of each leaf block with any text, in page order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
+def attributes(raw: str) -> dict[str, str]:
+    """Values of the attributes of a tag by their names in small letters; the first of a name counts."""
+    out: dict[str, str] = {}
+    for key, *values in _ATTRIBUTE.findall(raw):
+        out.setdefault(key.lower(), "".join(values))
+    return out
+
+
+def is_hidden(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether the markup hides an element; scripts and style sheets may show it all the same."""
+    return tag == "template" or "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(attrs.get("style", "")))
+
+
+def leaf_blocks(page: str, with_hidden: bool = False) -> list[tuple[str, tuple[str, ...], int, int]]:
+    """(text, names on the path, characters inside links, characters in hidden elements) of each leaf block with any text, in page order.
+
+    Text in hidden elements is left out unless ``with_hidden``.
+    """
+    out: list[tuple[str, tuple[str, ...], int, int]] = []
     path: list[tuple[str, tuple[str, ...], bool]] = []
     words: list[str] = []
-    linked = 0
+    linked = unseen = 0
     hidden = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, unseen
         if words:
             text = _SPACE.sub(" ", htmllib.unescape("".join(words))).strip()
             if text:
-                out.append((text, tuple(n for _, ns, _ in path for n in ns), linked))
+                out.append((text, tuple(n for _, ns, _ in path for n in ns), linked, unseen))
             words.clear()
-        linked = 0
+        linked = unseen = 0
 
     def close(at: int) -> None:
         nonlocal hidden
@@ -78,11 +98,13 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag is None:
             t = m.group()
             if not t.startswith("<") or t == "<":
-                if not hidden:
+                if with_hidden or not hidden:
                     words.append(t)
+                    if hidden:
+                        unseen += len(t)
                     if any(p[0] == "a" for p in path):
                         linked += len(t)
-            elif m.group(1) and m.group(1).lower() not in ("script", "style", "noscript", "template", "title"):
+            elif m.group(1) and m.group(1).lower() not in ("script", "style", "title"):
                 flush()
             continue
         tag = tag.lower()
@@ -113,13 +135,13 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         if not block and tag != "a":
             continue  # other inline elements say nothing about a block and are often left open
-        attrs = m.group(4)
+        attrs = attributes(m.group(4)) if m.group(4) else {}
         names = [tag]
-        for key, *values in _NAMED.findall(attrs) if attrs else ():
-            for n in "".join(values).lower().split():
+        for key in ("class", "id", "role"):
+            for n in attrs.get(key, "").lower().split():
                 names.append(n)
                 names += [x for x in re.split(r"[-_0-9]+", n) if x and x != n]
-        hid = bool(attrs and _HIDDEN.search(attrs))
+        hid = is_hidden(tag, attrs)
         hidden += hid
         path.append((tag, tuple(names) if block else (), hid))
     flush()
@@ -134,10 +156,10 @@ def rule_label(names: tuple[str, ...]) -> int:
     return int(not any(n in _SIDE for n in names))
 
 
-_FIGURES = 6
+_FIGURES = 7
 
 
-def encode(blocks: list[tuple[str, tuple[str, ...], int]], known: dict, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def encode(blocks: list[tuple[str, tuple[str, ...], int, int]], known: dict, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Path buckets, word buckets and figures of each block."""
     if len(known) > 300_000:
         known.clear()
@@ -150,7 +172,7 @@ def encode(blocks: list[tuple[str, tuple[str, ...], int]], known: dict, bits: in
 
     paths, texts = [], []
     figures = np.empty((len(blocks), _FIGURES))
-    for i, (text, names, linked) in enumerate(blocks):
+    for i, (text, names, linked, unseen) in enumerate(blocks):
         key = ("path", names)
         if key not in known:
             known[key] = np.array([bucket("n:", n) for n in names] + [bucket("leaf:", names[-1] if names else "")])
@@ -158,7 +180,7 @@ def encode(blocks: list[tuple[str, tuple[str, ...], int]], known: dict, bits: in
         w = text.lower().split()
         texts.append(np.array([bucket("w:", x) for x in w]))
         n = len(text)
-        figures[i] = (np.log1p(n) / 6, min(1.0, linked / n), len(w) / 50 if len(w) < 100 else 2, text[-1] in ".!?…:\"”", i / len(blocks), "©" in text or "|" in text)
+        figures[i] = (np.log1p(n) / 6, min(1.0, linked / n), len(w) / 50 if len(w) < 100 else 2, text[-1] in ".!?…:\"”", i / len(blocks), "©" in text or "|" in text, min(1.0, unseen / n))
     return paths, texts, figures
 
 
@@ -276,26 +298,28 @@ _PLAIN = ("wrap", "row", "col", "inner", "page", "box", "x1", "container")
 
 def renderings(blocks: list, rng: random.Random) -> tuple[list, np.ndarray]:
     """The blocks of a page with its parts renamed, wrapped and added to, and their labels."""
-    y = [rule_label(names) for _, names, _ in blocks]
+    y = [rule_label(names) for _, names, _, _ in blocks]
     tag, cls = rng.choice(_MAIN_FORMS)
     wrap = ["html", "body"] + [x for _ in range(rng.randint(0, 3)) for x in ("div", rng.choice(_PLAIN))]
     main = (*wrap, tag, *([cls, *cls.split("-")] if cls else []))
-    pool = [t for t, _, _ in blocks]
+    pool = [t for t, _, _, _ in blocks]
+    # markup may hide all of an article (behind a modal) or its rest from some block on (collapsed)
+    at = rng.random() * rng.choice((0, 1)) if rng.random() < 0.3 else 1.0
 
     def side(inside: bool) -> list:
         t, c = rng.choice(_SIDE_FORMS)
         path = (*(main if inside else wrap), t, *([c, *c.split("-")] if c else []))
-        rows = []
+        rows, hid = [], rng.random() < 0.3
         for _ in range(rng.randint(1, 5)):
             s = rng.choice(pool)
             a = rng.randint(0, max(0, len(s) - 30))
             s = s[a : a + rng.randint(5, 400)].strip() or s
             leaf = rng.choice((("p",), ("li",), ("ul", "li"), ("div",), (), ("h2",), ("h3",), ("label",)))
-            rows.append(((s, (*path, *leaf), len(s) if rng.random() < 0.5 else 0), 0))
+            rows.append(((s, (*path, *leaf), len(s) if rng.random() < 0.5 else 0, len(s) if hid else 0), 0))
         return rows
 
     rows = [r for _ in range(rng.randint(0, 3)) for r in side(False)]
-    for (text, names, linked), label in zip(blocks, y, strict=True):
+    for i, ((text, names, linked, unseen), label) in enumerate(zip(blocks, y, strict=True)):
         if label:
             leaf = names[-1:] if names and names[-1] in ("p", "h1") else ("p",)
             if rng.random() < 0.3:  # lists, tables, quotes and short pieces belong to articles too
@@ -303,11 +327,11 @@ def renderings(blocks: list, rng: random.Random) -> tuple[list, np.ndarray]:
                 if rng.random() < 0.6:
                     a = rng.randint(0, max(0, len(text) - 20))
                     text = text[a : a + rng.randint(3, 60)].strip() or text
-            rows.append(((text, (*main, *leaf), linked if rng.random() < 0.8 else len(text) // 2), 1))
+            rows.append(((text, (*main, *leaf), linked if rng.random() < 0.8 else len(text) // 2, len(text) if i >= at * len(blocks) else unseen), 1))
             if rng.random() < 0.03:
                 rows += side(True)
         else:
-            rows.append(((text, names, linked), 0))
+            rows.append(((text, names, linked, unseen), 0))
     rows += [r for _ in range(rng.randint(0, 4)) for r in side(rng.random() < 0.2)]
     return [r for r, _ in rows], np.array([l for _, l in rows], float)
 
@@ -317,9 +341,9 @@ def train(pages: list[str], steps: int = 250, copies: int = 4, batch: int = 32,
     model, rng, known = BiLstm(seed=seed), random.Random(seed), {}
     rows = []
     for p in pages:
-        b = leaf_blocks(p)
+        b = leaf_blocks(p, True)
         if b:
-            rows.append((b, np.array([rule_label(n) for _, n, _ in b], float)))
+            rows.append((b, np.array([rule_label(n) for _, n, _, _ in b], float)))
             rows += [renderings(b, rng) for _ in range(copies)]
     coded = [(encode(b, known, model.bits), y) for b, y in rows]
     state: dict = {}
@@ -339,6 +363,9 @@ def train(pages: list[str], steps: int = 250, copies: int = 4, batch: int = 32,
 def extract(pages: DataFrame, sample: int = 300, threshold: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars for every page.
 
+    Text that the markup hides is read like any other, with hiddenness as one of the
+    network's figures; only elements of raw text (scripts, style sheets, text fields,
+    frames, the title) and comments are skipped.
     Learns from the ``sample`` pages of least page_id hash. Null and empty html give
     empty text, as do pages without a block of main text; repeated rows give
     repeated results. Columns other than page_id, url and html are not read. The
@@ -350,7 +377,7 @@ def extract(pages: DataFrame, sample: int = 300, threshold: float = 0.5) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = sent.value, {}
         for batch in batches:
-            blocks = [leaf_blocks(h or "") for h in batch.column(2).to_pylist()]
+            blocks = [leaf_blocks(h or "", True) for h in batch.column(2).to_pylist()]
             texts = [""] * len(blocks)
             order = sorted((i for i, b in enumerate(blocks) if b), key=lambda i: len(blocks[i]))
             at = 0

@@ -35,6 +35,26 @@ def test_extract_keeps_the_article(spark, sf_dir):
     assert htmlextract.extract(pages.limit(0)).count() == 0
 
 
+def test_hidden_and_odd_elements_keep_their_text():
+    page = """<body><article><p title="the hidden cost">A<a title="A hidden gem" href=x>b</a></p><p class="x hidden md:block">C</p><p data-note='aria-hidden=true; display: none'>D</p>
+    <p>So <math><mi>x</mi></math> and <svg><text>y</text></svg></p><object>E</object><noscript>F</noscript><canvas>G<p>H<select><option>I<option>J<template>K<script>no</script><style-guide>L</body>"""
+    for with_hidden in (False, True):
+        got = " ".join(b[0] for b in htmlextract.leaf_blocks(page, with_hidden))
+        assert got.split() == "Ab C D So x and y E F G H I J".split() + (["K", "L"] if with_hidden else [])
+    blocks = htmlextract.leaf_blocks("<main aria-hidden=true><p>One</p></main><div hidden>Two</div><p style='color:red;display:none'>Six</p><p>Ten", True)
+    assert [(b[0], b[3]) for b in blocks] == [("One", 3), ("Two", 3), ("Six", 3), ("Ten", 0)]
+
+
+def test_extract_keeps_hidden_articles(spark, sf_dir):
+    pages = common.table(spark, sf_dir, "pages")
+    rest = "<p>The first part of the report is here.</p><div%s><p>The rest of it was collapsed by the page.</p><p>It ends with this sentence.</p></div>"
+    nav = '<html><body><nav><a href="/a">Home</a></nav>%s<footer>&copy; me</footer></body></html>'
+    forms = (nav % f"<article>{rest % ''}</article>", nav % f'<article aria-hidden="true">{rest % ""}</article>', nav % f"<article>{rest % ' style=display:none'}</article>", nav % f"<article hidden>{rest % ''}</article>")
+    more = spark.createDataFrame([(10**9 + i, "u", h) for i, h in enumerate(forms)], "page_id long, url string, html string")
+    got = {r.page_id - 10**9: r.text for r in htmlextract.extract(pages.unionByName(more)).collect() if r.page_id >= 10**9}
+    assert got == dict.fromkeys(range(4), "The first part of the report is here.\nThe rest of it was collapsed by the page.\nIt ends with this sentence.")
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
     docs = common.table(spark, sf, "documents")
