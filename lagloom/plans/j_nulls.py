@@ -89,6 +89,25 @@ def year_block_interval(spark, sf_dir):
     return b.groupBy("flag").agg(F.round(F.avg("m"), 4).alias("mean"), q.alias("q")).select("flag", "mean", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"))
 
 
+@query(ctes("panel_ship") + """, y AS (SELECT flag, t // 365 AS year, regr_slope(price, disc) AS slope FROM panel_ship GROUP BY 1, 2), z AS (SELECT flag, slope, row_number() OVER (PARTITION BY flag ORDER BY year) - 1 AS pos, count(*) OVER (PARTITION BY flag) AS n FROM y),
+ a AS (SELECT DISTINCT flag, n, r, k FROM z, range(1, 51) x(r), range(1000) w(k) WHERE k < n), b AS (SELECT a.flag, r, avg(z.slope) AS m FROM a JOIN z ON z.flag = a.flag AND z.pos = (r * 31 + k * 17 + r * k) % a.n GROUP BY 1, 2)
+ SELECT flag, max(years) AS years, round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM b JOIN (SELECT flag, count(*) AS years FROM y GROUP BY 1) USING (flag) GROUP BY 1""")
+def year_block_interval_all(spark, sf_dir):
+    """As year_block_interval, over all years that occur."""
+    return all_years_interval(panel_ship(spark, sf_dir))
+
+
+def all_years_interval(p):
+    """Interval of the yearly slopes' mean by flag: replicates draw as many years as occur, with replacement, from all of them."""
+    y = p.groupBy("flag", F.floor(F.col("t") / 365).alias("year")).agg(F.try_divide(F.covar_pop("price", "disc"), F.var_pop("disc")).alias("slope"))
+    y = y.withColumn("pos", F.row_number().over(Window.partitionBy("flag").orderBy("year")) - 1)  # one row per year
+    draw = y.groupBy("flag").agg(F.count("*").alias("years")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("years") - 1).cast("int"))))
+    draw = draw.withColumn("pos", ((F.col("r") * 31 + F.col("k") * 17 + F.col("r") * F.col("k")) % F.col("years")).cast("int"))
+    b = draw.join(y.hint("shuffle_hash"), ["flag", "pos"]).groupBy("flag", "years", "r").agg(F.avg("slope").alias("m"))
+    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
+    return b.groupBy("flag", "years").agg(F.round(F.avg("m"), 4).alias("mean"), q.alias("q")).select("flag", "years", "mean", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"))
+
+
 @query(ctes("panel") + ", m AS (SELECT max(t) + 1 AS n FROM panel) SELECT p.t, p.node, round(p.humidity - q.humidity, 9) AS placebo FROM panel p CROSS JOIN m JOIN panel q ON q.node = p.node AND q.t = (p.t - 52 + n) % n")
 def placebo_index(spark, sf_dir):
     p = panel(spark, sf_dir).select("t", "node", "humidity")
@@ -107,10 +126,15 @@ def period_graph_overlap(spark, sf_dir):
 
 @query(ctes("edges") + ", c AS (SELECT regime AS chain, lag AS metric, effect AS v, row_number() OVER (PARTITION BY regime, lag ORDER BY source_region, target_region, edge_type) AS draw FROM edges), h AS (SELECT metric, chain, draw <= 150 AS half, avg(v) AS m, var_samp(v) AS s, count(*) AS n FROM c GROUP BY 1, 2, 3) SELECT metric, round(sqrt(((any_value(n) - 1) / any_value(n)::DOUBLE * avg(s) + var_samp(m)) / avg(s)), 8) AS split_rhat FROM h GROUP BY 1")
 def split_r_hat(spark, sf_dir):
-    w = Window.partitionBy("regime", "lag").orderBy("source_region", "target_region", "edge_type")
-    c = edges(spark, sf_dir).withColumn("half", F.row_number().over(w) <= 150)
+    return split_chains(edges(spark, sf_dir))
+
+
+def split_chains(e):
+    """R-hat by lag of the effects' chains (regimes), each cut at half of its own draws."""
+    w = Window.partitionBy("regime", "lag")
+    c = e.withColumn("half", 2 * F.row_number().over(w.orderBy("source_region", "target_region", "edge_type")) <= F.count("*").over(w) + 1)
     h = c.groupBy(F.col("lag").alias("metric"), "regime", "half").agg(F.avg("effect").alias("m"), F.var_samp("effect").alias("s"), F.count("*").alias("n"))
-    return h.groupBy("metric").agg(F.round(F.sqrt(((F.first("n") - 1) / F.first("n") * F.avg("s") + F.var_samp("m")) / F.avg("s")), 8).alias("split_rhat"))
+    return h.groupBy("metric").agg(F.round(F.sqrt(((F.avg("n") - 1) / F.avg("n") * F.avg("s") + F.var_samp("m")) / F.avg("s")), 8).alias("split_rhat"))
 
 
 @query()
