@@ -137,6 +137,46 @@ def fixed_width_crosscheck(spark, sf_dir):
     return f.join(back, "ts", "full").agg(F.count("*").alias("n"), F.round(F.max(d), 10).alias("worst"), F.count_if(d > 0.0004).alias("off"))
 
 
+_RAW_ALL = """raw AS (SELECT node, t, ts, CASE WHEN t % 11 = 0 THEN 'NA' WHEN t % 7 = 0 THEN '-999.0' ELSE CAST(CAST(n AS DOUBLE) / 4 AS VARCHAR) END AS s FROM panel_orders)"""
+
+
+def _raw_all(spark, sf_dir):
+    p = panel_orders(spark, sf_dir)
+    return p.select("node", "t", "ts", F.when(F.col("t") % 11 == 0, "NA").when(F.col("t") % 7 == 0, "-999.0").otherwise((F.col("n") / 4).cast("string")).alias("s"))
+
+
+@query(ctes("panel_orders") + f", {_RAW_ALL} SELECT node, ts, TRY_CAST(CASE WHEN s = '-999.0' THEN NULL ELSE s END AS DOUBLE) AS value, CASE WHEN s = '-999.0' THEN 'sentinel' WHEN TRY_CAST(s AS DOUBLE) IS NULL THEN 'missing' ELSE 'ok' END AS status FROM raw")
+def index_parse_all(spark, sf_dir):
+    """As index_parse, for every node."""
+    v = F.expr("try_cast(s AS double)")
+    return _raw_all(spark, sf_dir).select("node", "ts", F.when(v != -999.0, v).alias("value"), F.when(v == -999.0, "sentinel").when(v.isNull(), "missing").otherwise("ok").alias("status"))
+
+
+@query(ctes("panel_orders") + f", {_RAW_ALL}, e AS (SELECT node, CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS ts FROM (SELECT DISTINCT node FROM raw)) SELECT coalesce(r.node, e.node) AS node, count(r.ts) AS n_rows, count(DISTINCT r.ts) AS n_dates, count(*) FILTER (r.ts IS NULL) AS missing, count(*) FILTER (e.ts IS NULL) AS unexpected, count(*) FILTER (TRY_CAST(r.s AS DOUBLE) < 0) AS below_range FROM raw r FULL JOIN e ON r.node = e.node AND r.ts = e.ts GROUP BY 1")
+def index_profile_all(spark, sf_dir):
+    """As index_profile, by node."""
+    return profile_nodes(_raw_all(spark, sf_dir))
+
+
+def profile_nodes(raw, first: str = "1995-01-01", last: str = "2001-12-01"):
+    """Rows, dates and gaps of each node against the months ``first`` to ``last``; months outside are counted as unexpected."""
+    r = raw.select("node", "ts", F.expr("try_cast(s AS double)").alias("v"), F.lit(True).alias("given"))
+    e = raw.select("node").distinct().select("node", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("ts"), F.lit(True).alias("expected"))
+    return r.join(e, ["node", "ts"], "full").groupBy("node").agg(
+        F.count("given").alias("n_rows"), F.count_distinct(F.when(F.col("given"), F.col("ts"))).alias("n_dates"), F.count_if(F.col("given").isNull()).alias("missing"), F.count_if(F.col("expected").isNull()).alias("unexpected"), F.count_if(F.col("v") < 0).alias("below_range")
+    )
+
+
+@query(ctes("panel_orders") + ", f AS (SELECT node, CAST(n AS DOUBLE) / 8 AS v FROM panel_orders) SELECT node, count(*) AS n, round(max(abs(v - round(v, 3))), 10) AS worst, count(*) FILTER (abs(v - round(v, 3)) > 0.0004) AS off FROM f GROUP BY 1")
+def fixed_width_crosscheck_all(spark, sf_dir):
+    """As fixed_width_crosscheck, by node."""
+    f = panel_orders(spark, sf_dir).select("node", "ts", (F.col("n") / 8).alias("v"))
+    line = F.format_string("%4d%3d%3d%9.3f", F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.round("v", 3))
+    back = f.select("node", line.alias("line")).select("node", F.make_date(F.expr("int(trim(substring(line, 1, 4)))"), F.expr("int(trim(substring(line, 5, 3)))"), F.expr("int(trim(substring(line, 8, 3)))")).alias("ts"), F.expr("try_cast(trim(substring(line, 11, 9)) AS double)").alias("w"))
+    d = F.abs(F.col("v") - F.col("w"))
+    return f.join(back, ["node", "ts"], "full").groupBy("node").agg(F.count("*").alias("n"), F.round(F.max(d), 10).alias("worst"), F.count_if(d > 0.0004).alias("off"))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 256 BETWEEN 10 AND 250 AND l_partkey % 256 <> 200 THEN round(l_partkey % 256 * 0.4 + 2.5, 8) END AS value FROM lineitem")
 def packed_decode(spark, sf_dir):
     raw = F.col("l_partkey") % 256
@@ -165,6 +205,12 @@ def grid_flatten(spark, sf_dir):
 
 @query(ctes("panel_orders") + ", e AS (SELECT m.t, n.node FROM (SELECT unnest(range(0, 80)) AS t) m CROSS JOIN (SELECT DISTINCT node FROM panel_orders) n) SELECT e.node, count(p.t) AS present, count(*) - count(p.t) AS absent FROM e LEFT JOIN panel_orders p ON p.t = e.t AND p.node = e.node GROUP BY 1")
 def coverage_proof(spark, sf_dir):
-    p = panel_orders(spark, sf_dir).select("t", "node", F.lit(1).alias("here"))
-    e = p.select("node").distinct().withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79).cast("long"))))
+    return coverage(panel_orders(spark, sf_dir))
+
+
+def coverage(p):
+    """Months present and absent by node, from the first to the last month of all nodes."""
+    p = p.select("t", "node", F.lit(1).alias("here"))
+    ends = p.agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    e = p.select("node").distinct().crossJoin(F.broadcast(ends)).select("node", F.explode(F.sequence("low", "high")).alias("t"))  # one row
     return e.join(p, ["t", "node"], "left").groupBy("node").agg(F.count("here").alias("present"), (F.count("*") - F.count("here")).alias("absent"))

@@ -3,7 +3,7 @@
 import pytest
 
 from lagloom import registry
-from lagloom.plans import j_nulls
+from lagloom.plans import a_sources, j_nulls
 
 
 def test_every_year_is_drawn(spark, sf_dir):
@@ -23,3 +23,13 @@ def test_chains_are_cut_at_half_of_their_draws(spark, n):
     var = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / (len(v) - 1)
     within, size = sum(var(h) for h in halves) / 4, n / 2
     assert got[0].split_rhat == pytest.approx((((size - 1) / size * within + var(means)) / within) ** 0.5, abs=1e-7)
+
+
+def test_coverage_counts_months_after_the_first_eighty(spark):
+    p = spark.createDataFrame([(0, 1), (90, 1), (91, 2)], "t long, node long")
+    assert sorted(tuple(r) for r in a_sources.coverage(p).select("node", "present", "absent").collect()) == [(1, 2, 90), (2, 1, 91)]
+
+
+@pytest.mark.parametrize("name", ["index_parse_all", "index_profile_all", "fixed_width_crosscheck_all"])
+def test_every_node_is_read(spark, sf_dir, name):
+    assert {r.node for r in registry.queries()[name](spark, sf_dir).select("node").distinct().collect()} == set(range(25))
