@@ -1,7 +1,7 @@
 """Exact top-k by inner product with a vector-approximation file.
 
-Each vector's components become integers floor(256 x); the approximation keeps one
-cell number per component. Scanning the cells bounds every score from both sides:
+Each vector's components become integers floor(256 x), held as doubles, which are
+exact for them; the approximation keeps one cell number per component. Scanning the cells bounds every score from both sides:
 what lies below the k-th best lower bound can't be among the best. The exact vectors
 of the rest are read in the order of their upper bounds until the k-th best score
 beats the next bound.
@@ -26,6 +26,7 @@ from lagloom.llm.vectors import blocks, finite
 def cell_edges(sample: np.ndarray, bits: int) -> np.ndarray:
     """Inner edges of 2**bits cells per component, as quantiles of a sample."""
     q = np.linspace(0, 1, (1 << bits) + 1)[1:-1]
+    sample = np.clip(sample, -(2.0**900), 2.0**900)  # differences of quantiles stay finite
     return np.ceil(np.quantile(sample, q, axis=0)).T if len(sample) else np.zeros((0, (1 << bits) - 1))
 
 
@@ -40,18 +41,29 @@ def approximate(x: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def bounds(q: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the scores of all queries with all approximations."""
+    """Lower and upper bounds of the scores of all queries with all approximations.
+
+    Sums of integers that stay below 2**53 are exact; others are widened by their
+    rounding error, and what overflows has no bound.
+    """
     d = np.arange(codes.shape[1])
     lo, hi = low[d, codes], high[d, codes]
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    return up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        lower, upper = up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
+        most = np.maximum(np.abs(lo), np.abs(hi))
+        if len(q) and len(codes) and np.abs(q).max() * most.max() * len(d) >= 2.0**53:
+            slack = (2 * len(d) + 4) * 2.0**-52 * (np.abs(q) @ most.T)
+            lower, upper = lower - slack, upper + slack
+            lower[~np.isfinite(lower)], upper[~np.isfinite(upper)] = -np.inf, np.inf
+    return lower, upper
 
 
 def _codes(edges: np.ndarray, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, ids, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                codes, low, high = approximate(np.frombuffer(raw, "<i4").reshape(-1, dim).astype(np.float64), edges)
+                codes, low, high = approximate(np.frombuffer(raw, "<f8").reshape(-1, dim).astype(np.float64), edges)
                 cols = [pa.array([key]), pa.array([ids], pa.list_(pa.int64())), *(pa.array([b.tobytes()], pa.binary()) for b in (codes, low, high))]
                 yield pa.RecordBatch.from_arrays(cols, ["block", "ids", "codes", "low", "high"])
 
@@ -62,12 +74,14 @@ def _scan(dim: int, need: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q = np.frombuffer(r["q_raw"], "<i4").reshape(-1, dim).astype(np.float64)
+                q = np.frombuffer(r["q_raw"], "<f8").reshape(-1, dim).astype(np.float64)
                 qid, ids = np.array(r["q_ids"], np.int64), np.array(r["ids"], np.int64)
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, dim)
                 low, high = np.frombuffer(r["low"]).reshape(dim, -1), np.frombuffer(r["high"]).reshape(dim, -1)
                 for at in range(0, len(q), 256):
                     lo, hi = bounds(q[at : at + 256], codes, low, high)
+                    # a score that may not fit a long can't push others out
+                    lo = np.where((lo < -_LONG) | (hi >= _LONG), -np.inf, lo)
                     k = min(need, lo.shape[1])
                     least = np.partition(lo, lo.shape[1] - k, axis=1)[:, lo.shape[1] - k]
                     i, j = np.nonzero(hi >= least[:, None])
@@ -76,9 +90,13 @@ def _scan(dim: int, need: int):
     return run
 
 
+#: Scores are longs: at least -_LONG and below _LONG.
+_LONG = 2.0**63
+
+
 def _read_best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best = None, []
+        at, best, ints = None, [], []
 
         def out() -> pa.RecordBatch:
             n = len(best)
@@ -92,10 +110,12 @@ def _read_best(k: int):
                 if qid != at:
                     if best:
                         yield out()
-                    at, best = qid, []
+                    at, best, ints = qid, [], [int(a) for a in q]
                 if len(best) == k and upper < -best[-1][0]:
                     continue  # certain: neither this nor any later one can enter
-                score = sum(a * b for a, b in zip(q, x, strict=True))
+                score = sum(a * int(b) for a, b in zip(ints, x, strict=True))
+                if not -(2**63) <= score < 2**63:
+                    continue
                 best = sorted({*best, *((-score, i) for i in ids if i != qid)})[:k]
         if best:
             yield out()
@@ -106,16 +126,22 @@ def _read_best(k: int):
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, bits: int = 6, sample: int = 4096, query_block: int = 1024, row_block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query (vec_id divisible by ``every``), ties to the smaller vec_id.
 
-    Vectors that are null, hold null or non-finite components or a component of
-    2**23 and more take no part, nor do rows without vec_id; vectors of different
-    length don't meet. Repeated rows count once; a vec_id with several vectors
+    Vectors that are null or hold null or non-finite components take no part, nor do
+    rows without vec_id, nor pairs whose score does not fit a long; vectors of
+    different length don't meet. (In a column of doubles, a component counts as
+    non-finite if 256 times it is.) Repeated rows count once; a vec_id with several vectors
     is a query with its least one and a candidate with each of them. With fewer than
     k other rows all of them are returned, with none no row. Cells are fitted on the
     ``sample`` vectors of least id hash, which affects only speed.
     """
     x = F.col("embedding")
-    ok = F.col("vec_id").isNotNull() & finite("embedding") & F.forall(x, lambda v: F.abs(v) < 2**23)
-    ints = F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("int"))
+    ok = F.col("vec_id").isNotNull() & finite("embedding") & F.forall(x, lambda v: F.abs(v.cast("double") * 256) < F.lit(float("inf")))
+
+    def floored(v):
+        y = v.cast("double") * 256
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)  # doubles beyond are integers
+
+    ints = F.transform(x, floored)
     rows = vectors.filter(ok).select("vec_id", ints.alias("vector")).withColumn("dim", F.size("vector"))
     keyed = rows.withColumns({"k1": F.xxhash64("vector"), "k2": F.xxhash64(F.reverse("vector"), F.lit(1))})
     by_class = Window.partitionBy("k1", "k2", "dim").orderBy("vec_id")
@@ -142,9 +168,9 @@ def _search(cls: DataFrame, queries: DataFrame, dim: int, n: int, k: int, bits:
     n_rows, n_queries = n // row_block + 1, queries.count() // query_block + 1
     deal = lambda df, parts: df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(parts, "block").sortWithinPartitions("block")
     one = F.lit(1).cast("long").alias("copies")
-    row_blocks = blocks(deal(cls.select("id", one, "vector"), n_rows), "block", "<i4").select("key", "ids", "raw")
+    row_blocks = blocks(deal(cls.select("id", one, "vector"), n_rows), "block", "<f8").select("key", "ids", "raw")
     codes = stage(row_blocks.mapInArrow(_codes(edges, dim), "block long, ids array<long>, codes binary, low binary, high binary"), "cells")
-    query_blocks = blocks(deal(queries.select(F.col("vec_id").alias("id"), one, "vector"), n_queries), "block", "<i4")
+    query_blocks = blocks(deal(queries.select(F.col("vec_id").alias("id"), one, "vector"), n_queries), "block", "<f8")
     asked = query_blocks.select(F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("block"))
     bound = (
         asked.repartition(n_rows * n_queries, F.col("block"), F.col("q_ids")[0]).join(codes.hint("shuffle_merge"), "block")

@@ -69,6 +69,24 @@ def test_top_k_equals_brute_force(rows, table):
     assert sorted(tuple(r) for r in vafile.top_k(table, bits=2).collect()) == got
 
 
+def test_top_k_of_large_components(spark, rows):
+    d = len(rows[0][1])
+    rng = np.random.default_rng(1)
+    large = [(i, v) for i, v in rows if i < 120]
+    large += [(2000 + i, [float(np.float32(x)) for x in rng.normal(0, 10.0 ** rng.integers(3, 9), d)]) for i in range(60)]
+    large += [(3000, [1e30] * d), (3001, [3e38] + [-3e38] * (d - 1)), (3050, [1e30] + [0.0] * (d - 1)), (3100, [0.0] * (d - 1) + [2.0**23]), (3150, [1e18] + [1.0] * (d - 1))]
+    large += [(4000 + i, [1e30] + [0.5] * (d - 1)) for i in range(20)]
+    q = [(i, [math.floor(float(np.float32(x)) * 256) for x in v]) for i, v in large]
+    want = []
+    for i, x in q:
+        if i % 50 == 0:
+            scores = [(-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in q if j != i]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(sorted(p for p in scores if -(2**63) <= -p[0] < 2**63)[:5], 1)]
+    got = vafile.top_k(spark.createDataFrame(large, "vec_id long, embedding array<float>"), query_block=4, row_block=60)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert {3050, 3100, 3150} <= {w[0] for w in want} and any(w[2] >= 2000 for w in want)
+
+
 def test_small_tables(spark):
     one = spark.createDataFrame([(50, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert vafile.top_k(one).count() == 0 and vafile.top_k(one.limit(0)).count() == 0
