@@ -37,11 +37,16 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group, the one of smallest doc_id; documents without doc_id stay."""
-    docs = _documents(docs)
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").join(kept.hint("shuffle_merge"), "doc_id").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+    """Keep one row of each near-duplicate group, the one of smallest doc_id.
+
+    Rows have numbers of their own, in the order of doc_id with null at the end, so rows
+    that share a doc_id but not their text stay apart, and rows without doc_id are
+    compared too.
+    """
+    ordered = _documents(docs).orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    rows = stage(ordered.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    kept = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("row"))
+    return rows.join(kept.hint("shuffle_merge"), "row").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

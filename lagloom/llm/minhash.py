@@ -234,12 +234,11 @@ def _settle(shingle: int, similarity: float):
 def near_duplicates(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 12, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 4000
 ) -> DataFrame:
-    """One row per document: doc_id, group_id (smallest doc_id of its group), n_copies (documents with the same words), n_links, kept.
+    """One row per document: doc_id, group_id (smallest doc_id of its group), n_copies (documents with the same words), kept.
 
-    n_links counts the links found to documents with other words that served as, or
-    met, a pivot; links inside a joined component aren't all enumerated. A document
-    whose text is null or has no word links with nothing, nor does one without
-    doc_id: it is its own group (group_id null without doc_id) and is kept. Rows
+    Links inside a joined component aren't all enumerated, so there is no count of
+    them. A document whose text is null or has no word links with nothing, nor does
+    one without doc_id: it is its own group (group_id null without doc_id) and is kept. Rows
     that repeat a doc_id stay as they are, with the group of the least words hash.
     Texts shorter than a shingle link with equal texts only. Other columns are not
     read.
@@ -309,23 +308,21 @@ def near_duplicates(
         active = stage(live.join(out.hint("shuffle_merge"), ["bucket", "rep"], "left_anti"), "buckets")
         first = False
     if links is None:
-        joined = same.select("same", "n_copies", F.col("rep").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+        joined = same.select("same", "n_copies", F.col("rep").alias("group_id"))
     else:
         comp = components(links).withColumnRenamed("component", "group_id")
-        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
         joined = (
-            same.join(comp.hint("shuffle_merge"), same.rep == comp.id, "left").drop("id")
-            .join(degree.hint("shuffle_merge"), F.col("rep") == F.col("id"), "left")
-            .select("same", "n_copies", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+            same.join(comp.hint("shuffle_merge"), same.rep == comp.id, "left")
+            .select("same", "n_copies", F.coalesce("group_id", "rep").alias("group_id"))
         )
     of_doc = (
         base.select("doc_id", "same").join(joined.hint("shuffle_merge"), "same")
-        .groupBy("doc_id").agg(F.min(F.struct("same", "group_id", "n_copies", "n_links")).alias("g"))
+        .groupBy("doc_id").agg(F.min(F.struct("same", "group_id", "n_copies")).alias("g"))
     )
     return (
         docs.select("doc_id").join(of_doc.hint("shuffle_merge"), "doc_id", "left")
         .select(
             "doc_id", F.coalesce("g.group_id", "doc_id").alias("group_id"), F.coalesce("g.n_copies", F.lit(1)).alias("n_copies"),
-            F.coalesce("g.n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("g.group_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+            F.coalesce(F.col("g.group_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
         )
     )

@@ -86,6 +86,15 @@ def test_pipeline_handles_empty_and_odd_rows(spark):
         assert f(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
 
 
+def test_near_dedup_keeps_every_clean_text(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(7, a), (7, b), (7, b), (3, a + " more"), (None, c), (None, c), (None, b + " more"), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.minhash_near_dedup(spark, docs, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(3, a + " more"), (7, b), (0, c), (9, ""), (9, "")])
+    assert "n_links" not in minhash.near_duplicates(docs).columns
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_is_registered(n):
     assert len([q for q in queries.queries() if q.startswith(f"op{n}_")]) == 1
