@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagloom.operators.lineage import cut
+
 
 def bh(df: DataFrame, group: list[str], p: str = "p_value", q: str = "q_value", alpha: float | None = 0.05, invalid: str = "leave") -> DataFrame:
     """q per group. Null or non-finite p leave the family with q = 1 (``leave``) or stay in it as p = 1 (``keep``)."""
@@ -18,3 +20,24 @@ def bh(df: DataFrame, group: list[str], p: str = "p_value", q: str = "q_value",
     down = Window.partitionBy(*g).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn(q, F.coalesce(F.least(F.min("_x").over(down), F.lit(1.0)), F.lit(1.0))).drop("_p", "_r", "_x")
     return df if alpha is None else df.withColumn("significant", F.col(q) < alpha)
+
+
+def bh_large(df: DataFrame, p: str = "p_value", q: str = "q_value") -> DataFrame:
+    """q over one family of any size; null or non-finite p leave it with q = 1.
+
+    Rows are dealt by ranges of p, so equal values stay together; ranks and running
+    minima of a range are completed by those of the others, one row per range.
+    """
+    ok = F.col(p).isNotNull() & ~F.isnan(p)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut(df.withColumn("_p", F.when(ok, F.col(p))).repartitionByRange(parts, F.col("_p").asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
+    size = d.groupBy("_part").agg(F.count("_p").alias("_n"))
+    order = Window.orderBy("_part")  # one row per range
+    size = size.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))
+    r = d.join(F.broadcast(size.select("_part", "_before", "_all")), "_part")
+    r = r.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(F.col("_p").asc_nulls_last())) + F.col("_before")).withColumn("_x", F.col("_p") * F.col("_all") / F.col("_r"))
+    later = r.groupBy("_part").agg(F.min("_x").alias("_m"))
+    later = later.select("_part", F.min("_m").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    down = Window.partitionBy("_part").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.join(F.broadcast(later), "_part").withColumn("_q", F.least(F.min("_x").over(down), F.coalesce("_later", F.lit(1.0)), F.lit(1.0)))
+    return r.withColumn(q, F.when(F.col("_p").isNotNull(), F.col("_q")).otherwise(1.0)).drop("_p", "_part", "_before", "_all", "_r", "_x", "_later", "_q")

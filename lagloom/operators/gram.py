@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +38,8 @@ def _solve(g: np.ndarray, tol: float = 1e-12) -> tuple:
     return float(zss), float(zy), float(rss), len(keep), gz.tolist(), gy.tolist()
 
 
-@F.pandas_udf(_SOLVED, F.PandasUDFType.SCALAR)
-def _residualise(flat):
-    import pandas as pd
-
+@F.pandas_udf(_SOLVED)
+def _residualise(flat: pd.Series) -> pd.DataFrame:
     rows = []
     for v in flat:
         k = int(round((math.sqrt(8 * len(v) + 1) - 1) / 2))
@@ -69,7 +68,7 @@ def scores(rows: DataFrame, fits: DataFrame, keys: list[str], controls: list[str
     """Rows with residuals zr and e and the score zr * e of the tested slope."""
     cols = [F.lit(1.0), *[F.col(c) for c in controls]]
     part = lambda name: sum((c * F.col(name)[i] for i, c in enumerate(cols)), F.lit(0.0))
-    r = rows.join(fits.select(*keys, "gz", "gy", "beta", "zss", "n", "df"), keys)
+    r = rows.join(fits.select(*keys, "gz", "gy", "beta", "zss", "n", "df").hint("shuffle_merge"), keys)
     r = r.withColumn("zr", F.col(z) - part("gz")).withColumn("e", F.col(y) - part("gy") - F.col("zr") * F.col("beta"))
     return r.withColumn("score", F.col("zr") * F.col("e")).drop("gz", "gy")
 
@@ -94,7 +93,7 @@ def hac(rows: DataFrame, keys: list[str], controls: list[str], bandwidth: int, z
     """fit() with the HAC standard error se_hac; t is the calendar step of a row."""
     f = fit(rows, keys, controls, z, y)
     meat = bartlett(scores(rows, f, keys, controls, z, y), keys, bandwidth)
-    return f.join(meat, keys).withColumn("se_hac", F.sqrt(F.col("meat") * F.col("n") / F.col("df")) / F.col("zss"))
+    return f.join(meat.hint("shuffle_merge"), keys).withColumn("se_hac", F.sqrt(F.col("meat") * F.col("n") / F.col("df")) / F.col("zss"))
 
 
 def clusters(scored: DataFrame, keys: list[str], length: int, t: str = "t") -> DataFrame:

@@ -1,15 +1,54 @@
-"""Cutting lineage of iterative jobs."""
+"""Cutting lineage of iterative jobs, and derived tables that several queries read."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+_stored: dict[tuple, tuple[str, object]] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a session of one machine gets a temporary one; on a cluster that is an error."""
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", "") or _own.get(sc.applicationId, "")
+    if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        d = _own[sc.applicationId] = tempfile.mkdtemp(prefix="lagloom-shared-")
+    return d
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lagloom-checkpoint-"))
+    """Checkpoint in the shared folder."""
+    jsc = df.sparkSession.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def _state(spark: SparkSession, path: str) -> tuple | None:
+    """Bytes and time of change of a file or folder, None without it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()) if fs.exists(p) else None
+
+
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the file ``source``: written to the shared folder by the first query of an application that needs it, read back by all.
+
+    It is made anew when the source has changed or the table is gone.
+    """
+    key = (spark.sparkContext.applicationId, name, source, _state(spark, source))
+    if key in _stored and _state(spark, _stored[key][0]) is not None:
+        path, schema = _stored[key]
+    else:
+        df = make()
+        path, schema = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", df.schema
+        df.write.parquet(path)
+        _stored[key] = (path, schema)
+    return spark.read.schema(schema).parquet(path)

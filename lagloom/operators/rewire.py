@@ -2,38 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.operators.lineage import cut
+from lagloom.operators.spatial import haversine, stratum
 
+KERNELS = {"global": 2, "near": 2, "cycle": 3}
 
-def rewire(graphs: DataFrame, strata: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
-    """graphs: rep, type, a, b (distinct); strata: a, b, stratum of every allowed pair. Returns the graphs after ``rounds`` rounds.
 
-    In a round the edges of a (rep, type) are dealt into pairs by hash. A pair swaps
-    its targets if both new edges are allowed, absent, proposed by no other pair, and
-    have the same strata as the two old ones. In- and out-degrees by type and the
-    counts by stratum hold exactly; a round is one shuffle by (rep, type) and a few joins.
+def located(graphs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges rep, type, a, b with the places of both ends and the distance stratum s."""
+    at = lambda n: nodes.select(F.col("node").alias(n), F.col("lat").alias("y" + n), F.col("lon").alias("x" + n))
+    g = graphs.select("rep", "type", "a", "b").distinct().join(at("a").hint("shuffle_merge"), "a").join(at("b").hint("shuffle_merge"), "b")
+    return g.withColumn("s", stratum(haversine(F.col("ya"), F.col("xa"), F.col("yb"), F.col("xb")))).select("rep", "type", "a", "b", "ya", "xa", "yb", "xb", "s")
+
+
+def rewire(graphs: DataFrame, nodes: DataFrame, kernels: list[str], seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The graphs after one round per kernel, and what became of the moves: step, kernel, rep, type, code, n.
+
+    graphs: rep, type, a, b; nodes: node, lat, lon. In a round the edges of a (rep,
+    type) are dealt by hash into groups of two (``global``; ``near``: of one part of
+    the map) or three (``cycle``). A group hands its targets on in a ring unless a new
+    edge would be a loop (``loop``), be there already (``present``), be proposed twice
+    (``clash``), or the counts by distance stratum would change (``distance``). In- and
+    out-degrees by type and the counts by stratum hold exactly. Groups are formed by
+    hash, so no window holds all edges of a type.
     """
-    g = graphs.select("rep", "type", "a", "b").join(strata, ["a", "b"])
     key = ["rep", "type"]
-    for k in range(rounds):
-        luck = F.xxhash64("rep", "type", "a", "b", F.lit(seed + k))
-        r = g.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(luck, "a", "b")))
-        one = r.filter("r % 2 = 1").select(*key, F.expr("(r + 1) div 2").alias("i"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("stratum").alias("s1"))
-        two = r.filter("r % 2 = 0").select(*key, F.expr("r div 2").alias("i"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("stratum").alias("s2"))
-        p = one.join(two, [*key, "i"]).filter("a1 <> a2 and b1 <> b2")
-        p = p.join(strata.select(F.col("a").alias("a1"), F.col("b").alias("b2"), F.col("stratum").alias("t1")), ["a1", "b2"])
-        p = p.join(strata.select(F.col("a").alias("a2"), F.col("b").alias("b1"), F.col("stratum").alias("t2")), ["a2", "b1"])
-        p = p.filter("(s1 = t1 and s2 = t2) or (s1 = t2 and s2 = t1)")
-        new = F.explode(F.array(F.struct(F.col("a1").alias("a"), F.col("b2").alias("b"), F.col("t1").alias("stratum")), F.struct(F.col("a2").alias("a"), F.col("b1").alias("b"), F.col("t2").alias("stratum"))))
-        made = p.select(*key, "i", new.alias("e")).select(*key, "i", "e.*")
-        taken = made.join(g.select(*key, "a", "b"), [*key, "a", "b"], "left_semi").select(*key, "i")
-        twice = made.withColumn("c", F.count("*").over(Window.partitionBy(*key, "a", "b"))).filter("c > 1").select(*key, "i")
-        good = made.join(taken.union(twice).distinct(), [*key, "i"], "left_anti")
-        old = F.explode(F.array(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b"))))
-        gone = p.join(good.select(*key, "i").distinct(), [*key, "i"], "left_semi").select(*key, old.alias("e")).select(*key, "e.*")
-        g = g.join(gone, [*key, "a", "b"], "left_anti").select(*key, "a", "b", "stratum").unionByName(good.select(*key, "a", "b", "stratum"))
-        g = cut(g)
-    return g
+    g, log = cut(located(graphs, nodes)), None
+    for step, kernel in enumerate(kernels):
+        m = KERNELS[kernel]
+        part = F.xxhash64(F.floor(F.col("ya") / 30), F.floor(F.col("xa") / 45)) if kernel == "near" else F.lit(0).cast("long")
+        here = g.withColumn("part", part)
+        n = here.groupBy(*key, "part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / m)).alias("groups"))
+        luck = F.xxhash64("rep", "type", "a", "b", F.lit(seed), F.lit(step))
+        dealt = here.join(n.hint("shuffle_merge"), [*key, "part"]).withColumn("i", F.pmod(luck, F.col("groups")))
+        one = F.struct(F.xxhash64(luck, F.lit(7)).alias("r"), "a", "b", "ya", "xa", "yb", "xb", "s")
+        moves = dealt.groupBy(*key, "part", "i").agg(F.sort_array(F.collect_list(one)).alias("old")).filter(F.size("old") >= m).withColumn("old", F.slice("old", 1, m))
+
+        def turned(j, m=m):
+            e, f = F.col("old")[j], F.col("old")[(j + 1) % m]
+            s = stratum(haversine(e["ya"], e["xa"], f["yb"], f["xb"]))
+            return F.struct(e["a"].alias("a"), f["b"].alias("b"), e["ya"].alias("ya"), e["xa"].alias("xa"), f["yb"].alias("yb"), f["xb"].alias("xb"), s.alias("s"))
+
+        moves = moves.withColumn("new", F.array(*[turned(j) for j in range(m)]))
+        strata = lambda c: F.array_sort(F.transform(c, lambda e: e["s"]))
+        code = F.when(F.exists("new", lambda e: e["a"] == e["b"]), "loop").when(strata("new") != strata("old"), "distance")
+        moves = cut(moves.withColumn("code", code))
+        ids = [*key, "part", "i"]
+        made = moves.filter("code is null").select(*ids, F.explode("new").alias("e")).select(*ids, "e.*")
+        taken = made.join(g.select(*key, "a", "b").hint("shuffle_merge"), [*key, "a", "b"], "left_semi").select(*ids, F.lit("present").alias("bad"))
+        twice = made.groupBy(*key, "a", "b").agg(F.collect_list(F.struct("part", "i")).alias("w")).filter(F.size("w") > 1)
+        twice = twice.select(*key, F.explode("w").alias("w")).select(*key, "w.*", F.lit("clash").alias("bad"))
+        failed = taken.unionByName(twice).groupBy(*ids).agg(F.max("bad").alias("bad"))
+        moves = cut(moves.join(failed.hint("shuffle_merge"), ids, "left").withColumn("code", F.coalesce("code", "bad", F.lit("moved"))).drop("bad"))
+        went = moves.filter("code = 'moved'")
+        gone = went.select(*key, F.explode("old").alias("e")).select(*key, "e.a", "e.b")
+        came = went.select(*key, F.explode("new").alias("e")).select(*key, "e.*")
+        g = cut(g.join(gone.hint("shuffle_merge"), [*key, "a", "b"], "left_anti").unionByName(came))
+        told = moves.groupBy(*key, "code").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit(kernel).alias("kernel"), *key, "code", "n")
+        log = told if log is None else log.union(told)
+    return g, log

@@ -51,10 +51,43 @@ def pairs(nodes: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(b)).withColumn("km", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
 
 
+_LEVELS = 12
+
+
+def _bins(level: Column) -> list[Column]:
+    """Cube of side 2 / 2**level that holds the node's point on the unit sphere."""
+    size = F.pow(F.lit(2.0), F.lit(1.0) - level)
+    return [F.floor((F.col(c) + 1) / size).cast("int").alias("b" + c) for c in "xyz"]
+
+
 def nearest(nodes: DataFrame, k: int) -> DataFrame:
-    """The k nearest sources of each target, ties to the smaller source."""
+    """The k nearest sources of each target with km and rank, ties to the smaller source.
+
+    No pair of all nodes is formed: points on the unit sphere lie in cubes of halving
+    sides. A target takes the finest level at which the cube of half the side around
+    it holds more than k nodes; its k nearest then are in the 27 cubes about its own,
+    as they are nearer than one side. Nodes in one place count with their k + 1
+    smallest numbers as sources.
+    """
+    la, lo = F.radians("lat"), F.radians("lon")
+    p = nodes.select("node", "lat", "lon", (F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z"))
+    cube = ["bx", "by", "bz"]
+    every = p.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS + 1))))
+    binned = every.select("*", *_bins(F.col("level")))
+    full = binned.groupBy("level", *cube).agg(F.count("*").alias("c")).filter(F.col("c") > k).select("level", *cube)
+    fine = binned.join(full.hint("shuffle_hash"), ["level", *cube], "left_semi").groupBy("node").agg(F.max("level").alias("half"))
+    targets = p.join(fine.hint("shuffle_hash"), "node", "left").withColumn("level", F.greatest(F.coalesce(F.col("half") - 1, F.lit(0)), F.lit(0)))
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> flatten(transform(sequence(-1, 1), j -> transform(sequence(-1, 1), l -> named_struct('i', i, 'j', j, 'l', l))))))"))
+    wanted = targets.select(F.col("node").alias("target"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "level", *_bins(F.col("level"))).withColumn("d", around)
+    wanted = wanted.select("target", "lat2", "lon2", "level", *[(F.col("b" + c) + F.col("d." + n)).alias("b" + c) for c, n in zip("xyz", "ijl", strict=True)])
+    one_place = Window.partitionBy("lat", "lon").orderBy("node")
+    sources = p.withColumn("r", F.row_number().over(one_place)).filter(F.col("r") <= k + 1)
+    sources = sources.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))))
+    sources = sources.select(F.col("node").alias("source"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "level", *_bins(F.col("level")))
+    met = wanted.join(sources.hint("shuffle_merge"), ["level", *cube]).filter("source <> target")
+    met = met.withColumn("km", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     w = Window.partitionBy("target").orderBy("km", "source")
-    return pairs(nodes).filter("source <> target").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("source", "target", "lat1", "lon1", "lat2", "lon2", "km", "rank")
 
 
 def stratum(km: Column, edges: tuple[float, ...] = (1e-8, 1000, 2000, 3000, 4000, 6000, 10000)) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lagloom.plans import section
 from lagloom.sources import readers
-from lagloom.sources.fixtures import cells, ctes, long_panel, panel, panel_orders, panel_ship, table
+from lagloom.sources.fixtures import ctes, long_panel, panel, panel_orders, panel_ship, stations, table
 
 QUERIES, query = section()
 
@@ -57,12 +57,12 @@ def strided_subsample(spark, sf_dir):
     return panel(spark, sf_dir).filter("t % 4 = 0 and t < 200 and node % 2 = 0").select("t", "node", F.round("wind", 8).alias("wind"))
 
 
-@query(ctes("cells") + """, p AS (SELECT 'a' AS part, node, lat, lon FROM cells UNION ALL SELECT 'b', node, lat + 0.001, lon FROM cells WHERE node < 20 UNION ALL SELECT 'c', node, lat + 5, lon FROM cells WHERE node < 22),
+@query(ctes("stations") + """, p AS (SELECT 'a' AS part, node, lat, lon FROM cells UNION ALL SELECT 'b', node, lat + 0.001, lon FROM cells WHERE node % 5 <> 4 UNION ALL SELECT 'c', node, lat + 5, lon FROM cells WHERE node % 11 <> 10),
  ref AS (SELECT part FROM p GROUP BY 1 ORDER BY count(*) DESC, part LIMIT 1) SELECT p.part, count(*) AS nodes, round(avg(abs(p.lat - r.lat) + abs(p.lon - r.lon)), 8) AS apart, avg(abs(p.lat - r.lat) + abs(p.lon - r.lon)) < 0.01 AS compatible FROM p JOIN p r ON r.node = p.node AND r.part = (SELECT part FROM ref) GROUP BY 1""")
 def compatible_grids(spark, sf_dir):
-    c = cells(spark, sf_dir)
+    c = stations(spark, sf_dir)
     part = lambda n, df, d: df.select(F.lit(n).alias("part"), "node", (F.col("lat") + d).alias("lat"), "lon")
-    p = part("a", c, 0.0).unionByName(part("b", c.filter("node < 20"), 0.001)).unionByName(part("c", c.filter("node < 22"), 5.0))
+    p = part("a", c, 0.0).unionByName(part("b", c.filter("node % 5 <> 4"), 0.001)).unionByName(part("c", c.filter("node % 11 <> 10"), 5.0))
     ref = p.groupBy("part").count().orderBy(F.desc("count"), "part").limit(1).select(F.col("part"))
     r = p.join(ref, "part", "left_semi").select("node", F.col("lat").alias("rl"), F.col("lon").alias("rn"))
     apart = F.avg(F.abs(F.col("lat") - F.col("rl")) + F.abs(F.col("lon") - F.col("rn")))

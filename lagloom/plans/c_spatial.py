@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagloom.operators import spatial
 from lagloom.plans import section
-from lagloom.sources.fixtures import cells, ctes, panel, panel_orders
+from lagloom.sources.fixtures import cells, ctes, panel, panel_orders, stations
 
 QUERIES, query = section()
 
@@ -17,22 +17,22 @@ _BAND = "CASE WHEN abs(lat) < 23.5 THEN 'tropics' WHEN abs(lat) < 60 THEN 'midla
 _BIN = "CAST(least(floor((least(greatest(lat, -90), 90) + 90) / 180 * 2), 1) * 4 + least(floor(((lon % 360) + 360) % 360 / 360 * 4), 3) AS BIGINT)"
 
 
-@query(ctes("cells") + f" SELECT node, {_BIN} AS region FROM cells")
+@query(ctes("stations") + f" SELECT node, {_BIN} AS region FROM cells")
 def latlon_bins(spark, sf_dir):
-    return cells(spark, sf_dir).select("node", spatial.bins(F.col("lat"), F.col("lon"), 8).alias("region"))
+    return stations(spark, sf_dir).select("node", spatial.bins(F.col("lat"), F.col("lon"), 8).alias("region"))
 
 
-@query(ctes("cells") + " SELECT node, CAST(floor(node * 6 / (SELECT count(*) FROM cells)) AS BIGINT) AS region FROM cells")
+@query(ctes("stations") + " SELECT node, CAST(floor(node * 6 / (SELECT count(*) FROM cells)) AS BIGINT) AS region FROM cells")
 def equal_chunks(spark, sf_dir):
-    c = cells(spark, sf_dir)
+    c = stations(spark, sf_dir)
     n = c.agg(F.count("*").alias("n"))
     return c.crossJoin(F.broadcast(n)).select("node", F.floor(F.col("node") * 6 / F.col("n")).cast("long").alias("region"))  # one row
 
 
-@query(ctes("cells") + f" SELECT node, dense_rank() OVER (ORDER BY {_BIN}) - 1 AS region FROM cells")
+@query(ctes("stations") + f" SELECT node, dense_rank() OVER (ORDER BY {_BIN}) - 1 AS region FROM cells")
 def consecutive_labels(spark, sf_dir):
     label = spatial.bins(F.col("lat"), F.col("lon"), 8)
-    c = cells(spark, sf_dir).withColumn("label", label)
+    c = stations(spark, sf_dir).withColumn("label", label)
     number = c.groupBy("label").count().select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("region"))  # one row per label
     return c.join(F.broadcast(number), "label").select("node", "region")
 
@@ -45,50 +45,57 @@ def region_series(spark, sf_dir):
     )
 
 
-@query(ctes("cells") + f", r AS (SELECT *, {_BIN} AS region FROM cells), g AS (SELECT region, avg(lat) AS lat, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS lon, count(*) AS n FROM r GROUP BY 1) SELECT region, round(lat, 8) AS lat, round(lon, 8) AS lon, n, {_BAND} AS band FROM g")
+@query(ctes("stations") + f", r AS (SELECT *, {_BIN} AS region FROM cells), g AS (SELECT region, avg(lat) AS lat, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS lon, count(*) AS n FROM r GROUP BY 1) SELECT region, round(lat, 8) AS lat, round(lon, 8) AS lon, n, {_BAND} AS band FROM g")
 def region_metadata(spark, sf_dir):
-    r = cells(spark, sf_dir).withColumn("region", spatial.bins(F.col("lat"), F.col("lon"), 8))
+    r = stations(spark, sf_dir).withColumn("region", spatial.bins(F.col("lat"), F.col("lon"), 8))
     g = r.groupBy("region").agg(F.avg("lat").alias("lat"), spatial.circular_mean_lon().alias("lon"), F.count("*").alias("n"))
     return g.select("region", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), "n", spatial.band(F.col("lat")).alias("band"))
 
 
-@query(ctes("cells") + f", {_PAIRS} SELECT source, target, round(km, 6) AS km FROM pairs")
+def regions(spark, sf_dir):
+    """Centres of about 66 boxes of stations, as nodes: their number is bounded, that of the stations is not."""
+    r = stations(spark, sf_dir).withColumn("node", spatial.bins(F.col("lat"), F.col("lon"), 66))
+    return r.groupBy("node").agg(F.avg("lat").alias("lat"), spatial.circular_mean_lon().alias("lon"))
+
+
+_REGIONS = ctes("stations").replace("cells AS", "st AS") + """, cells AS (SELECT node, avg(lat) AS lat, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS lon
+ FROM (SELECT CAST(least(floor((least(greatest(lat, -90), 90) + 90) / 180 * 6), 5) * 11 + least(floor(((lon % 360) + 360) % 360 / 360 * 11), 10) AS BIGINT) AS node, lat, lon FROM st) GROUP BY 1)"""
+
+
+@query(_REGIONS + f", {_PAIRS} SELECT source, target, round(km, 6) AS km FROM pairs")
 def distance_matrix(spark, sf_dir):
-    return spatial.pairs(cells(spark, sf_dir)).select("source", "target", F.round("km", 6).alias("km"))
+    return spatial.pairs(regions(spark, sf_dir)).select("source", "target", F.round("km", 6).alias("km"))
 
 
-@query(ctes("cells") + f", {_PAIRS} SELECT source, target, rank FROM (SELECT source, target, row_number() OVER (PARTITION BY target ORDER BY km, source) AS rank FROM pairs WHERE source <> target) WHERE rank <= 3")
+@query(ctes("stations") + f", {_PAIRS} SELECT source, target, rank FROM (SELECT source, target, row_number() OVER (PARTITION BY target ORDER BY km, source) AS rank FROM pairs WHERE source <> target) WHERE rank <= 3")
 def nearest_sources(spark, sf_dir):
-    return spatial.nearest(cells(spark, sf_dir), 3).select("source", "target", "rank")
+    return spatial.nearest(stations(spark, sf_dir), 3).select("source", "target", "rank")
 
 
-@query(ctes("cells") + f", {_PAIRS} SELECT (km >= 1e-8)::BIGINT + (km >= 1000)::BIGINT + (km >= 2000)::BIGINT + (km >= 3000)::BIGINT + (km >= 4000)::BIGINT + (km >= 6000)::BIGINT + (km >= 10000)::BIGINT AS stratum, count(*) AS n FROM pairs GROUP BY 1")
+@query(_REGIONS + f", {_PAIRS} SELECT (km >= 1e-8)::BIGINT + (km >= 1000)::BIGINT + (km >= 2000)::BIGINT + (km >= 3000)::BIGINT + (km >= 4000)::BIGINT + (km >= 6000)::BIGINT + (km >= 10000)::BIGINT AS stratum, count(*) AS n FROM pairs GROUP BY 1")
 def distance_strata(spark, sf_dir):
-    return spatial.pairs(cells(spark, sf_dir)).groupBy(spatial.stratum(F.col("km")).alias("stratum")).agg(F.count("*").alias("n"))
+    return spatial.pairs(regions(spark, sf_dir)).groupBy(spatial.stratum(F.col("km")).alias("stratum")).agg(F.count("*").alias("n"))
 
 
-@query(ctes("cells") + f""", {_PAIRS}, b AS (SELECT source, target, atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1))) AS b FROM pairs WHERE source <> target)
+@query(_REGIONS + f""", {_PAIRS}, b AS (SELECT source, target, atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1))) AS b FROM pairs WHERE source <> target)
  SELECT source, target, round(degrees(b), 6) AS bearing, round(3.0 * sin(b) - 2.0 * cos(b), 8) AS along FROM b""")
 def bearing_projection(spark, sf_dir):
-    p = spatial.pairs(cells(spark, sf_dir)).filter("source <> target")
+    p = spatial.pairs(regions(spark, sf_dir)).filter("source <> target")
     b = spatial.bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return p.withColumn("b", b).select("source", "target", F.round(F.degrees("b"), 6).alias("bearing"), F.round(3.0 * F.sin("b") - 2.0 * F.cos("b"), 8).alias("along"))
 
 
-_MIRROR = "g AS (SELECT node, round(lat / 10) * 10 AS lat, round(lon / 60) * 60 AS lon FROM cells)"
-
-
-@query(ctes("cells") + f", {_MIRROR} SELECT a.node AS north, b.node AS south FROM g a JOIN g b ON abs(a.lat + b.lat) <= 1e-6 AND abs((((b.lon - a.lon + 180) % 360) + 360) % 360 - 180) <= 1e-6 WHERE a.lat > 0")
+@query(ctes("stations") + " SELECT a.node AS north, b.node AS south FROM cells a JOIN cells b ON abs(a.lat + b.lat) <= 1e-6 AND abs((((b.lon - a.lon + 180) % 360) + 360) % 360 - 180) <= 1e-6 WHERE a.lat > 0")
 def mirror_pairs(spark, sf_dir):
-    g = cells(spark, sf_dir).select("node", (F.round(F.col("lat") / 10) * 10).alias("lat"), (F.round(F.col("lon") / 60) * 60).alias("lon"))
-    a, b = g.alias("a"), F.broadcast(g).alias("b")  # 25 cells
-    near = (F.abs(F.col("a.lat") + F.col("b.lat")) <= 1e-6) & (F.abs(F.pmod(F.col("b.lon") - F.col("a.lon") + 180, F.lit(360.0)) - 180) <= 1e-6)
-    return a.join(b, near).filter("a.lat > 0").select(F.col("a.node").alias("north"), F.col("b.node").alias("south"))
+    """Nodes and their reflections across the equator, to a millionth of a degree; places are compared as whole numbers, by an equi-join."""
+    g = stations(spark, sf_dir).select("node", F.round(F.col("lat") * 1e6).cast("long").alias("y"), F.round(F.pmod("lon", F.lit(360.0)) * 1e6).cast("long").alias("x"))
+    south = g.select(F.col("node").alias("south"), (-F.col("y")).alias("y"), "x")
+    return g.filter("y > 0").withColumnRenamed("node", "north").join(south, ["y", "x"]).select("north", "south")
 
 
-@query(ctes("cells") + " SELECT node, round(((((lon + 180) + 180) % 360) + 360) % 360 - 180, 8) AS lon FROM cells")
+@query(ctes("stations") + " SELECT node, round(((((lon + 180) + 180) % 360) + 360) % 360 - 180, 8) AS lon FROM cells")
 def longitude_normalised(spark, sf_dir):
-    return cells(spark, sf_dir).select("node", F.round(spatial.wrap(F.col("lon") + 180), 8).alias("lon"))
+    return stations(spark, sf_dir).select("node", F.round(spatial.wrap(F.col("lon") + 180), 8).alias("lon"))
 
 
 # source cells of 10 by 20 degrees, target cells of 15 by 30 degrees

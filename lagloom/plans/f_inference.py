@@ -7,29 +7,21 @@ from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_f, p_t, p_z
 from lagloom.operators import clean, gram
-from lagloom.operators.fdr import bh
+from lagloom.operators.fdr import bh, bh_large
+from lagloom.operators.lineage import stored
 from lagloom.plans import section
-from lagloom.sources.fixtures import cells, ctes, long_panel, panel
+from lagloom.sources.fixtures import cells, climate_of, climate_sql, ctes, panel
 
 QUERIES, query = section()
 _H = ["target", "source", "lag"]
 
 
 def climate(spark, sf_dir) -> DataFrame:
-    """Standardised weekly anomalies, gaps filled: t, node, variable, value."""
-    long = long_panel(panel(spark, sf_dir), "t", "node")
-    ends = long.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    grid = clean.dense(long, ends.select(F.explode(F.sequence("a", "b")).alias("t")), long.select("node", "variable").distinct())
-    return clean.weekly_climate(clean.fill_gaps(grid, ["node", "variable"], 6), ["node", "variable"])
-
-
-_ST = ctes("panel") + """, long AS (SELECT t, node, variable, value FROM panel UNPIVOT (value FOR variable IN (wind, humidity, cloud_cover, temperature))),
-gr AS (SELECT tt.t, k.node, k.variable, l.value FROM (SELECT unnest(range((SELECT min(t) FROM long), (SELECT max(t) FROM long) + 1)) AS t) tt CROSS JOIN (SELECT DISTINCT node, variable FROM long) k LEFT JOIN long l ON l.t = tt.t AND l.node = k.node AND l.variable = k.variable),
-gf AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER b AS tp, last_value(value IGNORE NULLS) OVER b AS vp, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER f AS tn, first_value(value IGNORE NULLS) OVER f AS vn FROM gr
- WINDOW b AS (PARTITION BY node, variable ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY node, variable ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-fl AS (SELECT t, node, variable, CASE WHEN value IS NOT NULL THEN value WHEN tp IS NULL THEN coalesce(vn, 0) WHEN tn IS NULL THEN vp ELSE vp + (vn - vp) * (CASE WHEN t - tp <= 6 OR tn - t <= 6 THEN t - tp ELSE 6 END) / (tn - tp) END AS value FROM gf),
-an AS (SELECT t, node, variable, value - avg(value) OVER (PARTITION BY node, variable, t % 52) AS a FROM fl),
-st AS (SELECT t, node, variable, (a - avg(a) OVER w) / stddev_pop(a) OVER w AS v FROM an WINDOW w AS (PARTITION BY node, variable))"""
+    """Standardised weekly anomalies of five nodes, gaps filled: t, node, variable, value. Stored once."""
+    return stored(spark, "climate", f"{sf_dir}/lineitem.parquet", lambda: climate_of(panel(spark, sf_dir)))
+
+
+_ST = ctes("panel") + ", " + climate_sql("panel", "st")
 _D = """d AS (SELECT y.t, y.node AS target, x.node AS source, l.lag, y.v AS y, o.v AS c, x.v AS z FROM st y JOIN st o ON o.node = y.node AND o.variable = 'humidity' AND o.t = y.t - 1
  CROSS JOIN (SELECT unnest(range(1, 4)) AS lag) l JOIN st x ON x.variable = 'wind' AND x.t = y.t - l.lag WHERE y.variable = 'humidity')"""
 
@@ -163,7 +155,7 @@ def regime_contrast_hac(spark, sf_dir):
     s = F.col("s")
     rows = _groups(spark, sf_dir).withColumns({"cs": F.col("c1") * s, "x1": F.col("z") * s})
     f = gram.hac(rows, ["target", "source"], ["s", "c1", "cs", "z"], 8, z="x1").withColumn("p_value", p_z(F.col("beta") / F.col("se_hac")))
-    return bh(f.withColumn("family", F.lit("all")), ["family"]).select("target", "source", F.col("beta").alias("delta"), "se_hac", "p_value", "q_value")
+    return bh_large(f).select("target", "source", F.col("beta").alias("delta"), "se_hac", "p_value", "q_value")
 
 
 @query(ctes("panel_ship") + """, l AS (SELECT t, flag, pow(price - avg(price) OVER (PARTITION BY flag), 2) / 1e6 AS x FROM panel_ship), c AS (SELECT t, flag, x, x - avg(x) OVER (PARTITION BY flag) AS c FROM l),
@@ -176,51 +168,3 @@ def hac_mean(spark, sf_dir):
     p = panel_ship(spark, sf_dir)
     x = F.pow(F.col("price") - F.avg("price").over(Window.partitionBy("flag")), 2) / 1e6
     return gram.mean_hac(p.select("t", "flag", x.alias("x")), ["flag"], "x", 8).select("flag", "n", F.round("mean", 6).alias("mean"), F.round("se", 7).alias("se"))
-
-
-@query()
-def dense_var(spark, sf_dir):
-    """Every node and variable in every equation at lag 1: coefficients, standard errors and partial R2 from one Gram matrix."""
-    cl = climate(spark, sf_dir).withColumn("name", F.concat_ws("_", "variable", "node"))
-    names = sorted(r[0] for r in cl.select("name").distinct().collect())  # one per series
-    wide = cl.groupBy("t").pivot("name", names).agg(F.first("value"))
-    x = wide.select((F.col("t") + 1).alias("t"), F.array(F.lit(1.0), *names).alias("x"))
-    rows = wide.select("t", F.array(*names).alias("y")).join(x, "t")
-    return var_fit(rows, names)
-
-
-def var_fit(rows: DataFrame, names: list[str]) -> DataFrame:
-    """outcome, regressor, beta, se, partial_r2 of all equations; rows hold arrays x (intercept first) and y.
-
-    Each partition adds up its own cross products; their sums by row of the matrix meet in one small solve.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    p, k = len(names) + 1, len(names)
-
-    def partial(batches):
-        g, n = np.zeros((p + k, p + k)), 0
-        for b in batches:
-            if b.num_rows:
-                m = np.concatenate([np.stack(b.column(0).to_numpy(zero_copy_only=False)), np.stack(b.column(1).to_numpy(zero_copy_only=False))], axis=1)
-                g += m.T @ m
-                n += len(m)
-        yield pa.RecordBatch.from_arrays([pa.array(range(p + k), pa.int32()), pa.array(list(g), pa.list_(pa.float64())), pa.array([n] * (p + k), pa.int64())], ["i", "row", "n"])
-
-    parts = rows.select("x", "y").mapInArrow(partial, "i int, row array<double>, n long")
-    cell = parts.select("i", "n", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-
-    def solve(key, df):
-        import pandas as pd
-
-        g = np.zeros((p + k, p + k))
-        g[df.i, df.j] = df.v
-        n, a = int(df.n.iloc[0]), np.linalg.pinv(g[:p, :p])
-        beta = a @ g[:p, p:]
-        rss = np.diag(g[p:, p:]) - (g[:p, p:] * beta).sum(axis=0)
-        drop = beta**2 / np.diag(a)[:, None]
-        out = [(names[o], names[r - 1], n, beta[r, o], float(np.sqrt(rss[o] / (n - p) * a[r, r])), drop[r, o] / (rss[o] + drop[r, o])) for o in range(k) for r in range(1, p)]
-        return pd.DataFrame(out, columns=["outcome", "regressor", "n", "beta", "se", "partial_r2"])
-
-    return cell.groupBy(F.lit(1).alias("all")).applyInPandas(solve, "outcome string, regressor string, n long, beta double, se double, partial_r2 double")

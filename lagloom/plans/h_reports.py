@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagloom.operators import reports, spatial
-from lagloom.operators.fdr import bh
+from lagloom.operators.fdr import bh, bh_large
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
-from lagloom.sources.fixtures import cells, ctes, edges
+from lagloom.sources.fixtures import HAV_SQL, ctes, edges, stations
 
 QUERIES, query = section()
 
@@ -28,8 +28,9 @@ def _bh_sql(name: str, src: str, group: str, p: str = "p_value", q: str = "q_val
 
 
 # ---- candidates
-_HAV = "2 * 6371.0 * asin(sqrt(least(greatest(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 0), 1)))"
+_HAV = HAV_SQL
 _NEAR = f"nn AS (SELECT source, target, km FROM (SELECT a.node AS source, b.node AS target, {_HAV} AS km, row_number() OVER (PARTITION BY b.node ORDER BY {_HAV}, a.node) AS r FROM cells a, cells b WHERE a.node <> b.node) WHERE r <= 2)"
+#: Variable pairs of links inside a region and between regions.
 _INTRA = (("wind", "humidity"), ("humidity", "cloud_cover"), ("temperature", "humidity"), ("temperature", "cloud_cover"), ("wind", "cloud_cover"))
 _MOVE = (("wind", "humidity"), ("humidity", "humidity"), ("humidity", "cloud_cover"), ("wind", "cloud_cover"))
 _vals = lambda p: ", ".join(f"('{a}', '{b}')" for a, b in p)
@@ -45,34 +46,34 @@ def candidates(nodes, k: int = 2):
     return own.unionByName(move).select("source_region", "target_region", "v.source_var", "v.target_var", "km").dropDuplicates(["source_region", "target_region", "source_var", "target_var"])
 
 
-@query(ctes("cells") + f", {_NEAR}, {_CAND} SELECT source_region, target_region, source_var, target_var, round(km, 6) AS km FROM cand")
+@query(ctes("stations") + f", {_NEAR}, {_CAND} SELECT source_region, target_region, source_var, target_var, round(km, 6) AS km FROM cand")
 def candidate_edges(spark, sf_dir):
-    return candidates(cells(spark, sf_dir)).withColumn("km", F.round("km", 6))
+    return candidates(stations(spark, sf_dir)).withColumn("km", F.round("km", 6))
 
 
-@query(ctes("cells") + f", {_NEAR}, u AS (SELECT source AS a, target AS b FROM nn UNION SELECT target, source FROM nn) SELECT a AS source_region, b AS target_region, sv AS source_var, tv AS target_var FROM u, (VALUES {_vals(_INTRA[:3])}) v(sv, tv)")
+@query(ctes("stations") + f", {_NEAR}, u AS (SELECT source AS a, target AS b FROM nn UNION SELECT target, source FROM nn) SELECT a AS source_region, b AS target_region, sv AS source_var, tv AS target_var FROM u, (VALUES {_vals(_INTRA[:3])}) v(sv, tv)")
 def symmetric_candidates(spark, sf_dir):
-    nn = spatial.nearest(cells(spark, sf_dir), 2).select("source", "target")
+    nn = spatial.nearest(stations(spark, sf_dir), 2).select("source", "target")
     u = nn.union(nn.select("target", "source")).distinct()
     v = F.explode(F.array(*[F.struct(F.lit(a).alias("source_var"), F.lit(b).alias("target_var")) for a, b in _INTRA[:3]]))
     return u.select(F.col("source").alias("source_region"), F.col("target").alias("target_region"), v.alias("v")).select("source_region", "target_region", "v.*")
 
 
-@query(ctes("cells") + f", {_NEAR}, {_CAND} SELECT DISTINCT target_region AS source_region, source_region AS target_region, target_var AS source_var, source_var AS target_var FROM cand")
+@query(ctes("stations") + f", {_NEAR}, {_CAND} SELECT DISTINCT target_region AS source_region, source_region AS target_region, target_var AS source_var, source_var AS target_var FROM cand")
 def reversed_edges(spark, sf_dir):
-    c = candidates(cells(spark, sf_dir))
+    c = candidates(stations(spark, sf_dir))
     return c.select(F.col("target_region").alias("source_region"), F.col("source_region").alias("target_region"), F.col("target_var").alias("source_var"), F.col("source_var").alias("target_var")).distinct()
 
 
-@query(ctes("cells") + f", {_NEAR}, {_CAND} SELECT source_var || '->' || target_var AS edge_type, lag, count(*) AS n, sum(source_region * 12 + lag) AS design_columns FROM cand, range(1, 4) l(lag) GROUP BY 1, 2")
+@query(ctes("stations") + f", {_NEAR}, {_CAND} SELECT source_var || '->' || target_var AS edge_type, lag, count(*) AS n, sum(source_region * 12 + lag) AS design_columns FROM cand, range(1, 4) l(lag) GROUP BY 1, 2")
 def lag_expansion(spark, sf_dir):
-    c = candidates(cells(spark, sf_dir)).withColumn("lag", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))))
+    c = candidates(stations(spark, sf_dir)).withColumn("lag", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))))
     return c.groupBy(F.concat_ws("->", "source_var", "target_var").alias("edge_type"), "lag").agg(F.count("*").alias("n"), F.sum(F.col("source_region") * 12 + F.col("lag")).alias("design_columns"))
 
 
-@query(ctes("cells") + f", {_NEAR}, {_CAND} SELECT source_var || '->' || target_var AS edge_type, (km >= 1e-8)::BIGINT + (km >= 1000)::BIGINT + (km >= 2000)::BIGINT + (km >= 3000)::BIGINT + (km >= 4000)::BIGINT + (km >= 6000)::BIGINT + (km >= 10000)::BIGINT AS stratum, count(*) AS n FROM cand GROUP BY 1, 2")
+@query(ctes("stations") + f", {_NEAR}, {_CAND} SELECT source_var || '->' || target_var AS edge_type, (km >= 1e-8)::BIGINT + (km >= 1000)::BIGINT + (km >= 2000)::BIGINT + (km >= 3000)::BIGINT + (km >= 4000)::BIGINT + (km >= 6000)::BIGINT + (km >= 10000)::BIGINT AS stratum, count(*) AS n FROM cand GROUP BY 1, 2")
 def candidate_strata(spark, sf_dir):
-    return candidates(cells(spark, sf_dir)).groupBy(F.concat_ws("->", "source_var", "target_var").alias("edge_type"), spatial.stratum(F.col("km")).alias("stratum")).agg(F.count("*").alias("n"))
+    return candidates(stations(spark, sf_dir)).groupBy(F.concat_ws("->", "source_var", "target_var").alias("edge_type"), spatial.stratum(F.col("km")).alias("stratum")).agg(F.count("*").alias("n"))
 
 
 @query(ctes("panel") + """, l AS (SELECT a.node AS source, b.node AS target, corr(a.wind, b.humidity) AS c FROM panel a JOIN panel b ON b.t = a.t + 1 GROUP BY 1, 2)
@@ -96,7 +97,7 @@ def bh_by_regime(spark, sf_dir):
 
 @query(f"{_W}, {_bh_sql('g', 'edges', '1', q='q_global')}, {_bh_sql('w', 'g', 'regime, target_region', q='q_within')} SELECT regime, {_K}, round(q_global, 10) AS q_global, round(q_within, 10) AS q_within FROM w")
 def two_families(spark, sf_dir):
-    e = bh(edges(spark, sf_dir).withColumn("family", F.col("edge_type").isNotNull()), ["family"], q="q_global", alpha=None)
+    e = bh_large(edges(spark, sf_dir), q="q_global")
     return bh(e, ["regime", "target_region"], q="q_within", alpha=None).select("regime", *KEY, F.round("q_global", 10).alias("q_global"), F.round("q_within", 10).alias("q_within"))
 
 
@@ -220,18 +221,18 @@ def stability_by_type(spark, sf_dir):
 _B = "CASE WHEN abs({0}.lat) < 23.5 THEN 'tropics' WHEN abs({0}.lat) < 60 THEN 'midlatitude' ELSE 'polar' END"
 
 
-@query(ctes("edges", "cells") + f", {_SIG} SELECT {_B.format('a')} AS source_band, {_B.format('b')} AS target_band, edge_type, count(*) AS n, round(avg(lag), 8) AS lag, round(avg(abs(effect)), 8) AS strength FROM sig JOIN cells a ON a.node = source_region JOIN cells b ON b.node = target_region GROUP BY 1, 2, 3")
+@query(ctes("edges") + f", {_SIG} SELECT {_B.format('a')} AS source_band, {_B.format('b')} AS target_band, edge_type, count(*) AS n, round(avg(lag), 8) AS lag, round(avg(abs(effect)), 8) AS strength FROM sig JOIN cells a ON a.node = source_region JOIN cells b ON b.node = target_region GROUP BY 1, 2, 3")
 def band_transfers(spark, sf_dir):
-    c = cells(spark, sf_dir).select("node", spatial.band(F.col("lat")).alias("band"))
-    s = _sig(spark, sf_dir).join(F.broadcast(c.select(F.col("node").alias("source_region"), F.col("band").alias("source_band"))), "source_region")  # 25 cells
-    s = s.join(F.broadcast(c.select(F.col("node").alias("target_region"), F.col("band").alias("target_band"))), "target_region")
+    c = stations(spark, sf_dir).select("node", spatial.band(F.col("lat")).alias("band"))
+    s = _sig(spark, sf_dir).join(c.select(F.col("node").alias("source_region"), F.col("band").alias("source_band")), "source_region")
+    s = s.join(c.select(F.col("node").alias("target_region"), F.col("band").alias("target_band")), "target_region")
     return s.groupBy("source_band", "target_band", "edge_type").agg(F.count("*").alias("n"), F.round(F.avg("lag"), 8).alias("lag"), F.round(F.avg(F.abs("effect")), 8).alias("strength"))
 
 
-@query(ctes("edges", "cells") + f", {_SIG}, {_CH} SELECT regime, {_B.format('c')} AS band, count(*) AS chains, count(DISTINCT mediator) AS mediators FROM ch JOIN cells c ON c.node = mediator GROUP BY 1, 2")
+@query(ctes("edges") + f", {_SIG}, {_CH} SELECT regime, {_B.format('c')} AS band, count(*) AS chains, count(DISTINCT mediator) AS mediators FROM ch JOIN cells c ON c.node = mediator GROUP BY 1, 2")
 def chains_by_band(spark, sf_dir):
-    c = cells(spark, sf_dir).select(F.col("node").alias("mediator"), spatial.band(F.col("lat")).alias("band"))
-    return reports.chains(_sig(spark, sf_dir)).join(F.broadcast(c), "mediator").groupBy("regime", "band").agg(F.count("*").alias("chains"), F.count_distinct("mediator").alias("mediators"))
+    c = stations(spark, sf_dir).select(F.col("node").alias("mediator"), spatial.band(F.col("lat")).alias("band"))
+    return reports.chains(_sig(spark, sf_dir)).join(c, "mediator").groupBy("regime", "band").agg(F.count("*").alias("chains"), F.count_distinct("mediator").alias("mediators"))
 
 
 @query(f"{_W}, {_SIG} SELECT regime, coalesce(edge_type, 'all') AS edge_type, count(*) AS n, round(quantile_cont(effect, 0.25), 8) AS q25, round(quantile_cont(effect, 0.5), 8) AS q50, round(quantile_cont(effect, 0.75), 8) AS q75, round(avg(CASE WHEN effect > 0 THEN 1.0 ELSE 0.0 END), 8) AS positive FROM sig GROUP BY GROUPING SETS ((regime, edge_type), (regime))")

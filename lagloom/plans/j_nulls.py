@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagloom.plans import section
-from lagloom.sources.fixtures import ctes, edges, panel, panel_ship
+from lagloom.sources.fixtures import ctes, edges, panel, panel_ship, stations
 
 QUERIES, query = section()
 _P = "p AS (SELECT t, node, wind, humidity FROM panel)"
@@ -80,13 +80,22 @@ def matched_size_control(spark, sf_dir):
     return z.crossJoin(F.broadcast(c)).agg(F.round(F.first("obs"), 9).alias("observed"), F.round(F.first("mm"), 9).alias("mean"), F.round(F.least(F.lit(1.0), (1 + far) / 41.0), 8).alias("p"))
 
 
-@query(ctes("panel_ship") + ", y AS (SELECT flag, t // 365 AS year, regr_slope(price, disc) AS slope FROM panel_ship GROUP BY 1, 2), b AS (SELECT a.flag, r, avg(y.slope) AS m FROM (SELECT flag, r, k, (r * 31 + k * 17 + r * k) % 6 AS year FROM (SELECT DISTINCT flag FROM panel_ship), range(1, 51) x(r), range(6) z(k)) a JOIN y ON y.flag = a.flag AND y.year = a.year GROUP BY 1, 2) SELECT flag, round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM b GROUP BY 1")
+@query(ctes("edges") + """, ys AS (SELECT edge_type, t // 52 AS year, regr_slope(y, z) AS slope FROM (SELECT *, source_var || '->' || target_var AS edge_type FROM td WHERE lag = 1 AND source_region = target_region) GROUP BY 1, 2), zs AS (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY year) - 1 AS pos, count(*) OVER (PARTITION BY edge_type) AS n FROM ys),
+ dr AS (SELECT DISTINCT edge_type, n, r, k FROM zs, range(1, 51) x(r), range(1000) w(k) WHERE k < n), b AS (SELECT dr.edge_type, r, dr.n, avg(slope) AS m FROM dr JOIN zs ON zs.edge_type = dr.edge_type AND zs.pos = (r * 31 + k * 17 + r * k) % dr.n GROUP BY 1, 2, 3)
+ SELECT edge_type, n AS years, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b GROUP BY 1, 2""")
 def year_block_interval(spark, sf_dir):
-    y = panel_ship(spark, sf_dir).groupBy("flag", F.floor(F.col("t") / 365).alias("year")).agg((F.covar_pop("price", "disc") / F.var_pop("disc")).alias("slope"))
-    draw = y.select("flag").distinct().withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("year", ((F.col("r") * 31 + F.col("k") * 17 + F.col("r") * F.col("k")) % 6).cast("long"))
-    b = draw.join(y.hint("shuffle_hash"), ["flag", "year"]).groupBy("flag", "r").agg(F.avg("slope").alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return b.groupBy("flag").agg(F.round(F.avg("m"), 4).alias("mean"), q.alias("q")).select("flag", "mean", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"))
+    """By edge type: yearly slopes over all stations, resampled over all years that occur."""
+    from lagloom.sources.fixtures import EDGE_TYPES, station_climate
+
+    c = station_climate(spark, sf_dir)
+    out = None
+    for a, b in EDGE_TYPES:
+        y = c.filter(F.col("variable") == b).select("t", "node", F.col("value").alias("y"))
+        z = c.filter(F.col("variable") == a).select((F.col("t") + 1).alias("t"), "node", F.col("value").alias("z"))
+        j = y.join(z.hint("shuffle_merge"), ["t", "node"]).groupBy(F.floor(F.col("t") / 52).alias("year")).agg((F.covar_pop("y", "z") / F.var_pop("z")).alias("slope"))
+        j = j.withColumn("edge_type", F.lit(f"{a}->{b}"))
+        out = j if out is None else out.unionByName(j)
+    return resampled_years(out, "edge_type").select("edge_type", "years", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(ctes("panel_ship") + """, y AS (SELECT flag, t // 365 AS year, regr_slope(price, disc) AS slope FROM panel_ship GROUP BY 1, 2), z AS (SELECT flag, slope, row_number() OVER (PARTITION BY flag ORDER BY year) - 1 AS pos, count(*) OVER (PARTITION BY flag) AS n FROM y),
@@ -98,23 +107,42 @@ def year_block_interval_all(spark, sf_dir):
 
 
 def all_years_interval(p):
-    """Interval of the yearly slopes' mean by flag: replicates draw as many years as occur, with replacement, from all of them."""
+    """Interval of the yearly slopes' mean by flag."""
     y = p.groupBy("flag", F.floor(F.col("t") / 365).alias("year")).agg(F.try_divide(F.covar_pop("price", "disc"), F.var_pop("disc")).alias("slope"))
-    y = y.withColumn("pos", F.row_number().over(Window.partitionBy("flag").orderBy("year")) - 1)  # one row per year
-    draw = y.groupBy("flag").agg(F.count("*").alias("years")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("years") - 1).cast("int"))))
+    return resampled_years(y, "flag").select("flag", "years", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
+
+
+def resampled_years(y, by: str):
+    """Mean and interval of yearly slopes (by, year, slope): replicates draw as many years as occur, with replacement, from all of them."""
+    y = y.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy("year")) - 1)  # one row per year
+    draw = y.groupBy(by).agg(F.count("*").alias("years")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("years") - 1).cast("int"))))
     draw = draw.withColumn("pos", ((F.col("r") * 31 + F.col("k") * 17 + F.col("r") * F.col("k")) % F.col("years")).cast("int"))
-    b = draw.join(y.hint("shuffle_hash"), ["flag", "pos"]).groupBy("flag", "years", "r").agg(F.avg("slope").alias("m"))
+    b = draw.join(y.hint("shuffle_hash"), [by, "pos"]).groupBy(by, "years", "r").agg(F.avg("slope").alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return b.groupBy("flag", "years").agg(F.round(F.avg("m"), 4).alias("mean"), q.alias("q")).select("flag", "years", "mean", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"))
+    return b.groupBy(by, "years").agg(F.avg("m").alias("mean"), q.alias("q")).select(by, "years", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-@query(ctes("panel") + ", m AS (SELECT max(t) + 1 AS n FROM panel) SELECT p.t, p.node, round(p.humidity - q.humidity, 9) AS placebo FROM panel p CROSS JOIN m JOIN panel q ON q.node = p.node AND q.t = (p.t - 52 + n) % n")
+@query(ctes("panel") + """, c AS (SELECT t, node, humidity, t < 250 AS discovery, (SELECT min(t) FROM panel) AS t0 FROM panel), a AS (SELECT *, CASE WHEN t - 52 >= t0 THEN t - 52 ELSE t - 52 + 250 - t0 END AS source FROM c)
+ SELECT a.t, a.node, a.source, a.discovery, round(a.humidity - b.humidity, 9) AS placebo, a.discovery AND a.source >= 250 AS leak FROM a JOIN panel b ON b.node = a.node AND b.t = a.source""")
 def placebo_index(spark, sf_dir):
-    p = panel(spark, sf_dir).select("t", "node", "humidity")
-    n = p.agg((F.max("t") + 1).alias("n"))
-    a = p.crossJoin(F.broadcast(n)).withColumn("at", F.pmod(F.col("t") - 52, F.col("n")))  # one row
-    b = p.select(F.col("t").alias("at"), "node", F.col("humidity").alias("before"))
-    return a.join(b, ["at", "node"]).select("t", "node", F.round(F.col("humidity") - F.col("before"), 9).alias("placebo"))
+    return placebo(panel(spark, sf_dir).select("t", "node", "humidity"), 250)
+
+
+def placebo(p, held_out: int, year: int = 52):
+    """t, node, source (a year before), discovery, placebo, leak: the first year takes its source from the end of discovery, never from held-out steps."""
+    ends = p.agg(F.min("t").alias("t0"))
+    a = p.crossJoin(F.broadcast(ends)).withColumn("source", F.col("t") - year)  # one row
+    a = a.withColumn("source", F.when(F.col("source") >= F.col("t0"), F.col("source")).otherwise(F.col("source") + held_out - F.col("t0")))
+    b = p.select(F.col("t").alias("source"), "node", F.col("humidity").alias("before"))
+    j = a.join(b.hint("shuffle_merge"), ["source", "node"]).withColumn("discovery", F.col("t") < held_out).withColumn("leak", F.col("discovery") & (F.col("source") >= held_out))
+    return j.select("t", "node", "source", "discovery", F.round(F.col("humidity") - F.col("before"), 9).alias("placebo"), "leak")
+
+
+def without_leak(p):
+    """The placebo, or an error if a discovery step reads a held-out one."""
+    if p.filter("leak").limit(1).count():
+        raise ValueError("placebo sources of discovery steps lie in the held-out part")
+    return p
 
 
 @query(ctes("edges") + ", a AS (SELECT *, p_value < 0.3 AS w FROM edges WHERE regime = 'winter'), b AS (SELECT *, p_value < 0.3 AS s FROM edges WHERE regime = 'summer') SELECT edge_type, lag, count(*) FILTER (w AND s) AS both, count(*) FILTER (w OR s) AS either, round(count(*) FILTER (w AND s) / (count(*) FILTER (w OR s))::DOUBLE, 8) AS jaccard FROM a JOIN b USING (source_region, target_region, source_var, target_var, lag, edge_type) GROUP BY 1, 2")
@@ -124,7 +152,7 @@ def period_graph_overlap(spark, sf_dir):
     return g.groupBy("edge_type", "lag").agg(both.alias("both"), either.alias("either"), F.round(F.try_divide(both, either), 8).alias("jaccard"))
 
 
-@query(ctes("edges") + ", c AS (SELECT regime AS chain, lag AS metric, effect AS v, row_number() OVER (PARTITION BY regime, lag ORDER BY source_region, target_region, edge_type) AS draw FROM edges), h AS (SELECT metric, chain, draw <= 150 AS half, avg(v) AS m, var_samp(v) AS s, count(*) AS n FROM c GROUP BY 1, 2, 3) SELECT metric, round(sqrt(((any_value(n) - 1) / any_value(n)::DOUBLE * avg(s) + var_samp(m)) / avg(s)), 8) AS split_rhat FROM h GROUP BY 1")
+@query(ctes("edges") + ", c AS (SELECT regime AS chain, lag AS metric, effect AS v, row_number() OVER (PARTITION BY regime, lag ORDER BY source_region, target_region, edge_type) AS draw FROM edges), ch AS (SELECT metric, chain, v, 2 * draw <= count(*) OVER (PARTITION BY chain, metric) + 1 AS half FROM c), h AS (SELECT metric, chain, half, avg(v) AS m, var_samp(v) AS s, count(*) AS n FROM ch GROUP BY 1, 2, 3) SELECT metric, round(sqrt(((avg(n) - 1) / avg(n) * avg(s) + var_samp(m)) / avg(s)), 8) AS split_rhat FROM h GROUP BY 1")
 def split_r_hat(spark, sf_dir):
     return split_chains(edges(spark, sf_dir))
 
@@ -137,16 +165,42 @@ def split_chains(e):
     return h.groupBy("metric").agg(F.round(F.sqrt(((F.avg("n") - 1) / F.avg("n") * F.avg("s") + F.var_samp("m")) / F.avg("s")), 8).alias("split_rhat"))
 
 
-@query()
+_TYPED = "typed AS (SELECT DISTINCT edge_type AS type, source_region AS a, target_region AS b FROM edges WHERE regime = 'winter' AND p_value < 0.3 AND source_region <> target_region)"
+
+
+def _typed(spark, sf_dir):
+    e = edges(spark, sf_dir).filter("regime = 'winter' and p_value < 0.3 and source_region <> target_region")
+    return e.select(F.col("edge_type").alias("type"), F.col("source_region").alias("a"), F.col("target_region").alias("b")).distinct()
+
+
+@query(ctes("edges") + f", {_TYPED} SELECT r AS rep, type, count(*) AS edges, count(DISTINCT a) AS sources, count(DISTINCT b) AS targets, 0::BIGINT AS degrees_changed, 0::BIGINT AS strata_changed FROM typed CROSS JOIN range(3) x(r) GROUP BY 1, 2")
 def rewired_null(spark, sf_dir):
-    """Chains and kept edges of rewired graphs, three replicates."""
-    from lagloom.operators import spatial
+    """Graphs rewired in three replicates: what must hold of them, against the graphs they came from."""
+    from lagloom.operators.rewire import located, rewire
+
+    nodes = stations(spark, sf_dir)
+    g = _typed(spark, sf_dir).withColumn("rep", F.explode(F.array(*[F.lit(r).cast("long") for r in range(3)])))
+    done, _ = rewire(g, nodes, ["global", "near", "cycle"])
+    before = located(g, nodes)
+    end = lambda df, c, name: df.groupBy("rep", "type", F.lit(c).alias("end"), F.col(c).cast("long").alias("v")).agg(F.count("*").alias(name))
+
+    def changed(ends):
+        sides = [end(before, c, "x").join(end(done, c, "y").hint("shuffle_merge"), ["rep", "type", "end", "v"], "full") for c in ends]
+        d = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+        return d.groupBy("rep", "type").agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("changed"))
+
+    out = done.groupBy("rep", "type").agg(F.count("*").alias("edges"), F.count_distinct("a").alias("sources"), F.count_distinct("b").alias("targets"))
+    out = out.join(changed(["a", "b"]).withColumnRenamed("changed", "degrees_changed").hint("shuffle_merge"), ["rep", "type"])
+    return out.join(changed(["s"]).withColumnRenamed("changed", "strata_changed").hint("shuffle_merge"), ["rep", "type"])
+
+
+@query()
+def rewiring_log(spark, sf_dir):
+    """Moves of each round by kernel and outcome, with the fingerprint of the graphs in the end."""
     from lagloom.operators.rewire import rewire
-    from lagloom.sources.fixtures import cells
-
-    e = edges(spark, sf_dir).filter("regime = 'winter' and p_value < 0.2 and source_region <> target_region")
-    g = e.select(F.col("edge_type").alias("type"), F.col("source_region").alias("a"), F.col("target_region").alias("b")).distinct().withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    strata = spatial.pairs(cells(spark, sf_dir).filter("node < 10")).filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"), spatial.stratum(F.col("km")).alias("stratum"))
-    done = rewire(g, strata, 2)
-    kept = done.join(g, ["rep", "type", "a", "b"], "left_semi").groupBy("rep", "type").agg(F.count("*").alias("kept"))
-    return done.groupBy("rep", "type").agg(F.count("*").alias("edges"), F.count_distinct("a").alias("sources")).join(kept, ["rep", "type"], "left")
+
+    g = _typed(spark, sf_dir).withColumn("rep", F.lit(0).cast("long"))
+    done, log = rewire(g, stations(spark, sf_dir), ["global", "near", "cycle", "global"], seed=3)
+    # the sum of the hashes of the edges: the same for the same set in any order
+    marks = done.groupBy("rep", "type").agg(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("fingerprint"))
+    return log.join(marks.hint("shuffle_merge"), ["rep", "type"])

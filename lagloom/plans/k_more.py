@@ -9,19 +9,19 @@ from lagloom.operators import gram, reports, spatial
 from lagloom.operators.lineage import cut
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
-from lagloom.sources.fixtures import cells, ctes, edges, panel, panel_orders, panel_ship, table
+from lagloom.sources.fixtures import ctes, edges, panel, panel_orders, panel_ship, stations, table
 
 QUERIES, query = section()
 _W = ctes("edges")
 _K = ", ".join(KEY)
-_WC = ctes("edges", "cells")
+_WC = _W
 
 
 @query(_WC + ", x AS (SELECT e.regime, e.edge_type, e.effect, c.lat / 10 AS x FROM edges e JOIN cells c ON c.node = e.target_region), m AS (SELECT regime, edge_type, avg(x) AS mx FROM x GROUP BY 1, 2) SELECT regime, edge_type, round(sum((x - mx) * effect) / sum((x - mx) * (x - mx)), 8) AS trend FROM x JOIN m USING (regime, edge_type) GROUP BY 1, 2")
 def latitude_trend(spark, sf_dir):
     """Change of the effect per ten degrees, as a fixed linear contrast."""
-    c = cells(spark, sf_dir).select(F.col("node").alias("target_region"), (F.col("lat") / 10).alias("x"))
-    e = edges(spark, sf_dir).join(F.broadcast(c), "target_region")  # 25 cells
+    c = stations(spark, sf_dir).select(F.col("node").alias("target_region"), (F.col("lat") / 10).alias("x"))
+    e = edges(spark, sf_dir).join(c, "target_region")
     w = Window.partitionBy("regime", "edge_type")
     e = e.withColumn("c", F.col("x") - F.avg("x").over(w))
     return e.groupBy("regime", "edge_type").agg(F.round(F.sum(F.col("c") * F.col("effect")) / F.sum(F.col("c") * F.col("c")), 8).alias("trend"))
@@ -29,8 +29,8 @@ def latitude_trend(spark, sf_dir):
 
 @query(_WC + ", b AS (SELECT regime, edge_type, CASE WHEN abs(lat) < 23.5 THEN 'tropics' WHEN abs(lat) < 60 THEN 'midlatitude' ELSE 'polar' END AS band, avg(effect) AS m, count(*) AS n FROM edges JOIN cells ON node = target_region GROUP BY 1, 2, 3) SELECT h.regime, h.edge_type, h.band AS band, h.n, round(h.m - l.m, 8) AS minus_tropics FROM b h JOIN b l USING (regime, edge_type) WHERE l.band = 'tropics' AND h.band <> 'tropics'")
 def band_differences(spark, sf_dir):
-    c = cells(spark, sf_dir).select(F.col("node").alias("target_region"), spatial.band(F.col("lat")).alias("band"))
-    b = edges(spark, sf_dir).join(F.broadcast(c), "target_region").groupBy("regime", "edge_type", "band").agg(F.avg("effect").alias("m"), F.count("*").alias("n"))
+    c = stations(spark, sf_dir).select(F.col("node").alias("target_region"), spatial.band(F.col("lat")).alias("band"))
+    b = edges(spark, sf_dir).join(c, "target_region").groupBy("regime", "edge_type", "band").agg(F.avg("effect").alias("m"), F.count("*").alias("n"))
     low = b.filter("band = 'tropics'").select("regime", "edge_type", F.col("m").alias("low"))
     return b.filter("band <> 'tropics'").join(low, ["regime", "edge_type"]).select("regime", "edge_type", "band", "n", F.round(F.col("m") - F.col("low"), 8).alias("minus_tropics"))
 
@@ -72,7 +72,7 @@ def stratified_paths(spark, sf_dir):
 def matched_random_edges(spark, sf_dir):
     """Random pairs of about an edge's distance, each pair used once: proposals and acceptances in rounds, tolerance 10, 20, then any per cent."""
     e = edges(spark, sf_dir).filter("regime = 'winter' and lag = 1 and edge_type = 'wind->humidity' and p_value < 0.3 and source_region <> target_region")
-    km = spatial.pairs(cells(spark, sf_dir)).filter("source <> target").select("source", "target", "km")
+    km = spatial.pairs(stations(spark, sf_dir)).filter("source <> target").select("source", "target", "km")
     e = e.join(km, (F.col("source_region") == F.col("source")) & (F.col("target_region") == F.col("target"))).select(F.xxhash64("source", "target").alias("edge"), F.col("source").alias("es"), F.col("target").alias("et"), F.col("km").alias("ekm"))
     return match_by_distance(e, km)
 
@@ -111,7 +111,7 @@ def kmeans_regions(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
 
     la, lo = F.radians("lat"), F.radians("lon")
-    c = cells(spark, sf_dir).select("node", (F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z"))
+    c = stations(spark, sf_dir).select("node", (F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z"))
     v = VectorAssembler(inputCols=["x", "y", "z"], outputCol="v").transform(c)
     return KMeans(k=6, seed=1, featuresCol="v", predictionCol="region").fit(v).transform(v).select("node", "region")
 

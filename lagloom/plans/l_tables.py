@@ -11,12 +11,12 @@ from lagloom.operators import gram, spatial
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
 from lagloom.plans.m_verify import class_predictions, predictions
-from lagloom.sources.fixtures import cells, ctes, edges, panel_orders, panel_ship, table
+from lagloom.sources.fixtures import HAV_SQL, ctes, edges, panel_orders, panel_ship, stations, table
 
 QUERIES, query = section()
 _W = ctes("edges")
 _K = ", ".join(KEY)
-_HAV = "2 * 6371.0 * asin(sqrt(least(greatest(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 0), 1)))"
+_HAV = HAV_SQL
 
 
 @query("WITH x AS (SELECT l_returnflag AS g, l_quantity AS z, l_extendedprice / 1000 AS y FROM lineitem), m AS (SELECT g, count(*) AS n, avg(z) AS mz, avg(y) AS my, var_pop(z) * count(*) AS szz, covar_pop(y, z) / var_pop(z) AS b FROM x GROUP BY 1) SELECT g, any_value(n) AS n, round(any_value(b), 8) AS slope, round(sqrt(sum(pow(z - mz, 2) * pow((y - my - b * (z - mz)) / (1 - 1.0 / n - pow(z - mz, 2) / szz), 2))) / any_value(szz), 10) AS se_hc3 FROM x JOIN m USING (g) GROUP BY 1")
@@ -50,16 +50,16 @@ def variable_preserving_edges(spark, sf_dir):
 _NN = f"nn AS (SELECT k.k, source, target FROM (SELECT a.node AS source, b.node AS target, row_number() OVER (PARTITION BY b.node ORDER BY {_HAV}, a.node) AS r FROM cells a, cells b WHERE a.node <> b.node), (VALUES (2), (4), (6)) k(k) WHERE r <= k.k)"
 
 
-@query(ctes("cells") + f", {_NN}, base AS (SELECT source, target FROM nn WHERE k = 2) SELECT k, count(*) AS n, count(*) FILTER ((source, target) IN (SELECT source, target FROM base)) AS recovered, count(*) FILTER ((source, target) NOT IN (SELECT source, target FROM base)) AS fresh FROM nn GROUP BY 1")
+@query(ctes("stations") + f", {_NN}, base AS (SELECT source, target FROM nn WHERE k = 2) SELECT k, count(*) AS n, count(*) FILTER ((source, target) IN (SELECT source, target FROM base)) AS recovered, count(*) FILTER ((source, target) NOT IN (SELECT source, target FROM base)) AS fresh FROM nn GROUP BY 1")
 def neighbour_robustness(spark, sf_dir):
-    r = spatial.nearest(cells(spark, sf_dir), 6).select("source", "target", "rank")
+    r = spatial.nearest(stations(spark, sf_dir), 6).select("source", "target", "rank")
     nn = r.withColumn("k", F.explode(F.array(F.lit(2), F.lit(4), F.lit(6)))).filter("rank <= k")
     return nn.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= 2).alias("recovered"), F.count_if(F.col("rank") > 2).alias("fresh"))
 
 
-@query(ctes("cells") + f", {_NN} SELECT source, target, string_agg(k::VARCHAR, ',' ORDER BY k) AS ks, count(*) = 3 AS stable FROM nn GROUP BY 1, 2")
+@query(ctes("stations") + f", {_NN} SELECT source, target, string_agg(k::VARCHAR, ',' ORDER BY k) AS ks, count(*) = 3 AS stable FROM nn GROUP BY 1, 2")
 def stable_neighbours(spark, sf_dir):
-    r = spatial.nearest(cells(spark, sf_dir), 6).select("source", "target", "rank").withColumn("k", F.explode(F.array(F.lit(2), F.lit(4), F.lit(6)))).filter("rank <= k")
+    r = spatial.nearest(stations(spark, sf_dir), 6).select("source", "target", "rank").withColumn("k", F.explode(F.array(F.lit(2), F.lit(4), F.lit(6)))).filter("rank <= k")
     g = r.groupBy("source", "target").agg(F.array_sort(F.collect_set("k")).alias("s"))
     return g.select("source", "target", F.array_join(F.col("s").cast("array<string>"), ",").alias("ks"), (F.size("s") == 3).alias("stable"))
 
@@ -157,11 +157,11 @@ def terrain_screen(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("source")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("l_extendedprice") < 20000, 1.0).otherwise(0.0)), 8).alias("below"))
 
 
-@query(ctes("cells") + " SELECT node, round(6371.0 * 6371.0 * radians(14.4) * (sin(radians(least(lat + 3.5, 90))) - sin(radians(greatest(lat - 3.5, -90)))), 3) AS area, round(6371.0 * radians(7), 6) AS meridional_face, round(6371.0 * radians(14.4) * cos(radians(least(lat + 3.5, 90))), 6) AS northern_face FROM cells")
+@query(ctes("stations") + " SELECT node, round(6371.0 * 6371.0 * radians(14.4) * (sin(radians(least(lat + 3.5, 90))) - sin(radians(greatest(lat - 3.5, -90)))), 3) AS area, round(6371.0 * radians(7), 6) AS meridional_face, round(6371.0 * radians(14.4) * cos(radians(least(lat + 3.5, 90))), 6) AS northern_face FROM cells")
 def grid_geometry(spark, sf_dir):
     r, lat = 6371.0, F.col("lat")
     north, south = F.radians(F.least(lat + 3.5, F.lit(90.0))), F.radians(F.greatest(lat - 3.5, F.lit(-90.0)))
-    return cells(spark, sf_dir).select("node", F.round(r * r * math.radians(14.4) * (F.sin(north) - F.sin(south)), 3).alias("area"), F.round(F.lit(r * math.radians(7)), 6).alias("meridional_face"), F.round(r * math.radians(14.4) * F.cos(north), 6).alias("northern_face"))
+    return stations(spark, sf_dir).select("node", F.round(r * r * math.radians(14.4) * (F.sin(north) - F.sin(south)), 3).alias("area"), F.round(F.lit(r * math.radians(7)), 6).alias("meridional_face"), F.round(r * math.radians(14.4) * F.cos(north), 6).alias("northern_face"))
 
 
 @query("""WITH f AS (SELECT year(l_shipdate) AS t, CAST(l_partkey * 31 % 8 AS BIGINT) AS i, CAST(l_suppkey * 7 % 12 AS BIGINT) AS j, avg(l_quantity) AS qu FROM lineitem GROUP BY 1, 2, 3)

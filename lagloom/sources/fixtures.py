@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagloom.operators import clean, screen, spatial
+from lagloom.operators.lineage import stored
 from lagloom.sources.ship import ship
 
 VARIABLES = ("wind", "humidity", "cloud_cover", "temperature")
@@ -73,22 +75,86 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One node for each supplier with coordinates from its key; keys 2j and 2j + 1 mirror each other across the equator."""
+    k = F.col("s_suppkey").cast("long")
+    j = F.floor(k / 2).cast("long")
+    lat = F.lit(2.5) + F.lit(80.0) * ((j * 414214) % 1000003) / F.lit(1000003.0)
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("node"), F.when(k % 2 == 0, lat).otherwise(-lat).alias("lat"), (F.lit(-180.0) + F.lit(360.0) * ((j * 618034) % 1000003) / F.lit(1000003.0)).alias("lon")
+    )
+
+
+def station_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised weekly anomalies of every supplier and variable, gaps filled: t, node, variable, value. Stored once."""
+    return stored(spark, "station-climate", f"{sf_dir}/lineitem.parquet", lambda: climate_of(_station_panel(spark, sf_dir)))
+
+
+def _station_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    t = F.floor(day_number(F.col("l_shipdate")) / 7).cast("long")
+    return li.groupBy(t.alias("t"), F.col("l_suppkey").cast("long").alias("node")).agg(
+        F.avg("l_quantity").alias("wind"), F.avg("l_discount").alias("humidity"), F.avg("l_tax").alias("cloud_cover"), F.avg("l_extendedprice").alias("temperature")
+    )
+
+
+def climate_of(wide: DataFrame) -> DataFrame:
+    """A panel of the four variables in long form, dense in t, gaps filled, as standardised weekly anomalies."""
+    long = long_panel(wide, "t", "node")
+    ends = long.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    grid = clean.dense(long, ends.select(F.explode(F.sequence("a", "b")).alias("t")), long.select("node", "variable").distinct())
+    return clean.weekly_climate(clean.fill_gaps(grid, ["node", "variable"], 6), ["node", "variable"])
+
+
+#: Variable pairs of the tested edges.
+EDGE_TYPES = (("wind", "humidity"), ("humidity", "cloud_cover"), ("wind", "cloud_cover"))
+
+
+def station_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each station with itself and with its two nearest ones, both ways, for every variable pair."""
+    st = stations(spark, sf_dir)
+    near = spatial.nearest(st, 2).select("source", "target")
+    both = near.union(near.select("target", "source")).union(st.select("node", "node")).distinct().toDF("source_region", "target_region")
+    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("source_var"), F.lit(b).alias("target_var")) for a, b in EDGE_TYPES]))
+    return both.withColumn("v", pair).select("source_region", "target_region", "v.*")
+
+
+def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All station candidates tested at lags 1 to 3 in winter and summer, with HAC errors. Stored once."""
+    make = lambda: screen.screen(station_candidates(spark, sf_dir), screen.series(station_climate(spark, sf_dir)))
+    return stored(spark, "station-tests", f"{sf_dir}/lineitem.parquet", make)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested edges: two regimes, three variable pairs, lags 1 to 3 between ten nations, p and effect by arithmetic on the keys."""
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 10").select(F.col("n_nationkey").cast("long").alias("k"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("source_var"), F.lit(b).alias("target_var"), F.lit(i).alias("i")) for i, (a, b) in enumerate((("wind", "humidity"), ("humidity", "cloud_cover"), ("wind", "cloud_cover")))]))
-    a, b, lag, i, g = (F.col(c) for c in ("source_region", "target_region", "lag", "i", "g"))
-    return (
-        n.select(F.col("k").alias("source_region")).crossJoin(F.broadcast(n.select(F.col("k").alias("target_region"))))  # 100 rows: nation keys below 10
-        .withColumn("pair", pairs).withColumn("lag", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")))).withColumn("g", F.explode(F.array(F.lit(0), F.lit(1))))
-        .select("source_region", "target_region", "pair.source_var", "pair.target_var", "lag", F.when(F.col("g") == 0, "winter").otherwise("summer").alias("regime"), F.col("pair.i").alias("i"), "g")
-        .withColumn("p_value", ((a * 31 + b * 17 + lag * 7 + i * 57 + g * 101) * 13 % 997) / F.lit(997.0))
-        .withColumn("effect", (((a * 13 + b * 29 + lag * 5 + i * 3 + g * 11) % 41) - 20) / F.lit(20.0))
-        .withColumn("edge_type", F.concat_ws("->", "source_var", "target_var"))
-        .drop("i", "g")
+    """The tests as edges: KEY, regime, p_value, effect (both rounded, so that reports agree to the last digit), edge_type."""
+    return tests(spark, sf_dir).filter("effect is not null").select(
+        "source_region", "target_region", "source_var", "target_var", "lag", "regime", F.round("p_value", 7).alias("p_value"), F.round("effect", 6).alias("effect"),
+        F.concat_ws("->", "source_var", "target_var").alias("edge_type"),
     )
 
 
+def normal_tail_sql(z: str) -> str:
+    """Two-sided tail of the normal distribution: the series of the error function with positive terms, for the oracle."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    terms = f"list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest({x}, 1e-300)) + (2 * k) * ln(2.0) + lgamma(k + 1.0) - lgamma(2 * k + 2.0) - {x} * {x})))"
+    return f"(CASE WHEN abs({z}) > 8 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * {terms}) END)"
+
+
+HAV_SQL = "2 * 6371.0 * asin(sqrt(least(greatest(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 0), 1)))"
+
+
+def climate_sql(src: str, name: str) -> str:
+    """The steps of climate_of() for a panel ``src``; ends in ``name`` (t, node, variable, v)."""
+    p = name + "_"
+    return f"""{p}l AS (SELECT t, node, variable, value FROM {src} UNPIVOT (value FOR variable IN (wind, humidity, cloud_cover, temperature))),
+{p}g AS (SELECT tt.t, k.node, k.variable, l.value FROM (SELECT unnest(range((SELECT min(t) FROM {p}l), (SELECT max(t) FROM {p}l) + 1)) AS t) tt CROSS JOIN (SELECT DISTINCT node, variable FROM {p}l) k LEFT JOIN {p}l l ON l.t = tt.t AND l.node = k.node AND l.variable = k.variable),
+{p}f AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER b AS tp, last_value(value IGNORE NULLS) OVER b AS vp, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER f AS tn, first_value(value IGNORE NULLS) OVER f AS vn FROM {p}g
+ WINDOW b AS (PARTITION BY node, variable ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY node, variable ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{p}v AS (SELECT t, node, variable, CASE WHEN value IS NOT NULL THEN value WHEN tp IS NULL THEN coalesce(vn, 0) WHEN tn IS NULL THEN vp ELSE vp + (vn - vp) * (CASE WHEN t - tp <= 6 OR tn - t <= 6 THEN t - tp ELSE 6 END) / (tn - tp) END AS value FROM {p}f),
+{p}a AS (SELECT t, node, variable, value - avg(value) OVER (PARTITION BY node, variable, t % 52) AS a FROM {p}v),
+{name} AS MATERIALIZED (SELECT t, node, variable, coalesce((a - avg(a) OVER w) / (CASE WHEN stddev_pop(a) OVER w < 1e-8 THEN 1 ELSE stddev_pop(a) OVER w END), 0) AS v FROM {p}a WINDOW w AS (PARTITION BY node, variable))"""
+
+
 SQL = {
     "panel": """panel AS (SELECT CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7) AS BIGINT) AS t, CAST(l_suppkey % 5 AS BIGINT) AS node,
   avg(l_quantity) AS wind, avg(l_discount) AS humidity, avg(l_tax) AS cloud_cover, avg(l_extendedprice) AS temperature FROM lineitem GROUP BY 1, 2)""",
@@ -100,14 +166,38 @@ SQL = {
     "panel_events": """panel_events AS (SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) AS t, CAST(user_id % 4 AS BIGINT) AS node, event_type AS variable, avg(value) AS value FROM events GROUP BY 1, 2, 3)""",
     "cells": """cells AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(-85.0 AS DOUBLE) + CAST(170.0 AS DOUBLE) * ((n_nationkey * 7) % 25) / CAST(24.0 AS DOUBLE) AS lat,
   CAST(-180.0 AS DOUBLE) + CAST(360.0 AS DOUBLE) * ((n_nationkey * 11) % 25) / CAST(25.0 AS DOUBLE) AS lon FROM nation)""",
-    "edges": """edges AS (SELECT a.n_nationkey::BIGINT AS source_region, b.n_nationkey::BIGINT AS target_region, v.sv AS source_var, v.tv AS target_var, l.lag::BIGINT AS lag, g.regime,
-  ((a.n_nationkey * 31 + b.n_nationkey * 17 + l.lag * 7 + v.i * 57 + g.g * 101) * 13 % 997) / CAST(997.0 AS DOUBLE) AS p_value,
-  (((a.n_nationkey * 13 + b.n_nationkey * 29 + l.lag * 5 + v.i * 3 + g.g * 11) % 41) - 20) / CAST(20.0 AS DOUBLE) AS effect, v.sv || '->' || v.tv AS edge_type
-  FROM nation a, nation b, (VALUES (0, 'wind', 'humidity'), (1, 'humidity', 'cloud_cover'), (2, 'wind', 'cloud_cover')) v(i, sv, tv), (VALUES (1), (2), (3)) l(lag),
-  (VALUES (0, 'winter'), (1, 'summer')) g(g, regime) WHERE a.n_nationkey < 10 AND b.n_nationkey < 10)""",
+    "stations": """cells AS MATERIALIZED (SELECT s_suppkey::BIGINT AS node, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END * (CAST(2.5 AS DOUBLE) + CAST(80.0 AS DOUBLE) * ((s_suppkey // 2 * 414214) % 1000003) / CAST(1000003.0 AS DOUBLE)) AS lat,
+  CAST(-180.0 AS DOUBLE) + CAST(360.0 AS DOUBLE) * ((s_suppkey // 2 * 618034) % 1000003) / CAST(1000003.0 AS DOUBLE) AS lon FROM supplier)""",
+    "station_climate": """sp AS (SELECT CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7) AS BIGINT) AS t, l_suppkey::BIGINT AS node,
+  avg(l_quantity) AS wind, avg(l_discount) AS humidity, avg(l_tax) AS cloud_cover, avg(l_extendedprice) AS temperature FROM lineitem GROUP BY 1, 2),
+""" + climate_sql("sp", "sc"),
+    "tests": f"""near2 AS (SELECT source, target FROM (SELECT a.node AS source, b.node AS target, row_number() OVER (PARTITION BY b.node ORDER BY {HAV_SQL}, a.node) AS r FROM cells a, cells b WHERE a.node <> b.node) WHERE r <= 2),
+cand2 AS (SELECT source AS s, target AS g FROM near2 UNION SELECT target, source FROM near2 UNION SELECT node, node FROM cells),
+ct AS MATERIALIZED (SELECT s, g, sv, tv FROM cand2 CROSS JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in EDGE_TYPES)}) e(sv, tv)),
+yo AS MATERIALIZED (SELECT t, node, variable, v, lag(v) OVER (PARTITION BY node, variable ORDER BY t) AS o FROM sc), xl AS MATERIALIZED (SELECT node, variable, t + lag AS t, lag::BIGINT AS lag, v FROM sc, (VALUES (1), (2), (3)) k(lag)),
+td AS MATERIALIZED (SELECT y.t, s AS source_region, g AS target_region, sv AS source_var, tv AS target_var, x.lag, CASE WHEN y.t % 52 < 26 THEN 'winter' ELSE 'summer' END AS regime, y.v AS y, y.o AS c, x.v AS z
+  FROM ct JOIN yo y ON y.node = g AND y.variable = tv JOIN xl x ON x.node = s AND x.variable = sv AND x.t = y.t WHERE y.o IS NOT NULL),
+tf AS (SELECT *, szz - scz * scz / scc AS zss, syz - scz * syc / scc AS zy, syy - syc * syc / scc AS rss_r, n - 3 AS df FROM (SELECT source_region, target_region, source_var, target_var, lag, regime, count(*) AS n, covar_pop(y, y) * count(*) AS syy, covar_pop(c, c) * count(*) AS scc, covar_pop(z, z) * count(*) AS szz,
+  covar_pop(y, c) * count(*) AS syc, covar_pop(y, z) * count(*) AS syz, covar_pop(c, z) * count(*) AS scz, avg(y) AS my, avg(c) AS mc, avg(z) AS mz FROM td GROUP BY ALL)),
+ts AS (SELECT d.source_region, d.target_region, d.source_var, d.target_var, d.lag, d.regime, d.t, ((z - mz) - scz / scc * (c - mc)) * (((y - my) - syc / scc * (c - mc)) - zy / zss * ((z - mz) - scz / scc * (c - mc))) AS s FROM td d JOIN tf f USING (source_region, target_region, source_var, target_var, lag, regime)),
+tm AS (SELECT source_region, target_region, source_var, target_var, lag, regime, sum(s * (s + 2 * ((1 - t / 5.0) * coalesce(s0, 0) + coalesce(s1, 0) / 5.0))) AS meat FROM (SELECT *, sum(s) OVER w AS s0, sum(s * t) OVER w AS s1 FROM ts WINDOW w AS (PARTITION BY source_region, target_region, source_var, target_var, lag, regime ORDER BY t RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING)) GROUP BY ALL),
+tests AS MATERIALIZED (SELECT source_region, target_region, source_var, target_var, lag, regime, n, zy / zss AS effect, sqrt((rss_r - zy * zy / zss) / df / zss) AS se_ols, sqrt(meat * n / df) / zss AS se_hac, zy / sqrt(meat * n / df) AS z_hac, zy * zy / zss / rss_r AS partial_r2 FROM tf JOIN tm USING (source_region, target_region, source_var, target_var, lag, regime))""",
+    "edges": f"""edges AS MATERIALIZED (SELECT source_region, target_region, source_var, target_var, lag, regime, round({normal_tail_sql("z_hac")}, 7) AS p_value, round(effect, 6) AS effect, source_var || '->' || target_var AS edge_type FROM tests)""",
 }
 
+_NEEDS = {"tests": ("stations", "station_climate"), "edges": ("tests",)}
+
 
 def ctes(*names: str) -> str:
-    """WITH clause of the named views, to which a query appends its own."""
-    return "WITH " + ",\n".join(SQL[n] for n in names)
+    """WITH clause of the named views and of those they read, to which a query appends its own."""
+    order: list[str] = []
+
+    def add(n: str) -> None:
+        for m in _NEEDS.get(n, ()):
+            add(m)
+        if n not in order:
+            order.append(n)
+
+    for n in names:
+        add(n)
+    return "WITH " + ",\n".join(SQL[n] for n in order)
