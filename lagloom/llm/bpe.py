@@ -232,19 +232,52 @@ class Vocab:
 
 
 class LibraryVocab(Vocab):
-    """The same pieces and ids, with each distinct pre-token encoded by tiktoken; encoding is cheap, so fewer pieces are kept."""
+    """The same ids from tiktoken's encoder, for operators whose method is another one.
 
-    keep = 200_000
+    Its pattern is PATTERN with possessive repeats. Texts are handed over in runs of
+    at most ``run`` characters, cut where a pre-token ends; a run on which its regex
+    gives up (very long white space) goes by pieces as in ``Vocab``.
+    """
+
+    run = 1_000_000
 
     def prepare(self, vocab: dict[str, int], merges: list) -> None:
         import tiktoken
 
-        self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=self.id_of, special_tokens={})._core_bpe
+        pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+        self.core = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=self.id_of, special_tokens={})._core_bpe
 
     def encode_words(self, words: Iterable[bytes], most_nodes: int = 0) -> list[bytes]:
         one = self.core.encode_single_piece
         return [array("I", one(w)).tobytes() for w in words]
 
+    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        for t in texts:
+            out = []
+            marked = self.cut is not None and t and any(s in t for s in self.special)
+            for i, p in enumerate(self.cut.split(t) if marked else [t or ""]):
+                if i % 2:
+                    out.append(self.special[p].to_bytes(4, "little"))
+                else:
+                    out.extend(map(self._ids, self._runs(p)))
+            yield b"".join(out)
+
+    def _runs(self, text: str) -> Iterator[str]:
+        lo = 0
+        while len(text) - lo > self.run:
+            at = _CUT.search(text, lo + self.run)
+            if at is None:
+                break
+            yield text[lo : at.start()]
+            lo = at.start()
+        yield text[lo:] if lo else text
+
+    def _ids(self, text: str) -> bytes:
+        try:
+            return memoryview(self.core.encode_to_tiktoken_buffer(text, set())).tobytes()
+        except ValueError:
+            return next(super().encode_batch([text]))
+
 
 def _units_of(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")

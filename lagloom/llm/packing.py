@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,10 +112,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
     ranked = keyed.withColumn("rank", rank).join(base.hint("shuffle_merge"), ["length", "salt"])
     slots = spark.sparkContext.broadcast(places(shortest_pack_first(histogram, size)))
 
-    @F.pandas_udf("struct<sequence_id long, offset long>", F.PandasUDFType.SCALAR)
-    def place(length, rank):
-        import pandas as pd
-
+    @F.pandas_udf("struct<sequence_id long, offset long>")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         n, r = length.to_numpy(), rank.to_numpy()
         seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
         for x in np.unique(n):
