@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lagloom.llm import bpe, egojoin, htmlextract, minhash, packing, quality, suffixdedup, tokencounts, toxicity, vafile
-from lagloom.llm.common import table
+from lagloom.llm.common import stage, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencounts.count(tokencounts.revisions(table(spark, sf_dir, "documents")))
+    docs = tokencounts.revisions(table(spark, sf_dir, "documents"))
+    return tokencounts.update(stage(tokencounts.trees(docs, with_edits=True), "trees"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 Each document keeps a segment tree over its pre-tokens: leaves hold runs of pieces
 that begin at cuts which no change further away can move (a space before a
-non-space), inner nodes the sums of characters and tokens below. An edit finds the
-leaves it touches by their character sums, takes the leaf before in if the edit
-reaches the cut itself, encodes only those leaves again, and updates the sums on
-the way up.
+non-space that begins no special token), inner nodes the sums of characters and
+tokens below. An edit finds the leaves it touches by their character sums, takes
+the leaf before in if the cut between them does not hold any more, encodes only
+those leaves again, and updates the sums on the way up. What has grown beyond two
+leaves is split; other leaves keep their counts.
+
+Trees are a table: ``trees`` makes it, ``update`` takes edits and can return it for
+the next edits, so that no later edit costs a full encoding.
 """
 
 from __future__ import annotations
@@ -13,43 +17,66 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.llm import bpe
 
 _EDITS = "array<struct<start: long, length: long, text: string>>"
+#: Columns of a table of trees: the text and, by leaf, its characters and tokens.
+TREE = ["doc_id", "text", "n_tokens", "n_pieces", "chars", "tokens"]
+_TREE = "doc_id long, text string, n_tokens long, n_pieces long, chars array<int>, tokens array<int>"
 
 
 class CountTree:
-    """Characters and tokens of a text, by leaves of ``width`` pieces."""
+    """Characters and tokens of a text, by leaves of about ``width`` pieces."""
 
-    def __init__(self, text: str, encode: bpe.Vocab, width: int = 32):
+    def __init__(self, text: str, encode: bpe.Vocab, width: int = 32, chars: list[int] | None = None, tokens: list[int] | None = None):
+        """Without counts by leaf (``chars``, ``tokens``) the text is encoded."""
         self.encode, self.width = encode, width
         self.encoded = 0  # pieces encoded so far
-        self._build(text)
+        marks = sorted(encode.special, key=len, reverse=True)
+        self.spaced = any(" " in s for s in marks)  # such a token may span any cut
+        self.cut = regex.compile(r" (?=\S)" + (f"(?!{'|'.join(map(regex.escape, marks))})" if marks else ""))
+        if chars is None or tokens is None:
+            leaves = self._leaves(self._pieces(text))
+            self._lay(leaves, self._count(leaves))
+        else:
+            leaves, at = [], 0
+            for n in chars:
+                leaves.append(text[at : at + n])
+                at += n
+            self._lay(leaves or [""], list(tokens) or [0])
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces of a text, each but the first with its leading space."""
-        units = bpe._units_of(text)
+        if not any(s in text for s in self.encode.special):
+            units = bpe._units_of(text)
+        elif self.spaced:
+            return [text]
+        else:
+            units = self.cut.split(text)
         return [units[0], *(" " + u for u in units[1:])]
 
-    def _tokens(self, text: str) -> int:
-        self.encoded += text.count(" ") + 1
-        return len(next(iter(self.encode.encode_batch([text])))) // 4
+    def _leaves(self, pieces: list[str], parts: int | None = None) -> list[str]:
+        """Pieces dealt into leaves of ``width``, or into so many parts."""
+        n = self.width if parts is None else -(-len(pieces) // parts)
+        return ["".join(pieces[i : i + n]) for i in range(0, len(pieces), n)]
 
-    def _build(self, text: str) -> None:
-        p = self._pieces(text)
-        if any(s in text for s in self.encode.special):  # a special token may span a cut: one leaf
-            p = [text]
-        self.leaves = ["".join(p[i : i + self.width]) for i in range(0, len(p), self.width)]
+    def _count(self, leaves: list[str]) -> list[int]:
+        self.encoded += sum(len(self._pieces(x)) for x in leaves)
+        return [len(raw) // 4 for raw in self.encode.encode_batch(leaves)]
+
+    def _lay(self, leaves: list[str], tokens: list[int]) -> None:
+        """Put leaves with their counts into a new tree."""
+        self.leaves = leaves
         self.size = 1
-        while self.size < len(self.leaves):
+        while self.size < len(leaves):
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        self.encoded += len(p)
-        for i, (leaf, raw) in enumerate(zip(self.leaves, self.encode.encode_batch(self.leaves), strict=True), self.size):
-            self.chars[i], self.tokens[i] = len(leaf), len(raw) // 4
+        self.chars[self.size : self.size + len(leaves)] = map(len, leaves)
+        self.tokens[self.size : self.size + len(leaves)] = tokens
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
@@ -76,30 +103,30 @@ class CountTree:
         a, off = self._find(start)
         if start == self.chars[1]:
             off = len(self.leaves[a])
-        b, _ = self._find(stop - 1 if stop > start else start)
-        first = a
-        while off < 2 and a:  # the cut before leaf a may move: its left neighbour comes in
-            a -= 1
-            off += len(self.leaves[a])
-        b = max(first, b)
-        rest = stop - start
-        left = sum(len(x) for x in self.leaves[a : b + 1]) - off - rest
-        while left < 2 and b + 1 < len(self.leaves):  # so may the cut behind it
-            b += 1
-            left += len(self.leaves[b])
+        b = max(a, self._find(stop - 1 if stop > start else start)[0])
+        if self.spaced:
+            a, b, off = 0, len(self.leaves) - 1, start
         old = "".join(self.leaves[a : b + 1])
-        new = old[:off] + text + old[off + rest :]
-        if len(new) > 8 * max(len(old), 64 * self.width) or any(s in new or s in old for s in self.encode.special):
-            self._build("".join([*self.leaves[:a], new, *self.leaves[b + 1 :]]))
+        new = old[:off] + text + old[off + stop - start :]
+        while a and new and not self.cut.match(new):  # the cut before does not hold any more
+            a -= 1
+            new = self.leaves[a] + new
+        pieces, slots = self._pieces(new), b - a + 1
+        if len(pieces) <= 2 * self.width * slots:
+            leaves = self._leaves(pieces, min(slots, -(-len(pieces) // self.width))) if new else []
+            tokens = self._count(leaves)
+            empty = slots - len(leaves)
+            leaves, tokens = leaves + [""] * empty, tokens + [0] * empty
+            for i, (leaf, n) in enumerate(zip(leaves, tokens, strict=True), a):
+                self.leaves[i], self.chars[i + self.size], self.tokens[i + self.size] = leaf, len(leaf), n
+            touched = {(i + self.size) // 2 for i in range(a, b + 1)}
+            while touched and max(touched):
+                for k in touched:
+                    self._sum(k)
+                touched = {k // 2 for k in touched}
             return
-        for i in range(a, b + 1):
-            self.leaves[i] = new if i == a else ""
-            k = i + self.size
-            self.chars[k], self.tokens[k] = (len(new), self._tokens(new)) if i == a and new else (0, 0)
-        for k in {(i + self.size) // 2 for i in range(a, b + 1)}:
-            while k:
-                self._sum(k)
-                k //= 2
+        leaves, tokens = self._leaves(pieces), self.tokens[self.size : self.size + len(self.leaves)]
+        self._lay([*self.leaves[:a], *leaves, *self.leaves[b + 1 :]], [*tokens[:a], *self._count(leaves), *tokens[b + 1 :]])
 
     @property
     def n_tokens(self) -> int:
@@ -108,43 +135,78 @@ class CountTree:
     def text(self) -> str:
         return "".join(self.leaves)
 
+    def counts(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves that hold any text."""
+        n = len(self.leaves)
+        both = [(c, t) for c, t in zip(self.chars[self.size : self.size + n], self.tokens[self.size : self.size + n], strict=True) if c]
+        return [c for c, _ in both], [t for _, t in both]
+
 
-def attach(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Documents with their edits (doc_id, seq, start, length, text) in order of seq; a document's edits are worked in one place."""
+def attach(df: DataFrame, edits: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``columns`` of documents (or of trees) with their edits (doc_id, seq, start, length, text) in order of seq; a document's edits are worked in one place."""
     one = F.struct("seq", "start", "length", F.coalesce("text", F.lit("")).alias("text"))
-    per_doc = edits.groupBy(F.col("doc_id").alias("e_id")).agg(F.sort_array(F.collect_list(one)).alias("edits"))
-    joined = docs.select("doc_id", "text").join(per_doc.hint("shuffle_merge"), F.col("doc_id") == F.col("e_id"), "left")
-    return joined.select("doc_id", "text", F.transform("edits", lambda e: F.struct(e["start"], e["length"], e["text"])).cast(_EDITS).alias("edits"))
+    per_doc = edits.groupBy(F.col("doc_id").alias("_e_id")).agg(F.sort_array(F.collect_list(one)).alias("_edits"))
+    joined = df.select(*columns).join(per_doc.hint("shuffle_merge"), F.col("doc_id") == F.col("_e_id"), "left")
+    return joined.select(*columns, F.transform("_edits", lambda e: F.struct(e["start"], e["length"], e["text"])).cast(_EDITS).alias("edits"))
 
 
-def count(docs: DataFrame, path: str | None = None, with_text: bool = False) -> DataFrame:
-    """Token counts before and after the edits in column ``edits``.
+def trees(docs: DataFrame, path: str | None = None, with_edits: bool = False) -> DataFrame:
+    """The trees of documents as a table: doc_id, text, n_tokens, n_pieces (encoded), chars and tokens by leaf, and on request the column ``edits``.
 
-    Returns doc_id, n_tokens, n_tokens_edited, n_pieces (encoded for the first
-    count), n_reencoded (encoded for the edits) and on request the edited text.
-    Null text counts as empty, null edits as none, null fields of an edit as 0 and
-    empty text; positions are code points and are held inside the text as it stands
-    then. Rows are independent; other columns are not read.
+    Null text counts as empty, and has no leaves; repeated rows have trees of their
+    own; an empty table gives none. Other columns are not read. One pass; a very long
+    text takes memory in proportion.
     """
     path = path or bpe.default_path()
-    schema = "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_reencoded long" + (", text string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = bpe.vocab(path, bpe.LibraryVocab)
         for batch in batches:
             rows = []
-            for doc_id, text, edits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for text in batch.column(1).to_pylist():
                 tree = CountTree(text or "", v)
-                before, pieces = tree.n_tokens, tree.encoded
+                rows.append((text or "", tree.n_tokens, tree.encoded, *tree.counts()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *made, *batch.columns[2:]], [*TREE, *(["edits"] if with_edits else [])])
+
+    given = docs.select("doc_id", "text", *([F.col("edits").cast(_EDITS).alias("edits")] if with_edits else []))
+    return given.mapInArrow(run, _TREE + (f", edits {_EDITS}" if with_edits else ""))
+
+
+def update(stored: DataFrame, path: str | None = None, with_trees: bool = False) -> DataFrame:
+    """Token counts before and after the edits in column ``edits`` of a table of trees; only what an edit touches is encoded.
+
+    Returns doc_id, n_tokens, n_tokens_edited, n_pieces (encoded when the tree was
+    made), n_reencoded (encoded for the edits); with ``with_trees`` the columns of
+    ``TREE`` after the edits, to be stored for the next ones. Null edits count as
+    none, null fields of an edit as 0 and empty text; positions are code points and
+    are held inside the text as it stands then. Rows are independent.
+    """
+    path = path or bpe.default_path()
+    names = TREE if with_trees else ["doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_reencoded"]
+    schema = _TREE if with_trees else ", ".join(f"{n} long" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = bpe.vocab(path, bpe.LibraryVocab)
+        for batch in batches:
+            rows = []
+            for doc_id, text, pieces, chars, tokens, edits in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                tree = CountTree(text, v, chars=chars, tokens=tokens)
+                before = tree.n_tokens
                 for e in edits or []:
                     if e is not None:
                         tree.edit(e["start"] or 0, e["length"] or 0, e["text"] or "")
-                rows.append((doc_id, before, tree.n_tokens, pieces, tree.encoded - pieces, tree.text()))
-            k = 6 if with_text else 5
-            cols = (list(zip(*rows, strict=True)) or [[]] * 6)[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(cols)], ["doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_reencoded", "text"][:k])
-
-    return docs.select("doc_id", "text", F.col("edits").cast(_EDITS).alias("edits")).mapInArrow(run, schema)
+                if with_trees:
+                    rows.append((doc_id, tree.text(), tree.n_tokens, pieces + tree.encoded, *tree.counts()))
+                else:
+                    rows.append((doc_id, before, tree.n_tokens, pieces, tree.encoded))
+            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())] if with_trees else [pa.int64()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return stored.select("doc_id", "text", "n_pieces", "chars", "tokens", F.col("edits").cast(_EDITS).alias("edits")).mapInArrow(run, schema)
 
 
 def revisions(docs: DataFrame) -> DataFrame:

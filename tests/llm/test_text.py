@@ -207,11 +207,30 @@ def test_token_counts_follow_edits(spark, odd):
             tree.edit(a, n, x)
             t = t[: min(a, len(t))] + x + t[a + n :]
             assert tree.text() == t and tree.n_tokens == size(t)
-    got = tokencounts.count(tokencounts.revisions(odd), with_text=True).collect()
-    assert len(got) == len(ODD) and all(r.n_tokens_edited == size(r.text) for r in got)
+    stored = common.stage(tokencounts.trees(tokencounts.revisions(odd), with_edits=True), "test-trees")
+    new = tokencounts.update(stored, with_trees=True).collect()
+    assert len(new) == len(ODD) and all(r.n_tokens == size(r.text) == sum(r.tokens) and len(r.text) == sum(r.chars) for r in new)
+    got = tokencounts.update(stored).collect()
+    assert sorted(r.n_tokens_edited for r in got) == sorted(r.n_tokens for r in new)
     edits = spark.createDataFrame([(4, 1, 0, 1, "bb"), (4, 2, 1, 0, None), (3, 1, 9, None, "end")], "doc_id long, seq long, start long, length long, text string")
-    texts = {r.doc_id: r.text for r in tokencounts.count(tokencounts.attach(odd, edits), with_text=True).collect()}
+    texts = {r.doc_id: r.text for r in tokencounts.update(tokencounts.attach(stored, edits, tokencounts.TREE), with_trees=True).collect()}
     assert texts[4] == "bb" and texts[3] == " end" and texts[1] == ""
+    assert tokencounts.update(tokencounts.trees(odd.limit(0)).withColumn("edits", F.lit(None))).count() == 0
+
+
+def test_edits_encode_what_they_touch_only():
+    v = bpe.LibraryVocab(bpe.default_path())
+    text = "one two three four " * 20_000
+    tree = tokencounts.CountTree(text, v)
+    long = "five six <|endoftext|> seven " * 2_000  # many leaves at once
+    for start, length, new in ((200_000, 3, "x"), (100_000, 0, long), (0, 50_000, ""), (10, 0, "<|endoftext|>")):
+        before = tree.encoded
+        tree.edit(start, length, new)
+        text = text[:start] + new + text[start + length :]
+        assert tree.text() == text and tree.encoded - before < new.count(" ") + 200
+    assert tree.n_tokens == len(next(iter(v.encode_batch([text])))) // 4
+    kept = tokencounts.CountTree(text, v, 32, *tree.counts())
+    assert kept.encoded == 0 and kept.n_tokens == tree.n_tokens
 
 
 @pytest.mark.parametrize("op,label", [(toxicity, "toxic"), (quality, "quality")])
