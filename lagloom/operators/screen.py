@@ -11,8 +11,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.functions.tails import t_tail_whole
@@ -64,6 +65,37 @@ def lag_test(y: np.ndarray, x: np.ndarray, first: int, lag: int, mask, own: int,
     return len(on), beta, math.sqrt(rss / df / zss), se, p, drop / (rss + drop) if rss + drop > 0 else 0.0
 
 
+_KEY = ["source_region", "target_region", "source_var", "target_var"]
+
+
+def _with_series(candidates: DataFrame, given: DataFrame) -> DataFrame:
+    """Candidates with the series of both ends."""
+    side = lambda s: given.select(F.col("node").alias(f"{s}_region"), F.col("variable").alias(f"{s}_var"), F.col("first").alias(f"{s}_first"), F.col("values").alias(f"{s}_values"))
+    return (
+        candidates.select(*_KEY).distinct().join(side("target").hint("shuffle_merge"), ["target_region", "target_var"])
+        .join(side("source").hint("shuffle_merge"), ["source_region", "source_var"])
+        .select(*_KEY, "target_first", "target_values", "source_first", "source_values")
+    )
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, np.ndarray, np.ndarray]]:
+    """Key, first step, and both series cut to the calendar that they share."""
+    for i in range(batch.num_rows):
+        cells = [batch.column(c)[i] for c in range(8)]
+        y, x = (np.array(cells[c].values.to_numpy(zero_copy_only=False), np.float64) for c in (5, 7))
+        ty, tx = cells[4].as_py(), cells[6].as_py()
+        first, last = max(ty, tx), min(ty + len(y), tx + len(x))
+        yield tuple(c.as_py() for c in cells[:4]), first, y[first - ty : max(0, last - ty)], x[first - tx : max(0, last - tx)]
+
+
+def _masks(regimes: dict[str, tuple[int, int, int]]) -> dict:
+    return {r: (lambda t, p=p, a=a, b=b: (t % p >= a) & (t % p < b)) for r, (p, a, b) in regimes.items()}
+
+
+def _kinds(rows: DataFrame) -> str:
+    return ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in _KEY)
+
+
 def screen(candidates: DataFrame, given: DataFrame, lags: int = 3, own: int = 1, bandwidth: int = 4, regimes: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """Every candidate (source_region, target_region, source_var, target_var) with one row per lag and regime: n, effect, se_ols, se_hac, p_value, partial_r2.
 
@@ -72,35 +104,66 @@ def screen(candidates: DataFrame, given: DataFrame, lags: int = 3, own: int = 1,
     calendar as (period, from, to).
     """
     regimes = regimes or SEASONS
-    side = lambda s: given.select(F.col("node").alias(f"{s}_region"), F.col("variable").alias(f"{s}_var"), F.col("first").alias(f"{s}_first"), F.col("values").alias(f"{s}_values"))
-    key = ["source_region", "target_region", "source_var", "target_var"]
-    rows = (
-        candidates.select(*key).distinct().join(side("target").hint("shuffle_merge"), ["target_region", "target_var"])
-        .join(side("source").hint("shuffle_merge"), ["source_region", "source_var"])
-        .select(*key, "target_first", "target_values", "source_first", "source_values")
-    )
+    rows = _with_series(candidates, given)
+    names = [*_KEY, "lag", "regime", "n", "effect", "se_ols", "se_hac", "p_value", "partial_r2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = {r: (lambda t, p=p, a=a, b=b: (t % p >= a) & (t % p < b)) for r, (p, a, b) in regimes.items()}
+        masks = _masks(regimes)
         for batch in batches:
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                cells = [batch.column(c)[i] for c in range(8)]
-                keys = tuple(c.as_py() for c in cells[:4])
-                y, x = (np.array(cells[c].values.to_numpy(zero_copy_only=False), np.float64) for c in (5, 7))
-                ty, tx = cells[4].as_py(), cells[6].as_py()
-                first, last = max(ty, tx), min(ty + len(y), tx + len(x))
-                y, x = y[first - ty : max(0, last - ty)], x[first - tx : max(0, last - tx)]
+            out = [
+                (*key, lag, name, *(lag_test(y, x, first, lag, mask, own, bandwidth) or [None] * 6))
+                for key, first, y, x in _rows(batch) for name, mask in masks.items() for lag in range(1, lags + 1)
+            ]
+            types = [*(f.type for f in list(batch.schema)[:4]), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 5]
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return rows.mapInArrow(run, f"{_kinds(rows)}, {TESTED}")
+
+
+def influences(candidates: DataFrame, given: DataFrame, lags: int = 1, own: int = 1, regimes: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+    """key, lag, regime, n, effect, first, influence of every candidate.
+
+    The influence of a step is its part of the slope's error, score / zss *
+    sqrt(n / (n - rank)); steps outside the sample are zeros, so that the series of
+    several tests can be added, subtracted and averaged step by step.
+    """
+    regimes = regimes or SEASONS
+    rows = _with_series(candidates, given)
+    names = [*_KEY, "lag", "regime", "n", "effect", "first", "influence"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = _masks(regimes)
+        for batch in batches:
+            out = []
+            for key, first, y, x in _rows(batch):
                 for name, mask in masks.items():
                     for lag in range(1, lags + 1):
-                        out.append((*keys, lag, name, *(lag_test(y, x, first, lag, mask, own, bandwidth) or [None] * 6)))
-            cols = list(zip(*out, strict=True)) or [[]] * 12
-            types = [*(f.type for f in list(batch.schema)[:4]), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 5]
-            names = [*key, "lag", "regime", "n", "effect", "se_ols", "se_hac", "p_value", "partial_r2"]
+                        start = max(own, lag)
+                        on = np.flatnonzero(mask(first + np.arange(start, len(y)))) + start
+                        c = np.stack([np.ones(len(on)), *(y[on - k] for k in range(1, own + 1))], axis=1)
+                        rank, (yr, zr) = residualised(c, y[on], x[on - lag])
+                        zss, df = float(zr @ zr), len(on) - rank - 1
+                        if not zss > 1e-12 or df < 1:
+                            continue
+                        beta, v = float(zr @ yr) / zss, np.zeros(len(y))
+                        v[on] = zr * (yr - zr * beta) / zss * math.sqrt(len(on) / df)
+                        out.append((*key, lag, name, len(on), beta, first, v))
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            types = [*(f.type for f in list(batch.schema)[:4]), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
-    return rows.mapInArrow(run, f"{kinds}, {TESTED}")
+    return rows.mapInArrow(run, f"{_kinds(rows)}, lag long, regime string, n long, effect double, first long, influence array<double>")
+
+
+def hac_error(values: Column, bandwidth: int) -> Column:
+    """HAC standard error of an effect from its influence series."""
+
+    @F.pandas_udf("double")
+    def error(series: pd.Series) -> pd.Series:
+        return series.map(lambda v: math.sqrt(max(0.0, bartlett(np.asarray(v, np.float64), bandwidth))))
+
+    return error(values)
 
 
 def block_weights(n: int, block: int, replicate: int) -> np.ndarray:
@@ -119,25 +182,13 @@ def resampled(candidates: DataFrame, given: DataFrame, lag: int, replicates: int
     and gaps stay what they were; the regime is applied to the rows drawn.
     """
     regimes = regimes or SEASONS
-    side = lambda s: given.select(F.col("node").alias(f"{s}_region"), F.col("variable").alias(f"{s}_var"), F.col("first").alias(f"{s}_first"), F.col("values").alias(f"{s}_values"))
-    key = ["source_region", "target_region", "source_var", "target_var"]
-    rows = (
-        candidates.select(*key).distinct().join(side("target").hint("shuffle_merge"), ["target_region", "target_var"])
-        .join(side("source").hint("shuffle_merge"), ["source_region", "source_var"])
-        .select(*key, "target_first", "target_values", "source_first", "source_values")
-    )
-    names = [*key, "regime", "replicate", "n", "effect", "t", "df", "p_value"]
+    rows = _with_series(candidates, given)
+    names = [*_KEY, "regime", "replicate", "n", "effect", "t", "df", "p_value"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i in range(batch.num_rows):
-                cells = [batch.column(c)[i] for c in range(8)]
-                keys = tuple(c.as_py() for c in cells[:4])
-                y, x = (np.array(cells[c].values.to_numpy(zero_copy_only=False), np.float64) for c in (5, 7))
-                ty, tx = cells[4].as_py(), cells[6].as_py()
-                first, last = max(ty, tx), min(ty + len(y), tx + len(x))
-                y, x = y[first - ty : max(0, last - ty)], x[first - tx : max(0, last - tx)]
+            for keys, first, y, x in _rows(batch):
                 start = max(own, lag)
                 rows_at = np.arange(start, len(y))
                 c = np.stack([np.ones(len(rows_at)), *(y[rows_at - k] for k in range(1, own + 1))], axis=1)
@@ -161,5 +212,4 @@ def resampled(candidates: DataFrame, given: DataFrame, lag: int, replicates: int
             types = [*(f.type for f in list(batch.schema)[:4]), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
-    return rows.mapInArrow(run, f"{kinds}, regime string, replicate long, n long, effect double, t double, df long, p_value double")
+    return rows.mapInArrow(run, f"{_kinds(rows)}, regime string, replicate long, n long, effect double, t double, df long, p_value double")
