@@ -1,7 +1,7 @@
 """Quality by supervised subword embeddings.
 
 A token (what stands between white space) has the hashed vectors of itself and of
-its character n-grams; a text is the average of its vectors, and a softmax over two
+its character n-grams, hashed for many tokens at once; a text is the average of its vectors, and a softmax over two
 classes reads it. Vectors and output are learned together by stochastic gradient
 descent. A token that repeats the one before it counts as a feature of its own, as
 does a pair of tokens by their shapes (upper case, digits, signs).
@@ -16,28 +16,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.llm.labelled import held_out, sample
 
 
-def _shape(t: str) -> str:
-    """Runs of letter case, digits and other signs, each run as one mark."""
-    out = ""
-    for c in t:
-        m = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
-        if not out.endswith(m):
-            out += m
-    return out
-
-
-def buckets(t: str, bits: int, low: int = 3, high: int = 5) -> list[int]:
-    """Buckets of a token, its shape and its character n-grams."""
-    s = f"<{t}>"
-    grams = [s[i : i + n] for n in range(low, high + 1) for i in range(len(s) - n + 1)]
-    return [xxhash.xxh32_intdigest(g) >> (32 - bits) for g in (s, "\0" + _shape(t), *grams)]
+_M = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    global _POWERS
+    if len(_POWERS) < n:
+        _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, _M, np.uint64), dtype=np.uint64)])
+    return _POWERS
+
+
+def _bucket(h: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    h = (h + np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _kinds(code: np.ndarray) -> np.ndarray:
+    """Marks of code points for shapes: small, capital, digit and other letters, other signs as they are."""
+    u, at = np.unique(code, return_inverse=True)
+    mark = lambda c: 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c.isalpha() else 16 + ord(c)
+    return np.array([mark(chr(int(x))) for x in u], np.uint64)[at]
+
+
+def buckets(tokens: list[str], bits: int, low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of tokens, of their shapes and their character n-grams, and to which token each belongs."""
+    if not tokens:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    code = np.frombuffer("".join(f"<{t}>" for t in tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 2
+    start = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(tokens)), size)
+    at = np.arange(len(code)) - start[of]
+    power = _powers(int(size.max()) + 1)
+    kind = _kinds(code)
+    begins = (at == 0) | np.concatenate([[True], kind[1:] != kind[:-1]])
+    run = np.cumsum(begins)
+    run -= run[start][of]
+    found = [
+        _bucket(np.add.reduceat(code * power[at], start), 1, bits),
+        _bucket(np.add.reduceat(np.where(begins, kind * power[run], np.uint64(0)), start), 2, bits),
+    ]
+    owner = [np.arange(len(tokens))] * 2
+    h = code
+    for n in range(2, min(high, len(code)) + 1):
+        h = h[:-1] * _M + code[n - 1 :]
+        if n >= low:
+            ok = np.flatnonzero((at + n <= size[of])[: len(h)])
+            found.append(_bucket(h[ok], n, bits))
+            owner.append(of[ok])
+    return np.concatenate(found), np.concatenate(owner)
 
 
 def _repeats(tokens: list[str]) -> int:
@@ -54,26 +89,20 @@ class Subwords:
         self.output = np.zeros((2, dim))
         self.bias = np.zeros(2)
 
-    def counts(self, text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of a text and how often each occurs."""
         tokens = text.split()
-        flat: list[int] = []
-        for t in tokens:
-            b = known.get(t)
-            if b is None:
-                b = known[t] = buckets(t, self.bits)
-            flat += b
+        flat, _ = buckets(tokens, self.bits)
         again = _repeats(tokens)
-        at, n = np.unique(np.array(flat, np.int64), return_counts=True)
+        at, n = np.unique(flat, return_counts=True)
         if again:  # as weighty as the tokens' own vectors
             at, n = np.append(at, 1 << self.bits), np.append(n, again * max(1, len(flat) // max(1, len(tokens))))
         return at, n
 
     def train(self, texts: list[tuple[str, int]], epochs: int = 5, rate: float = 0.5) -> None:
-        known: dict[str, list[int]] = {}
         rows = []
         for t, y in texts:
-            at, n = self.counts(t, known)
+            at, n = self.counts(t)
             if len(at):
                 rows.append((at.astype(np.int32), (n / n.sum()).astype(np.float32), y))
         steps = max(1, epochs * len(rows))
@@ -113,9 +142,9 @@ def scores(docs: DataFrame, parts: np.ndarray, bias: float, bits: int, keep: lis
                 tokens = (text or "").split()
                 if len(known) > 400_000:
                     known.clear()
-                for t in [t for t in set(tokens) if t not in known]:
-                    b = buckets(t, bits)
-                    known[t] = complex(w[b].sum(), len(b))
+                new = [t for t in set(tokens) if t not in known]
+                b, of = buckets(new, bits)
+                known.update(zip(new, (np.bincount(of, w[b], len(new)) + 1j * np.bincount(of, minlength=len(new))).tolist(), strict=True))
                 both = sum(map(known.__getitem__, tokens))
                 s, n = both.real, both.imag
                 again = _repeats(tokens)
