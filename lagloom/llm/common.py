@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,12 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session of one machine gets a temporary folder; on a
+    cluster it is an error.
+    """
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", "") or _own.get(sc.applicationId, "")
     if not d:
-        d = tempfile.mkdtemp(prefix="lagloom-shared-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", d)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        d = _own[sc.applicationId] = tempfile.mkdtemp(prefix="lagloom-shared-")
     return d
 
 
@@ -55,13 +61,26 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
+    """Delete the files of a staged table that nothing reads any more, and let Spark drop shuffle files of jobs that are done."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         if "/lagloom-" in f:
             path = jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()  # shuffle files go with the driver's last reference to them
+
+
+def sample_of(df: DataFrame, key: str, n: int, *columns: str) -> list:
+    """``columns`` of the ``n`` rows of least key hash, one row for each key.
+
+    Keys are picked first, so that no task sends more than ``n`` keys, and the driver
+    gets at most ``n`` rows.
+    """
+    picked = df.select(key).distinct().orderBy(F.xxhash64(key), key).limit(n)
+    rows = df.join(F.broadcast(picked), key, "left_semi").select(key, *columns)  # n keys at most
+    least = F.min_by(F.struct(*columns), F.xxhash64(*columns))
+    return [r.v for r in rows.groupBy(key).agg(least.alias("v")).select("v", F.xxhash64(key).alias("r"), key).orderBy("r", key).collect()]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -19,6 +19,7 @@ import html as htmllib
 import random
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.llm.common import sample_of
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(script|style|textarea|iframe|title|xmp|noembed|noframes)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</\1\s*>|.*\Z)|\Z)"
@@ -33,6 +36,8 @@ _TOKEN = re.compile(
     r"|[^<]+|<",
     re.S | re.I,
 )
+#: What swallows the rest of a page in which no > follows.
+_OPEN = re.compile(r"<(?:[!?]|(?:script|style|textarea|iframe|title|xmp|noembed|noframes)[\s/])", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
@@ -67,13 +72,61 @@ def is_hidden(tag: str, attrs: dict[str, str]) -> bool:
     return tag == "template" or "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(attrs.get("style", "")))
 
 
-def leaf_blocks(page: str, with_hidden: bool = False) -> list[tuple[str, tuple[str, ...], int, int]]:
-    """(text, names on the path, characters inside links, characters in hidden elements) of each leaf block with any text, in page order.
+class Path:
+    """The names of an open element and of those around it; each element holds its own names only."""
+
+    __slots__ = ("parent", "names", "main", "side")
+
+    def __init__(self, parent: Path | None, names: tuple[str, ...]):
+        self.parent, self.names = parent, names
+        self.main = (parent is not None and parent.main) or not _MAIN.isdisjoint(names)
+        self.side = (parent is not None and parent.side) or not _SIDE.isdisjoint(names)
+
+    def __iter__(self) -> Iterator[str]:
+        """All names, from the outermost element in."""
+        chain, p = [], self
+        while p is not None:
+            chain.append(p.names)
+            p = p.parent
+        for names in reversed(chain):
+            yield from names
+
+    @property
+    def leaf(self) -> str:
+        """The last name; empty outside of any element."""
+        p = self
+        while p is not None and not p.names:
+            p = p.parent
+        return p.names[-1] if p is not None else ""
+
 
-    Text in hidden elements is left out unless ``with_hidden``.
+Block = tuple[str, Path, int, int]
+
+
+def _tokens(page: str) -> Iterator[re.Match | str]:
+    """Tags, comments and texts; behind the last > no tag ends, so that text is not searched for one."""
+    end, last = page.rfind(">") + 1, None
+    for m in _TOKEN.finditer(page, 0, end):
+        yield m
+        last = m
+    if last and (last.group(1) or last.group().startswith("<!")):  # one that is not closed goes on to the end
+        end = max(end, _TOKEN.match(page, last.start()).end())
+    cut = _OPEN.search(page, end)
+    rest = page[end : cut.start()] if cut else page[end:]
+    if rest:
+        yield rest
+
+
+def leaf_blocks(page: str, with_hidden: bool = False) -> list[Block]:
+    """(text, path, characters inside links, characters in hidden elements) of each leaf block with any text, in page order.
+
+    Text in hidden elements is left out unless ``with_hidden``. Time and memory grow
+    with the length of the page, however deep its elements nest.
     """
-    out: list[tuple[str, tuple[str, ...], int, int]] = []
-    path: list[tuple[str, tuple[str, ...], bool]] = []
+    out: list[Block] = []
+    root = Path(None, ())
+    path: list[tuple[str, Path, bool, int]] = []  # tag, names, hidden, block elements up to here
+    spots: dict[str, list[int]] = {}  # where in the path each tag is open
     words: list[str] = []
     linked = unseen = 0
     hidden = 0
@@ -83,26 +136,30 @@ def leaf_blocks(page: str, with_hidden: bool = False) -> list[tuple[str, tuple[s
         if words:
             text = _SPACE.sub(" ", htmllib.unescape("".join(words))).strip()
             if text:
-                out.append((text, tuple(n for _, ns, _ in path for n in ns), linked, unseen))
+                out.append((text, path[-1][1] if path else root, linked, unseen))
             words.clear()
         linked = unseen = 0
 
     def close(at: int) -> None:
         nonlocal hidden
-        for tag, _, hid in path[at:]:
+        while len(path) > at:
+            tag, _, hid, _ = path.pop()
+            spots[tag].pop()
             hidden -= hid
-        del path[at:]
 
-    for m in _TOKEN.finditer(page):
-        tag = m.group(3)
+    def last(*tags: str) -> int:
+        return max((spots[t][-1] for t in tags if spots.get(t)), default=-1)
+
+    for m in _tokens(page):
+        tag = None if isinstance(m, str) else m.group(3)
         if tag is None:
-            t = m.group()
-            if not t.startswith("<") or t == "<":
+            t = m if isinstance(m, str) else m.group()
+            if isinstance(m, str) or not t.startswith("<") or t == "<":
                 if with_hidden or not hidden:
                     words.append(t)
                     if hidden:
                         unseen += len(t)
-                    if any(p[0] == "a" for p in path):
+                    if spots.get("a"):
                         linked += len(t)
             elif m.group(1) and m.group(1).lower() not in ("script", "style", "title"):
                 flush()
@@ -115,22 +172,17 @@ def leaf_blocks(page: str, with_hidden: bool = False) -> list[tuple[str, tuple[s
         if block:
             flush()
         if m.group(2):
-            at = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag), None)
-            if at is not None and (block or all(p[0] in _INLINE for p in path[at:])):
+            at = last(tag)
+            if at >= 0 and (block or path[-1][3] == (path[at - 1][3] if at else 0)):
                 close(at)
             continue
-        if tag in _CLOSES_P:
-            at = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == "p"), None)
-            if at is not None:
-                close(at)
+        if tag in _CLOSES_P and spots.get("p"):
+            close(spots["p"][-1])
         ends = _CLOSES_OWN.get(tag)
         if ends:
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] in ends:
-                    break
-                if path[i][0] == tag or (tag in ("dt", "dd") and path[i][0] in ("dt", "dd")) or (tag in ("td", "th") and path[i][0] in ("td", "th")):
-                    close(i)
-                    break
+            at = last(*(("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)))
+            if at > last(*ends):
+                close(at)
         if tag in _VOID or m.group(4).endswith("/"):
             continue
         if not block and tag != "a":
@@ -143,45 +195,78 @@ def leaf_blocks(page: str, with_hidden: bool = False) -> list[tuple[str, tuple[s
                 names += [x for x in re.split(r"[-_0-9]+", n) if x and x != n]
         hid = is_hidden(tag, attrs)
         hidden += hid
-        path.append((tag, tuple(names) if block else (), hid))
+        above = path[-1][1] if path else root
+        spots.setdefault(tag, []).append(len(path))
+        path.append((tag, Path(above, tuple(names)) if block else above, hid, (path[-1][3] if path else 0) + block))
     flush()
     return out
 
 
-def rule_label(names: tuple[str, ...]) -> int:
-    """Training label of a block by the names on its path: inside a main part and nothing named otherwise below it."""
-    at = max((i for i, n in enumerate(names) if n in _MAIN), default=None)
-    if at is None:
-        return 0
-    return int(not any(n in _SIDE for n in names))
+def rule_label(path: Path) -> int:
+    """Training label of a block by the names on its path: inside a main part and nothing named otherwise."""
+    return int(path.main and not path.side)
 
 
 _FIGURES = 7
 
 
-def encode(blocks: list[tuple[str, tuple[str, ...], int, int]], known: dict, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Path buckets, word buckets and figures of each block."""
+class Coded(NamedTuple):
+    """A page for the network: elements (parents come first) with their buckets, and its blocks."""
+
+    parent: np.ndarray
+    own: list[np.ndarray]
+    node: np.ndarray
+    leaf: np.ndarray
+    texts: list[np.ndarray]
+    figures: np.ndarray
+
+
+def encode(blocks: list[Block], known: dict, bits: int) -> Coded:
+    """Buckets of the elements' names and of the blocks' words, and the figures of each block."""
     if len(known) > 300_000:
         known.clear()
 
-    def bucket(kind: str, n: str) -> int:
-        k = kind + n
-        if k not in known:
-            known[k] = xxhash.xxh32_intdigest(k) >> (32 - bits)
-        return known[k]
+    def bucket(k: str) -> int:
+        b = known[k] = xxhash.xxh32_intdigest(k) >> (32 - bits)
+        return b
 
-    paths, texts = [], []
+    number: dict[int, int] = {}
+    parent, own = [], []
+    node, leaf, texts = [], [], []
     figures = np.empty((len(blocks), _FIGURES))
-    for i, (text, names, linked, unseen) in enumerate(blocks):
-        key = ("path", names)
-        if key not in known:
-            known[key] = np.array([bucket("n:", n) for n in names] + [bucket("leaf:", names[-1] if names else "")])
-        paths.append(known[key])
+    for i, (text, path, linked, unseen) in enumerate(blocks):
+        new, p = [], path
+        while p is not None and id(p) not in number:
+            new.append(p)
+            p = p.parent
+        for p in reversed(new):
+            number[id(p)] = len(parent)
+            parent.append(number[id(p.parent)] if p.parent is not None else -1)
+            key = ("own", p.names)
+            if key not in known:
+                known[key] = np.array([bucket("n:" + n) for n in p.names], np.int64)
+            own.append(known[key])
+        node.append(number[id(path)])
+        leaf.append(bucket("leaf:" + path.leaf))
         w = text.lower().split()
-        texts.append(np.array([bucket("w:", x) for x in w]))
+        texts.append(np.array([known[x] if x in known else bucket(x) for x in w], np.int64))
         n = len(text)
         figures[i] = (np.log1p(n) / 6, min(1.0, linked / n), len(w) / 50 if len(w) < 100 else 2, text[-1] in ".!?…:\"”", i / len(blocks), "©" in text or "|" in text, min(1.0, unseen / n))
-    return paths, texts, figures
+    return Coded(np.array(parent, np.int64), own, np.array(node, np.int64), np.array(leaf, np.int64), texts, figures)
+
+
+def _sums(v: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the rows of ``v`` that each part names, and the sizes of the parts."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = v[np.concatenate(parts)] if size.sum() else np.zeros((0, v.shape[1]))
+    total = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(flat, axis=0)])
+    end = np.cumsum(size)
+    return total[end] - total[end - size], size
+
+
+def _spread(at: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of v by where they belong."""
+    return np.stack([np.bincount(at, v[:, k], n) for k in range(v.shape[1])], axis=1)
 
 
 class BiLstm:
@@ -199,24 +284,26 @@ class BiLstm:
 
     def inputs(self, pages: list) -> tuple[np.ndarray, np.ndarray]:
         """Padded block vectors (pages, blocks, size) and which of them are there."""
-        longest = max(len(p[0]) for p in pages)
+        longest = max(len(p.node) for p in pages)
         x = np.zeros((len(pages), longest, 2 * self.dim + _FIGURES))
         there = np.zeros((len(pages), longest), bool)
-        for k, column in enumerate((0, 1)):
-            flat = [b for p in pages for b in p[column]]
-            size = np.array([len(b) for b in flat])
-            v = self.p["e"][np.concatenate(flat).astype(np.int64)] if size.sum() else np.zeros((0, self.dim))
-            total = np.concatenate([np.zeros((1, self.dim)), np.cumsum(v, axis=0)])
-            end = np.cumsum(size)
-            mean = (total[end] - total[end - size]) / np.maximum(size, 1)[:, None]
-            at = 0
-            for i, p in enumerate(pages):
-                n = len(p[0])
-                x[i, :n, k * self.dim : (k + 1) * self.dim] = mean[at : at + n]
-                at += n
+        e = self.p["e"]
+        words, sizes = _sums(e, [b for p in pages for b in p.texts])
+        words /= np.maximum(sizes, 1)[:, None]
+        names, counts = _sums(e, [b for p in pages for b in p.own])
+        row = element = 0
         for i, p in enumerate(pages):
-            x[i, : len(p[0]), 2 * self.dim :] = p[2]
-            there[i, : len(p[0])] = True
+            n, k = len(p.node), len(p.own)
+            path, size = names[element : element + k], counts[element : element + k]
+            for j, q in enumerate(p.parent.tolist()):  # parents come first
+                if q >= 0:
+                    path[j] += path[q]
+                    size[j] += size[q]
+            x[i, :n, : self.dim] = (path[p.node] + e[p.leaf]) / (size[p.node] + 1)[:, None]
+            x[i, :n, self.dim : 2 * self.dim] = words[row : row + n]
+            x[i, :n, 2 * self.dim :] = p.figures
+            there[i, :n] = True
+            row, element = row + n, element + k
         return x, there
 
     def _run(self, x: np.ndarray, there: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
@@ -244,7 +331,7 @@ class BiLstm:
         x, there = self.inputs(pages)
         both = np.concatenate([self._run(x, there, "f", False)[0], self._run(x, there, "b", False)[0], x], axis=2)
         p = 1 / (1 + np.exp(-np.clip(both @ self.p["out"] + self.p["b"], -30, 30)))
-        return [p[i, : len(q[0])] for i, q in enumerate(pages)]
+        return [p[i, : len(q.node)] for i, q in enumerate(pages)]
 
     def step(self, pages: list, labels: list[np.ndarray], state: dict, rate: float) -> float:
         x, there = self.inputs(pages)
@@ -272,12 +359,26 @@ class BiLstm:
                 dx[:, t] += da @ self.p["x" + d].T
                 dh = np.where(on, da @ self.p["h" + d].T, dh)
                 dc = np.where(on, dc_in * f, dc)
-        for k in (0, 1):
-            for i, q in enumerate(pages):
-                size = np.array([len(b) for b in q[k]])
-                if size.sum():
-                    per = np.repeat(dx[i, : len(size), k * self.dim : (k + 1) * self.dim] / np.maximum(size, 1)[:, None], size, axis=0)
-                    np.add.at(grad["e"], np.concatenate(q[k]).astype(np.int64), per)
+        flat, d = dx[there], self.dim  # one row per block, page by page
+        texts = [b for q in pages for b in q.texts]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        base = np.cumsum([0, *(len(q.own) for q in pages)])
+        owned = [b for q in pages for b in q.own]
+        own = np.fromiter(map(len, owned), np.int64, len(owned))
+        parent = np.concatenate([np.where(q.parent >= 0, q.parent + o, -1) for q, o in zip(pages, base, strict=False)]).tolist()
+        node = np.concatenate([q.node + o for q, o in zip(pages, base, strict=False)])
+        depth = own.tolist()
+        for j, up in enumerate(parent):
+            if up >= 0:
+                depth[j] += depth[up]
+        per = flat[:, :d] / (np.array(depth)[node] + 1)[:, None]
+        back_to = _spread(node, per, len(owned))
+        for j in range(len(owned) - 1, -1, -1):  # an element's names are in the paths of all below it
+            if parent[j] >= 0:
+                back_to[parent[j]] += back_to[j]
+        at = np.concatenate([*texts, np.concatenate([q.leaf for q in pages]), *owned]).astype(np.int64)
+        v = np.concatenate([np.repeat(flat[:, d : 2 * d] / np.maximum(size, 1)[:, None], size, axis=0), per, np.repeat(back_to, own, axis=0)])
+        grad["e"] = _spread(at, v, len(grad["e"]))
         state["n"] = n = state.get("n", 0) + 1
         for k, g in grad.items():
             m, v = state.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
@@ -298,7 +399,7 @@ _PLAIN = ("wrap", "row", "col", "inner", "page", "box", "x1", "container")
 
 def renderings(blocks: list, rng: random.Random) -> tuple[list, np.ndarray]:
     """The blocks of a page with its parts renamed, wrapped and added to, and their labels."""
-    y = [rule_label(names) for _, names, _, _ in blocks]
+    y = [rule_label(path) for _, path, _, _ in blocks]
     tag, cls = rng.choice(_MAIN_FORMS)
     wrap = ["html", "body"] + [x for _ in range(rng.randint(0, 3)) for x in ("div", rng.choice(_PLAIN))]
     main = (*wrap, tag, *([cls, *cls.split("-")] if cls else []))
@@ -315,23 +416,23 @@ def renderings(blocks: list, rng: random.Random) -> tuple[list, np.ndarray]:
             a = rng.randint(0, max(0, len(s) - 30))
             s = s[a : a + rng.randint(5, 400)].strip() or s
             leaf = rng.choice((("p",), ("li",), ("ul", "li"), ("div",), (), ("h2",), ("h3",), ("label",)))
-            rows.append(((s, (*path, *leaf), len(s) if rng.random() < 0.5 else 0, len(s) if hid else 0), 0))
+            rows.append(((s, Path(None, (*path, *leaf)), len(s) if rng.random() < 0.5 else 0, len(s) if hid else 0), 0))
         return rows
 
     rows = [r for _ in range(rng.randint(0, 3)) for r in side(False)]
-    for i, ((text, names, linked, unseen), label) in enumerate(zip(blocks, y, strict=True)):
+    for i, ((text, path, linked, unseen), label) in enumerate(zip(blocks, y, strict=True)):
         if label:
-            leaf = names[-1:] if names and names[-1] in ("p", "h1") else ("p",)
+            leaf = (path.leaf,) if path.leaf in ("p", "h1") else ("p",)
             if rng.random() < 0.3:  # lists, tables, quotes and short pieces belong to articles too
                 leaf = rng.choice((("ul", "li"), ("ol", "li"), ("h2",), ("h3",), ("blockquote",), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("div",), ("figure", "figcaption"), ("div", "p"), ()))
                 if rng.random() < 0.6:
                     a = rng.randint(0, max(0, len(text) - 20))
                     text = text[a : a + rng.randint(3, 60)].strip() or text
-            rows.append(((text, (*main, *leaf), linked if rng.random() < 0.8 else len(text) // 2, len(text) if i >= at * len(blocks) else unseen), 1))
+            rows.append(((text, Path(None, (*main, *leaf)), linked if rng.random() < 0.8 else len(text) // 2, len(text) if i >= at * len(blocks) else unseen), 1))
             if rng.random() < 0.03:
                 rows += side(True)
         else:
-            rows.append(((text, names, linked, unseen), 0))
+            rows.append(((text, path, linked, unseen), 0))
     rows += [r for _ in range(rng.randint(0, 4)) for r in side(rng.random() < 0.2)]
     return [r for r, _ in rows], np.array([l for _, l in rows], float)
 
@@ -360,18 +461,19 @@ def train(pages: list[str], steps: int = 250, copies: int = 4, batch: int = 32,
     return model
 
 
-def extract(pages: DataFrame, sample: int = 300, threshold: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, sample: int = 300, threshold: float = 0.5, most_chars: int = 200_000) -> DataFrame:
     """page_id, url, text, n_chars for every page.
 
     Text that the markup hides is read like any other, with hiddenness as one of the
     network's figures; only elements of raw text (scripts, style sheets, text fields,
     frames, the title) and comments are skipped.
-    Learns from the ``sample`` pages of least page_id hash. Null and empty html give
+    Learns from the ``sample`` pages of least page_id hash among those of at most
+    ``most_chars`` characters; a page_id that repeats counts once. Null and empty html give
     empty text, as do pages without a block of main text; repeated rows give
     repeated results. Columns other than page_id, url and html are not read. The
     network that every task receives has a fixed size.
     """
-    rows = pages.filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()  # bounded by `sample`
+    rows = sample_of(pages.filter("page_id is not null").filter(F.length("html") <= most_chars), "page_id", sample, "html")
     sent = pages.sparkSession.sparkContext.broadcast(train(sorted(r[0] for r in rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

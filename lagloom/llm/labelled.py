@@ -12,11 +12,14 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int = 200_000) -> list[tuple[str, int]]:
     """Texts and labels of at most ``per_class`` rows of each class, those of least id hash.
 
     Rows that are held out, have no doc_id or no label of 0 or 1 are left out; a doc_id
-    with several labels counts with the greatest. Ordered by id hash.
+    with several labels counts with the greatest, one with several texts with the text
+    of least hash. Texts of more than ``most_chars`` characters teach nothing. So at
+    most 2 * per_class texts of bounded length reach the driver, however often an id
+    repeats. Ordered by hash of the text.
     """
     known = labels.filter("doc_id is not null").filter(F.col(label).isin(0, 1)).filter(~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = None
@@ -24,6 +27,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> li
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
     # 2 * per_class ids at most: small enough to send to every task
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
-    once = {r.text or "": r for r in sorted(rows, key=lambda r: -r.doc_id)}  # a text that many rows share teaches once
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= most_chars).join(F.broadcast(picked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
+    rows = rows.groupBy("doc_id", "y").agg(one).select("doc_id", "y", "t.text").collect()
+    once = {r.text: r for r in sorted(rows, key=lambda r: -r.doc_id)}  # a text that many rows share teaches once
     return [(t, r.y) for t, r in sorted(once.items(), key=lambda x: (xxh32_intdigest(x[0]), x[0]))]
