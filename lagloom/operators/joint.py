@@ -163,8 +163,8 @@ def frozen_windows(rows: DataFrame, key: str, target: str, controls: list[Term],
     return _mapped(rows, key, one, "dropped string, segment long, n long, gain double, se double", names, types)
 
 
-def slopes(rows: DataFrame, key: str, fits: dict[str, tuple[str, list[Term], Term]], bandwidth: int = 4) -> DataFrame:
-    """Several slopes per row: name, n, beta, se_ols, se_hac, condition. Each fit is (target, controls, tested term)."""
+def slopes(rows: DataFrame, key: str, fits: dict[str, tuple[str, list[Term], Term]], bandwidth: int = 4, span: tuple[int, int] | None = None) -> DataFrame:
+    """Several slopes per row: name, n, beta, se_ols, se_hac, condition. Each fit is (target, controls, tested term); ``span`` keeps steps from its first to before its second."""
     names, types = ["name", "n", "beta", "se_ols", "se_hac", "condition"], [pa.string(), pa.int64(), *[pa.float64()] * 4]
 
     def one(data, first):
@@ -172,6 +172,8 @@ def slopes(rows: DataFrame, key: str, fits: dict[str, tuple[str, list[Term], Ter
         for name, (target, controls, term) in fits.items():
             y = data[target]
             at = steps(len(y), [*controls, term])
+            if span is not None:
+                at = at[(first + at >= span[0]) & (first + at < span[1])]
             try:
                 f = Fit(columns(data, [*controls, term], at), y[at])
             except ValueError:

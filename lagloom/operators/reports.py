@@ -29,3 +29,31 @@ def jaccard(df: DataFrame, set_col: str, key: list[str]) -> DataFrame:
     pairs = names.join(F.broadcast(other), F.col("a") < F.col("b"))  # one row per set
     out = pairs.join(both, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     return out.withColumn("union", F.col("na") + F.col("nb") - F.col("both")).withColumn("distance", F.when(F.col("union") == 0, 0.0).otherwise(1 - F.col("both") / F.col("union")))
+
+
+def flatten(df: DataFrame, key: str) -> DataFrame:
+    """Rows of nested columns as (path, value): the key, then the names of columns and fields; arrays by position as text."""
+    from pyspark.sql import types as T
+
+    paths: list[tuple[str, F.Column]] = []
+
+    def walk(name: str, c, kind) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(f"{name}.{f.name}", c[f.name], f.dataType)
+        else:
+            paths.append((name, c.cast("string") if not isinstance(kind, T.ArrayType | T.MapType) else F.to_json(c)))
+
+    for f in df.schema.fields:
+        if f.name != key:
+            walk(f.name, F.col(f.name), f.dataType)
+    pair = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), c.alias("value")) for n, c in paths]))
+    return df.select(F.col(key).cast("string").alias("k"), pair.alias("p")).select(F.concat_ws("/", "k", "p.n").alias("path"), "p.value")
+
+
+def compare_metadata(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """path, status of two flattened tables: numbers by relative tolerance, all else exactly."""
+    j = a.withColumnRenamed("value", "va").withColumn("in_a", F.lit(True)).join(b.withColumnRenamed("value", "vb").withColumn("in_b", F.lit(True)).hint("shuffle_merge"), "path", "full")
+    x, y = F.expr("try_cast(va AS double)"), F.expr("try_cast(vb AS double)")
+    same = F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(y))).otherwise(F.col("va").eqNullSafe(F.col("vb")))
+    return j.select("path", F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "unexpected").when(same, "same").otherwise("different").alias("status"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lagloom.operators.lineage import shared_folder
 from lagloom.plans import section
 from lagloom.sources import readers
 from lagloom.sources.fixtures import ctes, long_panel, panel, panel_orders, panel_ship, stations, table
@@ -14,25 +16,37 @@ from lagloom.sources.fixtures import ctes, long_panel, panel, panel_orders, pane
 QUERIES, query = section()
 
 
+#: Columns of the tables that stand for weather variables here.
+LINEITEM = {"temperature": ("l_extendedprice",), "humidity": ("l_discount",), "cloud_cover": ("l_tax",), "wind": ("l_quantity",)}
+
+
 @query()
 def file_scan(spark, sf_dir):
     return readers.files(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-@query("""SELECT 'events' AS name, count(*) AS n, CAST(min(ts) AS DATE) AS first, CAST(max(ts) AS DATE) AS last, 6 AS columns FROM events UNION ALL SELECT 'orders', count(*), CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'orders') FROM orders
- UNION ALL SELECT 'lineitem', count(*), CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'lineitem') FROM lineitem""")
+_TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, 'parquet' AS format, count(*) AS n, {f'CAST(min({_TIMES[t]}) AS DATE)' if t in _TIMES else 'NULL::DATE'} AS first, {f'CAST(max({_TIMES[t]}) AS DATE)' if t in _TIMES else 'NULL::DATE'} AS last, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS columns, NULL AS error FROM {t}" for t in _TABLES) + " UNION ALL SELECT 'absent', 'parquet', NULL, NULL, NULL, NULL, 'not readable'")
 def table_inventory(spark, sf_dir):
+    """Every table with rows, columns and time range; one that can't be read keeps its row, with an error."""
     out = None
-    for name, ts in (("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
-        df = table(spark, sf_dir, name)
-        r = df.agg(F.count("*").alias("n"), F.min(ts).cast("date").alias("first"), F.max(ts).cast("date").alias("last")).select(F.lit(name).alias("name"), "*", F.lit(len(df.columns)).alias("columns"))
+    for name in [*_TABLES, "absent"]:
+        try:
+            df = table(spark, sf_dir, name)
+            ends = [f(_TIMES[name]).cast("date") for f in (F.min, F.max)] if name in _TIMES else [F.lit(None).cast("date")] * 2
+            r = df.agg(F.count("*").alias("n"), ends[0].alias("first"), ends[1].alias("last")).select(F.lit(name).alias("name"), F.lit("parquet").alias("format"), "*", F.lit(len(df.columns)).cast("long").alias("columns"), F.lit(None).cast("string").alias("error"))
+        except AnalysisException:
+            r = spark.range(1).select(F.lit(name).alias("name"), F.lit("parquet").alias("format"), *[F.lit(None).cast(k).alias(c) for c, k in (("n", "long"), ("first", "date"), ("last", "date"), ("columns", "long"))], F.lit("not readable").alias("error"))
         out = r if out is None else out.unionByName(r)
     return out
 
 
 @query("SELECT variable, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS high FROM (SELECT l_quantity AS wind, l_discount AS humidity, l_tax AS cloud_cover, l_extendedprice AS temperature FROM lineitem) UNPIVOT (value FOR variable IN (wind, humidity, cloud_cover, temperature)) GROUP BY 1")
 def alias_resolved_long(spark, sf_dir):
-    c = readers.canonical(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice"))
+    c = readers.canonical(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice"), LINEITEM)
     return c.unpivot([], ["wind", "humidity", "cloud_cover", "temperature"], "variable", "value").groupBy("variable").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("high"))
 
 
@@ -100,41 +114,58 @@ def aligned_variables(spark, sf_dir):
 @query(ctes("panel") + " SELECT node, variable, count(*) AS n, round(sum(value), 4) AS total FROM panel UNPIVOT (value FOR variable IN (wind, humidity, cloud_cover, temperature)) GROUP BY 1, 2")
 def region_output_sink(spark, sf_dir):
     """Long panel written by variable and read back from the shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/region-series-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/region-series-{uuid.uuid4().hex}"
     long_panel(panel(spark, sf_dir), "t", "node").write.partitionBy("variable").parquet(path)
     return spark.read.parquet(path).groupBy("node", "variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-_RAW = """raw AS (SELECT t, ts, CASE WHEN t % 11 = 0 THEN 'NA' WHEN t % 7 = 0 THEN '-999.0' ELSE CAST(CAST(n AS DOUBLE) / 4 AS VARCHAR) END AS s FROM panel_orders WHERE node = 3)"""
+_RAW = """raw AS (SELECT flag, ts, CASE WHEN t % 11 = 0 THEN 'NA' WHEN t % 7 = 0 THEN '-999.0' WHEN t % 101 = 0 THEN 'Infinity' ELSE CAST(CAST(floor(qty) AS DOUBLE) / 4 AS VARCHAR) END AS s FROM panel_ship)"""
 
 
 def _raw(spark, sf_dir):
-    p = panel_orders(spark, sf_dir).filter("node = 3")
-    return p.select("t", "ts", F.when(F.col("t") % 11 == 0, "NA").when(F.col("t") % 7 == 0, "-999.0").otherwise((F.col("n") / 4).cast("string")).alias("s"))
+    p = panel_ship(spark, sf_dir)
+    s = F.when(F.col("t") % 11 == 0, "NA").when(F.col("t") % 7 == 0, "-999.0").when(F.col("t") % 101 == 0, "Infinity").otherwise((F.floor("qty") / 4).cast("string"))
+    return p.select("flag", "ts", s.alias("s"))
 
 
-@query(ctes("panel_orders") + f", {_RAW} SELECT ts, TRY_CAST(CASE WHEN s = '-999.0' THEN NULL ELSE s END AS DOUBLE) AS value, CASE WHEN s = '-999.0' THEN 'sentinel' WHEN TRY_CAST(s AS DOUBLE) IS NULL THEN 'missing' ELSE 'ok' END AS status FROM raw")
-def index_parse(spark, sf_dir):
+def parse_index(raw, sentinel: float = -999.0, columns: tuple[str, ...] = ("ts", "s")):
+    """Value and status of every entry of a text index; a table without its columns is an error."""
+    missing = [c for c in columns if c not in raw.columns]
+    if missing:
+        raise ValueError(f"index without columns {missing}")
     v = F.expr("try_cast(s AS double)")
-    return _raw(spark, sf_dir).select("ts", F.when(v != -999.0, v).alias("value"), F.when(v == -999.0, "sentinel").when(v.isNull(), "missing").otherwise("ok").alias("status"))
+    inf = F.abs(v) == F.lit(float("inf"))
+    status = F.when(v == sentinel, "sentinel").when(v.isNull(), "missing").when(F.isnan(v) | inf, "not finite").otherwise("ok")
+    return raw.select(*[c for c in raw.columns if c != "s"], F.when(status == "ok", v).alias("value"), status.alias("status"))
+
 
+@query(ctes("panel_ship") + f", {_RAW} SELECT flag, ts, CASE WHEN v <> -999.0 AND isfinite(v) THEN v END AS value, CASE WHEN v = -999.0 THEN 'sentinel' WHEN v IS NULL THEN 'missing' WHEN NOT isfinite(v) THEN 'not finite' ELSE 'ok' END AS status FROM (SELECT *, TRY_CAST(s AS DOUBLE) AS v FROM raw)")
+def index_parse(spark, sf_dir):
+    """Daily index of every flag."""
+    return parse_index(_raw(spark, sf_dir))
 
-@query(ctes("panel_orders") + f", {_RAW}, e AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS ts) SELECT (SELECT count(*) FROM raw) AS n_rows, (SELECT count(DISTINCT ts) FROM raw) AS n_dates, (SELECT count(*) FROM e WHERE ts NOT IN (SELECT ts FROM raw)) AS missing, (SELECT count(*) FROM raw WHERE ts NOT IN (SELECT ts FROM e)) AS unexpected, (SELECT count(*) FROM raw WHERE TRY_CAST(s AS DOUBLE) < 0) AS below_range")
+
+@query(ctes("panel_ship") + f", {_RAW}, e AS (SELECT flag, CAST(unnest(generate_series((SELECT min(ts) FROM raw)::TIMESTAMP, (SELECT max(ts) FROM raw)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS ts FROM (SELECT DISTINCT flag FROM raw)) SELECT e.flag, count(r.ts) AS n_rows, count(DISTINCT r.ts) AS n_dates, count(*) FILTER (r.ts IS NULL) AS missing, count(*) FILTER (TRY_CAST(r.s AS DOUBLE) < 0) AS below_range FROM e LEFT JOIN raw r ON r.flag = e.flag AND r.ts = e.ts GROUP BY 1")
 def index_profile(spark, sf_dir):
-    r = _raw(spark, sf_dir).select("ts", F.expr("try_cast(s AS double)").alias("v"))
-    e = spark.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-12-01").cast("date"), F.expr("interval 1 month"))).alias("ts"), F.lit(True).alias("expected"))
-    j = r.withColumn("given", F.lit(True)).join(e, "ts", "full")
-    return j.agg(F.count("given").alias("n_rows"), F.count_distinct(F.when(F.col("given"), F.col("ts"))).alias("n_dates"), F.count_if(F.col("given").isNull()).alias("missing"), F.count_if(F.col("expected").isNull()).alias("unexpected"), F.count_if(F.col("v") < 0).alias("below_range"))
+    """Rows, dates and missing days of every flag between the first and the last day of all."""
+    r = _raw(spark, sf_dir).select("flag", "ts", F.expr("try_cast(s AS double)").alias("v"), F.lit(True).alias("given"))
+    ends = r.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    e = r.select("flag").distinct().crossJoin(F.broadcast(ends)).select("flag", F.explode(F.sequence("a", "b")).alias("ts"))  # one row
+    j = e.join(r.hint("shuffle_merge"), ["flag", "ts"], "left")
+    return j.groupBy("flag").agg(F.count("given").alias("n_rows"), F.count_distinct(F.when(F.col("given"), F.col("ts"))).alias("n_dates"), F.count_if(F.col("given").isNull()).alias("missing"), F.count_if(F.col("v") < 0).alias("below_range"))
 
 
-@query(ctes("panel_orders") + ", f AS (SELECT ts, CAST(n AS DOUBLE) / 8 AS v FROM panel_orders WHERE node = 7) SELECT count(*) AS n, round(max(abs(v - round(v, 3))), 10) AS worst, count(*) FILTER (abs(v - round(v, 3)) > 0.0004) AS off FROM f")
+@query(ctes("panel_ship") + ", f AS (SELECT flag, qty / 8 AS v FROM panel_ship) SELECT flag, count(*) AS n, round(max(abs(v - round(v, 3))), 10) AS worst, count(*) FILTER (abs(v - round(v, 3)) > 0.0004) AS off FROM f GROUP BY 1")
 def fixed_width_crosscheck(spark, sf_dir):
-    f = panel_orders(spark, sf_dir).filter("node = 7").select("ts", (F.col("n") / 8).alias("v"))
-    line = F.format_string("%4d%3d%3d%9.3f", F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.round("v", 3))
-    back = f.select(line.alias("line")).select(F.make_date(F.expr("int(trim(substring(line, 1, 4)))"), F.expr("int(trim(substring(line, 5, 3)))"), F.expr("int(trim(substring(line, 8, 3)))")).alias("ts"), F.expr("try_cast(trim(substring(line, 11, 9)) AS double)").alias("w"))
+    """Fixed-width text (year 4, month 3, day 3, value 12.3) written to the shared folder, read as text and held against the values."""
+    f = panel_ship(spark, sf_dir).select("flag", "ts", (F.col("qty") / 8).alias("v"))
+    path = f"{shared_folder(spark)}/fixed-width-{uuid.uuid4().hex}"
+    line = F.concat(F.format_string("%4d%3d%3d%12.3f", F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.round("v", 3)), "flag")
+    f.select(line.alias("value")).write.text(path)
+    part = lambda a, n: F.trim(F.substring("value", a, n))
+    back = spark.read.text(path).select(part(23, 10).alias("flag"), F.make_date(part(1, 4).cast("int"), part(5, 3).cast("int"), part(8, 3).cast("int")).alias("ts"), F.try_to_number(part(11, 12), F.lit("999999999.999")).cast("double").alias("w"))
     d = F.abs(F.col("v") - F.col("w"))
-    return f.join(back, "ts", "full").agg(F.count("*").alias("n"), F.round(F.max(d), 10).alias("worst"), F.count_if(d > 0.0004).alias("off"))
+    return f.join(back.hint("shuffle_merge"), ["flag", "ts"], "full").groupBy("flag").agg(F.count("*").alias("n"), F.round(F.max(d), 10).alias("worst"), F.count_if(d > 0.0004).alias("off"))
 
 
 _RAW_ALL = """raw AS (SELECT node, t, ts, CASE WHEN t % 11 = 0 THEN 'NA' WHEN t % 7 = 0 THEN '-999.0' ELSE CAST(CAST(n AS DOUBLE) / 4 AS VARCHAR) END AS s FROM panel_orders)"""

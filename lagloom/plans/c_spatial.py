@@ -93,9 +93,14 @@ def mirror_pairs(spark, sf_dir):
     return g.filter("y > 0").withColumnRenamed("node", "north").join(south, ["y", "x"]).select("north", "south")
 
 
-@query(ctes("stations") + " SELECT node, round(((((lon + 180) + 180) % 360) + 360) % 360 - 180, 8) AS lon FROM cells")
+@query(ctes("stations") + ", o AS (SELECT node, 'shifted' AS part, lon + 180 AS lon FROM cells UNION ALL SELECT node, 'plain', lon FROM cells), m AS (SELECT *, max(lon) OVER (PARTITION BY part) > 180 AS far FROM o) SELECT part, node, round(CASE WHEN far THEN (((lon + 180) % 360) + 360) % 360 - 180 ELSE lon END, 8) AS lon FROM m")
 def longitude_normalised(spark, sf_dir):
-    return stations(spark, sf_dir).select("node", F.round(spatial.wrap(F.col("lon") + 180), 8).alias("lon"))
+    """Longitudes of two grids in [-180, 180): a grid is wrapped only if one of its longitudes lies above 180."""
+    c = stations(spark, sf_dir)
+    o = c.select("node", F.lit("shifted").alias("part"), (F.col("lon") + 180).alias("lon")).unionByName(c.select("node", F.lit("plain").alias("part"), "lon"))
+    far = o.groupBy("part").agg((F.max("lon") > 180).alias("far"))
+    j = o.join(F.broadcast(far), "part")  # one row per grid
+    return j.select("part", "node", F.round(F.when(F.col("far"), spatial.wrap(F.col("lon"))).otherwise(F.col("lon")), 8).alias("lon"))
 
 
 # source cells of 10 by 20 degrees, target cells of 15 by 30 degrees

@@ -41,10 +41,14 @@ def _design(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""{_ST}, {_D}, {_FIT} SELECT target, source, lag::INT AS lag, n, round(zy / zss, 7) AS beta, round((zy * zy / zss) / ((rss_r - zy * zy / zss) / df), 5) AS f, round(sqrt((rss_r - zy * zy / zss) / df / zss), 7) AS se,
- round(zy * zy / zss / syy, 7) AS delta_r2, round(zy * zy / zss / rss_r, 7) AS partial_r2 FROM fit""")
+ round(zy * zy / zss / syy, 7) AS delta_r2, round(zy * zy / zss / rss_r, 7) AS partial_r2, round(zy * zy / zss / rss_r / (1 - zy * zy / zss / rss_r), 7) AS cohen_f2, round(zy / zss - 1.959963984540054 * sqrt((rss_r - zy * zy / zss) / df / zss), 6) AS low, round(zy / zss + 1.959963984540054 * sqrt((rss_r - zy * zy / zss) / df / zss), 6) AS high FROM fit""")
 def nested_lag_tests(spark, sf_dir):
     f = gram.fit(_design(spark, sf_dir), _H, ["c1"])
-    return f.select(*_H, "n", F.round("beta", 7).alias("beta"), F.round("f", 5).alias("f"), F.round("se", 7).alias("se"), F.round(F.col("drop") / F.col("tss"), 7).alias("delta_r2"), F.round(F.col("drop") / F.col("rss_r"), 7).alias("partial_r2"))
+    part, half = F.col("drop") / F.col("rss_r"), 1.959963984540054 * F.col("se")
+    return f.select(
+        *_H, "n", F.round("beta", 7).alias("beta"), F.round("f", 5).alias("f"), F.round("se", 7).alias("se"), F.round(F.col("drop") / F.col("tss"), 7).alias("delta_r2"), F.round(part, 7).alias("partial_r2"),
+        F.round(part / (1 - part), 7).alias("cohen_f2"), F.round(F.col("beta") - half, 6).alias("low"), F.round(F.col("beta") + half, 6).alias("high"),
+    )
 
 
 @query()
@@ -94,12 +98,12 @@ def cluster_lag_tests(spark, sf_dir):
     return gram.clusters(s, _H, 16).select(*_H, "blocks", F.round("se_cluster", 7).alias("se_cluster"))
 
 
-@query(f"""{_ST}, {_D}, {_FIT}, {_SC}, k AS (SELECT unnest([1, 4, 12]) AS h), x AS (SELECT a.target, a.source, a.lag, h, sum(a.e * b.e) / sqrt(sum(a.e * a.e) * sum(b.e * b.e)) AS acf FROM sc a CROSS JOIN k JOIN sc b ON a.target = b.target AND a.source = b.source AND a.lag = b.lag AND b.t = a.t - h GROUP BY 1, 2, 3, 4)
+@query(f"""{_ST}, {_D}, {_FIT}, {_SC}, k AS (SELECT unnest([1, 4, 12, 28]) AS h), x AS (SELECT a.target, a.source, a.lag, h, sum(a.e * b.e) / sqrt(sum(a.e * a.e) * sum(b.e * b.e)) AS acf FROM sc a CROSS JOIN k JOIN sc b ON a.target = b.target AND a.source = b.source AND a.lag = b.lag AND b.t = a.t - h GROUP BY 1, 2, 3, 4)
  SELECT h, count(*) AS n, round(quantile_cont(abs(acf), 0.5), 6) AS median, round(quantile_cont(abs(acf), 0.9), 6) AS p90, round(avg(CASE WHEN abs(acf) > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS above FROM x GROUP BY 1""")
 def residual_autocorrelation(spark, sf_dir):
     rows = _design(spark, sf_dir)
     s = gram.scores(rows, gram.fit(rows, _H, ["c1"]), _H, ["c1"]).select(*_H, "t", "e")
-    b = s.withColumn("h", F.explode(F.array(F.lit(1), F.lit(4), F.lit(12)))).select(*_H, "h", (F.col("t") + F.col("h")).alias("t"), F.col("e").alias("b"))
+    b = s.withColumn("h", F.explode(F.array(F.lit(1), F.lit(4), F.lit(12), F.lit(28)))).select(*_H, "h", (F.col("t") + F.col("h")).alias("t"), F.col("e").alias("b"))
     x = s.join(b, [*_H, "t"]).groupBy(*_H, "h").agg((F.sum(F.col("e") * F.col("b")) / F.sqrt(F.sum(F.col("e") * F.col("e")) * F.sum(F.col("b") * F.col("b")))).alias("acf"))
     a = F.abs("acf")
     return x.groupBy("h").agg(F.count("*").alias("n"), F.round(F.percentile(a, 0.5), 6).alias("median"), F.round(F.percentile(a, 0.9), 6).alias("p90"), F.round(F.avg(F.when(a > 0.1, 1.0).otherwise(0.0)), 6).alias("above"))
