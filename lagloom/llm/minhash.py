@@ -12,7 +12,7 @@ Buckets are never expanded into all their pairs. In a round every member of a
 bucket meets the bucket's pivots (one in the first round, up to 64 later); members
 that one component already joins need no more comparisons, and pivots that have met
 all others leave. Rounds go on while a bucket that is not one component has more
-than ``at_once`` members left; what remains is settled bucket by bucket in a task,
+members or shingles left than a task may hold; what remains is settled bucket by bucket in a task,
 where histograms of the shingles rule out most pairs with certainty. Word sequences
 that are equal are one class from the start.
 """
@@ -232,7 +232,7 @@ def _settle(shingle: int, similarity: float):
 
 
 def near_duplicates(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 12, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 4000
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 12, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 4000, most_shingles: int = 8_000_000
 ) -> DataFrame:
     """One row per document: doc_id, group_id (smallest doc_id of its group), n_copies (documents with the same words), kept.
 
@@ -260,11 +260,12 @@ def near_duplicates(
         slot = F.lit(0) if first else F.pmod(F.xxhash64("rep"), F.lit(pivots))
         mixed = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
         live = stage(active.join(mixed.hint("shuffle_merge"), "bucket"), "live")
-        crowded = live.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("set"))
-        most = crowded.agg(F.max("c")).first()[0]
+        crowded = live.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("set"))
+        # what a task holds at once is bounded in members and in shingles (eight bytes each)
+        most = crowded.agg(F.max(F.greatest(F.col("c") / at_once, F.col("s") / most_shingles))).first()[0]
         if most is None:
             break
-        if not first and most <= at_once:
+        if not first and most <= 1:
             # buckets of several bands with the same members are settled once
             once = crowded.groupBy("c", "lo", "set").agg(F.min("bucket").alias("bucket")).select("bucket")
             found = (
@@ -276,7 +277,8 @@ def near_duplicates(
             links = found if links is None else links.union(found)
             break
         heads = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep").alias("r"), "rep", "n", "component")).alias("p"))
-        heads = heads.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc")).distinct()
+        # stored, so that adaptive execution can split a crowded bucket in the join
+        heads = stage(heads.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc")).distinct(), "heads")
         met = (
             live.join(heads.hint("shuffle_merge"), "bucket")
             .filter(f"component <> pc and least(n, pn) >= {similarity} * greatest(n, pn) - 1e-9")
