@@ -33,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import stage
+from lagloom.llm.common import stage, unstage
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 22  # bytes of a text handled at once; neighbouring chunks overlap by a window
@@ -288,21 +288,24 @@ def _window_hashes(length: int, gram: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096) -> DataFrame:
+def spans(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 8192) -> DataFrame:
     """(d, h, text, spans): each document with the byte ranges that repeat, unmerged; spans is null without any.
 
     docs: d, h, doc_id, text without nulls; d and h name a document, copies may share a name.
     """
-    occ = occurrences(docs, length, gram)
+    # a stored table on both sides of the join: adaptive execution can split a frequent anchor
+    occ = stage(occurrences(docs, length, gram), "occurrences")
     per_anchor = occ.groupBy("anchor").agg(F.count("*").alias("c"), F.min("context").alias("lo_c"), F.max("context").alias("hi_c")).filter("c > 1")
-    hits = occ.join(per_anchor.hint("shuffle_merge"), "anchor").select(*occ.columns, (F.col("lo_c") != F.col("hi_c")).alias("mixed"))
-    hits = stage(hits, "anchors")
+    per_anchor = stage(per_anchor.select("anchor", (F.col("lo_c") != F.col("hi_c")).alias("mixed")), "repeated")
+    hits = stage(occ.join(per_anchor.hint("shuffle_merge"), "anchor").select(*occ.columns, "mixed"), "anchors")
+    unstage(occ)
+    unstage(per_anchor)
     pos, left, right = F.expr("at >> 20"), F.expr("(at >> 10) & 1023L"), F.expr("at & 1023L")
     whole = F.struct((pos - left).alias("a"), (pos + right).alias("b"))
     classes = stage(
         hits.filter("mixed").groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "at")).alias("first")), "contexts"
     )
-    crowd = classes.groupBy("anchor").agg((F.count("*") > most).alias("crowded"))
+    crowd = stage(classes.groupBy("anchor").agg((F.count("*") > most).alias("crowded")), "crowded")
     wanted = (
         classes.join(crowd.hint("shuffle_merge"), "anchor")
         .groupBy("first.d", "first.h", "crowded")
@@ -320,8 +323,9 @@ def spans(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096)
 
     calm = cut(False).mapInArrow(_sorted_classes(length, gram, 8_000), "anchor long, context long, lo short, hi short")
     windows = cut(True).mapInArrow(_window_hashes(length, gram), "anchor long, context long, n long, l short, window binary")
-    twice = windows.groupBy("window").agg(F.sum("n").alias("c")).filter("c > 1").drop("c")
-    dense = windows.join(twice.hint("shuffle_merge"), "window").groupBy("anchor", "context").agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
+    # one shuffle of the windows; a group of equal ones spills, it is never held
+    twice = windows.withColumn("c", F.sum("n").over(Window.partitionBy("window"))).filter("c > 1")
+    dense = twice.groupBy("anchor", "context").agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
     solved = calm.unionByName(dense)
     part = hits.filter("mixed").join(solved.hint("shuffle_merge"), ["anchor", "context"])
     ranges = hits.filter("not mixed").select("d", "h", whole.alias("s")).unionByName(
@@ -346,7 +350,7 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64(text).alias("h"), "doc_id", text.alias("text"), *more)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 8192, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Remove every byte that a repeated string of ``length`` bytes covers.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
