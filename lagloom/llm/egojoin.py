@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import components, stage
+from lagloom.llm.common import components, sample_of, stage
 from lagloom.llm.vectors import blocks, finite, matrix
 
 _NEAR = """aggregate(zip_with(zip_with(a.lo, b.hi, (x, y) -> x - y), zip_with(b.lo, a.hi, (x, y) -> x - y), (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x) <= {}"""
@@ -148,7 +148,7 @@ def _leaves(axes: np.ndarray, dim: int, dtype: str, cosine: float):
 
 def _link_classes(cls: DataFrame, dim: int, dtype: str, cosine: float, leading: int, sample: int, block: int) -> DataFrame:
     """(id, links, to) rows of the classes of one dimension: counts where to is null, else edges."""
-    got = cls.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()  # bounded by `sample`
+    got = sample_of(cls, "id", sample, "vector")
     axes = principal_axes(unit(np.array([r[0] for r in got], np.float64)), min(16, dim))
     eps = math.sqrt(2 - 2 * cosine)
     n = cls.count()

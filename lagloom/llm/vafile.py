@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import stage
-from lagloom.llm.vectors import blocks, finite
+from lagloom.llm.common import sample_of, stage
+from lagloom.llm.vectors import blocks, finite, matrix
 
 
 def cell_edges(sample: np.ndarray, bits: int) -> np.ndarray:
@@ -96,7 +96,7 @@ _LONG = 2.0**63
 
 def _read_best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best, ints = None, [], []
+        at, best, q, ints, most = None, [], None, [], 0.0
 
         def out() -> pa.RecordBatch:
             n = len(best)
@@ -106,16 +106,25 @@ def _read_best(k: int):
             )
 
         for batch in batches:  # sorted by query, then by upper bound from the top
-            for qid, upper, q, x, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if not batch.num_rows:
+                continue
+            asked, rows = matrix(batch.column(2), "<f8"), matrix(batch.column(3), "<f8")
+            for i, (qid, upper, ids) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 4)), strict=True)):
                 if qid != at:
                     if best:
                         yield out()
-                    at, best, ints = qid, [], [int(a) for a in q]
+                    at, best, q = qid, [], asked[i]
+                    ints, most = [], float(np.abs(q).max())
                 if len(best) == k and upper < -best[-1][0]:
                     continue  # certain: neither this nor any later one can enter
-                score = sum(a * int(b) for a, b in zip(ints, x, strict=True))
-                if not -(2**63) <= score < 2**63:
-                    continue
+                x = rows[i]
+                if most * float(np.abs(x).max()) * len(x) < 2.0**53:
+                    score = int(q @ x)  # every partial sum is an exact integer
+                else:
+                    ints = ints or [int(a) for a in q]
+                    score = sum(a * int(b) for a, b in zip(ints, x.tolist(), strict=True))
+                    if not -(2**63) <= score < 2**63:
+                        continue
                 best = sorted({*best, *((-score, i) for i in ids if i != qid)})[:k]
         if best:
             yield out()
@@ -163,7 +172,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, bits: int = 6, sample
 
 
 def _search(cls: DataFrame, queries: DataFrame, dim: int, n: int, k: int, bits: int, sample: int, query_block: int, row_block: int) -> DataFrame:
-    got = cls.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()  # bounded by `sample`
+    got = sample_of(cls, "id", sample, "vector")
     edges = cell_edges(np.array([r[0] for r in got], np.float64).reshape(-1, dim), bits)
     n_rows, n_queries = n // row_block + 1, queries.count() // query_block + 1
     deal = lambda df, parts: df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(parts, "block").sortWithinPartitions("block")
