@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -22,8 +23,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from lagloom.llm.common import send_file
+
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -39,6 +43,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _at_hand(path: str) -> str:
+    """The copy of a tokenizer file that Spark sent to this worker, or the file itself."""
+    if SparkFiles._is_running_on_worker:
+        sent = SparkFiles.get(os.path.basename(path))
+        if os.path.exists(sent):
+            return sent
+    return path
+
+
 def _byte_of_char() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,7 +66,7 @@ class Vocab:
     keep = 800_000
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(_at_hand(path), encoding="utf-8") as f:
             spec = json.load(f)
         back = _byte_of_char()
         to_bytes = lambda s: bytes(back[c] for c in s)
@@ -312,7 +325,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
     not read. One pass without a shuffle; memory holds one Arrow batch and a
     bounded table of pieces.
     """
-    path = path or default_path()
+    path = send_file(docs.sparkSession, path or default_path())
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm import bpe
-from lagloom.llm.common import stage
+from lagloom.llm.common import send_file, stage
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: i
 
     Null text counts as empty: one piece that holds only the closing id.
     """
-    path = path or bpe.default_path()
+    path = send_file(docs.sparkSession, path or bpe.default_path())
     schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.llm import bpe
+from lagloom.llm.common import send_file
 
 _EDITS = "array<struct<start: long, length: long, text: string>>"
 #: Columns of a table of trees: the text and, by leaf, its characters and tokens.
@@ -157,7 +158,7 @@ def trees(docs: DataFrame, path: str | None = None, with_edits: bool = False) ->
     own; an empty table gives none. Other columns are not read. One pass; a very long
     text takes memory in proportion.
     """
-    path = path or bpe.default_path()
+    path = send_file(docs.sparkSession, path or bpe.default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = bpe.vocab(path, bpe.LibraryVocab)
@@ -184,7 +185,7 @@ def update(stored: DataFrame, path: str | None = None, with_trees: bool = False)
     none, null fields of an edit as 0 and empty text; positions are code points and
     are held inside the text as it stands then. Rows are independent.
     """
-    path = path or bpe.default_path()
+    path = send_file(stored.sparkSession, path or bpe.default_path())
     names = TREE if with_trees else ["doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_reencoded"]
     schema = _TREE if with_trees else ", ".join(f"{n} long" for n in names)
 

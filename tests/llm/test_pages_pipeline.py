@@ -81,8 +81,15 @@ def test_pipeline_stages(spark):
 def test_pipeline_handles_empty_and_odd_rows(spark):
     rows = [(1, None, "en", None, None), (None, "no id", None, "s", 5), (2, "", "de", "s", 0), (3, "word " * 200, "en", "s", 1000), (3, "word " * 200, "en", "s", 1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit(1))
-    for _, f in corpus_pipeline.STAGES:
-        assert f(spark, docs, "/root/testdata/sf0.001").count() >= 0
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, docs, "/root/testdata/sf0.001").collect()
+        ids = [r.doc_id for r in got]
+        if name == "minhash near-dedup":
+            assert sorted(i or 0 for i in ids) == [0, 1, 2, 3]  # one of the two copies goes
+        elif name in ("suffix-array dedup", "packing"):
+            assert sorted(i or 0 for i in set(ids)) == [0, 1, 2, 3]
+        else:
+            assert set(ids) <= {1, 2, 3, None} and ids.count(3) in (0, 2)  # copies are judged alike
         assert f(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
 
 
