@@ -188,7 +188,7 @@ def window_benchmark(spark, sf_dir):
 
 
 @query(ctes("edges") + """, sig AS (SELECT * FROM edges WHERE p_value < 0.2), ch AS (SELECT x.regime, x.source_region AS a, x.target_region AS m, y.target_region AS b, x.lag + y.lag AS total, abs(x.effect * y.effect) AS score FROM sig x JOIN sig y ON y.regime = x.regime AND y.source_region = x.target_region WHERE x.edge_type = 'wind->humidity' AND y.edge_type = 'humidity->cloud_cover' AND x.lag + y.lag <= 4),
- q AS (SELECT node, quantile_cont(v, 0.9) AS q FROM sc WHERE variable = 'cloud_cover' GROUP BY 1), ev AS (SELECT node AS b, t FROM sc JOIN q USING (node) WHERE variable = 'cloud_cover' AND v >= q),
+ q AS (SELECT node, quantile_cont(round(v, 8), 0.9) AS q FROM sc WHERE variable = 'cloud_cover' GROUP BY 1), ev AS (SELECT node AS b, t FROM sc JOIN q USING (node) WHERE variable = 'cloud_cover' AND round(v, 8) >= q - 1e-9),
  pc AS (SELECT ch.regime, ch.a, ch.m, ch.b, total, score, avg(w.v) AS before FROM ch JOIN ev USING (b) JOIN sc w ON w.node = ch.a AND w.variable = 'wind' AND w.t = ev.t - total GROUP BY ALL)
  SELECT regime, m AS mediator, count(*) AS chains, round(avg(before), 7) AS before_event, round(sum(score * abs(before)), 8) AS strength FROM pc GROUP BY 1, 2""")
 def chain_precursors(spark, sf_dir):
@@ -196,9 +196,9 @@ def chain_precursors(spark, sf_dir):
     ch = reports.chains(edges(spark, sf_dir).filter("p_value < 0.2")).withColumn("total", F.col("a_lag") + F.col("b_lag")).filter("total <= 4")
     ch = ch.select("regime", F.col("a_source_region").alias("a"), "mediator", F.col("b_target_region").alias("b"), "total", F.abs(F.col("a_effect") * F.col("b_effect")).alias("score"))
     c = station_climate(spark, sf_dir)
-    cloud = c.filter("variable = 'cloud_cover'")
+    cloud = c.filter("variable = 'cloud_cover'").withColumn("value", F.round("value", 8))  # values that repeat are ties, not an order
     q = cloud.groupBy("node").agg(F.percentile("value", 0.9).alias("q"))
-    ev = cloud.join(q.hint("shuffle_merge"), "node").filter("value >= q").select(F.col("node").alias("b"), "t")
+    ev = cloud.join(q.hint("shuffle_merge"), "node").filter("value >= q - 1e-9").select(F.col("node").alias("b"), "t")
     wind = c.filter("variable = 'wind'").select(F.col("node").alias("a"), "t", F.col("value").alias("w"))
     # events are met once per start, end and total lag, not once per chain
     ways = ch.select("a", "b", "total").distinct()

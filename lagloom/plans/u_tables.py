@@ -28,14 +28,14 @@ _K = ", ".join(KEY)
 
 
 @query(ctes("tests") + f""", p AS (SELECT {_K}, regime, source_var || '->' || target_var AS edge_type, effect, round({t_tail_sql("(effect / se_ols)", "(n - 3)")}, 9) AS p FROM tests), r AS (SELECT *, row_number() OVER (PARTITION BY regime, edge_type ORDER BY p) AS r, count(*) OVER (PARTITION BY regime, edge_type) AS m FROM p), q AS (SELECT *, least(1, min(p * m / r) OVER (PARTITION BY regime, edge_type ORDER BY r DESC)) AS q FROM r)
- SELECT {_K}, regime, round(p, 8) AS p_value, round(q, 8) AS q_value, q < 0.05 AS significant, round(sign(effect) * -log10(q + 1e-12) * abs(effect), 7) + 0.0 AS effect_score FROM q""")
+ SELECT {_K}, regime, p AS p_value, round(q, 8) AS q_value, q < 0.05 AS significant, round(sign(effect) * -log10(q + 1e-12) * abs(effect), 7) + 0.0 AS effect_score FROM q""")
 def link_scores(spark, sf_dir):
     """F tests of all candidates by season, q within season and type, and the score: sign times minus log q times size."""
     t = tests(spark, sf_dir).filter("effect is not null").withColumn("edge_type", F.concat_ws("->", "source_var", "target_var"))
     t = t.withColumn("p", F.round(p_t(F.col("effect") / F.col("se_ols"), (F.col("n") - 3).cast("double")), 9))
     q = bh(t, ["regime", "edge_type"], "p", "q", 0.05)
     score = F.signum("effect") * -F.log10(F.col("q") + 1e-12) * F.abs("effect")
-    return q.select(*KEY, "regime", F.round("p", 8).alias("p_value"), F.round("q", 8).alias("q_value"), "significant", (F.round(score, 7) + 0.0).alias("effect_score"))
+    return q.select(*KEY, "regime", F.col("p").alias("p_value"), F.round("q", 8).alias("q_value"), "significant", (F.round(score, 7) + 0.0).alias("effect_score"))
 
 
 def _history_sql() -> str:
