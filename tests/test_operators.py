@@ -95,7 +95,7 @@ def test_spatial_edges(spark):
 
 
 def test_alias_resolution():
-    assert readers.resolve(["Valid_Time", "Latitude", "my_temperature_2m", "TCC", "x"]) == {"ts": "Valid_Time", "lat": "Latitude", "cloud_cover": "TCC", "temperature": "my_temperature_2m"}
+    assert readers.resolve(["Valid_Time", "Latitude", "my_temperature_2m", "TCC", "x", "other"]) == {"ts": "Valid_Time", "lat": "Latitude", "lon": "x", "cloud_cover": "TCC", "temperature": "my_temperature_2m"}
 
 
 def test_segments_and_artifacts(spark):
