@@ -112,18 +112,17 @@ def test_standardise_constant_and_null(spark):
 
 
 def test_rewiring_keeps_degrees_and_strata(spark):
-    from lagloom.operators.rewire import rewire
+    from lagloom.operators.rewire import located, rewire
 
-    nodes = range(8)
-    strata = spark.createDataFrame([(a, b, (a * b) % 2) for a in nodes for b in nodes if a != b], "a long, b long, stratum long")
-    g = spark.createDataFrame([(rep, "x", a, b) for rep in (0, 1) for a in nodes for b in nodes if a != b and (a + 3 * b) % 4 < 2], "rep int, type string, a long, b long")
-    out = rewire(g, strata, 2)
+    nodes = spark.createDataFrame([(i, 7.0 * (i % 3) - 7, 9.0 * i) for i in range(20)], "node long, lat double, lon double")
+    g = spark.createDataFrame([(rep, "x", a, b) for rep in (0, 1) for a in range(20) for b in range(20) if a != b and (a + 3 * b) % 5 == 0], "rep int, type string, a long, b long")
+    out, _ = rewire(g, nodes, ["global", "global", "cycle"])
 
     def shape(df):
         rows = df.select("rep", "a", "b").collect()
         return [sorted(x) for x in ([(r.rep, r.a) for r in rows], [(r.rep, r.b) for r in rows])], len({tuple(r) for r in rows})
 
     assert shape(out) == shape(g)
-    count = lambda df: sorted(tuple(r) for r in df.groupBy("rep", "stratum").count().collect())
-    assert count(out) == count(g.join(strata, ["a", "b"]))
+    count = lambda df: sorted(tuple(r) for r in df.groupBy("rep", "s").count().collect())
+    assert count(out) == count(located(g, nodes))
     assert {tuple(r) for r in out.select("rep", "a", "b").collect()} != {tuple(r) for r in g.select("rep", "a", "b").collect()}
