@@ -12,9 +12,9 @@ def finite(c: Column) -> Column:
 
 
 def dense(df: DataFrame, times: DataFrame, keys: DataFrame, t: str = "t") -> DataFrame:
-    """One row per time and key, null where nothing was measured. ``keys`` is the small side: nodes or series."""
-    grid = times.crossJoin(F.broadcast(keys))  # keys: one row per series, a dimension table
-    return grid.join(df, [t, *keys.columns], "left")
+    """One row per time and key, null where nothing was measured. Times are the steps of a calendar and go to every task; keys may be many."""
+    grid = keys.crossJoin(F.broadcast(times)).select(t, *keys.columns)  # one row per calendar step
+    return grid.join(df.hint("shuffle_merge"), [t, *keys.columns], "left")
 
 
 def drop_sparse(df: DataFrame, key: str, most_missing: float = 0.2, value: str = "value") -> DataFrame:
