@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_f, p_t, p_z
-from lagloom.operators import clean, gram
+from lagloom.operators import gram, screen
 from lagloom.operators.fdr import bh, bh_large
 from lagloom.operators.lineage import stored
 from lagloom.plans import section
-from lagloom.sources.fixtures import cells, climate_of, climate_sql, ctes, panel
+from lagloom.sources.fixtures import climate_of, climate_sql, ctes, normal_tail_sql, panel, station_climate, stations
+from lagloom.sources.sqltext import gram_sql, sweep_sql, t_tail_sql
 
 QUERIES, query = section()
 _H = ["target", "source", "lag"]
@@ -51,29 +52,40 @@ def nested_lag_tests(spark, sf_dir):
     )
 
 
-@query()
+def _links_sql() -> str:
+    from lagloom.plans.h_reports import _CAND, _NEAR
+
+    keys = "source_region, target_region, source_var, target_var, lag"
+    return ctes("stations", "station_climate").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_NEAR}, {_CAND}, cd AS (SELECT DISTINCT source_region, target_region, source_var, target_var FROM cand WHERE source_var <> target_var),
+yo AS MATERIALIZED (SELECT t, node, variable, v AS y, lag(v, 1) OVER w AS c1, lag(v, 2) OVER w AS c2 FROM sc WINDOW w AS (PARTITION BY node, variable ORDER BY t)), xl AS MATERIALIZED (SELECT node, variable, t + k AS t, k::BIGINT AS lag, v AS z FROM sc, range(1, 4) x(k)),
+lr AS MATERIALIZED (SELECT source_region, target_region, source_var, target_var, lag, 1.0::DOUBLE AS one, c1, c2, z, y FROM cd JOIN yo ON yo.node = target_region AND yo.variable = target_var JOIN xl ON xl.node = source_region AND xl.variable = source_var AND xl.t = yo.t WHERE c2 IS NOT NULL),
+{gram_sql("g", "lr", ["one", "c1", "c2", "z", "y"], keys)}, {sweep_sql("f", "g", 5, 4, keys)}, b AS (SELECT {keys}, n, m[20] AS beta, m[20] / sqrt(m[25] / (n - 4) * -m[19]) AS t FROM f), p AS (SELECT *, source_var || '->' || target_var AS edge_type, round({t_tail_sql("t", "(n - 4)")}, 9) AS p FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY p) AS k, count(*) OVER (PARTITION BY edge_type) AS c FROM p), q AS (SELECT *, least(1, min(p * c / k) OVER (PARTITION BY edge_type ORDER BY k DESC)) AS q FROM r)
+SELECT {keys}, edge_type, n, round(beta, 7) AS beta, round(t * t, 4) AS f, p AS p_value, round(q, 8) AS q_value, q < 0.05 AS significant, round(sign(beta) * -log10(q + 1e-12) * abs(beta), 7) + 0.0 AS effect_score FROM q"""
+
+
+@query(_links_sql())
 def lag_links(spark, sf_dir):
-    """Lagged links of candidate pairs: two own lags as controls, F test, q within each variable pair, strongest first."""
+    """Lagged links of all candidates of all stations: two own lags as controls, F test, q within each variable pair, strongest first."""
     from lagloom.plans.h_reports import candidates
 
-    cl = climate(spark, sf_dir)
-    cand = candidates(cells(spark, sf_dir).filter("node < 5")).filter("source_var <> target_var")
-    x = cl.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(3)))).select((F.col("t") + F.col("lag")).alias("t"), F.col("node").alias("source_region"), F.col("variable").alias("source_var"), "lag", F.col("value").alias("z"))
-    y = cl.select("t", F.col("node").alias("target_region"), F.col("variable").alias("target_var"), F.col("value").alias("y"))
-    for k in (1, 2):
-        y = y.join(cl.select((F.col("t") + k).alias("t"), F.col("node").alias("target_region"), F.col("variable").alias("target_var"), F.col("value").alias(f"c{k}")), ["t", "target_region", "target_var"])
-    rows = x.join(F.broadcast(cand), ["source_region", "source_var"]).join(y, ["t", "target_region", "target_var"])  # candidates: a few per node
+    cand = candidates(stations(spark, sf_dir)).filter("source_var <> target_var")
+    s = screen.screen(cand, screen.series(station_climate(spark, sf_dir)), lags=3, own=2, regimes={"all": (1, 0, 1)}).filter("effect is not null")
     keys = ["source_region", "target_region", "source_var", "target_var", "lag"]
-    f = gram.fit(rows, keys, ["c1", "c2"]).withColumn("p_value", p_f("f", F.lit(1.0), F.col("df").cast("double")))
+    t = F.col("effect") / F.col("se_ols")
+    f = s.withColumn("f", t * t).withColumn("p_value", F.round(p_t(t, (F.col("n") - 4).cast("double")), 9))
     q = bh(f.withColumn("edge_type", F.concat_ws("->", "source_var", "target_var")), ["edge_type"])
-    score = F.signum("beta") * -F.log10(F.col("q_value") + 1e-12) * F.abs("beta")
-    return q.select(*keys, "edge_type", "n", "beta", "f", "p_value", "q_value", "significant", score.alias("effect_score")).orderBy("q_value", "p_value", F.desc(F.abs("beta")), *keys)
+    score = F.signum("effect") * -F.log10(F.col("q_value") + 1e-12) * F.abs("effect")
+    out = q.select(*keys, "edge_type", "n", F.round("effect", 7).alias("beta"), F.round("f", 4).alias("f"), "p_value", F.round("q_value", 8).alias("q_value"), "significant", (F.round(score, 7) + 0.0).alias("effect_score"))
+    return out.orderBy("q_value", "p_value", F.desc(F.abs("beta")), *keys)
 
 
-@query()
+@query(f"""{_ST}, {_D}, {_FIT}, p AS (SELECT target, source, lag, round({t_tail_sql("(zy / sqrt(zss * (rss_r - zy * zy / zss) / df))", "df")}, 9) AS p FROM fit), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY p) AS k, count(*) OVER (PARTITION BY target) AS c FROM p), q AS (SELECT *, least(1, min(p * c / k) OVER (PARTITION BY target ORDER BY k DESC)) AS q FROM r)
+ SELECT target, source, lag::INT AS lag, p AS p_value, round(q, 12) AS q_value, q < 0.05 AS significant FROM q""")
 def lag_tests_p_values(spark, sf_dir):
     f = gram.fit(_design(spark, sf_dir), _H, ["c1"])
-    return bh(f.withColumn("p_value", p_f("f", F.lit(1.0), F.col("df").cast("double"))), ["target"]).select(*_H, "p_value", "q_value", "significant")
+    q = bh(f.withColumn("p_value", F.round(p_f("f", F.lit(1.0), F.col("df").cast("double")), 9)), ["target"])
+    return q.select(*_H, "p_value", F.round("q_value", 12).alias("q_value"), "significant")
 
 
 @query(f"""{_ST}, {_D}, {_FIT}, {_SC}, ser AS (SELECT g.target, g.source, g.lag, tt.t, coalesce(zr * e, 0) AS s FROM fit g CROSS JOIN (SELECT unnest(range((SELECT min(t) FROM st), (SELECT max(t) FROM st) + 5)) AS t) tt LEFT JOIN sc ON sc.target = g.target AND sc.source = g.source AND sc.lag = g.lag AND sc.t = tt.t),
@@ -84,10 +96,11 @@ def hac_lag_tests(spark, sf_dir):
     return f.select(*_H, F.round("beta", 7).alias("beta"), F.round("se_hac", 7).alias("se_hac"), F.round(F.col("beta") / F.col("se_hac"), 5).alias("z_hac"))
 
 
-@query()
+@query(f"""{_ST}, {_D}, {_FIT}, {_SC}, h AS (SELECT target, source, lag, sum(s * (s + 2 * ((1 - t / 9.0) * coalesce(s0, 0) + coalesce(s1, 0) / 9.0))) AS meat FROM (SELECT *, sum(s) OVER w AS s0, sum(s * t) OVER w AS s1 FROM (SELECT target, source, lag, t, zr * e AS s FROM sc) WINDOW w AS (PARTITION BY target, source, lag ORDER BY t RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)) GROUP BY 1, 2, 3)
+ SELECT target, source, lag::INT AS lag, round({normal_tail_sql("(zy / sqrt(meat * n / df))")}, 7) AS p_hac, round({t_tail_sql("(zy / sqrt(zss * (rss_r - zy * zy / zss) / df))", "df")}, 7) AS p_ols FROM fit JOIN h USING (target, source, lag)""")
 def hac_p_values(spark, sf_dir):
     f = gram.hac(_design(spark, sf_dir), _H, ["c1"], 8)
-    return f.select(*_H, p_z(F.col("beta") / F.col("se_hac")).alias("p_hac"), p_t(F.col("beta") / F.col("se"), F.col("df").cast("double")).alias("p_ols"))
+    return f.select(*_H, F.round(p_z(F.col("beta") / F.col("se_hac")), 7).alias("p_hac"), F.round(p_t(F.col("beta") / F.col("se"), F.col("df").cast("double")), 7).alias("p_ols"))
 
 
 @query(f"""{_ST}, {_D}, {_FIT}, {_SC}, b AS (SELECT target, source, lag, t // 16 AS b, sum(zr * e) AS s, any_value(n) AS n, any_value(df) AS df, any_value(zss) AS zss FROM sc GROUP BY 1, 2, 3, 4)
