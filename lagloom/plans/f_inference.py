@@ -167,12 +167,15 @@ def regime_contrast(spark, sf_dir):
     return j.select("target", "source", *[F.round(c, 6).alias(c) for c in ("reference", "high", "delta")])
 
 
-@query()
+@query(f"""{_ST}, {_D}, {_GS}, g AS (SELECT *, CASE WHEN t % 52 < 26 THEN 1 ELSE 0 END AS s FROM d WHERE lag = 1), v AS (SELECT g.target, g.source, g.t, CASE WHEN g.s = 1 THEN 1 ELSE -1 END * ((z - mz) - scz / scc * (c - mc)) / zss * (((y - my) - syc / scc * (c - mc)) - zy / zss * ((z - mz) - scz / scc * (c - mc))) AS v FROM g JOIN fit USING (target, source, s)),
+ h AS (SELECT target, source, count(*) AS n, sum(v * (v + 2 * ((1 - t / 9.0) * coalesce(s0, 0) + coalesce(s1, 0) / 9.0))) AS var FROM (SELECT *, sum(v) OVER w AS s0, sum(v * t) OVER w AS s1 FROM v WINDOW w AS (PARTITION BY target, source ORDER BY t RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)) GROUP BY 1, 2),
+ k AS (SELECT target, source, a.zy / a.zss - b.zy / b.zss AS delta, sqrt(h.var * h.n / (h.n - 6)) AS se FROM fit a JOIN fit b USING (target, source) JOIN h USING (target, source) WHERE a.s = 1 AND b.s = 0), p AS (SELECT *, round({normal_tail_sql("(delta / se)")}, 9) AS p FROM k), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p), q AS (SELECT *, least(1, min(p * m / k) OVER (ORDER BY k DESC)) AS q FROM r)
+ SELECT target, source, round(delta, 6) AS delta, round(se, 7) AS se_hac, p AS p_value, round(q, 12) AS q_value FROM q""")
 def regime_contrast_hac(spark, sf_dir):
     s = F.col("s")
     rows = _groups(spark, sf_dir).withColumns({"cs": F.col("c1") * s, "x1": F.col("z") * s})
-    f = gram.hac(rows, ["target", "source"], ["s", "c1", "cs", "z"], 8, z="x1").withColumn("p_value", p_z(F.col("beta") / F.col("se_hac")))
-    return bh_large(f).select("target", "source", F.col("beta").alias("delta"), "se_hac", "p_value", "q_value")
+    f = gram.hac(rows, ["target", "source"], ["s", "c1", "cs", "z"], 8, z="x1").withColumn("p_value", F.round(p_z(F.col("beta") / F.col("se_hac")), 9))
+    return bh_large(f).select("target", "source", F.round("beta", 6).alias("delta"), F.round("se_hac", 7).alias("se_hac"), "p_value", F.round("q_value", 12).alias("q_value"))
 
 
 @query(ctes("panel_ship") + """, l AS (SELECT t, flag, pow(price - avg(price) OVER (PARTITION BY flag), 2) / 1e6 AS x FROM panel_ship), c AS (SELECT t, flag, x, x - avg(x) OVER (PARTITION BY flag) AS c FROM l),
