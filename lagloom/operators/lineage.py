@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_stored: dict[tuple, tuple[str, object]] = {}
+_stored: dict[tuple, tuple] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,17 +38,34 @@ def _state(spark: SparkSession, path: str) -> tuple | None:
     return (fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()) if fs.exists(p) else None
 
 
-def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from the file ``source``: written to the shared folder by the first query of an application that needs it, read back by all.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: cuts lineage, survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    It is made anew when the source has changed or the table is gone.
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame], **parameters) -> DataFrame:
+    """A table derived from the files ``sources``: written to the shared folder by the first query of an application that needs it, read back by all.
+
+    ``sources`` are all files that ``make`` reads, ``parameters`` all settings that change its
+    rows. The table is made anew when a source has changed or the table is gone; the one it
+    supersedes is deleted.
     """
-    key = (spark.sparkContext.applicationId, name, source, _state(spark, source))
-    if key in _stored and _state(spark, _stored[key][0]) is not None:
-        path, schema = _stored[key]
-    else:
+    what = (spark.sparkContext.applicationId, name, tuple(sources), tuple(sorted(parameters.items())))
+    state = [_state(spark, s) for s in sources]
+    known = _stored.get(what)
+    if known is None or known[0] != state or _state(spark, known[1]) is None:
         df = make()
-        path, schema = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", df.schema
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        _stored[key] = (path, schema)
+        _stored[what] = (state, path, df.schema)
+        if known is not None:
+            _delete(spark, known[1])
+    _, path, schema = _stored[what]
     return spark.read.schema(schema).parquet(path)

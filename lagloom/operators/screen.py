@@ -1,8 +1,9 @@
-"""Lag tests of very many candidates at once: one row per candidate carries both series, numpy does the sums.
+"""Lag tests of very many candidates at once: one row per target carries its sources, numpy does the sums.
 
 A series is one row per node and variable with its values in calendar order; its
-length is that of the calendar. Candidates meet their two series by joins, so Spark
-deals them out; the work of a row is one small regression per lag and regime.
+length is that of the calendar. Candidates meet the series of their source by a join and
+are gathered by target, a bounded number in a row, so what a target's tests share (its
+own past and the factors of it) is computed once; Spark deals the targets out.
 """
 
 from __future__ import annotations
@@ -36,64 +37,123 @@ def residualised(controls: np.ndarray, *columns: np.ndarray) -> tuple[int, list[
     return u.shape[1], [c - u @ (u.T @ c) for c in columns]
 
 
-def bartlett(score: np.ndarray, bandwidth: int) -> float:
-    """Weighted sum of autocovariances of scores on the calendar; steps outside the sample are zeros."""
-    return float(score @ score + 2 * sum((1 - h / (bandwidth + 1)) * (score[h:] @ score[:-h]) for h in range(1, bandwidth + 1) if h < len(score)))
+def bartlett(score: np.ndarray, bandwidth: int) -> np.ndarray:
+    """Weighted sum of autocovariances of scores on the calendar, of each column; steps outside the sample are zeros."""
+    out = (score * score).sum(axis=0)
+    for h in range(1, min(bandwidth, len(score) - 1) + 1):
+        out = out + 2 * (1 - h / (bandwidth + 1)) * (score[h:] * score[:-h]).sum(axis=0)
+    return out
 
 
-def lag_test(y: np.ndarray, x: np.ndarray, first: int, lag: int, mask, own: int, bandwidth: int) -> tuple | None:
-    """n, effect, errors, p and partial R2 of x ``lag`` steps back in y, given an intercept and ``own`` steps of y's past.
+def clustered(score: np.ndarray, first: int, on: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """Sum of squared block sums of scores, and the number of calendar blocks of ``length`` steps that hold rows."""
+    block = (first + np.arange(len(score))) // length
+    at = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+    return (np.add.reduceat(score, at, axis=0) ** 2).sum(axis=0), len(np.unique(block[on]))
 
-    Lags are formed on the calendar and the mask is applied afterwards. None where
-    the rows don't suffice or x holds nothing that the controls don't.
+
+class Tests:
+    """Each column of ``z`` alone beside the same controls: the controls are factored once for all of them.
+
+    y, controls (with the intercept) and z hold the rows ``on`` of a calendar of ``size`` steps
+    that begins with ``first``. ``valid`` is false for columns that hold nothing the controls don't.
+    """
+
+    def __init__(self, y: np.ndarray, controls: np.ndarray, z: np.ndarray, on: np.ndarray, size: int, first: int = 0):
+        self.on, self.size, self.first, self.n = on, size, first, len(on)
+        self.rank, (yr, zr) = residualised(controls, y, z)
+        self.df = self.n - self.rank - 1
+        self.zss = (zr * zr).sum(axis=0)
+        self.valid = (self.zss > 1e-12) & (self.df > 0)
+        self.zss = np.where(self.valid, self.zss, 1.0)
+        self.beta = zr.T @ yr / self.zss
+        e = yr[:, None] - zr * self.beta
+        self.rss = (e * e).sum(axis=0)
+        self.score = np.zeros((size, z.shape[1]))
+        self.score[on] = zr * e
+        drop = self.beta * self.beta * self.zss
+        self.partial_r2 = np.divide(drop, self.rss + drop, out=np.zeros_like(drop), where=self.rss + drop > 0)
+        self.se_ols = np.sqrt(self.rss / max(self.df, 1) / self.zss)
+
+    def se_hac(self, bandwidth: int) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, bartlett(self.score, bandwidth)) * self.n / max(self.df, 1)) / self.zss
+
+    def se_cluster(self, length: int) -> tuple[np.ndarray, int]:
+        """CR1 errors by calendar blocks, and their number."""
+        meat, g = clustered(self.score, self.first, self.on, length)
+        return np.sqrt(meat * (g / max(g - 1, 1)) * ((self.n - 1) / max(self.df, 1))) / self.zss, g
+
+    def influence(self) -> np.ndarray:
+        return self.score / self.zss * math.sqrt(self.n / max(self.df, 1))
+
+
+def normal_p(beta: np.ndarray, se: np.ndarray) -> list[float]:
+    return [math.erfc(abs(b) / s / math.sqrt(2)) if s > 0 else 0.0 if b else 1.0 for b, s in zip(beta.tolist(), se.tolist(), strict=True)]
+
+
+def lag_design(y: np.ndarray, x: np.ndarray, first: int, lag: int, mask, own: int) -> tuple | None:
+    """Tests of every column of x ``lag`` steps back in y, given an intercept and ``own`` steps of y's past.
+
+    Lags are formed on the calendar and the mask is applied afterwards. None where the rows don't suffice.
     """
     start = max(own, lag)
     on = np.flatnonzero(mask(first + np.arange(start, len(y)))) + start
     if len(on) < own + 4:
         return None
-    rank, (yr, zr) = residualised(np.stack([np.ones(len(on)), *(y[on - k] for k in range(1, own + 1))], axis=1), y[on], x[on - lag])
-    zss, df = float(zr @ zr), len(on) - rank - 1
-    if not zss > 1e-12:
-        return None
-    beta = float(zr @ yr) / zss
-    e = yr - zr * beta
-    score = np.zeros(len(y))
-    score[on] = zr * e
-    rss, se = float(e @ e), math.sqrt(max(0.0, bartlett(score, bandwidth)) * len(on) / df) / zss
-    drop = beta * beta * zss
-    p = math.erfc(abs(beta) / se / math.sqrt(2)) if se > 0 else 0.0 if beta else 1.0
-    return len(on), beta, math.sqrt(rss / df / zss), se, p, drop / (rss + drop) if rss + drop > 0 else 0.0
+    controls = np.stack([np.ones(len(on)), *(y[on - k] for k in range(1, own + 1))], axis=1)
+    return Tests(y[on], controls, x[on - lag], on, len(y), first)
 
 
 _KEY = ["source_region", "target_region", "source_var", "target_var"]
 
 
-def _with_series(candidates: DataFrame, given: DataFrame) -> DataFrame:
-    """Candidates with the series of both ends."""
-    side = lambda s: given.select(F.col("node").alias(f"{s}_region"), F.col("variable").alias(f"{s}_var"), F.col("first").alias(f"{s}_first"), F.col("values").alias(f"{s}_values"))
-    return (
-        candidates.select(*_KEY).distinct().join(side("target").hint("shuffle_merge"), ["target_region", "target_var"])
-        .join(side("source").hint("shuffle_merge"), ["source_region", "source_var"])
-        .select(*_KEY, "target_first", "target_values", "source_first", "source_values")
-    )
+def _by_target(candidates: DataFrame, given: DataFrame, most: int = 64) -> DataFrame:
+    """One row per target with all its sources and their series; targets of more than ``most`` sources are split."""
+    target, source = ["target_region", "target_var"], ["source_region", "source_var"]
+    series_of = lambda s: given.select(F.col("node").alias(f"{s}_region"), F.col("variable").alias(f"{s}_var"), F.col("first").alias(f"{s}_first"), F.col("values").alias(f"{s}_values"))
+    c = candidates.select(*_KEY).distinct()
+    size = c.groupBy(*target).agg(F.ceil(F.count("*") / most).alias("parts"))
+    c = c.join(size.hint("shuffle_merge"), target).withColumn("part", F.pmod(F.xxhash64(*source), F.col("parts"))).drop("parts")
+    s = c.join(series_of("source").hint("shuffle_merge"), source)
+    g = s.groupBy(*target, "part").agg(F.collect_list(F.struct(*source, "source_first", "source_values")).alias("sources"))
+    return g.join(series_of("target").hint("shuffle_merge"), target).select(*target, "target_first", "target_values", "sources")
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, np.ndarray, np.ndarray]]:
-    """Key, first step, and both series cut to the calendar that they share."""
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[tuple], int, np.ndarray, np.ndarray]]:
+    """Target, sources, first step, y and x (a column per source) on the calendar they share; sources on other calendars come apart."""
     for i in range(batch.num_rows):
-        cells = [batch.column(c)[i] for c in range(8)]
-        y, x = (np.array(cells[c].values.to_numpy(zero_copy_only=False), np.float64) for c in (5, 7))
-        ty, tx = cells[4].as_py(), cells[6].as_py()
-        first, last = max(ty, tx), min(ty + len(y), tx + len(x))
-        yield tuple(c.as_py() for c in cells[:4]), first, y[first - ty : max(0, last - ty)], x[first - tx : max(0, last - tx)]
+        target = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+        ty, y = batch.column(2)[i].as_py(), np.array(batch.column(3)[i].values.to_numpy(zero_copy_only=False), np.float64)
+        region, var, begins, values = batch.column(4)[i].values.flatten()
+        spans: dict[tuple[int, int], list] = {}
+        for s in zip(region.to_pylist(), var.to_pylist(), begins.to_pylist(), values, strict=True):
+            x = np.array(s[3].values.to_numpy(zero_copy_only=False), np.float64)
+            first, last = max(ty, s[2]), min(ty + len(y), s[2] + len(x))
+            spans.setdefault((first, max(first, last)), []).append((s[:2], x[first - s[2] : max(first, last) - s[2]]))
+        for (first, last), held in spans.items():
+            yield target, [k for k, _ in held], first, y[first - ty : last - ty], np.stack([x for _, x in held], axis=1)
 
 
 def _masks(regimes: dict[str, tuple[int, int, int]]) -> dict:
     return {r: (lambda t, p=p, a=a, b=b: (t % p >= a) & (t % p < b)) for r, (p, a, b) in regimes.items()}
 
 
-def _kinds(rows: DataFrame) -> str:
-    return ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in _KEY)
+def _mapped(candidates: DataFrame, given: DataFrame, f, schema: str, names: list[str], types: list) -> DataFrame:
+    """``f`` of each group of sources gives (number of the source, *values); the candidate stands before each."""
+    rows = _by_target(candidates, given)
+    kinds = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in _KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for target, found, first, y, x in _groups(batch):
+                out += [(found[j][0], target[0], found[j][1], target[1], *r) for j, *r in f(target, found, first, y, x)]
+            region = batch.column(0).type
+            cols = list(zip(*out, strict=True)) or [[]] * (len(names) + 4)
+            kind = [region, region, pa.string(), pa.string(), *types]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kind, strict=True)], [*_KEY, *names])
+
+    return rows.mapInArrow(run, f"{kinds}, {schema}")
 
 
 def screen(candidates: DataFrame, given: DataFrame, lags: int = 3, own: int = 1, bandwidth: int = 4, regimes: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
@@ -101,24 +161,106 @@ def screen(candidates: DataFrame, given: DataFrame, lags: int = 3, own: int = 1,
 
     given: series() of all regions and variables. Tests that can't be made have nulls.
     A candidate without one of its series has no rows. ``regimes`` names repeated parts of the
-    calendar as (period, from, to).
+    calendar as (period, from, to). The controls of a target are factored once per lag and
+    regime for all its sources.
+    """
+    masks = _masks(regimes or SEASONS)
+
+    def one(target, found, first, y, x):
+        for name, mask in masks.items():
+            for lag in range(1, lags + 1):
+                t = lag_design(y, x, first, lag, mask, own)
+                if t is None:
+                    yield from ((j, lag, name, *[None] * 6) for j in range(len(found)))
+                    continue
+                se = t.se_hac(bandwidth)
+                values = zip(t.valid.tolist(), t.beta.tolist(), t.se_ols.tolist(), se.tolist(), normal_p(t.beta, se), t.partial_r2.tolist(), strict=True)
+                yield from ((j, lag, name, *((t.n, *v) if ok else [None] * 6)) for j, (ok, *v) in enumerate(values))
+
+    names = ["lag", "regime", "n", "effect", "se_ols", "se_hac", "p_value", "partial_r2"]
+    return _mapped(candidates, given, one, TESTED, names, [pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 5])
+
+
+def common_controls(candidates: DataFrame, given: DataFrame, lags: int = 3, bandwidths: tuple[int, ...] = (4, 8), blocks: tuple[int, ...] = (), regimes: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+    """Every source lag beside all ``lags`` own lags of its target, on the same steps for every lag.
+
+    One factorisation per target and regime serves all sources and lags. Where a tested
+    column is itself a control (a region's own variable), that control leaves the fit.
+    Columns: lag, regime, n, n_controls, effect, se_ols, then se and p for each HAC bandwidth
+    (``se_hac4``) and block length (``se_cluster13``, with t of the number of blocks less one).
+    """
+    masks = _masks(regimes or SEASONS)
+
+    def one(target, found, first, y, x):
+        at = np.arange(lags, len(y))
+        past = {k: y[at - k] for k in range(1, lags + 1)}
+        for name, mask in masks.items():
+            keep = mask(first + at)
+            on = at[keep]
+            plain = [j for j, s in enumerate(found) if s != target]
+            fits = []
+            if len(on) > lags + 4:
+                control = [np.ones(len(on)), *(past[k][keep] for k in past)]
+                if plain:
+                    z = np.concatenate([x[on - k][:, plain] for k in past], axis=1)
+                    fits.append(([(j, k) for k in past for j in plain], lags, Tests(y[on], np.stack(control, axis=1), z, on, len(y), first)))
+                for j in (j for j, s in enumerate(found) if s == target):
+                    for k in past:
+                        less = np.stack([c for i, c in enumerate(control) if i != k], axis=1)
+                        fits.append(([(j, k)], lags - 1, Tests(y[on], less, x[on - k][:, [j]], on, len(y), first)))
+            for tested, n_controls, t in fits:
+                errors = []
+                for b in bandwidths:
+                    se = t.se_hac(b)
+                    errors += [se.tolist(), normal_p(t.beta, se)]
+                for b in blocks:
+                    se, g = t.se_cluster(b)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        errors += [se.tolist(), t_tail_whole(t.beta / se, max(g - 1, 1)).tolist()]
+                for c, (j, k) in enumerate(tested):
+                    if t.valid[c]:
+                        yield (j, k, name, t.n, n_controls, float(t.beta[c]), float(t.se_ols[c]), *(e[c] for e in errors))
+                    else:
+                        yield (j, k, name, t.n, n_controls, *[None] * (2 + len(errors)))
+
+    extra = [f"{s}_{m}{b}" for m, bs in (("hac", bandwidths), ("cluster", blocks)) for b in bs for s in ("se", "p")]
+    names = ["lag", "regime", "n", "n_controls", "effect", "se_ols", *extra]
+    schema = "lag long, regime string, n long, n_controls long, effect double, se_ols double" + "".join(f", {e} double" for e in extra)
+    return _mapped(candidates, given, one, schema, names, [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * (2 + len(extra))])
+
+
+def frozen_sources(candidates: DataFrame, given: DataFrame, train: int, held: int, lag: int = 1, own: int = 1, bandwidth: int = 4) -> DataFrame:
+    """Each source beside the controls that all sources of a target share, fitted before step ``train`` and judged from ``held`` on.
+
+    Columns: n_train, effect, se_hac (training), refit_effect, refit_se_hac (the same fit made
+    anew on the later steps, as a check in retrospect), n, mse_restricted, mse_full, gain (their
+    difference, with frozen coefficients), gain_se (HAC). Steps count on the calendar.
     """
-    regimes = regimes or SEASONS
-    rows = _with_series(candidates, given)
-    names = [*_KEY, "lag", "regime", "n", "effect", "se_ols", "se_hac", "p_value", "partial_r2"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = _masks(regimes)
-        for batch in batches:
-            out = [
-                (*key, lag, name, *(lag_test(y, x, first, lag, mask, own, bandwidth) or [None] * 6))
-                for key, first, y, x in _rows(batch) for name, mask in masks.items() for lag in range(1, lags + 1)
-            ]
-            types = [*(f.type for f in list(batch.schema)[:4]), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 5]
-            cols = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return rows.mapInArrow(run, f"{_kinds(rows)}, {TESTED}")
+    def one(target, found, first, y, x):
+        at = np.arange(max(own, lag), len(y))
+        parts = at[first + at < train], at[first + at >= held]
+        if min(map(len, parts)) < own + 4:
+            return
+        control = lambda on: np.stack([np.ones(len(on)), *(y[on - k] for k in range(1, own + 1))], axis=1)
+        fit, refit = (Tests(y[on], control(on), x[on - lag], on, len(y), first) for on in parts)
+        past, test = parts
+        both = np.linalg.lstsq(control(past), np.column_stack([y[past], x[past - lag]]), rcond=None)[0]
+        c, z = control(test), x[test - lag]
+        er = y[test] - c @ both[:, 0]
+        ef = er[:, None] - (z - c @ both[:, 1:]) * fit.beta
+        gain = er[:, None] ** 2 - ef**2
+        mean, n = gain.mean(axis=0), len(test)
+        score = np.zeros((len(y), len(found)))
+        score[test] = gain - mean
+        se = np.sqrt(np.maximum(0.0, bartlett(score, bandwidth)) * n / (n - 1)) / n
+        cols = (fit.beta, fit.se_hac(bandwidth), refit.beta, refit.se_hac(bandwidth), np.full(len(found), (er**2).mean()), (ef**2).mean(axis=0), mean, se)
+        for j, v in enumerate(zip(*(a.tolist() for a in cols), strict=True)):
+            ok = bool(fit.valid[j] and refit.valid[j])
+            yield (j, fit.n, n, *(v if ok else [None] * len(v)))
+
+    names = ["n_train", "n", "effect", "se_hac", "refit_effect", "refit_se_hac", "mse_restricted", "mse_full", "gain", "gain_se"]
+    return _mapped(candidates, given, one, "n_train long, n long, " + ", ".join(f"{n} double" for n in names[2:]), names, [pa.int64()] * 2 + [pa.float64()] * 8)
 
 
 def influences(candidates: DataFrame, given: DataFrame, lags: int = 1, own: int = 1, regimes: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
@@ -128,32 +270,18 @@ def influences(candidates: DataFrame, given: DataFrame, lags: int = 1, own: int
     sqrt(n / (n - rank)); steps outside the sample are zeros, so that the series of
     several tests can be added, subtracted and averaged step by step.
     """
-    regimes = regimes or SEASONS
-    rows = _with_series(candidates, given)
-    names = [*_KEY, "lag", "regime", "n", "effect", "first", "influence"]
+    masks = _masks(regimes or SEASONS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = _masks(regimes)
-        for batch in batches:
-            out = []
-            for key, first, y, x in _rows(batch):
-                for name, mask in masks.items():
-                    for lag in range(1, lags + 1):
-                        start = max(own, lag)
-                        on = np.flatnonzero(mask(first + np.arange(start, len(y)))) + start
-                        c = np.stack([np.ones(len(on)), *(y[on - k] for k in range(1, own + 1))], axis=1)
-                        rank, (yr, zr) = residualised(c, y[on], x[on - lag])
-                        zss, df = float(zr @ zr), len(on) - rank - 1
-                        if not zss > 1e-12 or df < 1:
-                            continue
-                        beta, v = float(zr @ yr) / zss, np.zeros(len(y))
-                        v[on] = zr * (yr - zr * beta) / zss * math.sqrt(len(on) / df)
-                        out.append((*key, lag, name, len(on), beta, first, v))
-            cols = list(zip(*out, strict=True)) or [[]] * len(names)
-            types = [*(f.type for f in list(batch.schema)[:4]), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    return rows.mapInArrow(run, f"{_kinds(rows)}, lag long, regime string, n long, effect double, first long, influence array<double>")
+    def one(target, found, first, y, x):
+        for name, mask in masks.items():
+            for lag in range(1, lags + 1):
+                t = lag_design(y, x, first, lag, mask, own)
+                if t is not None:
+                    v = t.influence()
+                    yield from ((j, lag, name, t.n, float(t.beta[j]), first, v[:, j]) for j in np.flatnonzero(t.valid).tolist())
+
+    names, types = ["lag", "regime", "n", "effect", "first", "influence"], [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+    return _mapped(candidates, given, one, "lag long, regime string, n long, effect double, first long, influence array<double>", names, types)
 
 
 def hac_error(values: Column, bandwidth: int) -> Column:
@@ -179,37 +307,42 @@ def resampled(candidates: DataFrame, given: DataFrame, lag: int, replicates: int
     """Every candidate refitted on each replicate: key, regime, replicate, n, effect, t, df, p_value.
 
     Blocks are drawn from the rows of the lagged design on the whole calendar, so lags
-    and gaps stay what they were; the regime is applied to the rows drawn.
+    and gaps stay what they were; the regime is applied to the rows drawn. The cross products
+    of all replicates, regimes and sources of a target are one product of the matrix of weights.
     """
-    regimes = regimes or SEASONS
-    rows = _with_series(candidates, given)
-    names = [*_KEY, "regime", "replicate", "n", "effect", "t", "df", "p_value"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for keys, first, y, x in _rows(batch):
-                start = max(own, lag)
-                rows_at = np.arange(start, len(y))
-                c = np.stack([np.ones(len(rows_at)), *(y[rows_at - k] for k in range(1, own + 1))], axis=1)
-                for r in range(replicates):
-                    drawn = block_weights(len(rows_at), block, r)
-                    for name, (p, a, b) in regimes.items():
-                        season = (first + rows_at) % p
-                        w = np.sqrt(drawn * ((season >= a) & (season < b)))
-                        n = int(round(float(w @ w)))
-                        rank, (yr, zr) = residualised(c * w[:, None], y[rows_at] * w, x[rows_at - lag] * w)
-                        zss, df = float(zr @ zr), n - rank - 1
-                        if not zss > 1e-12 or df < 1:
-                            out.append((*keys, name, r, n, None, None, None, None))
-                            continue
-                        beta = float(zr @ yr) / zss
-                        e = yr - zr * beta
-                        se = math.sqrt(float(e @ e) / df / zss)
-                        t = beta / se if se > 0 else math.inf
-                        out.append((*keys, name, r, n, beta, t, df, float(t_tail_whole(np.array([t]), df)[0]) if math.isfinite(t) else 0.0))
-            cols = list(zip(*out, strict=True)) or [[]] * len(names)
-            types = [*(f.type for f in list(batch.schema)[:4]), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    return rows.mapInArrow(run, f"{_kinds(rows)}, regime string, replicate long, n long, effect double, t double, df long, p_value double")
+    masks = _masks(regimes or SEASONS)
+
+    def one(target, found, first, y, x):
+        at = np.arange(max(own, lag), len(y))
+        drawn = np.stack([block_weights(len(at), block, r) for r in range(replicates)])
+        seasons = [(name, mask(first + at)) for name, mask in masks.items()]
+        fits = [(r, name) for r in range(replicates) for name, _ in seasons]
+        w = np.stack([drawn[r] * on for r in range(replicates) for _, on in seasons])
+        c = np.stack([np.ones(len(at)), *(y[at - k] for k in range(1, own + 1))], axis=1)
+        z, q, m = x[at - lag], own + 1, x.shape[1]
+        cross = [c[:, i] * c[:, j] for i in range(q) for j in range(q)]
+        cols = np.column_stack([*cross, c * y[at, None], y[at] ** 2, *(c[:, [i]] * z for i in range(q)), y[at, None] * z, z * z])
+        g = w @ cols
+        at_c, n = np.cumsum([q * q, q, 1, q * m, m]), np.rint(w.sum(axis=1)).astype(int)
+        cc, cy, yy, cz, zy, zz = np.split(g, at_c, axis=1)
+        cc, cz = cc.reshape(-1, q, q), cz.reshape(-1, q, m)
+        inner = np.linalg.pinv(cc, rcond=1e-13, hermitian=True)
+        rank = np.linalg.matrix_rank(cc, hermitian=True)
+        zss = zz - np.einsum("rqm,rqp,rpm->rm", cz, inner, cz)
+        zys = zy - np.einsum("rqm,rqp,rp->rm", cz, inner, cy)
+        yss = yy[:, 0] - np.einsum("rq,rqp,rp->r", cy, inner, cy)
+        for f, (r, name) in enumerate(fits):
+            df = int(n[f] - rank[f] - 1)
+            ok = (zss[f] > 1e-12) & (df > 0)
+            den = np.where(ok, zss[f], 1.0)
+            beta = zys[f] / den
+            se = np.sqrt(np.maximum(0.0, yss[f] - beta * zys[f]) / max(df, 1) / den)
+            t = np.divide(beta, se, out=np.full(m, math.inf), where=se > 0)
+            p = np.zeros(m)
+            fin = np.isfinite(t)
+            p[fin] = t_tail_whole(t[fin], df) if df > 0 else 1.0
+            for j in range(m):
+                yield (j, name, r, int(n[f]), *((float(beta[j]), float(t[j]), df, float(p[j])) if ok[j] else [None] * 4))
+
+    names, types = ["regime", "replicate", "n", "effect", "t", "df", "p_value"], [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+    return _mapped(candidates, given, one, "regime string, replicate long, n long, effect double, t double, df long, p_value double", names, types)

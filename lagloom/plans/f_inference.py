@@ -10,7 +10,7 @@ from lagloom.operators import gram, screen
 from lagloom.operators.fdr import bh, bh_large
 from lagloom.operators.lineage import stored
 from lagloom.plans import section
-from lagloom.sources.fixtures import climate_of, climate_sql, ctes, normal_tail_sql, panel, station_climate, stations
+from lagloom.sources.fixtures import climate_of, climate_sql, ctes, normal_tail_sql, panel, sources, station_climate, stations
 from lagloom.sources.sqltext import gram_sql, sweep_sql, t_tail_sql
 
 QUERIES, query = section()
@@ -19,7 +19,7 @@ _H = ["target", "source", "lag"]
 
 def climate(spark, sf_dir) -> DataFrame:
     """Standardised weekly anomalies of five nodes, gaps filled: t, node, variable, value. Stored once."""
-    return stored(spark, "climate", f"{sf_dir}/lineitem.parquet", lambda: climate_of(panel(spark, sf_dir)))
+    return stored(spark, "climate", sources(sf_dir, "lineitem"), lambda: climate_of(panel(spark, sf_dir)))
 
 
 _ST = ctes("panel") + ", " + climate_sql("panel", "st")
@@ -74,7 +74,7 @@ def lag_links(spark, sf_dir):
     keys = ["source_region", "target_region", "source_var", "target_var", "lag"]
     t = F.col("effect") / F.col("se_ols")
     f = s.withColumn("f", t * t).withColumn("p_value", F.round(p_t(t, (F.col("n") - 4).cast("double")), 9))
-    q = bh(f.withColumn("edge_type", F.concat_ws("->", "source_var", "target_var")), ["edge_type"])
+    q = bh_large(f.withColumn("edge_type", F.concat_ws("->", "source_var", "target_var")), ["edge_type"], alpha=0.05)
     score = F.signum("effect") * -F.log10(F.col("q_value") + 1e-12) * F.abs("effect")
     out = q.select(*keys, "edge_type", "n", F.round("effect", 7).alias("beta"), F.round("f", 4).alias("f"), "p_value", F.round("q_value", 8).alias("q_value"), "significant", (F.round(score, 7) + 0.0).alias("effect_score"))
     return out.orderBy("q_value", "p_value", F.desc(F.abs("beta")), *keys)

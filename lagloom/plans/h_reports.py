@@ -92,7 +92,7 @@ def correlation_prescreen(spark, sf_dir):
 # ---- multiplicity and staged decisions
 @query(f"{_W}, {_bh_sql('bh', 'edges', 'regime')} SELECT regime, {_K}, round(q_value, 10) AS q_value, q_value < 0.05 AS significant FROM bh")
 def bh_by_regime(spark, sf_dir):
-    return bh(edges(spark, sf_dir), ["regime"]).select("regime", *KEY, F.round("q_value", 10).alias("q_value"), "significant")
+    return bh_large(edges(spark, sf_dir), ["regime"], alpha=0.05).select("regime", *KEY, F.round("q_value", 10).alias("q_value"), "significant")
 
 
 @query(f"{_W}, {_bh_sql('g', 'edges', '1', q='q_global')}, {_bh_sql('w', 'g', 'regime, target_region', q='q_within')} SELECT regime, {_K}, round(q_global, 10) AS q_global, round(q_within, 10) AS q_within FROM w")
@@ -105,7 +105,7 @@ def two_families(spark, sf_dir):
 def recalibrated_subset(spark, sf_dir):
     e = edges(spark, sf_dir)
     some = e.filter("lag = 1 and regime = 'winter' and p_value < 0.1").select("source_region", "target_region")
-    return bh(e.join(some, ["source_region", "target_region"], "left_semi"), ["regime"]).select("regime", *KEY, F.round("q_value", 10).alias("q_value"))
+    return bh_large(e.join(some, ["source_region", "target_region"], "left_semi"), ["regime"]).select("regime", *KEY, F.round("q_value", 10).alias("q_value"))
 
 
 @query(f"{_W}, {_SIG} SELECT DISTINCT {_K} FROM sig")
@@ -123,7 +123,7 @@ def _stages(spark, sf_dir):
     s = e.filter("regime = 'summer'").select(*KEY, F.col("p_value").alias("p2"), F.col("effect").alias("e2"))
     same = F.signum("e1") == F.signum("e2")
     j = w.join(s, KEY).withColumn("screened", F.col("p1") < 0.4).withColumn("one_sided", F.when(same, F.col("p2") / 2).otherwise(1 - F.col("p2") / 2))
-    return bh(j, ["screened"], "one_sided", "q", None)
+    return bh_large(j, ["screened"], "one_sided", "q")
 
 
 @query(f"{_W}, {_STAGE} SELECT {_K}, screened, round(one_sided, 10) AS one_sided, round(q, 10) AS q, screened AND q < 0.9 AS replicated FROM f")

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.operators import gram, reports, spatial
-from lagloom.operators.lineage import cut
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
-from lagloom.sources.fixtures import ctes, edges, panel, panel_orders, panel_ship, stations, table
+from lagloom.sources.fixtures import HAV_SQL, ctes, edges, panel, panel_orders, panel_ship, stations, table
 
 QUERIES, query = section()
 _W = ctes("edges")
@@ -68,30 +67,85 @@ def stratified_paths(spark, sf_dir):
     return k.withColumn("r", F.row_number().over(Window.partitionBy("regime", "stratum").orderBy(order, "s", "m", "t", "la", "lb"))).filter("r <= 5").select("regime", "stratum", "s", "m", "t", "la", "lb")
 
 
-@query()
+_P, _COARSE = 60, 3  # proposals of an edge; cubes coarser than this level are not used
+
+
+def _draw(k: str, a: int) -> str:
+    """Arithmetic draw number ``a`` of proposal ``k`` of an edge, the same in both engines."""
+    return f"((((es * 7919 + et * 104729 + {k} * 15485863) % 1000003) * {a} + {k} * 611953) % 1000003)"
+
+
+def _cube_exprs(level: str) -> list[str]:
+    return [f"CAST(floor(({c} + 1) / pow(CAST(2 AS DOUBLE), 1 - {level})) AS BIGINT) AS q{c}" for c in "xyz"]
+
+
+_CHORD = "2 * sin(ekm / (2 * 6371.0))"
+_LEVEL = f"CAST(greatest(0, least(12, floor(ln(2 / greatest(1.2 * {_CHORD}, 1e-6)) / ln(CAST(2 AS DOUBLE))))) AS BIGINT)"
+_RANK = "CASE WHEN abs(km - ekm) <= 0.1 * ekm THEN 0 WHEN abs(km - ekm) <= 0.2 * ekm THEN 1 ELSE 2 END"
+_HAV = HAV_SQL.replace("a.lat", "la").replace("b.lat", "lb").replace("a.lon", "lo").replace("b.lon", "lp")
+
+_MATCH = ctes("edges") + f""", pt AS MATERIALIZED (SELECT node, lat, lon, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM cells), mm AS (SELECT count(*) AS m FROM pt),
+ nb AS (SELECT pt.*, node % m AS bucket, row_number() OVER (PARTITION BY node % m ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY node % m) AS c FROM pt, mm),
+ cb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY level, qx, qy, qz ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY level, qx, qy, qz) AS c FROM (SELECT node, lat, lon, level, {", ".join(_cube_exprs("level"))} FROM pt, range({_COARSE}, 13) l(level))),
+ ee AS (SELECT DISTINCT source_region AS es, target_region AS et FROM edges WHERE p_value < 0.3 AND source_region <> target_region),
+ ed AS (SELECT es, et, {HAV_SQL} AS ekm FROM ee JOIN cells a ON a.node = es JOIN cells b ON b.node = et),
+ pr AS (SELECT e.*, k, n.node AS source, n.lat AS la, n.lon AS lo, x, y, z, {_LEVEL} AS level FROM ed e, range({_P}) r(k), mm JOIN nb n ON n.bucket = {_draw("k", 31)} % m AND n.i = {_draw("k", 37)} % n.c),
+ far AS (SELECT p.* EXCLUDE (x, y, z), n.node AS target, n.lat AS lb, n.lon AS lp FROM pr p, mm JOIN nb n ON n.bucket = {_draw("k", 41)} % m AND n.i = {_draw("k", 43)} % n.c WHERE level < {_COARSE}),
+ nr AS (SELECT es, et, ekm, k, source, la, lo, level, qx + {_draw("k", 47)} % 3 - 1 AS qx, qy + {_draw("k", 53)} % 3 - 1 AS qy, qz + {_draw("k", 59)} % 3 - 1 AS qz FROM (SELECT *, {", ".join(_cube_exprs("level"))} FROM pr WHERE level >= {_COARSE})),
+ near_ AS (SELECT n.es, n.et, n.ekm, n.k, n.source, n.la, n.lo, n.level, c.node AS target, c.lat AS lb, c.lon AS lp FROM nr n JOIN cb c USING (level, qx, qy, qz) WHERE c.i = {_draw("k", 61).replace("es", "n.es").replace("et", "n.et")} % c.c),
+ ok AS (SELECT *, {_RANK} AS class FROM (SELECT *, {_HAV} AS km FROM (SELECT es, et, ekm, k, source, target, la, lo, lb, lp FROM far UNION ALL SELECT es, et, ekm, k, source, target, la, lo, lb, lp FROM near_)) WHERE source <> target AND NOT (source = es AND target = et)),
+ pw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY class, CASE WHEN class = 2 THEN round(abs(km - ekm), 6) ELSE 0 END, k, es, et) AS r FROM ok) WHERE r = 1),
+ ew AS (SELECT * FROM (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY es, et ORDER BY class, CASE WHEN class = 2 THEN round(abs(km - ekm), 6) ELSE 0 END, k) AS r FROM pw) WHERE r = 1)
+ SELECT ed.es, ed.et, round(ed.ekm, 5) AS ekm, source, target, round(km, 5) AS km, class::INT AS class FROM ed LEFT JOIN ew USING (es, et)"""
+
+
+@query(_MATCH)
 def matched_random_edges(spark, sf_dir):
-    """Random pairs of about an edge's distance, each pair used once: proposals and acceptances in rounds, tolerance 10, 20, then any per cent."""
-    e = edges(spark, sf_dir).filter("regime = 'winter' and lag = 1 and edge_type = 'wind->humidity' and p_value < 0.3 and source_region <> target_region")
-    km = spatial.pairs(stations(spark, sf_dir)).filter("source <> target").select("source", "target", "km")
-    e = e.join(km, (F.col("source_region") == F.col("source")) & (F.col("target_region") == F.col("target"))).select(F.xxhash64("source", "target").alias("edge"), F.col("source").alias("es"), F.col("target").alias("et"), F.col("km").alias("ekm"))
-    return match_by_distance(e, km)
-
-
-def match_by_distance(e: DataFrame, pool: DataFrame, rounds: int = 4, seed: int = 7) -> DataFrame:
-    """edge, es, et, ekm with source, target, km of its match; unmatched edges have nulls after all rounds."""
-    done = None
-    for tolerance in (0.1, 0.2, 1e9):
-        for k in range(rounds):
-            free = pool if done is None else pool.join(done.select("source", "target"), ["source", "target"], "left_anti")
-            open_ = e if done is None else e.join(done.select("edge"), "edge", "left_anti")
-            near = (F.abs(F.col("km") - F.col("ekm")) <= tolerance * F.col("ekm")) & ~((F.col("es") == F.col("source")) & (F.col("et") == F.col("target")))
-            offer = open_.join(F.broadcast(free), near)  # the pool: pairs of a node dimension
-            luck = F.xxhash64("edge", "source", "target", F.lit(seed + k))
-            want = offer.withColumn("r", F.row_number().over(Window.partitionBy("edge").orderBy(luck))).filter("r = 1")
-            won = want.withColumn("r", F.row_number().over(Window.partitionBy("source", "target").orderBy(F.xxhash64("edge", F.lit(k))))).filter("r = 1").drop("r")
-            won = cut(won)
-            done = won if done is None else done.union(won)
-    return e.join(done.select("edge", "source", "target", "km"), "edge", "left")
+    """Random pairs of about an edge's distance, each pair used once: within a tenth (class 0), a fifth (1), else the nearest proposed (2)."""
+    e = edges(spark, sf_dir).filter("p_value < 0.3 and source_region <> target_region").select(F.col("source_region").alias("es"), F.col("target_region").alias("et")).distinct()
+    m = match_by_distance(e, stations(spark, sf_dir))
+    return m.select("es", "et", F.round("ekm", 5).alias("ekm"), "source", "target", F.round("km", 5).alias("km"), "class")
+
+
+def match_by_distance(e: DataFrame, nodes: DataFrame, proposals: int = _P) -> DataFrame:
+    """es, et, ekm with source, target, km, class of its match; an edge whose proposals are all taken has nulls.
+
+    Pairs of all nodes are never formed: a proposal draws a source, a cube beside it (on the
+    unit sphere, of a side that suits the edge's distance) and a node in that cube; for far
+    edges, a node anywhere. A pair goes to the edge it suits best, so no pair is used twice,
+    then each edge takes its best pair. Rows are edges times proposals.
+    """
+    la, lo = F.radians("lat"), F.radians("lon")
+    pt = nodes.select("node", "lat", "lon", (F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z"))
+    m = nodes.count()
+    spot = nodes.select("node", F.struct("lat", "lon").alias("p"))
+    ends = e.join(spot.toDF("es", "a").hint("shuffle_merge"), "es").join(spot.toDF("et", "b").hint("shuffle_merge"), "et")
+    ends = ends.select("es", "et", spatial.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")).alias("ekm"))
+    place = Window.partitionBy("bucket")
+    numbered = pt.withColumn("bucket", F.pmod("node", F.lit(m))).withColumn("i", F.row_number().over(place.orderBy("node")) - 1).withColumn("c", F.count("*").over(place))
+    cubes = pt.withColumn("level", F.explode(F.sequence(F.lit(_COARSE).cast("long"), F.lit(12).cast("long")))).selectExpr("node", "lat", "lon", "level", *_cube_exprs("level"))
+    inside = Window.partitionBy("level", "qx", "qy", "qz")
+    cubes = cubes.withColumn("i", F.row_number().over(inside.orderBy("node")) - 1)
+    sizes = cubes.groupBy("level", "qx", "qy", "qz").agg(F.count("*").alias("c"))
+
+    def drawn(rows: DataFrame, bucket: int, index: int, **names: str) -> DataFrame:
+        n = numbered.select("bucket", "i", "c", *[F.col(c).alias(a) for c, a in names.items()])
+        d = rows.withColumn("bucket", F.expr(f"{_draw('k', bucket)} % {m}"))
+        return d.join(n.hint("shuffle_merge"), "bucket").filter(F.expr(f"i = {_draw('k', index)} % c")).drop("bucket", "i", "c")
+
+    pr = drawn(ends.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(proposals - 1).cast("long")))), 31, 37, node="source", lat="la", lon="lo", x="x", y="y", z="z")
+    pr = pr.withColumn("level", F.expr(_LEVEL))
+    keep = ["es", "et", "ekm", "k", "source", "target", "la", "lo", "lb", "lp"]
+    far = drawn(pr.filter(F.col("level") < _COARSE), 41, 43, node="target", lat="lb", lon="lp").select(*keep)
+    close = pr.filter(F.col("level") >= _COARSE).selectExpr("es", "et", "ekm", "k", "source", "la", "lo", "level", *_cube_exprs("level"))
+    close = close.withColumns({f"q{c}": F.expr(f"q{c} + {_draw('k', a)} % 3 - 1") for c, a in zip("xyz", (47, 53, 59), strict=True)})
+    close = close.join(sizes.hint("shuffle_merge"), ["level", "qx", "qy", "qz"]).withColumn("i", F.expr(f"{_draw('k', 61)} % c"))
+    close = close.join(cubes.select("level", "qx", "qy", "qz", "i", F.col("node").alias("target"), F.col("lat").alias("lb"), F.col("lon").alias("lp")).hint("shuffle_merge"), ["level", "qx", "qy", "qz", "i"]).select(*keep)
+    ok = far.unionByName(close).withColumn("km", spatial.haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"))).filter("source <> target and not (source = es and target = et)")
+    ok = ok.withColumn("class", F.expr(_RANK)).withColumn("off", F.when(F.col("class") == 2, F.round(F.abs(F.col("km") - F.col("ekm")), 6)).otherwise(0.0))
+    best = ok.groupBy("source", "target").agg(F.min(F.struct("class", "off", "k", "es", "et", "km")).alias("w"))
+    own = best.select("w.*", "source", "target").groupBy("es", "et").agg(F.min(F.struct("class", "off", "k", "source", "target", "km")).alias("w"))
+    return ends.join(own.hint("shuffle_merge"), ["es", "et"], "left").select("es", "et", "ekm", "w.source", "w.target", "w.km", "w.class")
 
 
 @query(ctes("panel_ship") + ", m AS (SELECT t, flag, price FROM panel_ship), b AS (SELECT flag, regr_slope(y, x) AS beta, regr_intercept(y, x) AS c FROM (SELECT a.flag, a.price AS y, p.price AS x FROM m a JOIN m p ON p.flag = a.flag AND p.t = a.t - 1 WHERE a.t < 1500) GROUP BY 1) SELECT b.flag, round(beta, 7) AS beta, count(*) AS n, round(avg(abs(a.price - c - beta * p.price)), 5) AS mae FROM b JOIN m a ON a.flag = b.flag JOIN m p ON p.flag = a.flag AND p.t = a.t - 1 WHERE a.t >= 1500 GROUP BY 1, 2")

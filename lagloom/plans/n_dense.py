@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_z
 from lagloom.operators import dense, gram
-from lagloom.operators.fdr import bh
+from lagloom.operators.fdr import bh_large
 from lagloom.plans import section
 from lagloom.plans.f_inference import _ST, climate
 from lagloom.sources.fixtures import normal_tail_sql
@@ -85,7 +85,7 @@ def dense_var_families(spark, sf_dir):
         df = dense.tested(part, model, all_tests(model)).withColumn("period", F.lit(period))
         out = df if out is None else out.union(df)
     out = out.withColumn("z", F.col("beta") / F.col("se_hac")).withColumn("variable", F.regexp_replace("target", "_[0-9]+$", "")).withColumn("p", F.round(p_z("z"), 9))
-    out = bh(bh(out, ["period"], "p", "q_global", None), ["period", "variable"], "p", "q_variable", None)
+    out = bh_large(bh_large(out, ["period"], "p", "q_global"), ["period", "variable"], "p", "q_variable")
     return out.select("period", "source", "target", F.round("z", 5).alias("z"), F.round("q_global", 8).alias("q_global"), F.round("q_variable", 8).alias("q_variable"))
 
 
@@ -103,8 +103,8 @@ def dense_frozen_gains(spark, sf_dir):
     rows = dense.design(s, names, [1])
     model = dense.fit(rows.filter(F.col("t") < TRAIN), names, [1])
     g = dense.frozen_gains(rows.filter(F.col("t") >= HELD), model, all_tests(model)).withColumn("z", F.col("gain") / F.col("se"))
-    g = g.withColumn("two", p_z("z")).withColumn("p", F.round(F.when(F.col("z") > 0, F.col("two") / 2).otherwise(1 - F.col("two") / 2), 9)).withColumn("family", F.lit("frozen"))
-    g = bh(g, ["family"], "p", "q_value", None)  # one family: as many rows as the matrix has cells
+    g = g.withColumn("two", p_z("z")).withColumn("p", F.round(F.when(F.col("z") > 0, F.col("two") / 2).otherwise(1 - F.col("two") / 2), 9))
+    g = bh_large(g, None, "p", "q_value")
     return g.select("source", "target", "n", F.round("gain", 8).alias("gain"), F.round("relative_gain", 7).alias("relative_gain"), F.round("z", 5).alias("z"), F.round("p", 7).alias("p_one_sided"), F.round("q_value", 7).alias("q_value"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_z
 from lagloom.operators import gram, screen, spatial
-from lagloom.operators.fdr import bh, bh_large
+from lagloom.operators.fdr import bh_large
 from lagloom.plans import section
 from lagloom.sources.fixtures import EDGE_TYPES, ctes, normal_tail_sql, station_climate, stations
 
@@ -61,7 +61,7 @@ def hemisphere_contrasts(spark, sf_dir):
     j = i.filter("node % 2 = 0").join(south.hint("shuffle_merge"), ["node", *key])
     d = j.select(F.col("node").alias("north"), "edge_type", "lag", "regime", (F.col("effect") - F.col("es")).alias("delta"), screen.hac_error(_added("influence", "vs", -1.0), 4).alias("se"))
     d = d.withColumn("p_value", F.round(p_z(F.col("delta") / F.col("se")), 9))
-    d = bh_large(bh(d, ["regime"], "p_value", "q_regime", None), "p_value", "q_all")
+    d = bh_large(bh_large(d, ["regime"], "p_value", "q_regime"), None, "p_value", "q_all")
     return d.select("north", "edge_type", "lag", "regime", F.round("delta", 7).alias("delta"), F.round("se", 7).alias("se"), *[F.round(c, 8).alias(c) for c in ("p_value", "q_regime", "q_all")])
 
 
@@ -75,7 +75,7 @@ def edge_type_averages(spark, sf_dir):
     steps = i.select(*by, "first", F.posexplode("influence").alias("k", "v")).groupBy(*by, (F.col("first") + F.col("k")).alias("t")).agg(F.sum("v").alias("v"))
     line = steps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s")).select(*by, F.transform("s", lambda x: x["v"]).alias("s"))  # one value per calendar step
     j = mean.join(line.hint("shuffle_merge"), by).withColumn("se", screen.hac_error(F.col("s"), 4) / F.col("tests"))
-    j = bh(j.withColumn("p_value", F.round(p_z(F.col("effect") / F.col("se")), 9)), ["regime"], alpha=None)
+    j = bh_large(j.withColumn("p_value", F.round(p_z(F.col("effect") / F.col("se")), 9)), ["regime"])
     return j.select(*by, "tests", F.round("effect", 8).alias("effect"), F.round("se", 8).alias("se"), F.round("p_value", 7).alias("p_value"), F.round("q_value", 7).alias("q_value"))
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.operators import reports, screen, spatial
-from lagloom.operators.fdr import bh
+from lagloom.operators.fdr import bh_large
 from lagloom.operators.lineage import cut, stored
 from lagloom.plans import section
 from lagloom.plans.c_spatial import _REGIONS, regions
 from lagloom.plans.m_verify import predictions
-from lagloom.sources.fixtures import HAV_SQL, ctes, day_number, edges, panel, station_candidates, station_climate, stations
+from lagloom.sources.fixtures import HAV_SQL, ctes, day_number, edges, panel, sources, station_candidates, station_climate, stations
 from lagloom.sources.sqltext import t_tail_sql
 
 QUERIES, query = section()
@@ -28,7 +28,7 @@ bf AS MATERIALIZED (SELECT *, zy / zss AS effect, zy / zss / sqrt((rss - zy * zy
 def refits(spark, sf_dir) -> DataFrame:
     """All candidates refitted on every replicate at lag 1. Stored once."""
     make = lambda: screen.resampled(station_candidates(spark, sf_dir), screen.series(station_climate(spark, sf_dir)), 1, REPLICATES)
-    return stored(spark, "refits", f"{sf_dir}/lineitem.parquet", make)
+    return stored(spark, "refits", sources(sf_dir, "lineitem", "supplier"), make, replicates=REPLICATES)
 
 
 @query(_BOOT + f""", bp AS (SELECT *, round({t_tail_sql("t", "(n - 3)")}, 9) AS p FROM bf), br AS (SELECT *, row_number() OVER (PARTITION BY r, regime ORDER BY p) AS k, count(*) OVER (PARTITION BY r, regime) AS m FROM bp), bq AS (SELECT *, least(1, min(p * m / k) OVER (PARTITION BY r, regime ORDER BY k DESC)) AS q FROM br)
@@ -36,7 +36,7 @@ def refits(spark, sf_dir) -> DataFrame:
 def edge_stability(spark, sf_dir):
     """Share of the replicates in which a refitted edge is significant, by its p and by the q of its replicate and season."""
     key = ["source_region", "target_region", "source_var", "target_var", "regime"]
-    r = bh(refits(spark, sf_dir).withColumn("p", F.round("p_value", 9)), ["replicate", "regime"], "p", "q", None)
+    r = bh_large(refits(spark, sf_dir).withColumn("p", F.round("p_value", 9)), ["replicate", "regime"], "p", "q")
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 8)
     return r.groupBy(*key).agg(F.count("*").alias("replicates"), share(F.col("p") < 0.05).alias("stability"), share(F.col("q") < 0.2).alias("stability_q"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_z
 from lagloom.operators import gram, reports, spatial
-from lagloom.operators.fdr import bh
+from lagloom.operators.fdr import bh_large
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
 from lagloom.plans.h_reports import _INTRA
@@ -116,7 +116,7 @@ _CONF = """b AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY p_val
 
 @query(_E + f", {_CONF}, w AS (SELECT {_K}, edge_type, p_value AS p1, q AS q1, effect AS e1 FROM q WHERE regime = 'winter'), s AS (SELECT {_K}, p_value AS p2, q AS q2, effect AS e2 FROM q WHERE regime = 'summer') SELECT edge_type, count(*) AS tested, round(avg(CASE WHEN p1 < 0.2 AND p2 < 0.2 AND sign(e1) = sign(e2) THEN 1.0 ELSE 0.0 END), 8) AS confirmed_ratio, round(avg(p2), 8) AS mean_p, round(avg(q2), 8) AS mean_q FROM w JOIN s USING ({_K}) GROUP BY 1")
 def confirmation_by_type(spark, sf_dir):
-    q = bh(edges(spark, sf_dir), ["regime"], q="q", alpha=None)
+    q = bh_large(edges(spark, sf_dir), ["regime"], q="q")
     w = q.filter("regime = 'winter'").select(*KEY, "edge_type", F.col("p_value").alias("p1"), F.col("effect").alias("e1"))
     s = q.filter("regime = 'summer'").select(*KEY, F.col("p_value").alias("p2"), F.col("q").alias("q2"), F.col("effect").alias("e2"))
     ok = (F.col("p1") < 0.2) & (F.col("p2") < 0.2) & (F.signum("e1") == F.signum("e2"))

@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sources(sf_dir: str, *names: str) -> list[str]:
+    """Paths of tables, as stored() takes them."""
+    return [f"{sf_dir}/{n}.parquet" for n in names]
+
+
 def day_number(ts: Column, origin: str = "1995-01-01") -> Column:
     return F.datediff(ts.cast("date"), F.lit(origin).cast("date"))
 
@@ -87,7 +92,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def station_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardised weekly anomalies of every supplier and variable, gaps filled: t, node, variable, value. Stored once."""
-    return stored(spark, "station-climate", f"{sf_dir}/lineitem.parquet", lambda: climate_of(_station_panel(spark, sf_dir)))
+    return stored(spark, "station-climate", sources(sf_dir, "lineitem"), lambda: climate_of(_station_panel(spark, sf_dir)))
 
 
 def _station_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +127,7 @@ def station_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All station candidates tested at lags 1 to 3 in winter and summer, with HAC errors. Stored once."""
     make = lambda: screen.screen(station_candidates(spark, sf_dir), screen.series(station_climate(spark, sf_dir)))
-    return stored(spark, "station-tests", f"{sf_dir}/lineitem.parquet", make)
+    return stored(spark, "station-tests", sources(sf_dir, "lineitem", "supplier"), make)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +176,9 @@ SQL = {
     "station_climate": """sp AS (SELECT CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7) AS BIGINT) AS t, l_suppkey::BIGINT AS node,
   avg(l_quantity) AS wind, avg(l_discount) AS humidity, avg(l_tax) AS cloud_cover, avg(l_extendedprice) AS temperature FROM lineitem GROUP BY 1, 2),
 """ + climate_sql("sp", "sc"),
-    "tests": f"""near2 AS (SELECT source, target FROM (SELECT a.node AS source, b.node AS target, row_number() OVER (PARTITION BY b.node ORDER BY {HAV_SQL}, a.node) AS r FROM cells a, cells b WHERE a.node <> b.node) WHERE r <= 2),
-cand2 AS (SELECT source AS s, target AS g FROM near2 UNION SELECT target, source FROM near2 UNION SELECT node, node FROM cells),
-ct AS MATERIALIZED (SELECT s, g, sv, tv FROM cand2 CROSS JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in EDGE_TYPES)}) e(sv, tv)),
+    "neighbours": f"""near2 AS (SELECT source, target FROM (SELECT a.node AS source, b.node AS target, row_number() OVER (PARTITION BY b.node ORDER BY {HAV_SQL}, a.node) AS r FROM cells a, cells b WHERE a.node <> b.node) WHERE r <= 2),
+cand2 AS (SELECT source AS s, target AS g FROM near2 UNION SELECT target, source FROM near2 UNION SELECT node, node FROM cells)""",
+    "tests": f"""ct AS MATERIALIZED (SELECT s, g, sv, tv FROM cand2 CROSS JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in EDGE_TYPES)}) e(sv, tv)),
 yo AS MATERIALIZED (SELECT t, node, variable, v, lag(v) OVER (PARTITION BY node, variable ORDER BY t) AS o FROM sc), xl AS MATERIALIZED (SELECT node, variable, t + lag AS t, lag::BIGINT AS lag, v FROM sc, (VALUES (1), (2), (3)) k(lag)),
 td AS MATERIALIZED (SELECT y.t, s AS source_region, g AS target_region, sv AS source_var, tv AS target_var, x.lag, CASE WHEN y.t % 52 < 26 THEN 'winter' ELSE 'summer' END AS regime, y.v AS y, y.o AS c, x.v AS z
   FROM ct JOIN yo y ON y.node = g AND y.variable = tv JOIN xl x ON x.node = s AND x.variable = sv AND x.t = y.t WHERE y.o IS NOT NULL),
@@ -185,7 +190,7 @@ tests AS MATERIALIZED (SELECT source_region, target_region, source_var, target_v
     "edges": f"""edges AS MATERIALIZED (SELECT source_region, target_region, source_var, target_var, lag, regime, round({normal_tail_sql("z_hac")}, 7) AS p_value, round(effect, 6) AS effect, source_var || '->' || target_var AS edge_type FROM tests)""",
 }
 
-_NEEDS = {"tests": ("stations", "station_climate"), "edges": ("tests",)}
+_NEEDS = {"neighbours": ("stations",), "tests": ("neighbours", "station_climate"), "edges": ("tests",)}
 
 
 def ctes(*names: str) -> str:
