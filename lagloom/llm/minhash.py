@@ -1,19 +1,21 @@
 """Near-duplicate groups by Order MinHash and banded alignment.
 
-A text is its sequence of five-word shingles. For each of ``bands`` hash functions
+The k-mers of a text are its five-word shingles. For each of ``bands`` hash functions
 the sketch takes the ``take`` least occurrence-labelled shingles (the second
 occurrence of a shingle is another element than the first) and keeps them in text
 order; the key of a band is the hash of that ordered list, so two texts agree in a
 band when they share those shingles in the same order. Texts that share a key are
-candidates, and a pair links if an alignment inside the band that the threshold
-allows matches enough shingles in order: matched / (n + m - matched) >= similarity.
+candidates, and a pair links if an alignment of its words, inside the band that the threshold
+allows, matches enough of them in order: matched / (n + m - matched) >= similarity. This is
+the edit similarity that the sketch is sensitive to: a changed word costs one word of the
+alignment, not the five shingles that hold it.
 
 Buckets are never expanded into all their pairs. In a round every member of a
-bucket meets the bucket's pivots (one in the first round, up to 64 later); members
-that one component already joins need no more comparisons, and pivots that have met
-all others leave. Rounds go on while a bucket that is not one component has more
-members or shingles left than a task may hold; what remains is settled bucket by bucket in a task,
-where histograms of the shingles rule out most pairs with certainty. Word sequences
+bucket meets the bucket's pivots (one in the first round, 64 in the next, then twice as many
+each time); members that one component already joins need no more comparisons, and pivots that
+have met all others leave. Rounds go on while a bucket that is not one component has more
+members or words left than a task may hold; what remains is settled bucket by bucket in a task,
+where histograms of the words rule out most pairs with certainty. Word sequences
 that are equal are one class from the start.
 """
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import components, stage
+from lagloom.llm.common import components, stage, unstage
 
 _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -83,7 +85,9 @@ def labelled(s: np.ndarray) -> np.ndarray:
 def sketch(s: np.ndarray, bands: int, take: int) -> np.ndarray:
     """Key of each band: the hash of the ``take`` least labelled shingles in text order."""
     e = labelled(s)
-    h = _mix(e[None, :] ^ _mix(np.arange(1, bands + 1, dtype=np.uint64))[:, None])
+    # shingles are well mixed, so that the high half of a product with an odd number is hash enough
+    odd = _mix(np.arange(1, bands + 1, dtype=np.uint64)) | np.uint64(1)
+    h = (e[None, :] * odd[:, None] >> np.uint64(32)).astype(np.uint32)
     at = np.sort(np.argpartition(h, take - 1, axis=1)[:, :take], axis=1) if len(e) > take else np.tile(np.arange(len(e)), (bands, 1))
     keys = np.arange(1, bands + 1, dtype=np.uint64)
     for column in e[at].T:
@@ -135,7 +139,7 @@ def matched(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
 
 
 def sketches(docs: DataFrame, bands: int, take: int, shingle: int) -> DataFrame:
-    """doc_id, hash of the word sequence, number of shingles, keys; texts without a word don't occur."""
+    """doc_id, hash of the word sequence, number of words, keys; texts without a word don't occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -145,7 +149,7 @@ def sketches(docs: DataFrame, bands: int, take: int, shingle: int) -> DataFrame:
                 ws = words(text)
                 if ws:
                     s = shingles(word_hashes(ws, known), shingle)
-                    rows.append((doc_id, xxhash.xxh3_128_digest(" ".join(ws)), len(s), sketch(s, bands, take).view(np.int64)))
+                    rows.append((doc_id, xxhash.xxh3_128_digest(" ".join(ws)), len(ws), sketch(s, bands, take).view(np.int64)))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "same", "n", "keys"])
@@ -160,7 +164,7 @@ def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "words"])
 
 
-def _compare(shingle: int, similarity: float):
+def _compare(similarity: float):
     """Rows sorted by (pivot, salt), the pivot's own row first, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,7 @@ def _compare(shingle: int, similarity: float):
         for batch in batches:
             out = []
             for p, salt, member, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s = shingles(np.frombuffer(raw, np.uint32), shingle)
+                s = np.frombuffer(raw, np.uint32)
                 if (p, salt) != at:
                     at, pivot = (p, salt), None
                 if member == p:
@@ -184,9 +188,9 @@ def _compare(shingle: int, similarity: float):
 
 
 def settle(words: list[np.ndarray], component: list[int], similarity: float) -> list[tuple[int, int, float]]:
-    """Links between members of a bucket that join components; members are sequences of shingles."""
+    """Links between members of a bucket that join components; members are sequences of words."""
     n = np.array([len(w) for w in words])
-    h = np.stack([np.bincount((w & np.uint64(255)).astype(np.int64), minlength=256) for w in words]).astype(np.int32)
+    h = np.stack([np.bincount((w & 255).astype(np.int64), minlength=256) for w in words]).astype(np.int32)
     first: dict[int, int] = {}
     root = [first.setdefault(c, i) for i, c in enumerate(component)]
 
@@ -197,7 +201,7 @@ def settle(words: list[np.ndarray], component: list[int], similarity: float) ->
 
     out = []
     for i in range(1, len(words)):
-        # unmatched shingles are at least those by which the histograms differ
+        # unmatched words are at least those by which the histograms differ
         room = (n[i] + n[:i]) * (1 - similarity) / (1 + similarity)
         for j in np.flatnonzero(np.abs(h[:i] - h[i]).sum(axis=1) <= room + 1e-9).tolist():
             a, b = find(i), find(j)
@@ -207,7 +211,7 @@ def settle(words: list[np.ndarray], component: list[int], similarity: float) ->
     return out
 
 
-def _settle(shingle: int, similarity: float):
+def _settle(similarity: float):
     """Rows sorted by bucket to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +228,7 @@ def _settle(shingle: int, similarity: float):
                     if held:
                         yield solve()
                     at, held = bucket, []
-                held.append((doc_id, component, shingles(np.frombuffer(raw, np.uint32), shingle)))
+                held.append((doc_id, component, np.frombuffer(raw, np.uint32)))
         if held:
             yield solve()
 
@@ -232,7 +236,7 @@ def _settle(shingle: int, similarity: float):
 
 
 def near_duplicates(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 12, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 4000, most_shingles: int = 8_000_000
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 32, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 4000, most_words: int = 8_000_000
 ) -> DataFrame:
     """One row per document: doc_id, group_id (smallest doc_id of its group), n_copies (documents with the same words), kept.
 
@@ -240,8 +244,10 @@ def near_duplicates(
     them. A document whose text is null or has no word links with nothing, nor does
     one without doc_id: it is its own group (group_id null without doc_id) and is kept. Rows
     that repeat a doc_id stay as they are, with the group of the least words hash.
-    Texts shorter than a shingle link with equal texts only. Other columns are not
-    read.
+    Texts shorter than a shingle link with equal texts only. An empty table gives no rows. A
+    task holds one text and its words at a time, and settles at most ``at_once`` members and
+    ``most_words`` words of a bucket, so long texts take their pivots one by one. Other
+    columns are not read.
     """
     base = stage(sketches(docs, bands, take, shingle), "sketches")
     same = base.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -255,23 +261,24 @@ def near_duplicates(
         .mapInArrow(_hash_words, "doc_id long, words binary"),
         "words",
     )
-    links, tested, first = None, None, True
+    links, tested, rounds, spent = None, None, 0, [texts]
     while True:
-        slot = F.lit(0) if first else F.pmod(F.xxhash64("rep"), F.lit(pivots))
+        slot = F.pmod(F.xxhash64("rep"), F.lit(1 if not rounds else pivots << (rounds - 1)))
         mixed = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
         live = stage(active.join(mixed.hint("shuffle_merge"), "bucket"), "live")
+        spent += [active, live]
         crowded = live.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("set"))
-        # what a task holds at once is bounded in members and in shingles (eight bytes each)
-        most = crowded.agg(F.max(F.greatest(F.col("c") / at_once, F.col("s") / most_shingles))).first()[0]
+        # what a task holds at once is bounded in members and in words (four bytes each)
+        most = crowded.agg(F.max(F.greatest(F.col("c") / at_once, F.col("s") / most_words))).first()[0]
         if most is None:
             break
-        if not first and most <= 1:
+        if rounds and most <= 1:
             # buckets of several bands with the same members are settled once
             once = crowded.groupBy("c", "lo", "set").agg(F.min("bucket").alias("bucket")).select("bucket")
             found = (
                 live.join(once.hint("shuffle_merge"), "bucket").join(texts.hint("shuffle_merge"), F.col("rep") == F.col("doc_id"))
                 .select("bucket", "doc_id", "component", "words").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-                .mapInArrow(_settle(shingle, similarity), "a long, b long, similarity double")
+                .mapInArrow(_settle(similarity), "a long, b long, similarity double")
             )
             found = stage(found, "links")
             links = found if links is None else links.union(found)
@@ -288,6 +295,7 @@ def near_duplicates(
         if tested is not None:
             met = met.join(tested.hint("shuffle_merge"), ["a", "b"], "left_anti")
         met = stage(met, "pairs")
+        spent += [heads, met]
         if met.limit(1).count():
             pairs = met.select("pivot", F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
             size = pairs.groupBy("pivot").agg((F.count("*") / per_task + 1).cast("int").alias("salts"))
@@ -298,25 +306,29 @@ def near_duplicates(
                 .select("pivot", "salt", "member", "words", (F.col("member") != F.col("pivot")).alias("later"))
                 .repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "later")
                 .select("pivot", "salt", "member", "words")
-                .mapInArrow(_compare(shingle, similarity), "a long, b long, similarity double")
+                .mapInArrow(_compare(similarity), "a long, b long, similarity double")
             )
             found = stage(found, "links")
             links = found if links is None else links.union(found)
             done = met.select("a", "b")
             tested = done if tested is None else tested.union(done)
             comp = components(links)
+            spent.append(comp)
             live = live.drop("component").join(comp.hint("shuffle_merge"), F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
         out = heads.select("bucket", F.col("pivot").alias("rep"))
         active = stage(live.join(out.hint("shuffle_merge"), ["bucket", "rep"], "left_anti"), "buckets")
-        first = False
+        rounds += 1
     if links is None:
         joined = same.select("same", "n_copies", F.col("rep").alias("group_id"))
     else:
         comp = components(links).withColumnRenamed("component", "group_id")
+        spent.append(links)
         joined = (
             same.join(comp.hint("shuffle_merge"), same.rep == comp.id, "left")
             .select("same", "n_copies", F.coalesce("group_id", "rep").alias("group_id"))
         )
+    for t in spent:
+        unstage(t)
     of_doc = (
         base.select("doc_id", "same").join(joined.hint("shuffle_merge"), "same")
         .groupBy("doc_id").agg(F.min(F.struct("same", "group_id", "n_copies")).alias("g"))

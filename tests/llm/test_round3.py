@@ -1,18 +1,20 @@
 """Resampling, licence scan and manifest against their SQL and plain versions, on given and odd tables."""
 
 import hashlib
+import itertools
 import math
+import os
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagloom.llm import common, licences, merkle, queries, resampling
+from lagloom.llm import common, licences, merkle, minhash, queries, resampling
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -181,3 +183,27 @@ def test_manifest_of_one_row_and_none(spark, odd):
     r = merkle.manifest(one).collect()
     assert len(r) == 1 and r[0].leaf == r[0].subroot == r[0].root and r[0].proof_sha256 == hashlib.sha256(b"").hexdigest()
     assert merkle.manifest(odd.limit(0)).count() == 0
+
+
+def test_near_copies_are_found(spark):
+    """Of all pairs that are alike by 0.4 and more in shingles, 0.9 are joined; of those that are hardly alike, none."""
+    where = "/root/testdata/sf0.01"
+    if not os.path.exists(where):
+        pytest.skip("no sf0.01")
+    docs = common.table(spark, where, "documents")
+    known: dict = {}
+    s = {r.doc_id: minhash.shingles(minhash.word_hashes(minhash.words(r.text), known)) for r in docs.collect()}
+    holders = defaultdict(set)
+    for i, x in s.items():
+        for v in set(x.tolist()):
+            holders[v].add(i)
+    shared = Counter(pair for d in holders.values() if 1 < len(d) < 60 for pair in itertools.combinations(sorted(d), 2))
+    group = {r.doc_id: r.group_id for r in minhash.near_duplicates(docs).collect()}
+    near, joined, wrong = 0, 0, 0
+    for (a, b), n in shared.items():
+        if len(s[a]) == len(s[b]) and (s[a] == s[b]).all():
+            continue
+        got = minhash.matched(s[a], s[b], 0.4) if n > 0.3 * min(len(s[a]), len(s[b])) else -1
+        same = group[a] == group[b]
+        near, joined, wrong = near + (got >= 0), joined + (got >= 0 and same), wrong + (n < 0.2 * min(len(s[a]), len(s[b])) and same)
+    assert near > 90 and joined >= 0.9 * near and not wrong
