@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.operators.lineage import cut
@@ -18,7 +18,47 @@ def located(graphs: DataFrame, nodes: DataFrame) -> DataFrame:
     return g.withColumn("s", stratum(haversine(F.col("ya"), F.col("xa"), F.col("yb"), F.col("xb")))).select("rep", "type", "a", "b", "ya", "xa", "yb", "xb", "s")
 
 
-def rewire(graphs: DataFrame, nodes: DataFrame, kernels: list[str], seed: int = 1) -> tuple[DataFrame, DataFrame]:
+#: A large prime: sums of squares below it are marks of sets of edges.
+PRIME = 2147483647
+
+
+def hashed(step: int, seed: int) -> tuple[Column, Column]:
+    """Luck of an edge in a step: where it is dealt to, and its order there."""
+    luck = F.xxhash64("rep", "type", "a", "b", F.lit(seed), F.lit(step))
+    return luck, F.xxhash64(luck, F.lit(7))
+
+
+def arithmetic(step: int, seed: int) -> tuple[Column, Column]:
+    """The same from whole numbers alone, so that other engines can follow."""
+    x = f"((a * 7919 + b * 104729 + rep * 15485863 + {step * 32452843 + seed * 611953}) % 1000003)"
+    return F.expr(f"{x} * 613 % 1000003"), F.expr(f"{x} * 7907 % 1000033")
+
+
+def fingerprint(a: Column, b: Column) -> Column:
+    """Mark of a set of edges, the same in any order: a sum over rows."""
+    x = (a * 1000003 + b) % PRIME
+    return F.sum(x * x % PRIME)
+
+
+def measures(g: DataFrame, first: DataFrame) -> DataFrame:
+    """Of each (rep, type): edges, fingerprint, share changed since ``first``, reciprocal edges, nodes whose degree and strata whose count differ from ``first``."""
+    key = ["rep", "type"]
+    mark = first.select(*key, "a", "b", F.lit(1).alias("was"))
+    back = g.select(*key, F.col("a").alias("b"), F.col("b").alias("a"), F.lit(1).alias("back"))
+    x = g.select(*key, "a", "b").join(mark.hint("shuffle_merge"), [*key, "a", "b"], "left").join(back.hint("shuffle_merge"), [*key, "a", "b"], "left")
+    m = x.groupBy(*key).agg(F.count("*").alias("edges"), fingerprint(F.col("a"), F.col("b")).alias("fingerprint"), (1 - F.count("was") / F.count("*")).alias("changed"), F.count("back").alias("reciprocal"))
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        ends = F.explode(F.array(*[F.struct(F.lit(c).alias("end"), F.col(c).cast("long").alias("v")) for c in ("a", "b", "s")])).alias("e")
+        return df.select(*key, ends).groupBy(*key, "e.end", "e.v").agg(F.count("*").alias(name))
+
+    d = counts(first, "x").join(counts(g, "y").hint("shuffle_merge"), [*key, "end", "v"], "full").groupBy(*key)
+    off = ~F.col("x").eqNullSafe(F.col("y"))
+    d = d.agg(F.count_if(off & (F.col("end") != "s")).alias("degrees_changed"), F.count_if(off & (F.col("end") == "s")).alias("strata_changed"))
+    return m.join(d.hint("shuffle_merge"), key)
+
+
+def rewire(graphs: DataFrame, nodes: DataFrame, kernels: list[str], seed: int = 1, luck=hashed, observe=None) -> tuple[DataFrame, DataFrame]:
     """The graphs after one round per kernel, and what became of the moves: step, kernel, rep, type, code, n.
 
     graphs: rep, type, a, b; nodes: node, lat, lon. In a round the edges of a (rep,
@@ -27,18 +67,20 @@ def rewire(graphs: DataFrame, nodes: DataFrame, kernels: list[str], seed: int =
     edge would be a loop (``loop``), be there already (``present``), be proposed twice
     (``clash``), or the counts by distance stratum would change (``distance``). In- and
     out-degrees by type and the counts by stratum hold exactly. Groups are formed by
-    hash, so no window holds all edges of a type.
+    hash, so no window holds all edges of a type. With ``observe(graphs, first graphs)`` the
+    log holds its rows (rep, type and columns of its own) after every round instead.
     """
     key = ["rep", "type"]
     g, log = cut(located(graphs, nodes)), None
+    first = g
     for step, kernel in enumerate(kernels):
         m = KERNELS[kernel]
-        part = F.xxhash64(F.floor(F.col("ya") / 30), F.floor(F.col("xa") / 45)) if kernel == "near" else F.lit(0).cast("long")
+        part = (F.floor(F.col("ya") / 30) * 100 + F.floor(F.col("xa") / 45)) if kernel == "near" else F.lit(0).cast("long")
         here = g.withColumn("part", part)
         n = here.groupBy(*key, "part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / m)).alias("groups"))
-        luck = F.xxhash64("rep", "type", "a", "b", F.lit(seed), F.lit(step))
-        dealt = here.join(n.hint("shuffle_merge"), [*key, "part"]).withColumn("i", F.pmod(luck, F.col("groups")))
-        one = F.struct(F.xxhash64(luck, F.lit(7)).alias("r"), "a", "b", "ya", "xa", "yb", "xb", "s")
+        where, order = luck(step, seed)
+        dealt = here.join(n.hint("shuffle_merge"), [*key, "part"]).withColumn("i", F.pmod(where, F.col("groups")))
+        one = F.struct(order.alias("r"), "a", "b", "ya", "xa", "yb", "xb", "s")
         moves = dealt.groupBy(*key, "part", "i").agg(F.sort_array(F.collect_list(one)).alias("old")).filter(F.size("old") >= m).withColumn("old", F.slice("old", 1, m))
 
         def turned(j, m=m):
@@ -61,6 +103,12 @@ def rewire(graphs: DataFrame, nodes: DataFrame, kernels: list[str], seed: int =
         gone = went.select(*key, F.explode("old").alias("e")).select(*key, "e.a", "e.b")
         came = went.select(*key, F.explode("new").alias("e")).select(*key, "e.*")
         g = cut(g.join(gone.hint("shuffle_merge"), [*key, "a", "b"], "left_anti").unionByName(came))
+        if observe is not None:
+            moved = went.groupBy(*key).agg(F.count("*").alias("moved"))
+            told = observe(g, first).join(moved.hint("shuffle_merge"), key, "left").withColumn("moved", F.coalesce("moved", F.lit(0)))
+            told = cut(told.withColumns({"step": F.lit(step), "kernel": F.lit(kernel)}))
+            log = told if log is None else log.unionByName(told)
+            continue
         told = moves.groupBy(*key, "code").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit(kernel).alias("kernel"), *key, "code", "n")
         log = told if log is None else log.union(told)
     return g, log

@@ -204,3 +204,55 @@ def rewiring_log(spark, sf_dir):
     # the sum of the hashes of the edges: the same for the same set in any order
     marks = done.groupBy("rep", "type").agg(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("fingerprint"))
     return log.join(marks.hint("shuffle_merge"), ["rep", "type"])
+
+
+_KERNELS = ("global", "near", "cycle", "global")
+
+
+def _draws_sql() -> str:
+    from lagloom.operators.rewire import KERNELS, PRIME
+    from lagloom.sources.fixtures import HAV_SQL
+
+    edges_of = (1e-8, 1000, 2000, 3000, 4000, 6000, 10000)
+    stratum = lambda km: " + ".join(f"({km} >= {e})::BIGINT" for e in edges_of)
+    out = [f"g0 AS MATERIALIZED (SELECT rep, type, t.a, t.b, {stratum(HAV_SQL.replace('a.', 'p.').replace('b.', 'q.'))} AS s FROM typed t CROSS JOIN range(2) r(rep) JOIN cells p ON p.node = t.a JOIN cells q ON q.node = t.b)"]
+    for k, kernel in enumerate(_KERNELS):
+        m = KERNELS[kernel]
+        part = "CAST(floor(p.lat / 30) * 100 + floor(p.lon / 45) AS BIGINT)" if kernel == "near" else "0"
+        x = f"((g.a * 7919 + g.b * 104729 + rep * 15485863 + {k * 32452843 + 5 * 611953}) % 1000003)"
+        ring = " UNION ALL ".join(f"SELECT o.rep, o.type, o.part, o.i, o.a, n.b FROM o{k} o JOIN o{k} n USING (rep, type, part, i) WHERE o.k = {j + 1} AND n.k = {(j + 1) % m + 1}" for j in range(m))
+        ids = "rep, type, part, i"
+        out += [
+            f"h{k} AS (SELECT g.*, {part} AS part, {x} * 613 % 1000003 AS luck, {x} * 7907 % 1000033 AS r FROM g{k} g JOIN cells p ON p.node = g.a)",
+            f"d{k} AS (SELECT *, luck % greatest(1, ceil(count(*) OVER (PARTITION BY rep, type, part) / {m}.0))::BIGINT AS i FROM h{k})",
+            f"o{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {ids} ORDER BY r, a, b) AS k, count(*) OVER (PARTITION BY {ids}) AS c FROM d{k}) WHERE c >= {m} AND k <= {m})",
+            f"n{k} AS MATERIALIZED (SELECT x.*, {stratum(HAV_SQL.replace('a.', 'p.').replace('b.', 'q.'))} AS s FROM ({ring}) x JOIN cells p ON p.node = x.a JOIN cells q ON q.node = x.b)",
+            f"c{k} AS (SELECT {ids}, bool_or(a = b) AS loop, list(s ORDER BY s) AS ns FROM n{k} GROUP BY ALL), q{k} AS (SELECT {ids}, list(s ORDER BY s) AS os FROM o{k} GROUP BY ALL)",
+            f"f{k} AS MATERIALIZED (SELECT n.* FROM n{k} n JOIN c{k} USING ({ids}) JOIN q{k} USING ({ids}) WHERE NOT loop AND ns = os)",
+            f"b{k} AS (SELECT DISTINCT {ids} FROM f{k} JOIN g{k} USING (rep, type, a, b) UNION SELECT {ids} FROM (SELECT *, count(*) OVER (PARTITION BY rep, type, a, b) AS c FROM f{k}) WHERE c > 1)",
+            f"w{k} AS MATERIALIZED (SELECT f.* FROM f{k} f ANTI JOIN b{k} USING ({ids}))",
+            f"g{k + 1} AS MATERIALIZED (SELECT rep, type, a, b, s FROM g{k} g WHERE NOT EXISTS (SELECT 1 FROM o{k} o JOIN (SELECT DISTINCT {ids} FROM w{k}) v USING ({ids}) WHERE o.rep = g.rep AND o.type = g.type AND o.a = g.a AND o.b = g.b) UNION ALL SELECT rep, type, a, b, s FROM w{k})",
+            f"""m{k} AS (SELECT rep, type, {k} AS step, '{kernel}' AS kernel, count(*) AS edges, sum(((x.a * 1000003 + x.b) % {PRIME}) * ((x.a * 1000003 + x.b) % {PRIME}) % {PRIME})::BIGINT AS fingerprint, round(1 - count(o.a) / count(*)::DOUBLE, 8) AS changed, count(r.a) AS reciprocal,
+  coalesce((SELECT count(*) FROM (SELECT DISTINCT rep, type, part, i FROM w{k}) v WHERE v.rep = x.rep AND v.type = x.type), 0) AS moved FROM g{k + 1} x LEFT JOIN g0 o USING (rep, type, a, b) LEFT JOIN (SELECT rep, type, b AS a, a AS b FROM g{k + 1}) r USING (rep, type, a, b) GROUP BY rep, type)""",
+            f"""e{k} AS (SELECT rep, type, count(*) FILTER (e <> 's' AND x IS DISTINCT FROM y) AS degrees_changed, count(*) FILTER (e = 's' AND x IS DISTINCT FROM y) AS strata_changed FROM (SELECT rep, type, e, v, sum(w) FILTER (old) AS x, sum(w) FILTER (NOT old) AS y FROM
+  (SELECT rep, type, unnest(['a', 'b', 's']) AS e, unnest([a, b, s]) AS v, 1 AS w, true AS old FROM g0 UNION ALL SELECT rep, type, unnest(['a', 'b', 's']), unnest([a, b, s]), 1, false FROM g{k + 1}) GROUP BY ALL) GROUP BY ALL)""",
+        ]
+    steps = " UNION ALL ".join(f"SELECT m.*, degrees_changed, strata_changed, (SELECT count(*) FROM g{k + 1} x JOIN g{k + 1} y ON y.rep = x.rep AND y.a = x.b WHERE x.rep = m.rep AND x.type = 'wind->humidity' AND y.type = 'humidity->cloud_cover') AS chains FROM m{k} m JOIN e{k} USING (rep, type)" for k in range(len(_KERNELS)))
+    return ctes("edges") + f", {_TYPED}, " + ", ".join(out) + " SELECT rep::BIGINT AS rep, type, step, kernel, edges, fingerprint, changed, reciprocal, moved, degrees_changed, strata_changed, chains FROM (" + steps + ")"
+
+
+@query(_draws_sql())
+def rewiring_draws(spark, sf_dir):
+    """Two replicates after every round of moves: a mark of the graph, what changed of it, productive moves, and what must not change (degrees by type, distance strata, chains)."""
+    from lagloom.operators.rewire import arithmetic, measures, rewire
+
+    g = _typed(spark, sf_dir).withColumn("rep", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+
+    def observe(now, first):
+        a = now.filter("type = 'wind->humidity'").groupBy("rep", F.col("b").alias("m")).agg(F.count("*").alias("x"))
+        b = now.filter("type = 'humidity->cloud_cover'").groupBy("rep", F.col("a").alias("m")).agg(F.count("*").alias("y"))
+        chains = a.join(b.hint("shuffle_merge"), ["rep", "m"]).groupBy("rep").agg(F.sum(F.col("x") * F.col("y")).alias("chains"))
+        return measures(now, first).join(chains.hint("shuffle_merge"), "rep", "left").withColumns({"chains": F.coalesce("chains", F.lit(0)), "changed": F.round("changed", 8)})
+
+    _, log = rewire(g, stations(spark, sf_dir), list(_KERNELS), seed=5, luck=arithmetic, observe=observe)
+    return log.select("rep", "type", "step", "kernel", "edges", "fingerprint", "changed", "reciprocal", "moved", "degrees_changed", "strata_changed", "chains")
