@@ -276,17 +276,18 @@ _G = """f AS (SELECT year(l_shipdate) AS t, CAST(l_partkey * 31 % 8 AS BIGINT) A
  FROM f c JOIN f e ON e.t = c.t AND e.i = c.i AND e.j = (c.j + 1) % 12 JOIN f w ON w.t = c.t AND w.i = c.i AND w.j = (c.j + 11) % 12 LEFT JOIN f n ON n.t = c.t AND n.j = c.j AND n.i = c.i + 1 LEFT JOIN f s ON s.t = c.t AND s.j = c.j AND s.i = c.i - 1)"""
 
 
-def flux_divergence(f: DataFrame, rows: int, cols: int, radius: float = 6371.0) -> DataFrame:
-    """t, i, j, d: divergence of (qu, qv) on a periodic grid, face flux the mean of neighbours, none across the poles."""
+def flux_divergence(f: DataFrame, rows: int, cols: int, radius: float = 6371.0, by: tuple[str, ...] = ("t",)) -> DataFrame:
+    """``by``, i, j, d, area: divergence of (qu, qv) on a periodic grid, face flux the mean of neighbours, none across the poles."""
     dla, dlo = 180.0 / rows, 360.0 / cols
-    at = lambda di, dj, names: f.select("t", (F.col("i") - di).alias("i"), F.pmod(F.col("j") - dj, F.lit(cols)).alias("j"), *[F.col(a).alias(b) for a, b in names])
-    g = f.join(at(0, 1, [("qu", "eu")]), ["t", "i", "j"]).join(at(0, -1, [("qu", "wu")]), ["t", "i", "j"])
-    g = g.join(at(1, 0, [("qv", "nv")]), ["t", "i", "j"], "left").join(at(-1, 0, [("qv", "sv")]), ["t", "i", "j"], "left")
+    at = lambda di, dj, names: f.select(*by, (F.col("i") - di).alias("i"), F.pmod(F.col("j") - dj, F.lit(cols)).alias("j"), *[F.col(a).alias(b) for a, b in names])
+    k = [*by, "i", "j"]
+    g = f.join(at(0, 1, [("qu", "eu")]), k).join(at(0, -1, [("qu", "wu")]), k)
+    g = g.join(at(1, 0, [("qv", "nv")]), k, "left").join(at(-1, 0, [("qv", "sv")]), k, "left")
     lat = lambda k: F.radians(F.lit(-90.0) + dla * (F.col("i") + k))
     zonal = (F.col("eu") - F.col("wu")) / 2 * (radius * math.radians(dla))
     merid = (F.coalesce((F.col("qv") + F.col("nv")) / 2, F.lit(0.0)) * F.cos(lat(1)) - F.coalesce((F.col("qv") + F.col("sv")) / 2, F.lit(0.0)) * F.cos(lat(0))) * (radius * math.radians(dlo))
     area = radius * radius * math.radians(dlo) * (F.sin(lat(1)) - F.sin(lat(0)))
-    return g.select("t", "i", "j", ((zonal + merid) / area).alias("d"), area.alias("area"))
+    return g.select(*k, ((zonal + merid) / area).alias("d"), area.alias("area"))
 
 
 def _flux(spark, sf_dir) -> DataFrame:
