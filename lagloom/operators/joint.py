@@ -213,3 +213,54 @@ def group_slopes(rows: DataFrame, key: str, target: str, controls: list[Term], t
         return out
 
     return _mapped(rows, key, one, "name string, n long, beta double, se_hac double, variance_fraction double, residual_fraction double", names, types)
+
+
+def projection_tests(pairs: DataFrame, rows: DataFrame, key: str, east: str, north: str, target: str, source: str, train: int, held: int, lags: int = 3, own: int = 3, season: int = 52, bandwidth: int = 4) -> DataFrame:
+    """A source's vector, turned to the bearing of its edge, beside own history and the source's size: per lag n, beta, se_hac, and what it gains on later steps.
+
+    pairs: source, target, bearing (radians); rows: bundle(). The projection loses its
+    seasonal mean and is scaled by the steps before ``train``; the test is made, and the frozen
+    model judged, on steps from ``held`` on. Columns: source, target, lag, n, beta, se_hac,
+    n_held, gain, gain_se. A pair carries five series of the calendar's length.
+    """
+    s = rows.select(F.col(key).alias("source"), F.col("first").alias("f1"), F.col(source).alias("x"), F.col(east).alias("e"), F.col(north).alias("n"))
+    t = rows.select(F.col(key).alias("target"), F.col("first").alias("f2"), F.col(target).alias("y"))
+    j = pairs.select("source", "target", "bearing").join(s.hint("shuffle_merge"), "source").join(t.hint("shuffle_merge"), "target")
+    j = j.filter("f1 = f2").select("source", "target", "bearing", F.col("f1").alias("first"), "y", "x", "e", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                a, b, bearing, first = (batch.column(c)[i].as_py() for c in range(4))
+                y, x, e, n = (np.array(batch.column(c)[i].values.to_numpy(zero_copy_only=False), np.float64) for c in range(4, 8))
+                steps_ = first + np.arange(len(y))
+                past, p = steps_ < train, e * math.sin(bearing) + n * math.cos(bearing)
+                for s in range(season):
+                    at = steps_ % season == s
+                    if (at & past).any():
+                        p[at] -= p[at & past].mean()
+                sd = p[past].std()
+                p = (p - p[past].mean()) / (sd if sd > 1e-8 else 1.0)
+                data = {"y": y, "x": x, "p": p}
+                for lag in range(1, lags + 1):
+                    base = [*(("y", k) for k in range(1, own + 1)), ("x", lag)]
+                    at = steps(len(y), [*base, ("p", lag)])
+                    fit_at, test_at = at[first + at < train], at[first + at >= held]
+                    try:
+                        later = Fit(columns(data, [*base, ("p", lag)], test_at), y[test_at])
+                        full, less = Fit(columns(data, [*base, ("p", lag)], fit_at), y[fit_at]), Fit(columns(data, base, fit_at), y[fit_at])
+                    except ValueError:
+                        continue
+                    c = later.p - 1
+                    se = math.sqrt(max(0.0, bartlett(later.influence(c, test_at, len(y)), bandwidth)))
+                    g = (y[test_at] - columns(data, base, test_at) @ less.beta) ** 2 - (y[test_at] - columns(data, [*base, ("p", lag)], test_at) @ full.beta) ** 2
+                    v, m = np.zeros(len(y)), len(test_at)
+                    v[test_at] = g - g.mean()
+                    out.append((a, b, lag, later.n, float(later.beta[c]), se, m, float(g.mean()), math.sqrt(max(0.0, bartlett(v, bandwidth)) * m / (m - 1)) / m))
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            types = [batch.column(0).type, batch.column(1).type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["source", "target", "lag", "n", "beta", "se_hac", "n_held", "gain", "gain_se"])
+
+    kind = lambda c: j.schema[c].dataType.simpleString()
+    return j.mapInArrow(run, f"source {kind('source')}, target {kind('target')}, lag long, n long, beta double, se_hac double, n_held long, gain double, gain_se double")

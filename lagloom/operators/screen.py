@@ -263,6 +263,48 @@ def frozen_sources(candidates: DataFrame, given: DataFrame, train: int, held: in
     return _mapped(candidates, given, one, "n_train long, n long, " + ", ".join(f"{n} double" for n in names[2:]), names, [pa.int64()] * 2 + [pa.float64()] * 8)
 
 
+def state_contrasts(candidates: DataFrame, given: DataFrame, states: dict[str, tuple[set[int], set[int]]], periods: dict[str, tuple[int, int]], lags: int = 1, own: int = 1, bandwidth: int = 4) -> DataFrame:
+    """What a link gains in one state of the calendar against another: lag, contrast, period, n, reference, delta, se_hac, p_value.
+
+    ``states`` names contrasts by the steps of the reference and of the other state, ``periods``
+    spans of steps [from, to). State, its products with the target's own past and with the
+    source stand beside them in one fit, so the state may shift level and memory too; delta
+    is the coefficient of the product with the source. Both are as long as the calendar at most.
+    """
+
+    def one(target, found, first, y, x):
+        for lag in range(1, lags + 1):
+            at = np.arange(max(own, lag), len(y))
+            steps = (first + at).tolist()
+            for name, (low, high) in states.items():
+                s = np.array([1.0 if t in high else 0.0 if t in low else np.nan for t in steps])
+                for period, (a, b) in periods.items():
+                    keep = ~np.isnan(s) & (first + at >= a) & (first + at < b)
+                    on, d = at[keep], s[keep][:, None]
+                    if len(on) < 2 * own + 6 or not 0 < d.sum() < len(on):
+                        continue
+                    past = np.stack([y[on - k] for k in range(1, own + 1)], axis=1)
+                    rank, (yr, xr, vr) = residualised(np.hstack([np.ones((len(on), 1)), past, d, past * d]), y[on], x[on - lag], x[on - lag] * d)
+                    df, sxx = len(on) - rank - 2, (xr * xr).sum(axis=0)
+                    ok = (sxx > 1e-12) & (df > 0)
+                    sxx = np.where(ok, sxx, 1.0)
+                    base, ratio = xr.T @ yr / sxx, (xr * vr).sum(axis=0) / sxx
+                    z, left = vr - xr * ratio, yr[:, None] - xr * base
+                    zz = (z * z).sum(axis=0)
+                    ok &= zz > 1e-12
+                    zz = np.where(ok, zz, 1.0)
+                    delta = (z * left).sum(axis=0) / zz
+                    v = np.zeros((len(y), len(found)))
+                    v[on] = z * (left - z * delta) / zz * math.sqrt(len(on) / max(df, 1))
+                    se = np.sqrt(np.maximum(0.0, bartlett(v, bandwidth)))
+                    rows = zip((base - ratio * delta).tolist(), delta.tolist(), se.tolist(), normal_p(delta, se), strict=True)
+                    yield from ((j, lag, name, period, len(on), *(r if ok[j] else [None] * 4)) for j, r in enumerate(rows))
+
+    names = ["lag", "contrast", "period", "n", "reference", "delta", "se_hac", "p_value"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4]
+    return _mapped(candidates, given, one, "lag long, contrast string, period string, n long, reference double, delta double, se_hac double, p_value double", names, types)
+
+
 def influences(candidates: DataFrame, given: DataFrame, lags: int = 1, own: int = 1, regimes: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """key, lag, regime, n, effect, first, influence of every candidate.
 

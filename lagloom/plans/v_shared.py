@@ -10,7 +10,7 @@ from lagloom.operators import screen, spatial
 from lagloom.plans import section
 from lagloom.plans.o_contrasts import _hac_sql
 from lagloom.sources.fixtures import EDGE_TYPES, ctes, normal_tail_sql, station_candidates, station_climate, stations
-from lagloom.sources.sqltext import gram_sql, sweep_sql, t_tail_sql
+from lagloom.sources.sqltext import gram_sql, influence_sql, sweep_sql, t_tail_sql
 
 QUERIES, query = section()
 _KEY = ["source_region", "target_region", "source_var", "target_var"]
@@ -35,12 +35,6 @@ def _common_sql() -> str:
     rest = "CASE lag WHEN 1 THEN c2 ELSE c1 END AS ca, CASE lag WHEN 3 THEN c2 ELSE c3 END AS cb"
     wide, small = ["one", "c1", "c2", "c3", "z", "y"], ["one", "ca", "cb", "z", "y"]
 
-    def influence(name: str, rows: str, fit: str, cols: list[str]) -> str:
-        k = len(cols)
-        fitted = " + ".join(f"{c} * m[{(i + 1) * k}]" for i, c in enumerate(cols[:-1]))
-        part = " + ".join(f"{c} * m[{(k - 2) * k + i + 1}]" for i, c in enumerate(cols[:-1]))
-        return f"{name} AS (SELECT {keys}, t, n, m[{(k - 1) * k}] AS beta, sqrt(m[{k * k}] / (n - {k - 1}) * -m[{(k - 1) * k - 1}]) AS se_ols, {k - 3} AS n_controls, -({part}) * (y - ({fitted})) * sqrt(n / (n - {k - 1}.0)) AS v FROM {rows} JOIN {fit} USING ({keys}))"
-
     return ctes("neighbours", "station_climate").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 ct AS MATERIALIZED (SELECT s AS source_region, g AS target_region, sv AS source_var, tv AS target_var FROM cand2 CROSS JOIN (VALUES {pairs}) e(sv, tv)),
 yo AS MATERIALIZED (SELECT t, node, variable, v AS y, lag(v, 1) OVER w AS c1, lag(v, 2) OVER w AS c2, lag(v, 3) OVER w AS c3 FROM sc WINDOW w AS (PARTITION BY node, variable ORDER BY t)),
@@ -48,7 +42,7 @@ xl AS MATERIALIZED (SELECT node, variable, t + k AS t, k::BIGINT AS lag, v AS z
 td AS MATERIALIZED (SELECT {_K}, lag, y.t, {season.replace("t %", "y.t %")}, 1.0::DOUBLE AS one, c1, c2, c3, {rest}, z, y, source_region = target_region AND source_var = target_var AS own FROM ct JOIN yo y ON y.node = target_region AND y.variable = target_var JOIN xl x ON x.node = source_region AND x.variable = source_var AND x.t = y.t WHERE c3 IS NOT NULL),
 ta AS (SELECT * FROM td WHERE NOT own), tb AS (SELECT * FROM td WHERE own),
 {gram_sql("ga", "ta", wide, keys)}, {sweep_sql("fa", "ga", 6, 5, keys)}, {gram_sql("gb", "tb", small, keys)}, {sweep_sql("fb", "gb", 5, 4, keys)},
-{influence("ia", "ta", "fa", wide)}, {influence("ib", "tb", "fb", small)}, iv AS MATERIALIZED (SELECT * FROM ia UNION ALL SELECT * FROM ib),
+{influence_sql("ia", "ta", "fa", wide, keys, ", 3 AS n_controls")}, {influence_sql("ib", "tb", "fb", small, keys, ", 2 AS n_controls")}, iv AS MATERIALIZED (SELECT * FROM ia UNION ALL SELECT * FROM ib),
 {_hac_sql("h4", "iv", keys)}, {_hac_sql("h8", "iv", keys, bandwidth="8")},
 cb AS (SELECT {keys}, count(*) AS g, sum(s * s) AS meat FROM (SELECT {keys}, floor(t / {_BLOCK}.0) AS b, sum(v) AS s FROM iv GROUP BY ALL) GROUP BY ALL),
 one AS (SELECT {keys}, any_value(n) AS n, any_value(n_controls) AS n_controls, any_value(beta) AS beta, any_value(se_ols) AS se_ols FROM iv GROUP BY ALL),

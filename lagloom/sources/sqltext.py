@@ -33,3 +33,11 @@ def sweep_sql(name: str, gram: str, size: int, pivots: int, keys: str = "") -> s
     )
     return f"""{name}_r AS (SELECT {k}n, 0 AS k, m FROM {gram} UNION ALL SELECT {k}n, k + 1, list_transform(range(0, {size * size}), lambda q: {cell}) FROM {name}_r WHERE k < {pivots}),
 {name} AS MATERIALIZED (SELECT {k}n, m FROM {name}_r WHERE k = {pivots})"""
+
+
+def influence_sql(name: str, rows: str, fit: str, columns: list[str], keys: str, more: str = "") -> str:
+    """CTE ``name``: keys, t, n, beta, se_ols of the last column before y, and its influence v by step, from a swept ``fit`` of ``columns`` (y last)."""
+    k = len(columns)
+    fitted = " + ".join(f"{c} * m[{(i + 1) * k}]" for i, c in enumerate(columns[:-1]))
+    part = " + ".join(f"{c} * m[{(k - 2) * k + i + 1}]" for i, c in enumerate(columns[:-1]))
+    return f"{name} AS (SELECT {keys}, t, n, m[{(k - 1) * k}] AS beta, sqrt(m[{k * k}] / (n - {k - 1}) * -m[{(k - 1) * k - 1}]) AS se_ols{more}, -({part}) * (y - ({fitted})) * sqrt(n / (n - {k - 1}.0)) AS v FROM {rows} JOIN {fit} USING ({keys}))"
