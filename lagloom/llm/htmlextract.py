@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into its leaf blocks: the text between block-level tags. A block is
-read as the mean of hashed vectors of its tag path (names, classes and ids of the
+read as the scaled sum of hashed vectors of its tag path (names, classes and ids of the
 open elements), the mean of hashed vectors of its words, and a few figures. A
 bidirectional LSTM reads all blocks of the page in order and labels every one with
 the whole page as context.
@@ -10,7 +10,10 @@ There are no labels for pages. The network learns from a bounded sample of the p
 themselves: blocks inside an element that HTML or its class names as the article are
 positive unless they stand in an element named as navigation, advert, form, comment
 and so on. Each sample page is learned in several renderings, in which such parts
-are renamed, moved and added, so that no single name decides.
+are renamed, moved and added, so that no single name decides. In a share of them the article
+has no telling name, or no element at all, and must be told by its text and its place; in
+others it holds elements whose names only contain a word such as comment. Names are whole
+class names, ids and roles, never parts of them.
 """
 
 from __future__ import annotations
@@ -192,7 +195,6 @@ def leaf_blocks(page: str, with_hidden: bool = False) -> list[Block]:
         for key in ("class", "id", "role"):
             for n in attrs.get(key, "").lower().split():
                 names.append(n)
-                names += [x for x in re.split(r"[-_0-9]+", n) if x and x != n]
         hid = is_hidden(tag, attrs)
         hidden += hid
         above = path[-1][1] if path else root
@@ -299,7 +301,7 @@ class BiLstm:
                 if q >= 0:
                     path[j] += path[q]
                     size[j] += size[q]
-            x[i, :n, : self.dim] = (path[p.node] + e[p.leaf]) / (size[p.node] + 1)[:, None]
+            x[i, :n, : self.dim] = (path[p.node] + e[p.leaf]) / np.sqrt(size[p.node] + 1)[:, None]
             x[i, :n, self.dim : 2 * self.dim] = words[row : row + n]
             x[i, :n, 2 * self.dim :] = p.figures
             there[i, :n] = True
@@ -371,7 +373,7 @@ class BiLstm:
         for j, up in enumerate(parent):
             if up >= 0:
                 depth[j] += depth[up]
-        per = flat[:, :d] / (np.array(depth)[node] + 1)[:, None]
+        per = flat[:, :d] / np.sqrt(np.array(depth)[node] + 1)[:, None]
         back_to = _spread(node, per, len(owned))
         for j in range(len(owned) - 1, -1, -1):  # an element's names are in the paths of all below it
             if parent[j] >= 0:
@@ -393,33 +395,56 @@ _MAIN_FORMS = (("article", ""), ("main", ""), ("div", "content"), ("div", "artic
 _SIDE_FORMS = (
     ("nav", ""), ("header", ""), ("footer", ""), ("aside", ""), ("form", ""), ("div", "ad"), ("div", "sidebar"), ("div", "cookie-notice"), ("div", "comments"), ("section", "comment"),
     ("div", "related"), ("div", "share"), ("div", "menu"), ("ul", "nav"), ("div", "banner"), ("div", "newsletter"), ("div", "promo"), ("div", "footer"), ("div", "header"), ("aside", "widget"), ("div", "notice"),
+    ("div", "site-header"), ("div", "site-footer"), ("div", "page-header"), ("div", "page-footer"), ("ul", "main-menu"), ("div", "navbar"), ("ul", "breadcrumbs"), ("div", "comment-list"), ("div", "comments-area"),
+    ("div", "related-posts"), ("div", "share-buttons"), ("div", "social-links"), ("div", "ad-slot"), ("div", "advert"), ("div", "cookie-banner"), ("div", "newsletter-signup"), ("div", "sidebar-widget"), ("div", "popup"),
 )
 _PLAIN = ("wrap", "row", "col", "inner", "page", "box", "x1", "container")
 
 
+def _unknown(rng: random.Random) -> str:
+    """A class name that tells nothing: made up, or a telling word with another behind it."""
+    made = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(2, 6)))
+    return f"{rng.choice(sorted(_SIDE))}-{made}" if rng.random() < 0.4 else rng.choice((*_PLAIN, made, "css-" + made))
+
+
 def renderings(blocks: list, rng: random.Random) -> tuple[list, np.ndarray]:
     """The blocks of a page with its parts renamed, wrapped and added to, and their labels."""
     y = [rule_label(path) for _, path, _, _ in blocks]
     tag, cls = rng.choice(_MAIN_FORMS)
-    wrap = ["html", "body"] + [x for _ in range(rng.randint(0, 3)) for x in ("div", rng.choice(_PLAIN))]
-    main = (*wrap, tag, *([cls, *cls.split("-")] if cls else []))
+    wrap = rng.choice((["html", "body"], ["html", "body"], ["body"], [])) + [x for _ in range(rng.randint(0, 3)) for x in ("div", rng.choice(_PLAIN))]
+    main = (*wrap, tag, *([cls] if cls else []))
     pool = [t for t, _, _, _ in blocks]
+    kind = rng.random()
+    if kind < 0.12 and any(y):  # nothing but the article, in a body, a paragraph or no element
+        path = rng.choice(((), ("p",), ("html", "body"), ("html", "body", "p"), ("html", "body", "div", _unknown(rng), "p")))
+        rows = [(text, Path(None, path), linked, unseen) for (text, _, linked, unseen), label in zip(blocks, y, strict=True) if label]
+        rows = rows[: rng.choice((1, 2, len(rows)))]
+        return rows, np.ones(len(rows))
+    unnamed = kind < 0.45
+    if unnamed:  # the article stands in an element of no telling name, or right in the body
+        main = rng.choice((tuple(wrap), (*wrap, "div", _unknown(rng)), (*wrap, "div"), (*wrap, "section", _unknown(rng)), (*wrap, "table", "tr", "td")))
     # markup may hide all of an article (behind a modal) or its rest from some block on (collapsed)
     at = rng.random() * rng.choice((0, 1)) if rng.random() < 0.3 else 1.0
 
-    def side(inside: bool) -> list:
+    def side(inside: bool, prose: bool = False) -> list:
         t, c = rng.choice(_SIDE_FORMS)
-        path = (*(main if inside else wrap), t, *([c, *c.split("-")] if c else []))
+        if c and rng.random() < 0.4:
+            t, c = rng.choice(("div", "section", "ul", "aside")), rng.choice((c, rng.choice(sorted(_SIDE))))
+        path = (*(main if inside else wrap), t, *([c] if c else []))
         rows, hid = [], rng.random() < 0.3
+        bare = not inside and not prose and rng.random() < 0.15  # short lines and links without a name
+        if bare:
+            path = (*wrap, rng.choice(("div", "ul")), _unknown(rng))
         for _ in range(rng.randint(1, 5)):
             s = rng.choice(pool)
             a = rng.randint(0, max(0, len(s) - 30))
-            s = s[a : a + rng.randint(5, 400)].strip() or s
+            s = s[a : a + rng.randint(5, 40 if bare else 2000 if prose else rng.choice((60, 400, 2000)))].strip() or s
             leaf = rng.choice((("p",), ("li",), ("ul", "li"), ("div",), (), ("h2",), ("h3",), ("label",)))
-            rows.append(((s, Path(None, (*path, *leaf)), len(s) if rng.random() < 0.5 else 0, len(s) if hid else 0), 0))
+            rows.append(((s, Path(None, (*path, *leaf)), len(s) if bare or (not prose and rng.random() < 0.5) else 0, len(s) if hid else 0), 0))
         return rows
 
     rows = [r for _ in range(rng.randint(0, 3)) for r in side(False)]
+    odd = rng.random() < 0.25  # some of the article in elements whose names mean something else
     for i, ((text, path, linked, unseen), label) in enumerate(zip(blocks, y, strict=True)):
         if label:
             leaf = (path.leaf,) if path.leaf in ("p", "h1") else ("p",)
@@ -428,27 +453,36 @@ def renderings(blocks: list, rng: random.Random) -> tuple[list, np.ndarray]:
                 if rng.random() < 0.6:
                     a = rng.randint(0, max(0, len(text) - 20))
                     text = text[a : a + rng.randint(3, 60)].strip() or text
-            rows.append(((text, Path(None, (*main, *leaf)), linked if rng.random() < 0.8 else len(text) // 2, len(text) if i >= at * len(blocks) else unseen), 1))
+            more = (rng.choice(("div", "p", "section")), _unknown(rng)) if odd and rng.random() < 0.5 else ()
+            rows.append(((text, Path(None, (*main, *more, *leaf)), linked if rng.random() < 0.8 else len(text) // 2, len(text) if i >= at * len(blocks) else unseen), 1))
             if rng.random() < 0.03:
                 rows += side(True)
         else:
-            rows.append(((text, path, linked, unseen), 0))
+            rows.append(((text, path if wrap[:1] == ["html"] else Path(None, tuple(wrap) + tuple(x for x in path if x not in ("html", "body"))), linked, unseen), 0))
     rows += [r for _ in range(rng.randint(0, 4)) for r in side(rng.random() < 0.2)]
+    if rng.random() < 0.5:  # comments and the like read like an article, but for their name
+        rows += side(False, True)
     return [r for r, _ in rows], np.array([l for _, l in rows], float)
 
 
-def train(pages: list[str], steps: int = 250, copies: int = 4, batch: int = 32, seed: int = 0) -> BiLstm:
-    """Learn from the pages as they are and in ``copies`` renderings."""
+def train(pages: list[str], steps: int = 400, copies: int = 4, batch: int = 32, seed: int = 0) -> BiLstm:
+    """Learn from the pages that name their article, as they are and in ``copies`` renderings.
+
+    A page without such a name says nothing about its blocks. Where no page has one, all
+    blocks count as main text.
+    """
     model, rng, known = BiLstm(seed=seed), random.Random(seed), {}
     rows = []
     for p in pages:
         b = leaf_blocks(p, True)
-        if b:
+        if any(rule_label(n) for _, n, _, _ in b):
             rows.append((b, np.array([rule_label(n) for _, n, _, _ in b], float)))
             rows += [renderings(b, rng) for _ in range(copies)]
     coded = [(encode(b, known, model.bits), y) for b, y in rows]
     state: dict = {}
     done = 0
+    if not coded:
+        model.p["out"][:], model.p["b"][:] = 0, 1
     while coded and done < steps:
         rng.shuffle(coded)
         coded.sort(key=lambda r: len(r[1]) // 20)

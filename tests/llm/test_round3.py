@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagloom.llm import common, licences, merkle, minhash, queries, resampling
+from lagloom.llm import common, htmlextract, licences, merkle, minhash, queries, resampling
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -207,3 +207,31 @@ def test_near_copies_are_found(spark):
         same = group[a] == group[b]
         near, joined, wrong = near + (got >= 0), joined + (got >= 0 and same), wrong + (n < 0.2 * min(len(s[a]), len(s[b])) and same)
     assert near > 90 and joined >= 0.9 * near and not wrong
+
+
+P1 = "The committee met on Tuesday to discuss the new plan for the river, which has been delayed since last spring because of rising costs and a lack of skilled workers."
+P2 = "Several members said that they would vote against it unless the town found another way to pay for the work, and the mayor promised to return with an answer soon."
+P3 = "I have lived by that river for thirty years and never saw anyone from the council come down to look at it, so I doubt that much will change this time."
+HEAD, FOOT = "<html><body><nav><ul><li><a href=/>Home</a><li><a href=/news>News</a></ul></nav>", "<footer>&copy; 2020 Town Gazette</footer></body></html>"
+#: Pages in other markup than those of the table, with the main text as a reader would mark it.
+HAND_LABELLED = {
+    "no telling name": (f"<div class=header>Site name</div><div class=x9><p>{P1}</p><p>{P2}</p></div><div class=comments><p>Nice article, thanks!</p></div>", f"{P1}\n{P2}"),
+    "plain text": (f"{P1} {P2}", f"{P1} {P2}"),
+    "bare paragraphs": (f"<p>{P1}</p><p>{P2}</p>", f"{P1}\n{P2}"),
+    "part of a name": (f"{HEAD}<article><h1>Head line</h1><p class='comment-free'>{P1}</p><p>{P2}</p></article>{FOOT}", f"Head line\n{P1}\n{P2}"),
+    "wrapper with part of a name": (f"{HEAD}<article><div class='related-content'><p>{P1}</p><p>{P2}</p></div></article>{FOOT}", f"{P1}\n{P2}"),
+    "blog": (f"<html><body><div class='site-header'><a href=/>Blog</a></div><div class=wrap><div class='entry'><p>{P1}</p><p>{P2}</p></div><div class=sidebar><ul><li><a href=/x>One</a></ul></div></div><div class='site-footer'>me</div></body></html>", f"{P1}\n{P2}"),
+    "long reader comment": (f"{HEAD}<article><p>{P1}</p><p>{P2}</p></article><div class=comments><p>{P3}</p></div>{FOOT}", f"{P1}\n{P2}"),
+}
+
+
+def test_pages_of_other_markup(spark):
+    pages = common.table(spark, "/root/testdata/sf0.01" if os.path.exists("/root/testdata/sf0.01") else "/root/testdata/sf0.001", "pages")
+    more = spark.createDataFrame([(10**9 + i, "u", h) for i, (h, _) in enumerate(HAND_LABELLED.values())], "page_id long, url string, html string")
+    got = {r.page_id - 10**9: r.text for r in htmlextract.extract(pages.unionByName(more)).collect() if r.page_id >= 10**9}
+    assert {k: got[i] for i, k in enumerate(HAND_LABELLED)} == {k: want for k, (_, want) in HAND_LABELLED.items()}
+
+
+def test_labels_look_at_whole_names():
+    blocks = htmlextract.leaf_blocks("<article><p class='comment-free'>A</p><div class='related-content'><p>B</p></div><div class=comments><p>C</p></div></article>")
+    assert [htmlextract.rule_label(b[1]) for b in blocks] == [1, 1, 0]
