@@ -6,7 +6,9 @@ what lies below the k-th best lower bound can't be among the best. The exact vec
 of the rest are read in the order of their upper bounds until the k-th best score
 beats the next bound.
 
-Queries meet the rows in blocks. Equal integer vectors are one class that keeps the
+Queries meet the rows in blocks: a task holds one block of cells and a bounded number of
+query blocks, dealt by a salt, so the work of a block spreads however many queries there
+are. Equal integer vectors are one class that keeps the
 k + 1 smallest ids, which is all that a top-k with ties to the smaller id can use.
 """
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import sample_of, stage
+from lagloom.llm.common import sample_of, stage, unstage
 from lagloom.llm.vectors import blocks, finite, matrix
 
 
@@ -132,7 +134,7 @@ def _read_best(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, bits: int = 6, sample: int = 4096, query_block: int = 1024, row_block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, bits: int = 6, sample: int = 4096, query_block: int = 1024, row_block: int = 8192, at_once: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query (vec_id divisible by ``every``), ties to the smaller vec_id.
 
     Vectors that are null or hold null or non-finite components take no part, nor do
@@ -141,7 +143,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, bits: int = 6, sample
     non-finite if 256 times it is.) Repeated rows count once; a vec_id with several vectors
     is a query with its least one and a candidate with each of them. With fewer than
     k other rows all of them are returned, with none no row. Cells are fitted on the
-    ``sample`` vectors of least id hash, which affects only speed.
+    ``sample`` vectors of least id hash, which affects only speed. About ``at_once`` query
+    blocks meet a block of cells in one task.
     """
     x = F.col("embedding")
     ok = F.col("vec_id").isNotNull() & finite("embedding") & F.forall(x, lambda v: F.abs(v.cast("double") * 256) < F.lit(float("inf")))
@@ -164,14 +167,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, bits: int = 6, sample
     queries = stage(queries.select("vec_id", "q.dim", "q.vector"), "queries")
     out = None
     for r in cls.groupBy("dim").count().orderBy("dim").collect():  # vector lengths in use
-        part = _search(cls.filter(F.col("dim") == r[0]), queries.filter(F.col("dim") == r[0]), r[0], r[1], k, bits, sample, query_block, row_block)
+        part = _search(cls.filter(F.col("dim") == r[0]), queries.filter(F.col("dim") == r[0]), r[0], r[1], k, bits, sample, query_block, row_block, at_once)
         out = part if out is None else out.union(part)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return out
 
 
-def _search(cls: DataFrame, queries: DataFrame, dim: int, n: int, k: int, bits: int, sample: int, query_block: int, row_block: int) -> DataFrame:
+def _search(cls: DataFrame, queries: DataFrame, dim: int, n: int, k: int, bits: int, sample: int, query_block: int, row_block: int, at_once: int) -> DataFrame:
     got = sample_of(cls, "id", sample, "vector")
     edges = cell_edges(np.array([r[0] for r in got], np.float64).reshape(-1, dim), bits)
     n_rows, n_queries = n // row_block + 1, queries.count() // query_block + 1
@@ -180,12 +183,13 @@ def _search(cls: DataFrame, queries: DataFrame, dim: int, n: int, k: int, bits:
     row_blocks = blocks(deal(cls.select("id", one, "vector"), n_rows), "block", "<f8").select("key", "ids", "raw")
     codes = stage(row_blocks.mapInArrow(_codes(edges, dim), "block long, ids array<long>, codes binary, low binary, high binary"), "cells")
     query_blocks = blocks(deal(queries.select(F.col("vec_id").alias("id"), one, "vector"), n_queries), "block", "<f8")
-    asked = query_blocks.select(F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("block"))
-    bound = (
-        asked.repartition(n_rows * n_queries, F.col("block"), F.col("q_ids")[0]).join(codes.hint("shuffle_merge"), "block")
-        .mapInArrow(_scan(dim, k + 1), "query_id long, class long, lower double, upper double")
-    )
-    bound = stage(bound, "bounds")
+    salts = -(-n_queries // at_once)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    salt = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts)).alias("salt")
+    asked = query_blocks.select(F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), salt, upto(n_rows).alias("block"))
+    bound = asked.join(codes.select("*", upto(salts).alias("salt")).hint("shuffle_merge"), ["block", "salt"])
+    bound = stage(bound.mapInArrow(_scan(dim, k + 1), "query_id long, class long, lower double, upper double"), "bounds")
+    unstage(codes)
     per_query = Window.partitionBy("query_id").orderBy(F.desc("lower"))
     certain = bound.withColumn("r", F.row_number().over(per_query)).filter(F.col("r") <= k + 1).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("c"))
     near = bound.join(certain.hint("shuffle_merge"), "query_id").filter((F.col("upper") >= F.col("least")) | (F.col("c") <= k)).select("query_id", "class", "upper")

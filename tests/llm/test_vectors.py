@@ -64,7 +64,7 @@ def test_top_k_equals_brute_force(rows, table):
         if i % 50 == 0:
             best = sorted((-int(x @ y), j) for j, y in q if j != i)[:5]
             want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    got = sorted(tuple(r) for r in vafile.top_k(table, query_block=4, row_block=60).collect())
+    got = sorted(tuple(r) for r in vafile.top_k(table, query_block=4, row_block=60, at_once=2).collect())
     assert got == sorted(want)
     assert sorted(tuple(r) for r in vafile.top_k(table, bits=2).collect()) == got
 
