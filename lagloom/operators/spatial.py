@@ -93,3 +93,41 @@ def nearest(nodes: DataFrame, k: int) -> DataFrame:
 def stratum(km: Column, edges: tuple[float, ...] = (1e-8, 1000, 2000, 3000, 4000, 6000, 10000)) -> Column:
     """Number of edges at or below a distance."""
     return sum((F.when(km >= e, 1).otherwise(0) for e in edges), F.lit(0)).cast("long")
+
+
+RADIUS_M = 6_371_000.0
+
+
+def footprint(source: DataFrame, target: DataFrame, bin_degrees: float = 15.0, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+    """Overlap of two sets of latitude-longitude cells: (weights, coverage).
+
+    Cells: id, south, north, west, east in degrees, east up to 360 beyond west. Both sides are
+    cut by a grid of bins, so only cells that share a bin meet; an overlap counts in the bin
+    of its south-west corner, once. weights: source, target, weight (overlap over the area of
+    the target) for targets that are covered whole; coverage: target, area_m2, coverage,
+    n_sources, included. A target without any source has coverage 0.
+    """
+
+    def binned(cells: DataFrame, side: str) -> DataFrame:
+        c = cells.select(F.col("id").alias(side), *[F.col(e).cast("double").alias(f"{side}_{e}") for e in ("south", "north", "west", "east")])
+        w, e, s, n = (F.col(f"{side}_{x}") for x in ("west", "east", "south", "north"))
+        if side == "source":  # the same cell one turn on and back
+            c = c.withColumn("_k", F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)))).withColumns({"source_west": w + F.col("_k"), "source_east": e + F.col("_k")}).drop("_k")
+        edge = lambda x: F.floor(x / bin_degrees)
+        c = c.withColumn("bi", F.explode(F.sequence(edge(s), edge(n - 1e-9)))).withColumn("bj", F.explode(F.sequence(edge(w), edge(e - 1e-9))))
+        return c
+
+    a, b = binned(source, "source"), binned(target, "target")
+    j = b.join(a.hint("shuffle_merge"), ["bi", "bj"])
+    south, north = F.greatest("source_south", "target_south"), F.least("source_north", "target_north")
+    west, east = F.greatest("source_west", "target_west"), F.least("source_east", "target_east")
+    j = j.filter((south < north) & (west < east) & (F.floor(south / bin_degrees) == F.col("bi")) & (F.floor(west / bin_degrees) == F.col("bj")))
+    lap = j.select("source", "target", ((F.sin(F.radians(north)) - F.sin(F.radians(south))) * F.radians(east - west)).alias("a"))
+    lap = lap.groupBy("source", "target").agg(F.sum("a").alias("a"))
+    area = (F.sin(F.radians("north")) - F.sin(F.radians("south"))) * F.radians(F.col("east") - F.col("west"))
+    t = target.select(F.col("id").alias("target"), area.alias("area"))
+    sums = lap.groupBy("target").agg(F.sum("a").alias("covered"), F.count("*").alias("n_sources"))
+    cover = t.join(sums.hint("shuffle_merge"), "target", "left").select("target", "area", (F.coalesce("covered", F.lit(0.0)) / F.col("area")).alias("coverage"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+    cover = cover.withColumn("included", F.abs(F.col("coverage") - 1) <= tolerance)
+    weights = lap.join(cover.filter("included").select("target", "area").hint("shuffle_merge"), "target").select("source", "target", (F.col("a") / F.col("area")).alias("weight"))
+    return weights, cover.select("target", (F.col("area") * RADIUS_M * RADIUS_M).alias("area_m2"), "coverage", "n_sources", "included")
