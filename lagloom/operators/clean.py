@@ -23,6 +23,13 @@ def drop_sparse(df: DataFrame, key: str, most_missing: float = 0.2, value: str =
     return df.join(good.select(key), key, "left_semi")
 
 
+def some_left(df: DataFrame) -> DataFrame:
+    """``df``, or an error where nothing is left of it."""
+    if not df.limit(1).count():
+        raise ValueError("no node has enough values")
+    return df
+
+
 def fill_gaps(df: DataFrame, keys: list[str], limit: int = 6, t: str = "t", value: str = "value") -> DataFrame:
     """Linear interpolation up to ``limit`` steps from either end of a gap, then the last and the next value; 0 without any.
 

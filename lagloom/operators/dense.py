@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.operators.lineage import written
+
 
 def design(series: DataFrame, names: list[str], lags: list[int]) -> DataFrame:
     """t, x (intercept, then all series at the first lag, the second and so on), y (all series), for steps whose lags are all there.
@@ -71,8 +73,13 @@ def gram(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(list(g), pa.list_(pa.float64())), pa.array([n] * size, pa.int64())], ["i", "row", "n"])
 
     parts = rows.select("x", "y").mapInArrow(partial, "i int, row array<double>, n long")
+    parts = written(parts.withColumn("part", F.spark_partition_id()), "gram")
     total = F.aggregate(F.collect_list("row"), F.array_repeat(F.lit(0.0), size), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    got = parts.groupBy("i").agg(total.alias("row"), F.sum("n").alias("n")).orderBy("i").collect()  # one row per design column
+    most = parts.agg(F.max("part")).first()[0] or 0
+    while most:  # eight partial sums at a time, so that a task never holds those of all partitions
+        parts = parts.groupBy("i", F.shiftright("part", 3).alias("part")).agg(total.alias("row"), F.sum("n").alias("n"))
+        most >>= 3
+    got = parts.orderBy("i").collect()  # one row per design column
     return (got[0].n, np.array([r.row for r in got])) if got else (0, np.zeros((size, size)))
 
 

@@ -8,10 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lagloom.operators import spatial
 from lagloom.operators.lineage import shared_folder
 from lagloom.plans import section
 from lagloom.sources import readers
-from lagloom.sources.fixtures import ctes, long_panel, panel, panel_orders, panel_ship, stations, table
+from lagloom.sources.fixtures import ctes, long_panel, panel, panel_orders, panel_ship, station_climate, stations, table
 
 QUERIES, query = section()
 
@@ -22,7 +23,8 @@ LINEITEM = {"temperature": ("l_extendedprice",), "humidity": ("l_discount",), "c
 
 @query()
 def file_scan(spark, sf_dir):
-    return readers.files(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """Data files of the folder with their format and size, without reading contents."""
+    return readers.scan(spark, sf_dir).select("name", "format", F.col("bytes").alias("length"))
 
 
 _TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
@@ -119,6 +121,25 @@ def region_output_sink(spark, sf_dir):
     return spark.read.parquet(path).groupBy("node", "variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+_BIN66 = "CAST(least(floor((least(greatest(lat, -90), 90) + 90) / 180 * 6), 5) * 11 + least(floor(((lon % 360) + 360) % 360 / 360 * 11), 10) AS BIGINT)"
+
+
+@query(ctes("stations", "station_climate") + f""", nm AS (SELECT node, {_BIN66} AS region FROM cells), md AS (SELECT region, avg(lat) AS lat, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS lon, count(*) AS n FROM cells JOIN nm USING (node) GROUP BY 1), se AS (SELECT region, t, variable, avg(v) AS v FROM sc JOIN nm USING (node) GROUP BY 1, 2, 3)
+ SELECT 'metadata' AS sink, count(*) AS n, round(sum(lat), 5) AS a, round(sum(lon), 5) AS b FROM md UNION ALL SELECT 'node_map', count(*), sum(node)::DOUBLE, sum(region)::DOUBLE FROM nm UNION ALL SELECT 'series', count(*), round(sum(abs(v)), 4), sum(t)::DOUBLE FROM se""")
+def region_csv_sinks(spark, sf_dir):
+    """Regions of the stations as CSV files with a header: metadata, node map and series, read back."""
+    st = stations(spark, sf_dir)
+    nodes = st.select("node", spatial.bins(F.col("lat"), F.col("lon"), 66).alias("region"))
+    meta = st.join(nodes.hint("shuffle_merge"), "node").groupBy("region").agg(F.avg("lat").alias("lat"), spatial.circular_mean_lon().alias("lon"), F.count("*").alias("n"))
+    series = station_climate(spark, sf_dir).join(nodes.hint("shuffle_merge"), "node").groupBy("region", "t", "variable").agg(F.avg("value").alias("v"))
+    out = None
+    for name, df, a, b in (("metadata", meta, F.round(F.sum("lat"), 5), F.round(F.sum("lon"), 5)), ("node_map", nodes, F.sum("node").cast("double"), F.sum("region").cast("double")), ("series", series, F.round(F.sum(F.abs("v")), 4), F.sum("t").cast("double"))):
+        back = readers.csv_sink(df, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+        r = back.agg(F.count("*").alias("n"), a.alias("a"), b.alias("b")).select(F.lit(name).alias("sink"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 _RAW = """raw AS (SELECT flag, ts, CASE WHEN t % 11 = 0 THEN 'NA' WHEN t % 7 = 0 THEN '-999.0' WHEN t % 101 = 0 THEN 'Infinity' ELSE CAST(CAST(floor(qty) AS DOUBLE) / 4 AS VARCHAR) END AS s FROM panel_ship)"""
 
 

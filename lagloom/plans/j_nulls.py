@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lagloom.operators.ranks import rank_by_ranges
 from lagloom.plans import section
 from lagloom.sources.fixtures import ctes, edges, panel, panel_ship, stations
 
@@ -159,8 +160,9 @@ def split_r_hat(spark, sf_dir):
 
 def split_chains(e):
     """R-hat by lag of the effects' chains (regimes), each cut at half of its own draws."""
-    w = Window.partitionBy("regime", "lag")
-    c = e.withColumn("half", 2 * F.row_number().over(w.orderBy("source_region", "target_region", "edge_type")) <= F.count("*").over(w) + 1)
+    n = e.groupBy("regime", "lag").agg(F.count("*").alias("n"))
+    c = rank_by_ranges(e, ["regime", "lag"], ["source_region", "target_region", "edge_type"], "r").join(F.broadcast(n), ["regime", "lag"])  # a row per chain
+    c = c.withColumn("half", 2 * F.col("r") <= F.col("n") + 1).drop("n", "r")
     h = c.groupBy(F.col("lag").alias("metric"), "regime", "half").agg(F.avg("effect").alias("m"), F.var_samp("effect").alias("s"), F.count("*").alias("n"))
     return h.groupBy("metric").agg(F.round(F.sqrt(((F.avg("n") - 1) / F.avg("n") * F.avg("s") + F.var_samp("m")) / F.avg("s")), 8).alias("split_rhat"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lagloom.operators import reports, screen, spatial
 from lagloom.operators.fdr import bh_large
 from lagloom.operators.lineage import cut, stored
+from lagloom.operators.ranks import rank_by_ranges
 from lagloom.plans import section
 from lagloom.plans.c_spatial import _REGIONS, regions
 from lagloom.plans.m_verify import predictions
@@ -196,8 +197,7 @@ def null_draws(spark, sf_dir, replicates: int = 20) -> DataFrame:
     ref = e.groupBy("edge_type", "s").agg(F.count_if(F.col("p_value") < 0.2).alias("k"))
     draws = e.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
     order = (F.col("source_region") * 131 + F.col("target_region") * 37 + F.col("lag") * 17 + F.col("r") * 53) % 1009
-    w = Window.partitionBy("r", "edge_type", "s").orderBy(order, "source_region", "target_region", "lag")
-    return draws.withColumn("rank", F.row_number().over(w)).join(ref.hint("shuffle_merge"), ["edge_type", "s"]).filter("rank <= k").drop("rank", "k")
+    return rank_by_ranges(draws, ["r", "edge_type", "s"], [order, "source_region", "target_region", "lag"]).join(ref.hint("shuffle_merge"), ["edge_type", "s"]).filter("rank <= k").drop("rank", "k")
 
 
 @query(_STRATA + " SELECT r, edge_type, s AS stratum, count(*) AS n, round(avg(effect), 8) AS effect FROM dw GROUP BY 1, 2, 3")
@@ -230,7 +230,7 @@ def candidate_null_enrichment(spark, sf_dir):
 def chain_diagnostics(spark, sf_dir):
     """First autocorrelation, effective size by initial monotone positive pairs, and share of far values of each chain."""
     by = ["chain", "metric"]
-    c = edges(spark, sf_dir).withColumn("d", F.row_number().over(Window.partitionBy("regime", "lag").orderBy("source_region", "target_region", "edge_type")))
+    c = rank_by_ranges(edges(spark, sf_dir), ["regime", "lag"], ["source_region", "target_region", "edge_type"], "d")
     m = c.select(F.col("regime").alias("chain"), F.col("lag").alias("metric"), "d", F.col("effect").alias("v")).withColumn("e", F.col("v") - F.avg("v").over(Window.partitionBy(*by)))
     a = m.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(19)))).select(*by, "h", (F.col("d") + F.col("h")).alias("d"), F.col("e").alias("x"))
     g = a.join(m.select(*by, "d", "e").hint("shuffle_merge"), [*by, "d"]).groupBy(*by, "h").agg(F.sum(F.col("x") * F.col("e")).alias("g"))

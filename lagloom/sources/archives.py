@@ -106,7 +106,7 @@ def at_level(rows: DataFrame, level: Column, pressure: float | None) -> DataFram
     scale = F.when(F.col("m") > 2000, 100.0).otherwise(1.0)
     levels = r.select("_l").distinct().crossJoin(F.broadcast(top))  # one row
     off = F.abs(F.col("_l") / scale - pressure) if pressure is not None else F.col("_l")
-    best = levels.agg(F.min(F.struct(off, F.col("_l"))).alias("b")).select(F.col("b._l").alias("_l"))
+    best = levels.agg(F.min(F.struct(off.alias("off"), F.col("_l"))).alias("b")).select(F.col("b._l").alias("_l"))
     return r.join(F.broadcast(best), "_l").drop("_l")  # one row
 
 

@@ -87,11 +87,35 @@ def array_files(spark: SparkSession, root: str) -> DataFrame:
     return decode_arrays(f)
 
 
+def csv_sink(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as CSV files with a header and without row numbers, and the same rows read back."""
+    df.write.option("header", "true").csv(path)
+    return df.sparkSession.read.schema(df.schema).option("header", "true").csv(path)
+
+
 def files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """path, length and time of every file below a root, without reading contents."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length", "modificationTime")
 
 
+#: Endings of the files that a scan reports, and of folders that are one array store.
+SCANNED = ("nc", "nc4", "cdf", "npy", "npz", "csv", "parquet")
+STORE = "zarr"
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """path, name, format, bytes of every data file below a root, sorted by path; an array store counts once, without bytes, and what lies in it not at all.
+
+    Names that begin with a dot, and what lies in such folders, are left out. Contents are not read.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"))
+    store = F.regexp_extract("path", rf"^(.*?\.{STORE})/", 1)
+    f = f.select(F.when(store != "", store).otherwise(F.col("path")).alias("path"), F.when(store == "", F.col("bytes")).alias("bytes")).groupBy("path").agg(F.max("bytes").alias("bytes"))
+    name = F.element_at(F.split("path", "/"), -1)
+    f = f.select("path", name.alias("name"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("format"), "bytes")
+    return f.filter(F.col("format").isin(*SCANNED, STORE) & ~F.col("name").startswith(".")).orderBy("path")
+
+
 def check_artifacts(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """path and status of each listed or found artifact (path, bytes, sha256)."""
     f = found.select("path", F.col("bytes").alias("fb"), F.col("sha256").alias("fh"))

@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagloom.operators import fdr, lineage, screen
+from lagloom.operators import clean, dense, fdr, lineage, ranks, screen, spatial
 from lagloom.plans import k_more
-from lagloom.sources import fixtures
+from lagloom.sources import archives, fixtures, readers
 
 
 def test_stored_tables_follow_every_source(spark, sf_dir, tmp_path):
@@ -117,3 +117,92 @@ def test_matched_pairs_are_used_once(spark):
     plan = k_more.match_by_distance(e, nodes)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert k_more.match_by_distance(e.limit(0), nodes).agg(F.count("*")).first()[0] == 0
+
+
+def test_ranks_of_large_groups(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 20), i) for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, x long, i long").repartition(6)
+    got = {r.i: r.rank for r in ranks.rank_by_ranges(df, ["g"], [F.desc("x"), "i"]).collect()}
+    for g in ("a", "b", None):
+        part = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in part] == list(range(1, len(part) + 1))
+
+
+def test_cross_products_of_many_partitions(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 4)), rng.normal(size=(300, 2))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], "x array<double>, y array<double>").repartition(70)
+    n, g = dense.gram(df, 6)
+    m = np.hstack([x, y])
+    assert n == 300 and np.allclose(g, m.T @ m)
+    assert dense.gram(df.limit(0), 6)[0] == 0
+
+
+def test_no_node_left_is_an_error(spark):
+    df = spark.createDataFrame([(1, None), (1, 2.0)], "node long, value double")
+    with pytest.raises(ValueError):
+        clean.some_left(clean.drop_sparse(df, "node"))
+    assert clean.some_left(clean.drop_sparse(df, "node", 0.5)).count() == 2
+
+
+def test_scan_leaves_out_hidden_names_and_store_contents(spark, tmp_path):
+    for p in ("a.csv", "b/c.NPZ", "b/.hidden.csv", ".d/e.csv", "s.zarr/0.0/x.csv", "s.zarr/.zarray", "note.txt", "deep/t.parquet"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x" * 7)
+    got = [(r.name, r.format, r.bytes) for r in readers.scan(spark, str(tmp_path)).collect()]
+    assert got == [("a.csv", "csv", 7), ("c.NPZ", "npz", 7), ("t.parquet", "parquet", 7), ("s.zarr", "zarr", None)]
+
+
+@pytest.mark.parametrize("axes", [(0, 1, 2), (2, 1, 0), (1, 0, 2), (1, 2, 0)])
+def test_archives_of_any_axis_order(axes):
+    import io
+
+    rng = np.random.default_rng(5)
+    lat, lon, time = np.array([-10.0, 0, 10]), np.array([0.0, 90, 180, 270]), np.arange("2001-01", "2001-08", dtype="datetime64[M]")
+    q, u, v = rng.normal(size=(3, 7, 3, 4))
+    buf = io.BytesIO()
+    np.savez(buf, q=np.transpose(q, axes), u10=np.transpose(u, axes), v10=np.transpose(v, axes), latitude=lat, longitude=lon, time=time)
+    held, times, la, lo = archives.read_archive(buf.getvalue())
+    assert np.allclose(held["humidity"], q.reshape(7, 12)) and np.allclose(held["wind"], np.hypot(u, v).reshape(7, 12)) and len(times) == 7
+    assert la.tolist() == np.repeat(lat, 4).tolist() and lo.tolist() == [0, 90, -180, -90] * 3
+    buf = io.BytesIO()
+    np.savez(buf, data=np.stack([np.transpose(u, axes), np.transpose(q, axes)], axis=0), variable_names=np.array(["wind_speed", "humidity"]), lat=lat, lon=lon, timestamps=time)
+    held, *_ = archives.read_archive(buf.getvalue())
+    assert np.allclose(held["humidity"], q.reshape(7, 12)) and np.allclose(held["wind"], u.reshape(7, 12))
+
+
+def test_footprint_of_cells_across_the_seam(spark):
+    box = "id long, south double, north double, west double, east double"
+    source = spark.createDataFrame([(i * 36 + j, -90.0 + 10 * i, -80.0 + 10 * i, 10.0 * j, 10.0 * j + 10) for i in range(18) for j in range(36) if (i, j) != (9, 0)], box)
+    target = spark.createDataFrame([(1, -5.0, 7.0, -15.0, 25.0), (2, 31.0, 47.0, 170.0, 195.0), (3, -90.0, -80.0, 350.0, 370.0)], box)
+    weights, cover = spatial.footprint(source, target)
+    c = {r.target: r for r in cover.collect()}
+    assert not c[1].included and 0.7 < c[1].coverage < 0.95 and c[2].included and c[3].included
+    sums = weights.groupBy("target").agg(F.sum("weight").alias("w")).collect()
+    assert {r.target for r in sums} == {2, 3} and all(math.isclose(r.w, 1) for r in sums)
+    assert math.isclose(c[2].area_m2, 6_371_000.0**2 * (math.sin(math.radians(47)) - math.sin(math.radians(31))) * math.radians(25))
+
+
+def test_levels_by_pressure(spark):
+    df = spark.createDataFrame([(1, 100000), (2, 85000), (3, 50000)], "i long, level long")
+    pick = lambda p: [r.i for r in archives.at_level(df, F.col("level"), p).collect()]
+    assert pick(860.0) == [2] and pick(520.0) == [3] and pick(None) == [3]
+    assert [r.i for r in archives.at_level(df.withColumn("level", F.col("level") / 100), F.col("level"), 990.0).collect()] == [1]
+
+
+def test_contrasts_find_a_planted_difference(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=400), rng.normal(size=400)
+    high = set(range(0, 400, 2))
+    for t in range(1, 400):
+        y[t] += (0.9 if t in high else 0.1) * x[t - 1]
+    rows = [(t, n, "v", float(s[t])) for n, s in ((0, y), (1, x)) for t in range(400)]
+    given = screen.series(spark.createDataFrame(rows, "t long, node long, variable string, value double"))
+    cand = spark.createDataFrame([(1, 0, "v", "v")], "source_region long, target_region long, source_var string, target_var string")
+    r = screen.state_contrasts(cand, given, {"c": (set(range(400)) - high, high)}, {"all": (0, 400)}).collect()[0]
+    at = np.arange(1, 400)
+    s = (at % 2 == 0).astype(float)
+    c = np.stack([np.ones(399), y[at - 1], s, s * y[at - 1], x[at - 1], s * x[at - 1]], axis=1)
+    beta = np.linalg.lstsq(c, y[at], rcond=None)[0]
+    assert math.isclose(r.delta, beta[5], rel_tol=1e-9) and math.isclose(r.reference, beta[4], rel_tol=1e-9) and r.delta > 0.5 and r.p_value < 1e-4
