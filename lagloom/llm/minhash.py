@@ -11,8 +11,9 @@ the edit similarity that the sketch is sensitive to: a changed word costs one wo
 alignment, not the five shingles that hold it.
 
 Buckets are never expanded into all their pairs. In a round every member of a
-bucket meets the bucket's pivots (one in the first round, 64 in the next, then twice as many
-each time); members that one component already joins need no more comparisons, and pivots that
+bucket meets the bucket's pivots: one in the first rounds, which take a few bands, then more
+bands, then the rest, so that what few bands join is not compared again in the others; 64 in
+the round after them, then twice as many each time. Members that one component already joins need no more comparisons, and pivots that
 have met all others leave. Rounds go on while a bucket that is not one component has more
 members or words left than a task may hold; what remains is settled bucket by bucket in a task,
 where histograms of the words rule out most pairs with certainty. Word sequences
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.llm.common import components, stage, unstage
@@ -235,6 +236,15 @@ def _settle(similarity: float):
     return run
 
 
+#: First bands of the rounds with one pivot.
+TURNS = (0, 4, 12)
+
+
+def turn(band: str) -> Column:
+    """Number of the round in which a band is taken first."""
+    return F.expr(" + ".join(f"int({band} >= {t})" for t in TURNS[1:]))
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 32, take: int = 3, pivots: int = 64, per_task: int = 2000, at_once: int = 4000, most_words: int = 8_000_000
 ) -> DataFrame:
@@ -252,7 +262,7 @@ def near_duplicates(
     base = stage(sketches(docs, bands, take, shingle), "sketches")
     same = base.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     same = stage(same, "classes")
-    rows = same.select("rep", "n", F.posexplode("keys").alias("band", "key")).select("rep", "n", F.xxhash64("band", "key").alias("bucket"))
+    rows = same.select("rep", "n", F.posexplode("keys").alias("band", "key")).select("rep", "n", F.xxhash64("band", "key").alias("bucket"), turn("band").alias("turn"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
     active = stage(rows.join(full.hint("shuffle_merge"), "bucket").withColumn("component", F.col("rep")).distinct(), "buckets")
     texts = stage(
@@ -261,9 +271,9 @@ def near_duplicates(
         .mapInArrow(_hash_words, "doc_id long, words binary"),
         "words",
     )
-    links, tested, rounds, spent = None, None, 0, [texts]
+    links, tested, rounds, spent = None, None, -len(TURNS), [texts]
     while True:
-        slot = F.pmod(F.xxhash64("rep"), F.lit(1 if not rounds else pivots << (rounds - 1)))
+        slot = F.pmod(F.xxhash64("rep"), F.lit(1 if rounds < 0 else pivots << rounds))
         mixed = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
         live = stage(active.join(mixed.hint("shuffle_merge"), "bucket"), "live")
         spent += [active, live]
@@ -272,7 +282,7 @@ def near_duplicates(
         most = crowded.agg(F.max(F.greatest(F.col("c") / at_once, F.col("s") / most_words))).first()[0]
         if most is None:
             break
-        if rounds and most <= 1:
+        if rounds >= 0 and most <= 1:
             # buckets of several bands with the same members are settled once
             once = crowded.groupBy("c", "lo", "set").agg(F.min("bucket").alias("bucket")).select("bucket")
             found = (
@@ -283,11 +293,12 @@ def near_duplicates(
             found = stage(found, "links")
             links = found if links is None else links.union(found)
             break
-        heads = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep").alias("r"), "rep", "n", "component")).alias("p"))
+        now = live if rounds >= 0 else live.filter(F.col("turn") == len(TURNS) + rounds)
+        heads = now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep").alias("r"), "rep", "n", "component")).alias("p"))
         # stored, so that adaptive execution can split a crowded bucket in the join
         heads = stage(heads.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc")).distinct(), "heads")
         met = (
-            live.join(heads.hint("shuffle_merge"), "bucket")
+            now.join(heads.hint("shuffle_merge"), "bucket")
             .filter(f"component <> pc and least(n, pn) >= {similarity} * greatest(n, pn) - 1e-9")
             .select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"), "pivot")
             .groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
