@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _stored: dict[tuple, tuple] = {}
+#: Seconds that each derived table took when it was last made.
+made_in: dict[str, float] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,9 +64,11 @@ def stored(spark: SparkSession, name: str, sources: list[str], make: Callable[[]
     state = [_state(spark, s) for s in sources]
     known = _stored.get(what)
     if known is None or known[0] != state or _state(spark, known[1]) is None:
+        began = time.time()
         df = make()
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        made_in[name] = round(time.time() - began, 3)
         _stored[what] = (state, path, df.schema)
         if known is not None:
             _delete(spark, known[1])
