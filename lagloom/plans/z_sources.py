@@ -100,9 +100,9 @@ def contract_violations(spark, sf_dir):
     return archives.violations(rows.unionByName(copy).drop("part"), wanted, calendar, grid)
 
 
-# sources: cells of 20 x 30 degrees that hold a station, and those north and south of them; targets: cells of 12 x 15 degrees that touch one
+# sources: cells of 20 x 30 degrees from -180 that hold a station, and those north and south of them; targets, from 0 to 360: cells of 12 x 15 degrees that touch one
 _SRC = "SELECT DISTINCT i * 12 + j AS id, -90 + 20 * i AS south, -70 + 20 * i AS north, 30 * j - 180 AS west, 30 * j - 150 AS east FROM (SELECT floor((lat + 90) / 20)::BIGINT + k AS i, floor((lon + 180) / 30)::BIGINT AS j FROM cells, (VALUES (-1), (0), (1)) r(k)) WHERE i BETWEEN 0 AND 8"
-_TGT = "SELECT DISTINCT floor((lat + 90) / 12)::BIGINT * 24 + floor((lon + 180) / 15)::BIGINT AS id, -90 + 12 * floor((lat + 90) / 12) AS south, -78 + 12 * floor((lat + 90) / 12) AS north, 15 * floor((lon + 180) / 15) AS west, 15 * floor((lon + 180) / 15) + 15 AS east FROM cells"
+_TGT = "SELECT DISTINCT i * 24 + j AS id, -90 + 12 * i AS south, -78 + 12 * i AS north, 15 * j AS west, 15 * j + 15 AS east FROM (SELECT floor((lat + 90) / 12)::BIGINT AS i, floor((CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) / 15)::BIGINT AS j FROM cells)"
 _FOOT = ctes("stations") + f""", so AS ({_SRC}), ta AS ({_TGT}), lp AS (SELECT so.id AS source, ta.id AS target, sum((sin(radians(least(so.north, ta.north))) - sin(radians(greatest(so.south, ta.south)))) * radians(least(so.east + k, ta.east) - greatest(so.west + k, ta.west))) AS a
  FROM so, ta, (VALUES (-360), (0), (360)) t(k) WHERE so.south < ta.north AND ta.south < so.north AND so.west + k < ta.east AND ta.west < so.east + k GROUP BY 1, 2),
  cv AS (SELECT id AS target, (sin(radians(north)) - sin(radians(south))) * radians(east - west) AS area, coalesce(sum(a), 0) AS covered, count(source) AS n_sources FROM ta LEFT JOIN lp ON lp.target = ta.id GROUP BY ALL)"""
@@ -114,7 +114,7 @@ def _cells(spark, sf_dir):
     near = s.select("lon", F.explode(F.array(here - 1, here, here + 1)).alias("i")).filter("i between 0 and 8")
     i = F.col("i")
     source = near.select((i * 12 + j).alias("id"), (i * 20 - 90).alias("south"), (i * 20 - 70).alias("north"), (j * 30 - 180).alias("west"), (j * 30 - 150).alias("east")).distinct()
-    i, j = F.floor((F.col("lat") + 90) / 12), F.floor((F.col("lon") + 180) / 15)
+    i, j = F.floor((F.col("lat") + 90) / 12), F.floor(F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon")) / 15)
     target = s.select((i * 24 + j).alias("id"), (i * 12 - 90).alias("south"), (i * 12 - 78).alias("north"), (j * 15).alias("west"), (j * 15 + 15).alias("east")).distinct()
     return source, target
 
