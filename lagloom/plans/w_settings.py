@@ -76,11 +76,11 @@ qq AS MATERIALIZED (SELECT *, least(1, min(p * m / r) OVER (PARTITION BY setting
 _RUN = _sql()
 
 
-@query(_RUN + f" SELECT setting, {_K}, regime, n, round(effect, 7) AS effect, round(p, 7) AS p_value, round(q, 7) AS q_value, q < {_ALPHA} AS significant FROM qq")
+@query(_RUN + f" SELECT setting, {_K}, regime, n, round(effect, 7) AS effect, p AS p_value, round(q, 7) AS q_value, q < {_ALPHA} AS significant FROM qq")
 def setting_runs(spark, sf_dir):
     """Every lag test of five recipes and three numbers of regions, q within setting and season."""
     t = setting_tests(spark, sf_dir)
-    return t.select("setting", *KEY, "regime", "n", F.round("effect", 7).alias("effect"), F.round("p_value", 7).alias("p_value"), F.round("q_value", 7).alias("q_value"), "significant")
+    return t.select("setting", *KEY, "regime", "n", F.round("effect", 7).alias("effect"), "p_value", F.round("q_value", 7).alias("q_value"), "significant")
 
 
 _IN = ", ".join(f"'{s}'" for s in _RECIPE_SETTINGS)

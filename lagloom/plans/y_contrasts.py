@@ -63,10 +63,10 @@ def contrasts(spark, sf_dir) -> DataFrame:
     return stored(spark, "contrasts", sources(sf_dir, "lineitem", "supplier"), make, trained=_TRAINED, ahead=_AHEAD)
 
 
-@query(_CONTRAST + f" SELECT {_CK}, n, round(reference, 7) AS reference, round(delta, 7) AS delta, round(se, 7) AS se_hac, round(p, 7) AS p_value, round(q_family, 7) AS q_family, round(q_all, 7) AS q_all FROM cq")
+@query(_CONTRAST + f" SELECT {_CK}, n, round(reference, 7) AS reference, round(delta, 7) AS delta, round(se, 7) AS se_hac, p AS p_value, round(q_family, 7) AS q_family, round(q_all, 7) AS q_all FROM cq")
 def state_contrast_tests(spark, sf_dir):
     """Links of all stations under a high and a low antecedent state against the middle one, and in winter against summer, with HAC errors."""
-    return contrasts(spark, sf_dir).select(*_KEY, "contrast", "period", "n", *[F.round(c, 7).alias(c) for c in ("reference", "delta", "se_hac", "p_value", "q_family", "q_all")])
+    return contrasts(spark, sf_dir).select(*_KEY, "contrast", "period", "n", "p_value", *[F.round(c, 7).alias(c) for c in ("reference", "delta", "se_hac", "q_family", "q_all")])
 
 
 @query(_CONTRAST + """, cs AS (SELECT *, CASE WHEN lat >= 0 THEN 'north' ELSE 'south' END AS hemisphere FROM cq JOIN cells ON node = target_region) SELECT period, contrast, edge_type, coalesce(hemisphere, 'all') AS hemisphere, count(*) AS tested, count(*) FILTER (q_family < 0.2) AS found, count(*) FILTER (q_all < 0.2) AS found_all, round(avg(delta), 8) AS mean, round(quantile_cont(delta, 0.5), 7) AS median, round(avg(CASE WHEN sign(delta) = sign(reference) THEN 1.0 ELSE 0.0 END), 8) AS strengthened
@@ -159,10 +159,10 @@ _FAM = _RUN[: _RUN.index(",\nct AS MATERIALIZED")].replace("WITH ", "WITH RECURS
  fs AS (SELECT *, s1_q < {_ALPHA} AS s1_pass, s1_q < {_ALPHA} AND s2_q < {_ALPHA} AS s2_pass, round(CASE WHEN sign(s3_effect) = sign(s2_effect) THEN s3_p / 2 ELSE 1 - s3_p / 2 END, 9) AS s3_one FROM q2), {_q_sql("q3", "fs", "family, s2_pass", "s3_one", "s3_q")}"""
 
 
-@query(_FAM + " SELECT family, region, lag, round(s1_effect, 7) AS s1_effect, round(s1_q, 7) AS s1_q, round(s2_q, 7) AS s2_q, s1_pass, s2_pass, round(s3_one, 7) AS s3_one, round(s3_q, 7) AS s3_q FROM q3")
+@query(_FAM + " SELECT family, region, lag, round(s1_effect, 7) AS s1_effect, round(s1_q, 7) AS s1_q, round(s2_q, 7) AS s2_q, s1_pass, s2_pass, s3_one, round(s3_q, 7) AS s3_q FROM q3")
 def source_families(spark, sf_dir):
     """Stages of every test of the local, remote and placebo sources of the regions."""
-    return family_tests(spark, sf_dir).select("family", "region", "lag", *[F.round(c, 7).alias(c) for c in ("s1_effect", "s1_q", "s2_q")], "s1_pass", "s2_pass", F.round("s3_one", 7).alias("s3_one"), F.round("s3_q", 7).alias("s3_q"))
+    return family_tests(spark, sf_dir).select("family", "region", "lag", *[F.round(c, 7).alias(c) for c in ("s1_effect", "s1_q", "s2_q")], "s1_pass", "s2_pass", "s3_one", F.round("s3_q", 7).alias("s3_q"))
 
 
 @query(_FAM + f", w AS (SELECT q3.*, {_BANDS} AS band FROM q3 JOIN rg ON rg.size = 66 AND rg.node = region) SELECT family, coalesce(band, 'all') AS band, count(*) AS tested, count(*) FILTER (s1_pass) AS screened, count(*) FILTER (s2_pass) AS confirmed, count(*) FILTER (s2_pass AND s2_effect > 0) AS confirmed_positive, count(*) FILTER (s2_pass AND s3_q < {_ALPHA}) AS replicated, count(*) FILTER (NOT s2_pass) AS controls, count(*) FILTER (NOT s2_pass AND s3_q < {_ALPHA}) AS controls_replicated FROM w GROUP BY GROUPING SETS ((family), (family, band))")
@@ -219,10 +219,10 @@ def projections(spark, sf_dir) -> DataFrame:
     return stored(spark, "projections", sources(sf_dir, "lineitem", "supplier"), make, trained=_TRAINED, held=_HELD)
 
 
-@query(_projection_sql() + f" SELECT {_PK}, n, round(beta, 7) AS beta, round(se_hac, 7) AS se_hac, round(p, 7) AS p_value, n_held, round(gain, 8) AS gain, round(gain_se, 8) AS gain_se FROM vr")
+@query(_projection_sql() + f" SELECT {_PK}, n, round(beta, 7) AS beta, round(se_hac, 7) AS se_hac, p AS p_value, n_held, round(gain, 8) AS gain, round(gain_se, 8) AS gain_se FROM vr")
 def projected_vectors(spark, sf_dir):
     """Each source's vector turned by the bearing of its edge, tested in the target's humidity beside its history and the source's wind."""
-    return projections(spark, sf_dir).select("source", "target", "lag", "n", F.round("beta", 7).alias("beta"), F.round("se_hac", 7).alias("se_hac"), F.round("p_value", 7).alias("p_value"), "n_held", F.round("gain", 8).alias("gain"), F.round("gain_se", 8).alias("gain_se"))
+    return projections(spark, sf_dir).select("source", "target", "lag", "n", F.round("beta", 7).alias("beta"), F.round("se_hac", 7).alias("se_hac"), "p_value", "n_held", F.round("gain", 8).alias("gain"), F.round("gain_se", 8).alias("gain_se"))
 
 
 @query(_projection_sql() + f", {_q_sql('vq', 'vr', '1', 'p', 'q')} SELECT lag, count(*) AS hypotheses, round(quantile_cont(gain, 0.5), 8) AS median_gain, count(*) FILTER (gain > 0) AS positive_gain, count(*) FILTER (q < 0.05) AS found FROM vq GROUP BY 1")
