@@ -10,7 +10,7 @@ from lagloom.operators import gram, screen
 from lagloom.operators.fdr import bh, bh_large
 from lagloom.operators.lineage import stored
 from lagloom.plans import section
-from lagloom.sources.fixtures import climate_of, climate_sql, ctes, normal_tail_sql, panel, sources, station_climate, stations
+from lagloom.sources.fixtures import climate_of, climate_sql, ctes, normal_tail_sql, panel, sources, station_series, stations
 from lagloom.sources.sqltext import gram_sql, sweep_sql, t_tail_sql
 
 QUERIES, query = section()
@@ -70,7 +70,7 @@ def lag_links(spark, sf_dir):
     from lagloom.plans.h_reports import candidates
 
     cand = candidates(stations(spark, sf_dir)).filter("source_var <> target_var")
-    s = screen.screen(cand, screen.series(station_climate(spark, sf_dir)), lags=3, own=2, regimes={"all": (1, 0, 1)}).filter("effect is not null")
+    s = screen.screen(cand, station_series(spark, sf_dir), lags=3, own=2, regimes={"all": (1, 0, 1)}).filter("effect is not null")
     keys = ["source_region", "target_region", "source_var", "target_var", "lag"]
     t = F.col("effect") / F.col("se_ols")
     f = s.withColumn("f", t * t).withColumn("p_value", F.round(p_t(t, (F.col("n") - 4).cast("double")), 9))

@@ -9,7 +9,7 @@ from lagloom.functions.tails import p_z
 from lagloom.operators import gram, screen, spatial
 from lagloom.operators.fdr import bh_large
 from lagloom.plans import section
-from lagloom.sources.fixtures import EDGE_TYPES, ctes, normal_tail_sql, station_climate, stations
+from lagloom.sources.fixtures import EDGE_TYPES, ctes, normal_tail_sql, station_climate, station_series, stations
 
 QUERIES, query = section()
 
@@ -28,7 +28,7 @@ def own_influences(spark, sf_dir, lags: int = 3) -> DataFrame:
     """Influences of each station's own links, by edge type, lag and season."""
     pair = F.explode(F.array(*[F.struct(F.lit(a).alias("source_var"), F.lit(b).alias("target_var")) for a, b in EDGE_TYPES]))
     own = stations(spark, sf_dir).select(F.col("node").alias("source_region"), F.col("node").alias("target_region"), pair.alias("v")).select("source_region", "target_region", "v.*")
-    i = screen.influences(own, screen.series(station_climate(spark, sf_dir)), lags)
+    i = screen.influences(own, station_series(spark, sf_dir), lags)
     return i.select(F.col("source_region").alias("node"), F.concat_ws("->", "source_var", "target_var").alias("edge_type"), "lag", "regime", "n", "effect", "first", "influence")
 
 

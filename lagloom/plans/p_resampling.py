@@ -12,7 +12,7 @@ from lagloom.operators.ranks import rank_by_ranges
 from lagloom.plans import section
 from lagloom.plans.c_spatial import _REGIONS, regions
 from lagloom.plans.m_verify import predictions
-from lagloom.sources.fixtures import HAV_SQL, ctes, day_number, edges, panel, sources, station_candidates, station_climate, stations
+from lagloom.sources.fixtures import HAV_SQL, ctes, day_number, edges, panel, sources, station_candidates, station_climate, station_series, stations
 from lagloom.sources.sqltext import t_tail_sql
 
 QUERIES, query = section()
@@ -28,7 +28,7 @@ bf AS MATERIALIZED (SELECT *, zy / zss AS effect, zy / zss / sqrt((rss - zy * zy
 
 def refits(spark, sf_dir) -> DataFrame:
     """All candidates refitted on every replicate at lag 1. Stored once."""
-    make = lambda: screen.resampled(station_candidates(spark, sf_dir), screen.series(station_climate(spark, sf_dir)), 1, REPLICATES)
+    make = lambda: screen.resampled(station_candidates(spark, sf_dir), station_series(spark, sf_dir), 1, REPLICATES)
     return stored(spark, "refits", sources(sf_dir, "lineitem", "supplier"), make, replicates=REPLICATES)
 
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_t
 from lagloom.operators import joint, reports, screen
-from lagloom.operators.lineage import stored
 from lagloom.plans import section
 from lagloom.plans.o_contrasts import _hac_sql
-from lagloom.sources.fixtures import ctes, edges, normal_tail_sql, sources, station_climate
+from lagloom.sources.fixtures import ctes, edges, normal_tail_sql, station_bundles, station_climate
 from lagloom.sources.sqltext import gram_sql, sweep_sql, t_tail_sql
 
 QUERIES, query = section()
@@ -20,7 +19,7 @@ _V = {"h": "humidity", "w": "wind", "c": "cloud_cover", "e": "temperature"}
 
 def bundled(spark, sf_dir) -> DataFrame:
     """One row per station with the four series. Stored once."""
-    return stored(spark, "bundles", sources(sf_dir, "lineitem"), lambda: joint.bundle(screen.series(station_climate(spark, sf_dir))))
+    return station_bundles(spark, sf_dir)
 
 
 def _rows_sql(terms: dict[str, tuple[str, int]], where: str = "true") -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lagloom.functions.tails import p_t, t_quantile
-from lagloom.operators import clean, dense, gram, spatial
+from lagloom.operators import clean, dense, gram, panels, spatial
 from lagloom.operators.fdr import bh_large
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
@@ -20,7 +20,7 @@ from lagloom.plans.d_regimes import _ASOF, _INDEX, asof_states, index_states
 from lagloom.plans.m_verify import _PRED, flux_divergence, predictions
 from lagloom.plans.n_dense import _sql, named, names_of
 from lagloom.sources import readers
-from lagloom.sources.fixtures import ctes, panel_orders, panel_ship, station_climate, stations, table, tests
+from lagloom.sources.fixtures import ctes, panel_orders, panel_ship, station_climate, station_series, stations, table, tests
 from lagloom.sources.sqltext import t_tail_sql
 
 QUERIES, query = section()
@@ -289,7 +289,7 @@ def window_hours(spark, sf_dir):
  SELECT regime, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM (SELECT t, unnest(['all', 'season_' || (t % 52 // 13), 'humidity_' || CASE WHEN h <= hl THEN 'low' WHEN h >= hh THEN 'high' ELSE 'normal' END, 'cloud_' || CASE WHEN c <= cl THEN 'low' WHEN c >= ch THEN 'high' ELSE 'normal' END]) AS regime FROM m, q) GROUP BY 1""")
 def regime_catalogue(spark, sf_dir):
     """All regimes of the calendar: all, seasons, humidity states, cloud states."""
-    return catalogue(station_climate(spark, sf_dir)).groupBy("regime").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return catalogue(panels.steps(station_series(spark, sf_dir).filter("variable in ('humidity', 'cloud_cover')"))).groupBy("regime").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
 def catalogue(c: DataFrame, seasons: tuple[int, ...] = (0, 1, 2, 3), low: float = 0.2, high: float = 0.8, states: tuple[str, ...] = ("humidity", "cloud_cover")) -> DataFrame:

@@ -9,7 +9,7 @@ from lagloom.functions.tails import p_z
 from lagloom.operators import screen, spatial
 from lagloom.plans import section
 from lagloom.plans.o_contrasts import _hac_sql
-from lagloom.sources.fixtures import EDGE_TYPES, ctes, normal_tail_sql, station_candidates, station_climate, stations
+from lagloom.sources.fixtures import EDGE_TYPES, ctes, normal_tail_sql, station_candidates, station_series, stations
 from lagloom.sources.sqltext import gram_sql, influence_sql, sweep_sql, t_tail_sql
 
 QUERIES, query = section()
@@ -52,7 +52,7 @@ al AS (SELECT *, sqrt(h4.var) AS se4, sqrt(h8.var) AS se8, sqrt(meat * g / (g -
 @query(_common_sql() + f" SELECT {_K}, lag, regime, n, n_controls::BIGINT AS n_controls, round(beta, 7) AS effect, round(se_ols, 7) AS se_ols, round(se4, 7) AS se_hac4, round({normal_tail_sql('(beta / se4)')}, 7) AS p_hac4, round(se8, 7) AS se_hac8, round(sec, 7) AS se_cluster, round({t_tail_sql('(beta / sec)', '(g - 1)')}, 7) AS p_cluster FROM al")
 def shared_target_fits(spark, sf_dir):
     """Every candidate and lag beside three own lags of its target, on the same steps: one fit of the controls per target and season; OLS, two HAC bandwidths, calendar blocks."""
-    r = screen.common_controls(_with_own_variable(spark, sf_dir), screen.series(station_climate(spark, sf_dir)), bandwidths=(4, 8), blocks=(_BLOCK,)).filter("effect is not null")
+    r = screen.common_controls(_with_own_variable(spark, sf_dir), station_series(spark, sf_dir), bandwidths=(4, 8), blocks=(_BLOCK,)).filter("effect is not null")
     return r.select(
         *_KEY, "lag", "regime", "n", "n_controls", *[F.round(c, 7).alias(a) for c, a in (("effect", "effect"), ("se_ols", "se_ols"), ("se_hac4", "se_hac4"), ("p_hac4", "p_hac4"), ("se_hac8", "se_hac8"), (f"se_cluster{_BLOCK}", "se_cluster"), (f"p_cluster{_BLOCK}", "p_cluster"))]
     )
@@ -89,7 +89,7 @@ FROM ag JOIN ft USING ({keys}) JOIN fe USING ({keys}) JOIN ht USING ({keys}) JOI
 @query(_frozen_sql())
 def frozen_source_refits(spark, sf_dir):
     """Each source frozen at the training years and judged on the later ones, beside the same fit made anew on the later years."""
-    s = screen.series(station_climate(spark, sf_dir))
+    s = station_series(spark, sf_dir)
     train, held = calendar_shares(s, _TRAIN, _HELD)
     r = screen.frozen_sources(station_candidates(spark, sf_dir), s, train, held).filter("effect is not null")
     p = F.round(p_z(F.col("refit_effect") / F.col("refit_se_hac")), 7).alias("refit_p")

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_z
-from lagloom.operators import joint, screen, settings, spatial
+from lagloom.operators import joint, panels, screen, settings, spatial
 from lagloom.operators.fdr import bh_large
-from lagloom.operators.lineage import stored
+from lagloom.operators.lineage import stored, written
 from lagloom.plans import section
 from lagloom.plans.o_contrasts import _BANDS, _hac_sql
 from lagloom.plans.q_windows import bundled
 from lagloom.plans.v_shared import calendar_shares
 from lagloom.plans.w_settings import _RUN, _bin_sql, filled_panel
-from lagloom.sources.fixtures import ctes, normal_tail_sql, sources, station_candidates, station_climate, stations
+from lagloom.sources.fixtures import ctes, normal_tail_sql, sources, station_candidates, station_series, stations
 from lagloom.sources.sqltext import gram_sql, influence_sql, sweep_sql
 
 QUERIES, query = section()
@@ -53,11 +53,10 @@ def contrasts(spark, sf_dir) -> DataFrame:
     """All contrasts of all candidates, q within period and contrast and over all. Stored once."""
 
     def make():
-        c = station_climate(spark, sf_dir)
-        s = screen.series(c)
+        s = station_series(spark, sf_dir)
         (cut,) = calendar_shares(s, _TRAINED)
-        r = screen.state_contrasts(station_candidates(spark, sf_dir), s, state_steps(c, cut), {"early": (-(10**9), cut), "late": (cut, 10**9)})
-        r = r.filter("delta is not null").withColumn("p_value", F.round("p_value", 9))
+        r = screen.state_contrasts(station_candidates(spark, sf_dir), s, state_steps(panels.steps(s), cut), {"early": (-(10**9), cut), "late": (cut, 10**9)})
+        r = written(r.filter("delta is not null").withColumn("p_value", F.round("p_value", 9)), "contrasts")  # read by both families
         return bh_large(bh_large(r, ["period", "contrast"], q="q_family"), None, q="q_all").withColumn("edge_type", F.concat_ws("->", "source_var", "target_var"))
 
     return stored(spark, "contrasts", sources(sf_dir, "lineitem", "supplier"), make, trained=_TRAINED, ahead=_AHEAD)
@@ -212,7 +211,7 @@ def projections(spark, sf_dir) -> DataFrame:
         p = both.join(at("source").hint("shuffle_merge"), "source").join(at("target").hint("shuffle_merge"), "target")
         la, lb, d = F.radians("source_lat"), F.radians("target_lat"), F.radians(F.col("target_lon") - F.col("source_lon"))
         p = p.select("source", "target", F.atan2(F.sin(d) * F.cos(lb), F.cos(la) * F.sin(lb) - F.sin(la) * F.cos(lb) * F.cos(d)).alias("bearing"))
-        train, held = calendar_shares(screen.series(station_climate(spark, sf_dir)), _TRAINED, _HELD)
+        train, held = calendar_shares(station_series(spark, sf_dir), _TRAINED, _HELD)
         r = joint.projection_tests(p, bundled(spark, sf_dir), "node", "wind", "temperature", "humidity", "wind", train, held)
         return r.withColumn("p_value", F.round(p_z(F.col("beta") / F.col("se_hac")), 9))
 
