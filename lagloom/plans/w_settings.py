@@ -7,11 +7,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.operators import clean, settings
+from lagloom.operators import settings
 from lagloom.operators.lineage import stored
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
-from lagloom.sources.fixtures import EDGE_TYPES, HAV_SQL, _station_panel, ctes, long_panel, normal_tail_sql, sources, stations
+from lagloom.sources.fixtures import EDGE_TYPES, HAV_SQL, VARIABLES, _station_panel, ctes, normal_tail_sql, sources, stations, weeks
 
 QUERIES, query = section()
 _K = ", ".join(KEY)
@@ -19,21 +19,9 @@ _RECIPE_SETTINGS = [s for s, _, n in settings.SETTINGS if n == 66]
 _ALPHA = 0.2
 
 
-def filled_panel(spark, sf_dir) -> DataFrame:
-    """The stations' weekly series, dense and without gaps. Stored once."""
-
-    def make():
-        long = long_panel(_station_panel(spark, sf_dir), "t", "node")
-        ends = long.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-        grid = clean.dense(long, ends.select(F.explode(F.sequence("a", "b")).alias("t")), long.select("node", "variable").distinct())
-        return clean.fill_gaps(grid, ["node", "variable"], 6)
-
-    return stored(spark, "filled-panel", sources(sf_dir, "lineitem"), make)
-
-
 def setting_tests(spark, sf_dir) -> DataFrame:
     """All tests of all settings. Stored once."""
-    make = lambda: settings.run(filled_panel(spark, sf_dir), stations(spark, sf_dir), EDGE_TYPES, F.col("t") % 52, alpha=_ALPHA)
+    make = lambda: settings.run(_station_panel(spark, sf_dir), VARIABLES, weeks(spark, sf_dir), stations(spark, sf_dir), EDGE_TYPES, alpha=_ALPHA)
     return stored(spark, "setting-tests", sources(sf_dir, "lineitem", "supplier"), make, settings=settings.SETTINGS, alpha=_ALPHA)
 
 
@@ -107,5 +95,5 @@ def edges_of_all_recipes(spark, sf_dir):
 @query(ctes("stations", "station_climate") + _RUN[_RUN.index(",\nrm AS"):_RUN.index(", us(setting")] + " SELECT recipe, variable, count(*) AS n, round(max(value), 6) AS high, round(min(value), 6) AS low FROM cl GROUP BY 1, 2")
 def station_recipes(spark, sf_dir):
     """The five recipes on all stations: rows and range by variable."""
-    r = settings.recipes(filled_panel(spark, sf_dir), F.col("t") % 52)
-    return r.groupBy("recipe", "variable").agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("high"), F.round(F.min("value"), 6).alias("low"))
+    r = settings.recipe_ranges(_station_panel(spark, sf_dir), VARIABLES, weeks(spark, sf_dir))
+    return r.select("recipe", "variable", "n", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"))

@@ -13,8 +13,8 @@ from lagloom.plans import section
 from lagloom.plans.o_contrasts import _BANDS, _hac_sql
 from lagloom.plans.q_windows import bundled
 from lagloom.plans.v_shared import calendar_shares
-from lagloom.plans.w_settings import _RUN, _bin_sql, filled_panel
-from lagloom.sources.fixtures import ctes, normal_tail_sql, sources, station_candidates, station_series, stations
+from lagloom.plans.w_settings import _RUN, _bin_sql
+from lagloom.sources.fixtures import VARIABLES, _station_panel, ctes, normal_tail_sql, sources, station_candidates, station_series, stations, weeks
 from lagloom.sources.sqltext import gram_sql, influence_sql, sweep_sql
 
 QUERIES, query = section()
@@ -117,7 +117,7 @@ def family_tests(spark, sf_dir) -> DataFrame:
 
     def make():
         one = [s for s in settings.SETTINGS if s[0] == "P1_monthly"]
-        r = settings.regional(settings.recipes(filled_panel(spark, sf_dir), F.col("t") % _YEAR, names=("monthly",)), stations(spark, sf_dir), one).drop("setting")
+        r = panels.steps(settings.regional(_station_panel(spark, sf_dir), VARIABLES, weeks(spark, sf_dir), stations(spark, sf_dir), one, _YEAR))
         late = r.filter("variable = 'wind'").select("node", F.lit("wind_before").alias("variable"), (F.col("t") + _YEAR).alias("t"), "value")
         given = screen.series(r.filter("variable in ('wind', 'humidity')").unionByName(late))
         nodes = r.select("node").distinct()

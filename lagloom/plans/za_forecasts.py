@@ -7,13 +7,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.operators import screen, settings, spatial
+from lagloom.operators import panels, screen, settings, spatial
 from lagloom.operators.lineage import stored
 from lagloom.plans import section
 from lagloom.plans.v_shared import calendar_shares
-from lagloom.plans.w_settings import _RUN, filled_panel
+from lagloom.plans.w_settings import _RUN
 from lagloom.plans.y_contrasts import _COLUMNS, _SHIFT, remote_of
-from lagloom.sources.fixtures import HAV_SQL, sources, stations
+from lagloom.sources.fixtures import HAV_SQL, VARIABLES, _station_panel, sources, stations, weeks
 from lagloom.sources.sqltext import gram_sql, sweep_sql
 
 QUERIES, query = section()
@@ -46,7 +46,7 @@ def region_series(spark, sf_dir) -> DataFrame:
 
     def make():
         one = [s for s in settings.SETTINGS if s[0] == "P1_monthly"]
-        return settings.regional(settings.recipes(filled_panel(spark, sf_dir), F.col("t") % _YEAR, names=("monthly",)), stations(spark, sf_dir), one).drop("setting")
+        return panels.steps(settings.regional(_station_panel(spark, sf_dir), VARIABLES, weeks(spark, sf_dir), stations(spark, sf_dir), one, _YEAR))
 
     return stored(spark, "region-series", sources(sf_dir, "lineitem", "supplier"), make)
 

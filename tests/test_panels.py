@@ -46,3 +46,23 @@ def test_series_make_no_dense_rows(wide):
     b = panels.climate(wide, NAMES, panels.calendar(wide))
     plan = b._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_regions_are_summed_in_tasks(spark, wide):
+    """Only a row for each region, recipe and variable of a task leaves it: no settings or steps are multiplied before the shuffle."""
+    from lagloom.operators import settings
+
+    places = spark.range(0, 700).select(F.col("id").alias("node"), (F.col("id") % 170 - 85.0).alias("lat"), (F.col("id") * 37 % 360 - 180.0).alias("lon"))
+    r = settings.regional(wide, NAMES, panels.calendar(wide), places)
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 2
+    got = {(x.setting, x.node, x.variable): x for x in r.collect()}
+    own = {(x.node, x.variable): x["values"] for x in panels.unbundled(panels.climate(wide, NAMES, panels.calendar(wide))).collect()}
+    from lagloom.operators.spatial import bins
+
+    box = {x.node: x.b for x in places.select("node", bins(F.col("lat"), F.col("lon"), 32).alias("b")).collect()}
+    region = got[("R32_monthly", box[3], "wind")].node
+    members = [own[(n, "wind")] for n in box if box[n] == region and (n, "wind") in own]
+    want = [sum(v) / len(members) for v in zip(*members, strict=True)]
+    assert max(abs(a - b) for a, b in zip(got[("R32_monthly", region, "wind")]["values"], want, strict=True)) < 1e-9
+    assert {x.first for k, x in got.items() if k[0] in ("P2_monthly_diff", "P3_diff_only")} == {-4}
