@@ -66,3 +66,15 @@ def test_regions_are_summed_in_tasks(spark, wide):
     want = [sum(v) / len(members) for v in zip(*members, strict=True)]
     assert max(abs(a - b) for a, b in zip(got[("R32_monthly", region, "wind")]["values"], want, strict=True)) < 1e-9
     assert {x.first for k, x in got.items() if k[0] in ("P2_monthly_diff", "P3_diff_only")} == {-4}
+
+
+def test_mid_ranks(spark):
+    """Mean ranks of equal values, and no window over a whole group of rows."""
+    from lagloom.operators.ranks import mid_ranks
+
+    rows = [("a", float(v)) for v in (3, 1, 2, 2, 2, 9)] + [("b", 5.0), ("b", 5.0)]
+    r = mid_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], "v")
+    assert {(x.g, x.v): x["rank"] for x in r.collect()} == {("a", 1.0): 1.0, ("a", 2.0): 3.0, ("a", 3.0): 5.0, ("a", 9.0): 6.0, ("b", 5.0): 1.5}
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and any("_part" in w.split("ROWS")[0] or "_part" in w for w in windows)
