@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lagloom.llm import minhash, packing, quality, suffixdedup, toxicity
 from lagloom.llm.common import stage, table
-from lagloom.llm.labelled import sample
+from lagloom.llm.labelled import trained
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,16 +23,15 @@ def _documents(docs: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose quality score is 0.5 or more."""
     docs = _documents(docs)
-    model = quality.Subwords()
-    model.train(sample(docs, table(spark, sf_dir, "labels"), "quality", 1500))
-    kept = quality.scores(docs, *model.parts(), model.bits, keep=COLUMNS)
+    parts, bias, bits = trained(docs, table(spark, sf_dir, "labels"), "quality", 1500, quality.fitted)
+    kept = quality.scores(docs, parts, bias, bits, keep=COLUMNS)
     return kept.filter("score >= 0.5").select(*COLUMNS)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose toxicity score is below 0.7."""
     docs = _documents(docs)
-    model = toxicity.train(sample(docs, table(spark, sf_dir, "labels"), "toxic", 3000))
+    model = trained(docs, table(spark, sf_dir, "labels"), "toxic", 3000, toxicity.train)
     return toxicity.scores(docs, model, keep=COLUMNS).filter("score < 0.7").select(*COLUMNS)
 
 

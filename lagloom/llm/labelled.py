@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
@@ -21,6 +25,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_
     most 2 * per_class texts of bounded length reach the driver, however often an id
     repeats. Ordered by hash of the text.
     """
+    return _ordered([(r.doc_id, r.y, r.text) for r in _sampled(docs, labels, label, per_class, most_chars).collect()])
+
+
+def trained(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable, most_chars: int = 200_000):
+    """``fit(sample(...))``, made in a task: the driver gets the model only, never the texts or what is derived from them."""
+
+    def run(batches):
+        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(_ordered(rows)))], pa.binary())], ["model"])
+
+    model = _sampled(docs, labels, label, per_class, most_chars).repartition(1).mapInArrow(run, "model binary").first()
+    return fit([]) if model is None else pickle.loads(model.model)
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int) -> DataFrame:
     known = labels.filter("doc_id is not null").filter(F.col(label).isin(0, 1)).filter(~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = None
     for y in (0, 1):
@@ -29,6 +48,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_
     # 2 * per_class ids at most: small enough to send to every task
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= most_chars).join(F.broadcast(picked), "doc_id")
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
-    rows = rows.groupBy("doc_id", "y").agg(one).select("doc_id", "y", "t.text").collect()
-    once = {r.text: r for r in sorted(rows, key=lambda r: -r.doc_id)}  # a text that many rows share teaches once
-    return [(t, r.y) for t, r in sorted(once.items(), key=lambda x: (xxh32_intdigest(x[0]), x[0]))]
+    return rows.groupBy("doc_id", "y").agg(one).select("doc_id", "y", "t.text")
+
+
+def _ordered(rows: list[tuple[int, int, str]]) -> list[tuple[str, int]]:
+    once = {text: (doc_id, y) for doc_id, y, text in sorted(rows, key=lambda r: -r[0])}  # a text that many rows share teaches once
+    return [(t, y) for t, (_, y) in sorted(once.items(), key=lambda x: (xxh32_intdigest(x[0]), x[0]))]

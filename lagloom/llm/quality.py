@@ -126,6 +126,13 @@ class Subwords:
         return self.vectors @ d, float(self.bias[1] - self.bias[0])
 
 
+def fitted(texts: list[tuple[str, int]]) -> tuple[np.ndarray, float, int]:
+    """parts() of a model trained on texts, and its bits."""
+    model = Subwords()
+    model.train(texts)
+    return *model.parts(), model.bits
+
+
 def scores(docs: DataFrame, parts: np.ndarray, bias: float, bits: int, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns ``keep``, text among them) and score for every document."""
     keep = keep or ["doc_id"]
