@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lagloom.functions.tails import p_t, t_quantile
+from lagloom.functions.tails import p_t, p_t_whole, t_quantile
 from lagloom.operators import clean, dense, gram, panels, spatial
 from lagloom.operators.fdr import bh_large
+from lagloom.operators.lineage import written
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
 from lagloom.plans.a_sources import LINEITEM
@@ -32,7 +33,8 @@ _K = ", ".join(KEY)
 def link_scores(spark, sf_dir):
     """F tests of all candidates by season, q within season and type, and the score: sign times minus log q times size."""
     t = tests(spark, sf_dir).filter("effect is not null").withColumn("edge_type", F.concat_ws("->", "source_var", "target_var"))
-    t = t.withColumn("p", F.round(p_t(F.col("effect") / F.col("se_ols"), (F.col("n") - 3).cast("double")), 9))
+    t = t.withColumn("p", F.round(p_t_whole(F.col("effect") / F.col("se_ols"), (F.col("n") - 3).cast("double")), 9))
+    t = written(t.select(*KEY, "regime", "edge_type", "effect", "p"), "link-scores")  # read for the ranks and again for their join
     q = bh_large(t, ["regime", "edge_type"], "p", "q", 0.05)
     score = F.signum("effect") * -F.log10(F.col("q") + 1e-12) * F.abs("effect")
     return q.select(*KEY, "regime", F.col("p").alias("p_value"), F.round("q", 8).alias("q_value"), "significant", (F.round(score, 7) + 0.0).alias("effect_score"))

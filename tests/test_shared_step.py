@@ -4,7 +4,9 @@ import re
 
 import numpy as np
 
-from lagloom.operators import panels, screen
+from lagloom.functions import tails
+from lagloom.operators import fdr, panels, rewire, screen
+from lagloom.plans import u_tables
 from lagloom.sources import fixtures
 
 
@@ -58,3 +60,28 @@ def test_rows_of_the_station_panel_are_shuffled_once(spark, sf_dir):
     again = panels.climate(wide, list(fixtures.VARIABLES), span)
     key = lambda df: sorted((r.node, r.first, tuple(np.round(r.wind, 9) + 0.0), tuple(np.round(r.humidity, 9) + 0.0)) for r in df.collect())
     assert key(b) == key(again)
+
+
+def test_windows_of_a_small_family_share_a_shuffle(spark):
+    df = spark.createDataFrame([(1, 0.1), (1, None), (2, 0.3)], "g long, p_value double")
+    assert len(re.findall(r"Exchange hashpartitioning", _plan(fdr.bh(df, ["g"])))) == 1
+
+
+def test_tails_of_many_t_values():
+    t, df = np.array([0.0, 1.3, -2.0, 40.0, np.inf, np.nan, 2.0, 2.0, 1.5]), np.array([5.0, 5, 176, 176, 9, 9, 2.5, np.nan, 3000])
+    got = tails.t_tails(t, df)
+    want = [np.nan if x != x or d != d else tails.t_tail(x, d) for x, d in zip(t.tolist(), df.tolist(), strict=True)]
+    assert np.allclose(got, want, rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_link_scores_makes_its_p_values_once(spark, sf_dir):
+    assert "ArrowEvalPython" not in _plan(u_tables.link_scores(spark, sf_dir))  # they are stored before the ranks read them
+
+
+def test_graphs_are_compared_in_one_join(spark):
+    """A graph and one with an edge moved: edges, nodes at each end, nodes whose degree and strata whose count changed."""
+    schema = "rep long, type string, a long, b long, s long"
+    first = spark.createDataFrame([(0, "x", 1, 2, 0), (0, "x", 2, 3, 1), (0, "x", 1, 4, 1)], schema)
+    now = spark.createDataFrame([(0, "x", 1, 2, 0), (0, "x", 2, 3, 1), (0, "x", 5, 2, 2)], schema)
+    r = rewire.kept(now, rewire.end_counts(first, "x")).collect()
+    assert [tuple(x) for x in r] == [(0, "x", 3, 3, 2, 4, 2)]
