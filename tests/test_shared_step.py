@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lagloom.functions import tails
 from lagloom.operators import fdr, panels, rewire, screen
@@ -85,3 +86,13 @@ def test_graphs_are_compared_in_one_join(spark):
     now = spark.createDataFrame([(0, "x", 1, 2, 0), (0, "x", 2, 3, 1), (0, "x", 5, 2, 2)], schema)
     r = rewire.kept(now, rewire.end_counts(first, "x")).collect()
     assert [tuple(x) for x in r] == [(0, "x", 3, 3, 2, 4, 2)]
+
+
+def test_edges_of_a_type_are_dealt_to_groups_where_they_are(spark):
+    """One graph of one type: no task takes all its edges, and its groups are as many as its edges allow."""
+    g = spark.range(0, 4000, 1, 4).selectExpr("0L AS rep", "'x' AS type", "id AS a", "id * 7 % 4000 AS b", "0D AS ya", "0D AS xa", "0D AS yb", "0D AS xb", "0L AS s")
+    for kernel, groups in (("global", 2000), ("near", 2000), ("cycle", 1334)):
+        d = rewire.dealt(g, kernel, 0, 1)
+        assert d.select(F.spark_partition_id().alias("p")).groupBy("p").count().count() == 4
+        assert d.count() == 4000 and {r.groups for r in d.select("groups").distinct().collect()} == {groups}
+        assert "SortMergeJoin" not in _plan(d)
