@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lagloom.functions.tails import p_z
 from lagloom.operators import gram, reports, spatial
 from lagloom.operators.fdr import bh_large
+from lagloom.operators.lineage import written
 from lagloom.operators.reports import KEY
 from lagloom.plans import section
 from lagloom.plans.h_reports import _INTRA
@@ -116,11 +117,16 @@ _CONF = """b AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY p_val
 
 @query(_E + f", {_CONF}, w AS (SELECT {_K}, edge_type, p_value AS p1, q AS q1, effect AS e1 FROM q WHERE regime = 'winter'), s AS (SELECT {_K}, p_value AS p2, q AS q2, effect AS e2 FROM q WHERE regime = 'summer') SELECT edge_type, count(*) AS tested, round(avg(CASE WHEN p1 < 0.2 AND p2 < 0.2 AND sign(e1) = sign(e2) THEN 1.0 ELSE 0.0 END), 8) AS confirmed_ratio, round(avg(p2), 8) AS mean_p, round(avg(q2), 8) AS mean_q FROM w JOIN s USING ({_K}) GROUP BY 1")
 def confirmation_by_type(spark, sf_dir):
-    q = bh_large(edges(spark, sf_dir), ["regime"], q="q")
-    w = q.filter("regime = 'winter'").select(*KEY, "edge_type", F.col("p_value").alias("p1"), F.col("effect").alias("e1"))
-    s = q.filter("regime = 'summer'").select(*KEY, F.col("p_value").alias("p2"), F.col("q").alias("q2"), F.col("effect").alias("e2"))
+    return confirmed(edges(spark, sf_dir))
+
+
+def confirmed(e):
+    """Keys tested in both seasons, the share confirmed, mean p and q of summer; all of its tests are the family. Only counts of equal p go on to q."""
     ok = (F.col("p1") < 0.2) & (F.col("p2") < 0.2) & (F.signum("e1") == F.signum("e2"))
-    return w.join(s.hint("shuffle_merge"), KEY).groupBy("edge_type").agg(F.count("*").alias("tested"), F.round(F.avg(F.when(ok, 1.0).otherwise(0.0)), 8).alias("confirmed_ratio"), F.round(F.avg("p2"), 8).alias("mean_p"), F.round(F.avg("q2"), 8).alias("mean_q"))
+    c = reports.both_seasons(e).filter("e2 is not null").groupBy("edge_type", "p2").agg(F.count("*").alias("family"), F.count("e1").alias("n"), F.count_if(F.col("e1").isNotNull() & ok).alias("ok"))
+    q = bh_large(written(c, "seasons"), p="p2", q="q2", count="family").filter("n > 0")
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 8)
+    return q.groupBy("edge_type").agg(F.sum("n").alias("tested"), F.round(F.sum("ok") / F.sum("n"), 8).alias("confirmed_ratio"), mean("p2").alias("mean_p"), mean("q2").alias("mean_q"))
 
 
 @query(_T + f", t AS (SELECT {_K}, regime, source_var || '->' || target_var AS edge_type, round(partial_r2, 9) AS r2, round({normal_tail_sql('z_hac')}, 7) AS p FROM tests), st AS (SELECT {_K} FROM t WHERE p < 0.4 GROUP BY ALL HAVING count(*) = 2), k AS (SELECT t.*, row_number() OVER (PARTITION BY edge_type, regime ORDER BY r2 DESC, {_K}) AS k FROM t JOIN st USING ({_K})) SELECT {_K}, regime, edge_type, round(r2, 8) AS partial_r2, k FROM k WHERE k <= 10")

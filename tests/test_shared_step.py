@@ -3,11 +3,12 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lagloom.functions import tails
-from lagloom.operators import fdr, panels, rewire, screen
-from lagloom.plans import u_tables
+from lagloom.operators import fdr, panels, reports, rewire, screen
+from lagloom.plans import t_links, u_tables
 from lagloom.sources import fixtures
 
 
@@ -96,3 +97,62 @@ def test_edges_of_a_type_are_dealt_to_groups_where_they_are(spark):
         assert d.select(F.spark_partition_id().alias("p")).groupBy("p").count().count() == 4
         assert d.count() == 4000 and {r.groups for r in d.select("groups").distinct().collect()} == {groups}
         assert "SortMergeJoin" not in _plan(d)
+
+
+@pytest.fixture(scope="module")
+def seasons(spark):
+    """Edges of two types; some lack a season, many share their p."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(240):
+        s, t = i % 12, i // 12
+        for regime in ("winter", "summer"):
+            for lag in (1, 2):
+                if rng.random() < 0.85:
+                    rows.append((s, t, "u", "v" if i % 3 else "w", lag, regime, float(np.round(rng.random() ** 2, 2)), float(np.round(rng.normal(), 2)), "u->v" if i % 3 else "u->w"))
+    return rows, spark.createDataFrame(rows, "source_region long, target_region long, source_var string, target_var string, lag long, regime string, p_value double, effect double, edge_type string").repartition(5)
+
+
+def _q(p: list[float]) -> list[float]:
+    order, q, low = np.argsort(p), np.empty(len(p)), 1.0
+    for r in range(len(p), 0, -1):
+        q[order[r - 1]] = low = min(low, p[order[r - 1]] * len(p) / r)
+    return q.tolist()
+
+
+def _pairs(rows):
+    held = {r: {x[:5]: x for x in rows if x[5] == r} for r in ("winter", "summer")}
+    return [(held["winter"][k], held["summer"][k]) for k in held["winter"] if k in held["summer"]]
+
+
+def test_both_seasons_meet_in_one_shuffle(seasons):
+    rows, e = seasons
+    b = reports.both_seasons(e)
+    assert _plan(b).count("Exchange hashpartitioning") == 1
+    got = {tuple(r)[:5]: (r.p1, r.e1, r.p2, r.e2, r.edge_type) for r in b.collect()}
+    want = {}
+    for x in rows:
+        at = want.setdefault(x[:5], [None] * 4 + [x[8]])
+        at[0 if x[5] == "winter" else 2], at[1 if x[5] == "winter" else 3] = x[6], x[7]
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_a_row_may_stand_for_several_tests(spark):
+    p = [0.2, 0.01, 0.2, 0.03, 0.01, 0.5]
+    c = spark.createDataFrame([("x", v, p.count(v)) for v in set(p)] + [("y", 0.3, 2)], "g string, p_value double, c long")
+    got = {(r.g, r.p_value): r.q_value for r in fdr.bh_large(c, ["g"], count="c").collect()}
+    want = {("x", v): q for v, q in zip(p, _q(p), strict=True)} | {("y", 0.3): 0.3}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_confirmation_sends_counts_to_q(seasons):
+    """The keys are gone before q is made; q of summer counts tests that winter lacks."""
+    rows, e = seasons
+    summer = [x for x in rows if x[5] == "summer"]
+    q = {x[:5]: v for x, v in zip(summer, _q([x[6] for x in summer]), strict=True)}
+    got = t_links.confirmed(e)
+    assert "source_region" not in _plan(got)
+    want = {}
+    for w, s in _pairs(rows):
+        want.setdefault(w[8], []).append((w[6] < 0.2 and s[6] < 0.2 and np.sign(w[7]) == np.sign(s[7]), s[6], q[s[:5]]))
+    got = {r.edge_type: (r.tested, r.confirmed_ratio, r.mean_p, r.mean_q) for r in got.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[t], (len(v), *np.mean(v, axis=0)), atol=1e-8) for t, v in want.items())
