@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions import tails
 from lagloom.operators import fdr, panels, reports, rewire, screen
-from lagloom.plans import t_links, u_tables
+from lagloom.plans import h_reports, t_links, u_tables
 from lagloom.sources import fixtures
 
 
@@ -156,3 +156,19 @@ def test_confirmation_sends_counts_to_q(seasons):
         want.setdefault(w[8], []).append((w[6] < 0.2 and s[6] < 0.2 and np.sign(w[7]) == np.sign(s[7]), s[6], q[s[:5]]))
     got = {r.edge_type: (r.tested, r.confirmed_ratio, r.mean_p, r.mean_q) for r in got.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[t], (len(v), *np.mean(v, axis=0)), atol=1e-8) for t, v in want.items())
+
+
+def test_stages_send_counts_to_q_and_to_the_median(seasons):
+    rows, e = seasons
+    pairs = [(w[8], w[6] < 0.4, s[6] / 2 if np.sign(w[7]) == np.sign(s[7]) else 1 - s[6] / 2, abs(w[7])) for w, s in _pairs(rows)]
+    q = {}
+    for on in (True, False):
+        some = [p for _, s, p, _ in pairs if s == on]
+        q |= {(on, p): v for p, v in zip(some, _q(some), strict=True)}
+    got = h_reports.staged(e)
+    assert "source_region" not in _plan(got)
+    got = {r.edge_type: tuple(r)[1:] for r in got.collect()}
+    for t in ("u->v", "u->w", "ALL"):
+        v = [x for x in pairs if t in (x[0], "ALL")]
+        want = [len(v), sum(x[1] for x in v), sum(x[1] and q[x[1:3]] < 0.9 for x in v), sum(not x[1] and q[x[1:3]] < 0.9 for x in v), np.median([x[3] for x in v])]
+        assert np.allclose(got[t], want, atol=1e-8)
