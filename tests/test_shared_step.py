@@ -172,3 +172,17 @@ def test_stages_send_counts_to_q_and_to_the_median(seasons):
         v = [x for x in pairs if t in (x[0], "ALL")]
         want = [len(v), sum(x[1] for x in v), sum(x[1] and q[x[1:3]] < 0.9 for x in v), sum(not x[1] and q[x[1:3]] < 0.9 for x in v), np.median([x[3] for x in v])]
         assert np.allclose(got[t], want, atol=1e-8)
+
+
+def test_subset_is_gathered_without_a_join(seasons):
+    """Edges of two regions meet by one shuffle at every size, so the megabytes don't jump where a broadcast would end."""
+    rows, e = seasons
+    linked = {x[:2] for x in rows if x[4] == 1 and x[5] == "winter" and x[6] < 0.1}
+    got = h_reports.recalibrated(e)
+    assert "LeftSemi" not in _plan(got)
+    got = {(r.regime, *tuple(r)[1:6]): r.q_value for r in got.collect()}
+    want = {}
+    for regime in ("winter", "summer"):
+        some = [x for x in rows if x[5] == regime and x[:2] in linked]
+        want |= {(regime, *x[:5]): v for x, v in zip(some, _q([x[6] for x in some]), strict=True)}
+    assert 0 < len(want) < len(rows) and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
