@@ -89,14 +89,20 @@ def test_graphs_are_compared_in_one_join(spark):
     assert [tuple(x) for x in r] == [(0, "x", 3, 3, 2, 4, 2)]
 
 
-def test_edges_of_a_type_are_dealt_to_groups_where_they_are(spark):
-    """One graph of one type: no task takes all its edges, and its groups are as many as its edges allow."""
-    g = spark.range(0, 4000, 1, 4).selectExpr("0L AS rep", "'x' AS type", "id AS a", "id * 7 % 4000 AS b", "0D AS ya", "0D AS xa", "0D AS yb", "0D AS xb", "0L AS s")
-    for kernel, groups in (("global", 2000), ("near", 2000), ("cycle", 1334)):
-        d = rewire.dealt(g, kernel, 0, 1)
-        assert d.select(F.spark_partition_id().alias("p")).groupBy("p").count().count() == 4
-        assert d.count() == 4000 and {r.groups for r in d.select("groups").distinct().collect()} == {groups}
-        assert "SortMergeJoin" not in _plan(d)
+def test_edges_of_a_type_are_dealt_to_all_tasks(spark):
+    """One graph of one type: no task takes all its edges, its groups are as many as its edges allow, and grouping does not shuffle again."""
+    g = spark.range(0, 4000, 1, 4).selectExpr("id % 1 AS rep", "concat('x', id % 1) AS type", "id AS a", "id * 7 % 4000 AS b", "0D AS ya", "0D AS xa", "0D AS yb", "0D AS xb", "0L AS s")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for kernel, groups in (("global", 2000), ("near", 2000), ("cycle", 1334)):
+            d = rewire.dealt(g, kernel, 0, 1)
+            assert d.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0] < 2000
+            moves = d.groupBy("rep", "type", "part", "i").agg(F.collect_list("a"))
+            assert len(re.findall("Exchange hashpartitioning", _plan(moves))) == 2  # of the sizes and of the edges
+            assert d.count() == 4000 and {r.groups for r in d.select("groups").distinct().collect()} == {groups}
+            assert "SortMergeJoin" not in _plan(d)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @pytest.fixture(scope="module")
