@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_t
-from lagloom.operators import joint, reports, spatial
+from lagloom.operators import joint, panels, reports, spatial
 from lagloom.operators.lineage import cut
 from lagloom.plans import section
 from lagloom.plans.c_spatial import _PAIRS, _REGIONS, regions
 from lagloom.plans.m_verify import flux_divergence
 from lagloom.plans.o_contrasts import _BANDS
 from lagloom.plans.q_windows import _BASE, _SETS, _rows_sql, bundled
-from lagloom.sources.fixtures import ctes, edges, panel_orders, station_climate, stations, table
+from lagloom.sources.fixtures import ctes, edges, panel_orders, station_bundles, station_climate, stations, table
 from lagloom.sources.sqltext import gram_sql, sweep_sql, t_tail_sql
 
 QUERIES, query = section()
@@ -279,10 +279,8 @@ def place_and_season(spark, sf_dir):
 @query(ctes("station_climate") + ", h AS (SELECT node, t + k AS t, list(v ORDER BY k, variable) AS x FROM sc, range(0, 12) r(k) GROUP BY 1, 2 HAVING count(*) = 48) SELECT node, t, len(x)::INT AS columns, round(list_sum(x), 7) AS total, round(x[1], 8) AS first, round(x[48], 8) AS last FROM h")
 def history_design(spark, sf_dir):
     """One row per station and step with the four variables of twelve steps as one array: its size, sum and ends."""
-    c = station_climate(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    h = c.groupBy("node", (F.col("t") + F.col("k")).alias("t")).agg(F.array_sort(F.collect_list(F.struct("k", "variable", "value"))).alias("s")).filter(F.size("s") == 48)
-    x = F.transform("s", lambda e: e["value"])
-    return h.select("node", "t", F.size("s").alias("columns"), F.round(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 7).alias("total"), F.round(x[0], 8).alias("first"), F.round(x[47], 8).alias("last"))
+    h = panels.histories(station_bundles(spark, sf_dir), 12)
+    return h.select("node", "t", "columns", F.round("total", 7).alias("total"), F.round("first", 8).alias("first"), F.round("last", 8).alias("last"))
 
 
 _SEEDS = """pr AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, s.seed, (o_orderstatus = 'F')::INT AS y, (1.0 + (o_orderkey * (7 + s.seed)) % 97) / 99.0 AS p FROM orders, range(3) s(seed)), sd AS (SELECT day, seed, avg(pow(p - y, 2)) AS b FROM pr GROUP BY 1, 2)"""
