@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.tails import p_z
-from lagloom.operators import gram, reports, spatial
+from lagloom.operators import gram, reports, screen, spatial
 from lagloom.operators.fdr import bh_large
 from lagloom.operators.lineage import written
 from lagloom.operators.reports import KEY
@@ -17,7 +17,7 @@ from lagloom.plans.p_resampling import _STRATA, _located_edges
 from lagloom.plans.q_windows import _BASE, _rows_sql, bundled
 from lagloom.operators import joint
 from lagloom.sources import readers
-from lagloom.sources.fixtures import ctes, edges, normal_tail_sql, station_climate, stations, tests
+from lagloom.sources.fixtures import ctes, edges, normal_tail_sql, station_climate, station_series, stations, tests
 from lagloom.sources.sqltext import gram_sql, sweep_sql
 
 QUERIES, query = section()
@@ -202,14 +202,11 @@ def correlation_screen(spark, sf_dir):
     """Two neighbours of largest lag-1 correlation for every variable pair and target."""
     near = spatial.nearest(stations(spark, sf_dir), 2).select("source", "target")
     pair = F.explode(F.array(*[F.struct(F.lit(a).alias("source_var"), F.lit(b).alias("target_var")) for a, b in _INTRA]))
-    cand = near.union(near.select("target", "source")).distinct().withColumn("v", pair).select("source", "target", "v.*")
-    c = station_climate(spark, sf_dir)
-    y = c.select(F.col("node").alias("target"), F.col("variable").alias("target_var"), "t", F.col("value").alias("y"))
-    x = c.select(F.col("node").alias("source"), F.col("variable").alias("source_var"), (F.col("t") + 1).alias("t"), F.col("value").alias("x"))
-    j = cand.join(y.hint("shuffle_merge"), ["target", "target_var"]).join(x.hint("shuffle_merge"), ["source", "source_var", "t"])
-    r = j.groupBy("source_var", "target_var", "source", "target").agg((F.covar_pop("x", "y") / (F.stddev_pop("x") * F.stddev_pop("y"))).alias("c"))
-    w = Window.partitionBy("source_var", "target_var", "target").orderBy(F.desc(F.abs(F.round("c", 10))), "source")
-    return r.withColumn("r", F.row_number().over(w)).filter("r <= 2").select("source_var", "target_var", "source", "target", F.round("c", 8).alias("c"))
+    cand = near.union(near.select("target", "source")).distinct().toDF("source_region", "target_region").withColumn("v", pair).select("source_region", "target_region", "v.*")
+    r = screen.correlations(cand, station_series(spark, sf_dir))
+    w = Window.partitionBy("source_var", "target_var", "target_region").orderBy(F.desc(F.abs(F.round("c", 10))), "source_region")
+    r = r.withColumn("r", F.row_number().over(w)).filter("r <= 2")
+    return r.select("source_var", "target_var", F.col("source_region").alias("source"), F.col("target_region").alias("target"), F.round("c", 8).alias("c"))
 
 
 @query(ctes("tests") + f" SELECT s AS source_region, g AS target_region, sv AS source_var, tv AS target_var FROM (SELECT DISTINCT s, g FROM cand2 WHERE s <> g), (SELECT * FROM (VALUES {_PRE}) UNION SELECT column1, column0 FROM (VALUES {_PRE}) x(column0, column1)) v(sv, tv)")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lagloom import registry
-from lagloom.operators import panels
+from lagloom.operators import panels, screen
 
 
 def _plan(df) -> str:
@@ -65,3 +65,29 @@ def test_histories_of_short_series(spark, size):
     for (n, t), (columns, total, first, last) in got.items():
         b, a = (v[t - 5 - 2 : t - 5 + 1] for v in data[n])
         assert columns == 6 and (first, last) == (a[2], b[0]) and abs(total - a.sum() - b.sum()) < 1e-12
+
+
+def test_screened_series_reach_a_target_once(spark, odd):
+    """No row for each step of a pair: a source's series come to a target whole. Constant series have no correlation; they rank first, as in SQL."""
+    plan = _plan(registry.queries()["correlation_screen"](spark, odd))
+    assert "station-climate" not in plan and "MapInArrow" in plan
+    got = _same(spark, odd, "correlation_screen")
+    assert {r.source for r in got} <= set(range(39)) and any(r.source == 7 and np.isnan(r.c) for r in got)
+
+
+def test_correlations_equal_numpy(spark):
+    """Series that start apart, one constant, one too short, one missing; more sources than a row takes."""
+    rng = np.random.default_rng(6)
+    begin = lambda n: 4 if n % 3 == 0 else 0
+    data = {n: rng.normal(size=30 - begin(n)) for n in range(80)}
+    data[5] = np.full(30, 0.1)
+    data[6] = data[6][:1]
+    given = spark.createDataFrame([(n, "u", begin(n), v.tolist()) for n, v in data.items()], "node long, variable string, first long, values array<double>")
+    cand = [(s, g) for s in range(81) for g in (0, 1, 5, 81) if s != g]
+    cand = spark.createDataFrame([(s, g, "u", "u") for s, g in cand], "source_region long, target_region long, source_var string, target_var string")
+    got = {(r.source_region, r.target_region): r.c for r in screen.correlations(cand, given, 2).collect()}
+    assert got.keys() == {(s, g) for s in data for g in (0, 1, 5) if s not in (g, 6)}
+    for (s, g), c in got.items():
+        at = max(begin(s), begin(g))
+        x, y = data[s][at - begin(s) :][:-2], data[g][at - begin(g) :][2:]
+        assert np.isnan(c) if 5 in (s, g) else abs(c - np.corrcoef(x, y)[0, 1]) < 1e-12
