@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.operators import reports, screen, spatial
+from lagloom.operators import panels, reports, screen, spatial
 from lagloom.operators.fdr import bh_large
 from lagloom.operators.lineage import cut, stored
 from lagloom.operators.ranks import rank_by_ranges
 from lagloom.plans import section
 from lagloom.plans.c_spatial import _REGIONS, regions
 from lagloom.plans.m_verify import predictions
-from lagloom.sources.fixtures import HAV_SQL, ctes, day_number, edges, panel, sources, station_candidates, station_climate, station_series, stations
+from lagloom.sources.fixtures import HAV_SQL, ctes, day_number, edges, panel, sources, station_bundles, station_candidates, station_series, stations
 from lagloom.sources.sqltext import t_tail_sql
 
 QUERIES, query = section()
@@ -122,24 +122,12 @@ def time_shuffle_control(spark, sf_dir):
  SELECT node, round(any_value(ob.slope), 7) AS observed, round(any_value(m), 7) AS mean, round(least(1, (1 + count(*) FILTER (abs(c.slope - m) >= abs(ob.slope - m))) / 21.0), 8) AS p FROM c JOIN ob USING (node) GROUP BY 1""")
 def matched_size_refit(spark, sf_dir):
     """Own wind to humidity slope of each station in the humid fifth of the steps, against refits on as many other steps (again from the first where these are short)."""
-    c = station_climate(spark, sf_dir)
-    m = c.filter("variable = 'humidity'").groupBy("t").agg(F.avg("value").alias("v"))
-    hs = m.crossJoin(F.broadcast(m.agg(F.percentile("v", 0.8).alias("q")))).select("t", (F.col("v") >= F.col("q")).alias("high"))  # one row
-    y = c.filter("variable = 'humidity'").select("t", "node", F.col("value").alias("y"))
-    z = c.filter("variable = 'wind'").select((F.col("t") + 1).alias("t"), "node", F.col("value").alias("z"))
-    own = y.select((F.col("t") + 1).alias("t"), "node")  # the design asks for a step of own history
-    od = y.join(z.hint("shuffle_merge"), ["t", "node"]).join(own.hint("shuffle_merge"), ["t", "node"], "left_semi").join(hs.hint("shuffle_merge"), "t")
-    ob = od.filter("high").groupBy("node").agg((F.covar_pop("y", "z") / F.var_pop("z")).alias("slope"), F.count("*").alias("size"))
-    w = Window.partitionBy("node", "r")
-    rk = od.filter("not high").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    rk = rk.withColumn("k", F.row_number().over(w.orderBy((F.col("t") * 7349 + F.col("r") * 4591) % 10007, "t"))).withColumn("n", F.count("*").over(w))
-    rk = rk.join(ob.hint("shuffle_merge"), "node").filter("k <= size").withColumn("w", F.floor((F.col("size") - F.col("k")) / F.col("n")) + 1)
-    s = lambda x: F.sum(F.col("w") * x)
-    yy, zz = F.col("y"), F.col("z")
-    fit = rk.groupBy("node", "slope", "r").agg(((s(yy * zz) - s(yy) * s(zz) / F.sum("w")) / (s(zz * zz) - s(zz) * s(zz) / F.sum("w"))).alias("x"))
-    fit = fit.withColumn("m", F.avg("x").over(Window.partitionBy("node")))
-    far = F.count_if(F.abs(F.col("x") - F.col("m")) >= F.abs(F.col("slope") - F.col("m")))
-    return fit.groupBy("node").agg(F.round(F.first("slope"), 7).alias("observed"), F.round(F.first("m"), 7).alias("mean"), F.round(F.least(F.lit(1.0), (1 + far) / 21.0), 8).alias("p"))
+    b = station_bundles(spark, sf_dir)
+    m = panels.step_means(b, "humidity").agg(F.percentile("v", 0.8).alias("q"), F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
+    hs = m.select(F.transform("s", lambda x: x["v"] >= F.col("q")).alias("high"))
+    fit = screen.matched_refits(b.crossJoin(F.broadcast(hs)), "wind", "humidity")  # one row
+    own = stations(spark, sf_dir).select("node")
+    return fit.join(own.hint("shuffle_merge"), "node", "left_semi").select("node", F.round("observed", 7).alias("observed"), F.round("mean", 7).alias("mean"), F.round("p", 8).alias("p"))
 
 
 # ---- random and matched edges

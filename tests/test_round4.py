@@ -91,3 +91,31 @@ def test_correlations_equal_numpy(spark):
         at = max(begin(s), begin(g))
         x, y = data[s][at - begin(s) :][:-2], data[g][at - begin(g) :][2:]
         assert np.isnan(c) if 5 in (s, g) else abs(c - np.corrcoef(x, y)[0, 1]) < 1e-12
+
+
+def test_matched_refits_send_no_series(spark, odd):
+    """Steps are drawn in the task that holds a node's series; what is shuffled is partial means and one row a node. Constant wind has no slope."""
+    plan = _plan(registry.queries()["matched_size_refit"](spark, odd))
+    assert "Window" not in plan and "Generate" not in plan
+    got = {r.node: r for r in _same(spark, odd, "matched_size_refit")}
+    assert got.keys() == set(range(39)) and np.isnan(got[7].observed) and got[7].p == 1
+
+
+@pytest.mark.parametrize("marked", [3, 14, 25])
+def test_matched_refits_equal_plain_draws(spark, marked):
+    """As many other steps as marked ones: some of them, nearly all, and each of them several times; negative steps keep their sign."""
+    rng, size, first = np.random.default_rng(marked), 30, -12
+    high = np.zeros(size, bool)
+    high[rng.permutation(np.arange(1, size))[:marked]] = True
+    data = {n: (rng.normal(size=size), rng.normal(size=size)) for n in range(3)}
+    b = spark.createDataFrame([(n, first, high.tolist(), y.tolist(), z.tolist()) for n, (y, z) in data.items()], "node long, first long, high array<boolean>, y array<double>, z array<double>")
+    for r in screen.matched_refits(b, "z", "y").collect():
+        y, z = data[r.node][0][1:], data[r.node][1][:-1]
+        slope = lambda at: np.polyfit(z[at], y[at], 1)[0]  # noqa: B023, E731
+        draws, low = [], [i for i in range(size - 1) if not high[i + 1]]
+        for k in range(1, 21):
+            order = sorted(low, key=lambda i: (int(np.fmod((first + 1 + i) * 7349 + k * 4591, 10007)), i))
+            draws.append(slope([order[i % len(order)] for i in range(marked)]))
+        seen, mean = slope(np.flatnonzero(high[1:])), np.mean(draws)
+        p = min(1, (1 + sum(abs(x - mean) >= abs(seen - mean) for x in draws)) / 21)
+        assert np.allclose([r.observed, r.mean, r.p], [seen, mean, p], atol=1e-9)
